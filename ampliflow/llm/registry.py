@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, sharding, token_shards
 
 QUERIES = {
+    "op2_token_shards": token_shards.op2_token_shards,
     "op4_mix": mixing.op4_mix,
+    "op8_shards": sharding.op8_shards,
 }
 SQL = {
     "op4_mix": mixing.OP4_SQL,
+    "op8_shards": sharding.OP8_SQL,
 }
