@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, token_shards
+from . import mixing, quality, sharding, token_shards
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_token_shards": token_shards.op2_token_shards,
     "op4_mix": mixing.op4_mix,
     "op8_shards": sharding.op8_shards,
