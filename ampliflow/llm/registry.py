@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, token_shards
+from . import leaks, line_templates, mixing, quality, sharding, token_shards
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_token_shards": token_shards.op2_token_shards,
     "op4_mix": mixing.op4_mix,
+    "op5_line_templates": line_templates.op5_line_templates,
+    "op6_leaks": leaks.op6_leaks,
     "op8_shards": sharding.op8_shards,
 }
 SQL = {
     "op4_mix": mixing.OP4_SQL,
+    "op5_line_templates": line_templates.OP5_SQL,
     "op8_shards": sharding.OP8_SQL,
 }
