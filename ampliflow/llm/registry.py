@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import leaks, line_templates, mixing, quality, sharding, token_shards
+from . import leaks, line_templates, mixing, near_duplicates, quality, sharding, token_shards
 
 QUERIES = {
+    "op10_near_duplicates": near_duplicates.op10_near_duplicates,
     "op1_quality": quality.op1_quality,
     "op2_token_shards": token_shards.op2_token_shards,
     "op4_mix": mixing.op4_mix,
