@@ -12,8 +12,8 @@ an ORC file with the columns
 Stripes can be read in parallel: each row holds its place in the shard, and where a shard begins in the whole corpus follows from
 one sum for each shard. Reading uses the shared folder through Spark only.
 
-Tokenising: the pre-tokeniser never joins two words over a single space, so a text is cut there, and each distinct piece is encoded
-once by the tokenizers library and then looked up (bounded table for each Python worker). Pieces at other white space stay whole.
+Tokenising: the pre-tokeniser of byte-level BPE never joins two words over a single space or line feed, so a text is cut there, and
+each distinct piece is encoded once by the tokenizers library and then looked up (in a bounded table for each Python worker).
 
 Nulls: a null text counts as empty and yields the end id alone; null doc_ids come first. Rows with equal doc_ids are ordered by text.
 Empty input: no rows.
@@ -22,6 +22,7 @@ Empty input: no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +37,22 @@ from .shared import new_path, small, table, written
 
 END_ID = 0
 #: Characters that are tokenised at a time, and pieces kept by a Python worker.
-CHUNK_CHARS, KEPT_PIECES = 4_000_000, 400_000
+CHUNK_CHARS, KEPT_PIECES = 3_000_000, 700_000
 ORC = {
     "compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
 
+class _Numbers(dict):
+    """Numbers pieces as they come; new ones wait in fresh."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class Encoder:
     """Encodes many texts with one tokenizers file; distinct pieces once."""
 
@@ -52,30 +62,64 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.start, self.size = [], [], []
-        self.filled = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = list({p for p in pieces if p not in self.at})
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = got.ids
-            self.at[piece] = len(self.start)
-            self.start.append(self.filled)
-            self.size.append(len(ids))
-            self.flat.append(np.array(ids, np.int32))
-            self.filled += len(ids)
-        if new:
-            self.flat = [np.concatenate(self.flat)]
-            self.starts, self.sizes = np.array(self.start, np.int64), np.array(self.size, np.int64)
+        breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_feed = breaks[0] if len(breaks) == 1 else None
+        self._start(_Numbers(), np.empty(0, np.int32), np.empty(0, np.int64))
+
+    def _start(self, numbers: _Numbers, flat: np.ndarray, size: np.ndarray) -> None:
+        self.numbers, self.flat, self.size = numbers, flat, size
+        self.start, self.used = np.cumsum(size) - size, np.zeros(len(size), np.int64)
+        self.numbers.fresh = []
+
+    def _evict(self) -> None:
+        """Keeps the half of the pieces that was used most."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: KEPT_PIECES // 2])
+        names, size = list(self.numbers), self.size[kept]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(ends[-1])]
+        self._start(_Numbers((names[k], n) for n, k in enumerate(kept)), flat, size)
+
+    def _raw(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces. A line feed between two other characters is a token of its own, so pieces without one are encoded many at a time."""
+        plain = [k for k, p in enumerate(pieces) if self.line_feed is not None and "\n" not in p and _PLAIN.match(p)]
+        out: list = [None] * len(pieces)
+        for i in range(0, len(plain), 300):
+            own = plain[i : i + 300]
+            ids = np.array(self.tokenizer.encode("\n".join(pieces[k] for k in own), add_special_tokens=False).ids, np.int32)
+            parts = np.split(ids, np.flatnonzero(ids == self.line_feed))
+            for n, (k, part) in enumerate(zip(own, parts, strict=True)):
+                out[k] = part[1:] if n else part
+        others = [k for k, x in enumerate(out) if x is None]
+        for k, got in zip(others, self.tokenizer.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = np.array(got.ids, np.int32)
+        return out
+
+    def _learn(self) -> None:
+        """Gives the fresh pieces their ids. A single mark after a letter is always a token apart: such a piece is made of two others."""
+        new, first = self.numbers.fresh, len(self.size)
+        made, k = {}, 0
+        while k < len(new):  # pieces that others are made of come in at the end
+            piece = new[k]
+            if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha():
+                made[k] = (self.numbers[piece[:-1]], self.numbers[piece[-1]])
+            k += 1
+        raw = [k for k in range(len(new)) if k not in made]
+        ids: list = [None] * len(new)
+        for k, got in zip(raw, self._raw([new[k] for k in raw]), strict=True):
+            ids[k] = got
+        known = lambda n: ids[n - first] if n >= first else self.flat[self.start[n] : self.start[n] + self.size[n]]
+        for k, (core, mark) in made.items():
+            ids[k] = np.concatenate([known(core), known(mark)])
+        size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
+        used = np.concatenate([self.used, np.zeros(len(ids), np.int64)])
+        self.flat, self.size, self.used = np.concatenate([self.flat, *ids]), size, used
+        self.start = np.cumsum(size) - size
+        self.numbers.fresh = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if len(self.at) > KEPT_PIECES:
-            self.forget()
+        if len(self.numbers) > KEPT_PIECES:
+            self._evict()
         pieces, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             own = cut(text)
@@ -83,28 +127,32 @@ class Encoder:
             counts[i] = len(own)
         if not pieces:
             return np.empty(0, np.int32), counts
-        self._learn(pieces)
-        at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        size = self.sizes[at]
+        at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        if self.numbers.fresh:
+            self._learn()
+        self.used += np.bincount(at, minlength=len(self.used))
+        size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[0][np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(upto)
 
 
 def cut(text: str) -> list[str]:
-    """Pieces that the pre-tokeniser treats independently: a cut stands before each single space between two other characters that aren't white space."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    pieces, last = [parts[0]], parts[0][-1:]
-    for part in parts[1:]:
-        if part and last and not last.isspace() and not part[0].isspace():
-            pieces.append(" " + part)
-        else:
-            pieces[-1] += " " + part
-        last = part[-1:] if part else " "
-    return [p for p in pieces if p]
+    """Pieces that the pre-tokeniser treats independently: it is cut before single spaces and around single line feeds, where these
+    stand between two other characters that aren't white space. Any other text stays whole at such places."""
+    if "\0" in text or _DOUBLE.search(text):
+        return _cut_slowly(text)
+    return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p]
+
+
+_DOUBLE = re.compile(r"\s\s|\s$")
+_PLAIN = re.compile(r" ?\S(.*\S)?\Z", re.S)
+_CUTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+
+
+def _cut_slowly(text: str) -> list[str]:
+    return [p for p in _CUTS.split(text) if p]
 
 
 def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -185,7 +233,12 @@ def ids_crc32(tokens: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.int64())
 
 
+def digest(rows: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of rows of read_shards."""
+    return rows.select("doc_id", "start", "n_tokens", ids_crc32("tokens").alias("ids_crc32"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-ids")
     write_shards(table(spark, sf_dir, "documents"), path)
-    return read_shards(spark, path).select("doc_id", "start", "n_tokens", ids_crc32("tokens").alias("ids_crc32"))
+    return digest(read_shards(spark, path))
