@@ -235,8 +235,9 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, k: in
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, block: int = BLOCK) -> DataFrame:
-    """A written table with a row for each row of docs (doc_id, text): doc_id, text_hash, n_shingles, class (null: no shingles),
-    component_id (the least doc_id that it reaches, its own included), kept (doc_id is component_id)."""
+    """A written table with a row for each row of docs (doc_id, text): doc_id, text_hash, n_shingles, class (of equal
+    sets) and label (of linked classes; both null without shingles), component_id (the least doc_id that it reaches, its own
+    included), kept (doc_id is component_id)."""
     rows = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].cast("string").alias("text"))
     sketched = written(_sketched(rows, width, k), "near-sketches")
     rep = F.min(F.struct("doc_id", "text_hash")).alias("rep")
@@ -246,12 +247,32 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: i
     named = classes.select("n", "s1", "s2", "cid", "least").join(linked, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = written(named, "near-named")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(named.join(names, "label").select("n", "s1", "s2", "cid", "component_id"), "near-components")
+    named = written(named.join(names, "label").select("n", "s1", "s2", "cid", "label", "component_id"), "near-components")
     out = sketched.select("doc_id", "text_hash", "n", "s1", "s2").join(small(named), ["n", "s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class"), component.alias("component_id"))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class"), "label", component.alias("component_id"))
     return written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-result")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """One row of docs (doc_id, text and any others) for each group of near duplicates: that of its least doc_id, columns as they were.
+    Of several rows with that doc_id it is the one with the least hash of its text, of equal ones any."""
+    found = components(docs.select("doc_id", "text"), **options)
+    # The row to keep of each group. Rows without shingles are no one's duplicates.
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    best = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1)
+    gone = found.join(best, "label").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))))
+    gone = small(written(gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "near-gone"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(docs["text"]))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_d"]) & (rows["_text_hash"] == gone["_h"]), "left_anti")
+    twice = found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    twice = written(twice, "near-twice")
+    if not twice.isEmpty():
+        same = rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["_text_hash"] == F.col("_h"))
+        equal = rows.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        rows = rows.join(small(twice), same, "left_anti").unionByName(equal)
+    return rows.drop("_text_hash")
