@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leaks, line_templates, mixing, near_duplicates, quality, sharding, token_shards
+from . import leaks, line_templates, mixing, near_duplicates, neighbours, quality, sharding, token_shards
 
 QUERIES = {
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix": mixing.op4_mix,
     "op5_line_templates": line_templates.op5_line_templates,
     "op6_leaks": leaks.op6_leaks,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_shards": sharding.op8_shards,
 }
 SQL = {
