@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import leaks, line_templates, mixing, near_duplicates, neighbours, quality, sharding, token_shards
+from . import leaks, line_templates, mixing, near_duplicates, neighbours, private_data, quality, sharding, token_shards
 
 QUERIES = {
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
     "op1_quality": quality.op1_quality,
     "op2_token_shards": token_shards.op2_token_shards,
+    "op3_private_data": private_data.op3_private_data,
     "op4_mix": mixing.op4_mix,
     "op5_line_templates": line_templates.op5_line_templates,
     "op6_leaks": leaks.op6_leaks,
