@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leaks, line_templates, mixing, near_duplicates, neighbours, private_data, quality, sharding, token_shards
+from . import leaks, line_templates, mixing, near_duplicates, neighbours, private_data, quality, secrets, sharding, token_shards
 
 QUERIES = {
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_leaks": leaks.op6_leaks,
     "op7_neighbours": neighbours.op7_neighbours,
     "op8_shards": sharding.op8_shards,
+    "op9_secrets": secrets.op9_secrets,
 }
 SQL = {
     "op4_mix": mixing.OP4_SQL,
