@@ -24,19 +24,24 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def _tokens(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1))
+    """Split at white space; lines with other white space than spaces take the slower way."""
+    other = F.regexp_like(line, F.lit(r"[\x09\x0B-\x0D]"))
+    return F.array_remove(F.when(other, F.split(line, GAP)).otherwise(F.split(line, " ")), "")
 
 
 def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit("<*>")).otherwise(token)
 
 
-def _leaf(line: Column) -> Column:
+def _leaf_of(tokens: Column) -> Column:
     """Number of tokens and the leading ones; null for a line without tokens."""
-    head = rf"^[\x20\x09-\x0D]*({WORD})(?:{GAP}({WORD}))?"
-    lead = [F.regexp_extract(line, head, i + 1) for i in range(LEADING)]
-    count = F.regexp_count(line, F.lit(WORD))
-    return F.when(count > 0, F.concat_ws(" ", count.cast("string"), *map(_masked, lead)))
+    lead = [F.coalesce(_masked(F.get(tokens, i)), F.lit("")) for i in range(LEADING)]
+    return F.when(F.size(tokens) > 0, F.concat_ws(" ", F.size(tokens).cast("string"), *lead))
+
+
+def _leaves(lines: Column) -> Column:
+    """The leaf of each line; each is split once."""
+    return F.transform(F.transform(lines, _tokens), _leaf_of)
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -49,21 +54,22 @@ def _lines(text: Column) -> Column:
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME) -> DataFrame:
     """A written table: the lines (column line, distinct) that belong to recurring templates, and their template."""
-    leaf_of = F.array_distinct(F.transform(_lines(docs["text"]), _leaf))
-    leaves = docs.select(F.explode(leaf_of).alias("leaf")).where(F.col("leaf").isNotNull()).groupBy("leaf").count()
-    leaves = written(leaves.where(F.col("count") >= min_docs).select("leaf"), "line-leaves")
-    lines = docs.select(*_key(docs), F.explode(F.array_distinct(_lines(docs["text"]))).alias("line")).withColumn("leaf", _leaf(F.col("line")))
-    lines = written(lines.join(small(leaves), "leaf", "left_semi"), "line-candidates")
-    distinct = written(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-distinct")
-    tokens = distinct.select("leaf", "line", "docs", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("at", "token"))
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("fixed"))
-    parts = tokens.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "line", "docs").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.when(F.col("fixed") & (F.col("token") != "<*>"), F.col("token")).otherwise(F.lit("<*>")).alias("token")))).alias("parts")
-    )
+    leaves = docs.select(F.explode(F.array_distinct(_leaves(_lines(docs["text"])))).alias("leaf")).where(F.col("leaf").isNotNull()).groupBy("leaf").count()
+    leaves = written(leaves.where(F.col("count") >= min_docs).select("leaf", F.monotonically_increasing_id().alias("leaf_id")), "line-leaves")
+    lines = docs.select(*_key(docs), F.array_distinct(_lines(docs["text"])).alias("lines"))
+    lines = lines.select("doc_id", "text_hash", F.inline(F.arrays_zip("lines", _leaves(F.col("lines")).alias("leaf"))))
+    lines = lines.toDF("doc_id", "text_hash", "line", "leaf")
+    lines = written(lines.join(small(leaves), "leaf").drop("leaf"), "line-candidates")
+    distinct = lines.groupBy("leaf_id", "line").agg(F.count("*").alias("docs"))
+    distinct = written(distinct.select("*", F.monotonically_increasing_id().alias("line_id")), "line-distinct")
+    tokens = distinct.select("leaf_id", "line_id", "docs", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("at", "token"))
+    fixed = tokens.groupBy("leaf_id", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf_id", "at", "token", F.lit(True).alias("fixed"))
+    kept = F.when(F.col("fixed") & (F.col("token") != "<*>"), F.col("token")).otherwise(F.lit("<*>")).alias("token")
+    parts = tokens.drop("docs").join(fixed, ["leaf_id", "at", "token"], "left").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("at", kept))).alias("parts"))
     token_list = F.col("parts.token")
     share = F.size(F.filter(token_list, lambda t: t != "<*>")) / F.size("parts")
-    templates = parts.where(share >= same).select("leaf", "line", "docs", F.concat_ws(" ", token_list).alias("template"))
-    templates = written(templates, "line-templates")
+    templates = parts.where(share >= same).select("line_id", F.concat_ws(" ", token_list).alias("template"))
+    templates = written(templates.join(distinct, "line_id").select("line", "docs", "template"), "line-templates")
     most = templates.groupBy("template").agg(F.max("docs").alias("most"))
     sure = most.where(F.col("most") >= min_docs).select("template")
     # No line of the other templates is in min_docs documents; together they may be.
