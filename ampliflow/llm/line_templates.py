@@ -84,15 +84,15 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME) ->
     """docs (doc_id, text and any others) with the text's recurring lines dropped; adds n_lines and n_dropped, replacing such columns."""
     recurring = recurring_lines(docs.select("doc_id", "text"), min_docs, same).select("line")
     at = docs.select(*_key(docs), F.posexplode(_lines(docs["text"])).alias("at", "line"))
-    dropped = at.join(small(recurring), "line", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("dropped"))
-    dropped = dropped.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
-    rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["d"]) & F.xxhash64(docs["text"]).eqNullSafe(dropped["h"]), "left")
+    dropped = at.join(small(recurring), "line", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("_lt_dropped"))
+    dropped = dropped.withColumnRenamed("doc_id", "_lt_doc").withColumnRenamed("text_hash", "_lt_hash")
+    rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_lt_doc"]) & F.xxhash64(docs["text"]).eqNullSafe(dropped["_lt_hash"]), "left")
     n = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(F.col("text")), i)), "\n"))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)))
+    kept = F.array_except(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.col("_lt_dropped"))
+    text = F.when(F.col("_lt_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(F.col("text")), i)), "\n"))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("n_dropped", F.coalesce(F.size("_lt_dropped"), F.lit(0)))
     rows = rows.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", text)
-    return rows.drop("d", "h", "dropped")
+    return rows.drop("_lt_doc", "_lt_hash", "_lt_dropped")
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,7 @@ def _best(best: int):  # noqa: ANN202
                     at = at[near >= np.partition(near, -best)[-best] - 1e-12]
                 for j in at[np.lexsort((ids[at], -cosine[i, at].round(12)))[:best]]:
                     out["q"].append(q), out["vec_id"].append(ids[j]), out["v"].append(members["v"].iloc[j]), out["near"].append(cosine[i, j])
-        return pd.DataFrame(out).astype({"q": "int64", "vec_id": "int64", "near": "float64"})
+        return pd.DataFrame(out | {"v": pd.Series(out["v"], dtype=object)}).astype({"q": "int64", "vec_id": "int64", "near": "float64"})
 
     return block
 
