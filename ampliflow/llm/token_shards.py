@@ -37,7 +37,7 @@ from .shared import new_path, small, table, written
 
 END_ID = 0
 #: Characters that are tokenised at a time, and pieces kept by a Python worker.
-CHUNK_CHARS, KEPT_PIECES = 3_000_000, 700_000
+CHUNK_CHARS, KEPT_PIECES = 2_000_000, 450_000
 ORC = {
     "compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
