@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, written
+from .shared import row_count, small, written
 
 
 def _relabelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """df with labels' label in place of a node that it names; other nodes stay."""
-    of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-    return df.join(small(of), df[column] == F.col("_node"), "left").withColumn(column, F.coalesce("_label", column)).drop("_node", "_label")
+    of = small(labels).select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return df.join(of, df[column] == F.col("_node"), "left").withColumn(column, F.coalesce("_label", column)).drop("_node", "_label")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -26,11 +26,9 @@ def connected(links: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("b"), F.col("a")))
         to = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label"))
         to = written(to, "pointers")
-        for _ in range(2):
-            to = _relabelled(to, "label", to)
-        to = written(to, "pointers")
+        to = written(_relabelled(to, "label", to), "pointers")
         labels = to if labels is None else _relabelled(labels, "label", to)
         links = _relabelled(_relabelled(links, "a", to), "b", to).where(F.col("a") != F.col("b")).distinct()
         links, labels = written(links, "links"), written(labels, "labels")
-        if links.isEmpty():
+        if not row_count(links):
             return labels

@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .shared import small, table, written
+from .shared import row_count, small, table, written
 
 WIDTH, PERCENT, K, BLOCK = 5, 80, 64, 256
-_PRIME, _KEPT_WORDS, _CHUNK = np.uint64(0x9E3779B97F4A7C15), 1_000_000, 4_000_000
+#: So many of their rarest values two classes of a list must share to be compared (a pair at the threshold shares them surely).
+SHARED = 8
+_PRIME, _KEPT_WORDS, _ROWS = np.uint64(0x9E3779B97F4A7C15), 300_000, 500
 
 
 def needed(k: int, percent: int) -> int:
@@ -53,21 +55,18 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
+def shingle_set(text: bytes, width: int, known: _Words) -> np.ndarray:
     """The sorted distinct shingles of a text, as 63-bit hashes."""
-    if len(_WORDS) > _KEPT_WORDS:
-        _WORDS.clear()
+    if len(known) > _KEPT_WORDS:
+        known.clear()
     words = text.lower().split()  # of bytes: A-Z, and white space as in the contract
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) == 0:
         return np.empty(0, np.int64)
     run = min(width, len(h))
@@ -83,15 +82,23 @@ def _sums(s: np.ndarray) -> tuple[int, int]:
     return int(u.sum().astype(np.int64)), int(_mixed(u + _PRIME).sum().astype(np.int64))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time: what is made of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(i, _ROWS)
+
+
 def _sketched(rows: DataFrame, width: int, k: int) -> DataFrame:
     """rows: doc_id, text_hash, text. In place of the text: n, s1, s2 (the set's size and sums) and its k least values."""
     schema = T.StructType(rows.schema.fields[:2]).add("n", T.LongType()).add("s1", T.LongType()).add("s2", T.LongType()).add("sketch", T.ArrayType(T.LongType()))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known = _Words()
+        for batch in _small(batches):
             n, sums, least = [], [], []
             for text in batch.column(2).cast(pa.binary()):
-                s = shingle_set(text.as_py() or b"", width)
+                s = shingle_set(text.as_py() or b"", width, known)
                 n.append(len(s))
                 sums.append(_sums(s))
                 least.append(s[:k])
@@ -108,8 +115,9 @@ def _with_sets(rows: DataFrame, width: int) -> DataFrame:
     schema = T.StructType().add("cid", T.LongType()).add("n", T.LongType()).add("shingles", T.ArrayType(T.LongType()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(t.as_py() or b"", width) for t in batch.column(2).cast(pa.binary())]
+        known = _Words()
+        for batch in _small(batches):
+            own = [shingle_set(t.as_py() or b"", width, known) for t in batch.column(2).cast(pa.binary())]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *own])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], schema.names)
@@ -118,57 +126,95 @@ def _with_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each class and each of its first values that another class has too: value, cid, n, own (values of its own), first (all these values)."""
+    """For each class and each of its first values that another class has too: value, cid, n, own (values of its own), first (all these
+    values), check (some more) and few (so many of them any class that is linked has too)."""
     need, p = needed(k, percent), percent / 100
-    values = classes.select("cid", "n", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("times")).where(F.col("times") > 1)
-    ranked = values.join(shared, "value", "left").groupBy("cid", "n").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "value"))).alias("ranked")
-    )
+    values = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
+    shared = values.groupBy("value").agg(F.count("*").cast("int").alias("times")).where(F.col("times") > 1)
+    # A class's own values come first in its order; only their number matters.
+    ranked = values.join(shared, "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
+    ranked = ranked.withColumn("size", F.least("n", F.lit(k))).withColumn("own", F.col("size") - F.size("shared"))
     full = F.ceil(F.col("n") * F.lit(percent) / 100)
     least = F.when(F.col("n") < k * p, full).otherwise(F.least(full, F.lit(need)))
-    first = F.slice("ranked", 1, (F.size("ranked") - least + 1).cast("int"))
-    ranked = ranked.withColumn("own", F.size(F.filter("ranked", lambda v: v["times"] == 1)))
-    ranked = ranked.withColumn("first", F.transform(F.filter(first, lambda v: v["times"] > 1), lambda v: v["value"]))
-    return ranked.select("cid", "n", "own", F.array_sort("first").alias("first"), F.explode("first").alias("value"))
+    first = F.slice("shared.value", 1, F.greatest(F.lit(0), F.col("size") - least + 1 - F.col("own")).cast("int"))
+    # A pair with `least` values in common has the first few of them in the first size - least + few of each.
+    more = F.slice("shared.value", 1, F.greatest(F.lit(0), F.col("size") - least + F.least(F.lit(SHARED), least) - F.col("own")).cast("int"))
+    ranked = ranked.select("cid", "n", "own", F.least(F.lit(SHARED), least).cast("int").alias("few"), F.array_sort(first).alias("first"), F.array_sort(more).alias("check"))
+    return ranked.select("*", F.explode("first").alias("value"))
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that are linked. sets: a written table cid, n, shingles."""
-    side = lambda c: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.slice("shingles", 1, k).alias(f"sketch_{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    both = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    need = F.least(F.lit(needed(k, percent)), F.ceil(F.size(union) * F.lit(percent) / 100))
-    likely = written(rows.where(both >= need).select("a", "b"), "near-likely")
-    side = lambda c: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}"))
-    rows = likely.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    return written(rows.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b"), "near-links")
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+
+def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The whole sets of classes, from the text of one document of each, as a written table: cid, n, shingles."""
+    used = cids.join(classes.select("cid", "n", "rep"), "cid").select("cid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("h"))
+    used = written(used, "near-reps")
+    texts = docs.join(small(used), docs["doc_id"].eqNullSafe(F.col("d")) & (docs["text_hash"] == F.col("h"))).select("cid", "n", "text")
+    sets = written(_with_sets(texts, width), "near-sets")
+    twice = row_count(sets) != row_count(used)  # repeated rows of a representative
+    return sets if not twice else written(sets.dropDuplicates(["cid"]), "near-sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Of a written table of pairs (g, a, b) those that are linked, as a written table: estimated on the union's sketch, then on the sets.
+
+    Pairs of one g share their classes, so they are verified together: a set goes to the bundles that have pairs with it, not to each
+    pair. A large g spreads over several bundles by its classes, small ones share a bundle; all bundles are of about the same size."""
+    members = pairs.select("g", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sizes = written(members.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("classes")), "near-groups")
+    n_bundles = max(1, -(-(sizes.agg(F.sum("classes")).first()[0] or 0) // (2 * block)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    placed = pairs.join(small(sizes), "g").select(F.pmod(F.xxhash64("g", part("a"), part("b")), F.lit(n_bundles)).alias("bundle"), "a", "b").distinct()
+    placed = written(placed, "near-bundles")
+    shipped = placed.select(F.col("bundle").alias("home"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid", "shingles"), "cid")
+    need = needed(k, percent)
+
+    def verify(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(members["cid"], members["shingles"], strict=True))
+        out = []
+        for a, b in zip(rows["a"], rows["b"], strict=True):
+            x, y = own[a], own[b]
+            sketch = np.union1d(x[:k], y[:k])[:k]
+            common = np.intersect1d(x[:k], y[:k], assume_unique=True)
+            if (common <= sketch[-1]).sum() >= min(need, -(-len(sketch) * percent // 100)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * 100 >= (len(x) + len(y) - both) * percent:
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    found = placed.groupBy("bundle").cogroup(shipped.groupBy("home")).applyInPandas(verify, "a long, b long")
+    return written(found.distinct(), "near-links")
 
 
 def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Each class of a list with the list's pivot."""
-    pivots = postings.groupBy("value").agg(F.min(F.struct("own", "cid", "n")).alias("p"), F.count("*").alias("members")).where(F.col("members") > 1)
-    rows = postings.join(pivots.select("value", F.col("p.cid").alias("p"), F.col("p.n").alias("p_n")), "value")
+    pivots = postings.groupBy("value").agg(F.min(F.struct("own", "cid", "n", "few", "check")).alias("p"), F.count("*").alias("members")).where(F.col("members") > 1)
+    rows = postings.join(pivots.select("value", "p.cid", "p.n", "p.few", "p.check").toDF("value", "p", "p_n", "p_few", "p_check"), "value")
     rows = rows.where((F.col("cid") != F.col("p")) & _sizes_fit(F.col("n"), F.col("p_n"), percent))
-    return rows.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
+    rows = rows.where(F.size(F.array_intersect("check", "p_check")) >= F.least("few", "p_few"))
+    return rows.select(F.col("p").alias("g"), F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
 
 
 def _single_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs of single classes of a list, each at the first value that both have."""
-    one = lists.where(F.col("members") == 1).select("value", "cid", "n", "first")
-    x, y = (one.select("value", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "first")]) for s in "xy")
+    names = ("cid", "n", "first", "few", "check")
+    one = lists.where(F.col("members") == 1).select("value", *names)
+    x, y = (one.select("value", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "xy")
     at = (F.col("cid_x") < F.col("cid_y")) & _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
     at = at & (F.array_min(F.array_intersect("first_x", "first_y")) == x["value"])
-    return x.join(y, (x["value"] == y["value"]) & at).select(F.col("cid_x").alias("a"), F.col("cid_y").alias("b"))
+    at = at & (F.size(F.array_intersect("check_x", "check_y")) >= F.least("few_x", "few_y"))
+    return x.join(y, (x["value"] == y["value"]) & at).select(x["value"].alias("g"), F.col("cid_x").alias("a"), F.col("cid_y").alias("b"))
 
 
-def _block_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Links between members of components that share a list, of which one at least has several members. lists: value, cid, label, members."""
+def _blocks(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Members of components that share a list, of which one at least has several members, in blocks of the larger one (member) and of
+    all that ask it: target, bx, by, cid, own, member. lists: value, cid, label, members."""
     comps = lists.select("value", "label", "members").distinct()
     x, y = (comps.select("value", F.col("label").alias(f"label_{s}"), F.col("members").alias(f"members_{s}")) for s in "xy")
     # x is the larger one; its list meets the smaller ones there.
@@ -185,8 +231,12 @@ def _block_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, k: int, p
     left = left.select(F.col("label").alias("target"), side(F.col("x_blocks")).alias("bx"), every(F.col("y_blocks")).alias("by"), "cid", F.col("label").alias("own"), F.lit(True).alias("member"))
     right = asked.join(counts, "target")
     right = right.select("target", every(F.col("x_blocks")).alias("bx"), side(F.col("y_blocks")).alias("by"), "cid", "own", F.lit(False).alias("member"))
-    rows = left.unionByName(right).join(sets.select("cid", "shingles"), "cid")
-    need = needed(k, percent)
+    return written(left.unionByName(right), "near-blocks")
+
+
+def _block_links(blocks: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """A link, if there is one, of each asking class to the members of each block."""
+    rows, need = blocks.join(sets.select("cid", "shingles"), "cid"), needed(k, percent)
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         members, others = rows[rows["member"]], rows[~rows["member"]]
@@ -217,11 +267,9 @@ def _block_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, k: int, p
 def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, k: int, block: int) -> DataFrame:
     """For each class that is linked: cid, label. classes: a written table; docs: doc_id, text_hash, text."""
     postings = written(_postings(classes, k, percent), "near-postings")
-    used = written(postings.select("cid").distinct().join(classes.select("cid", "n", "rep"), "cid"), "near-used")
-    used = small(used.select("cid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("h")))
-    texts = docs.join(used, docs["doc_id"].eqNullSafe(used["d"]) & (docs["text_hash"] == used["h"])).select("cid", "n", "text")
-    sets = written(_with_sets(texts, width).dropDuplicates(["cid"]), "near-sets")
-    stars = _verified(_star_pairs(postings, percent), sets, k, percent)
+    pairs = written(_star_pairs(postings, percent), "near-stars")
+    sets = _sets_of(_members(pairs), classes, docs, width)
+    stars = _links(pairs, sets, k, percent, block)
     node = lambda found: found.select(F.col("node").alias("cid"), "label")
     first = node(connected(stars))
     members = postings.select("cid").distinct().join(first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -230,7 +278,10 @@ def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, k: in
     lists = postings.join(labels, "cid")
     mixed = lists.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("value")
     lists = written(lists.join(mixed, "value", "left_semi"), "near-lists")
-    more = _verified(_single_pairs(lists, percent), sets, k, percent).unionByName(_block_links(lists, labels, sets, k, percent, block))
+    pairs, blocks = written(_single_pairs(lists, percent), "near-singles"), _blocks(lists, labels, block)
+    rest = _members(pairs).union(blocks.select("cid")).distinct().join(sets.select("cid"), "cid", "left_anti")
+    sets = sets.unionByName(_sets_of(rest, classes, docs, width))
+    more = _links(pairs, sets, k, percent, block).unionByName(_block_links(blocks, sets, k, percent))
     return node(connected(stars.unionByName(more)))
 
 
@@ -271,7 +322,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN0
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_d"]) & (rows["_text_hash"] == gone["_h"]), "left_anti")
     twice = found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     twice = written(twice, "near-twice")
-    if not twice.isEmpty():
+    if row_count(twice):
         same = rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["_text_hash"] == F.col("_h"))
         equal = rows.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
         rows = rows.join(small(twice), same, "left_anti").unionByName(equal)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest row count of a side that is broadcast; beyond it the join is left to Spark's own strategy.
@@ -33,15 +33,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors. Its rows are counted as they are
+    written (row_count)."""
+    path, seen = new_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["row_count"] = seen.get["rows"]
+    return out
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a written table, known without a job; of any other data by counting."""
+    known = df.__dict__.get("row_count")
+    return df.count() if known is None else known
 
 
 def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """side with a broadcast hint if a count shows at most `rows` rows, else as it is; side should be a written table."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    """side with a broadcast hint if it has at most `rows` rows, else as it is; side should be a written table."""
+    known = side.__dict__.get("row_count")
+    known = side.limit(rows + 1).count() if known is None else known
+    return F.broadcast(side) if known <= rows else side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
