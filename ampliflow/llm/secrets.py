@@ -41,21 +41,34 @@ CHUNK_CHARS, KEPT_TOKENS = 2_000_000, 300_000
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PIECE = re.compile(r"[\x20\x09-\x0D]+|[\w+/-]+|.", re.S)
+#: A token and the space after it are one piece.
+_PIECE = re.compile(r"[\w+/-]+\x20?|[\x20\x09-\x0D]+|.", re.S)
 #: What a text with a base span surely holds, for the sample.
 MARKS = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}"
 
 
+#: Searches that are cheaper than the patterns and hold wherever they match: a keyword in lower case, a run of 24 hexadecimal digits.
+_KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_HEX_MARK = bytes(ord("h") if chr(c) in "0123456789abcdef" else 0 for c in range(256))
+_HEX_RUN = b"h" * 24
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret itself), sorted."""
-    out = [(m.start(), 0, m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out, low = [], text.lower()
+    if any(k in low for k in _KEYWORDS):
+        out += [(m.start(), 0, m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
-    out += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
+    if _HEX_RUN in text.encode("utf-8", "surrogatepass").translate(_HEX_MARK):
+        out += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
     return sorted(out)
 
 
 _CLASSES = {c: "0" if chr(c).isdigit() else "a" if chr(c).islower() else "A" if chr(c).isupper() else "-" for c in range(128)}
+_CLASS_BYTES = bytes(ord(_CLASSES.get(c, "x")) for c in range(256))
+#: For tokens with other letters, which become question marks: no such token has one itself.
+_OTHER_BYTES = _CLASS_BYTES[: ord("?")] + b"x" + _CLASS_BYTES[ord("?") + 1 :]
 _SPACE = frozenset("\x20\t\n\x0b\x0c\r")
 #: Where a token's word counts: for its own tag, and for those one, two, three places on and one place back.
 PLACES = 5
@@ -68,10 +81,7 @@ def _hash(*parts: object) -> int:
 def _key(token: str) -> tuple[str, int, bool]:
     """What the shape features depend on: few values for many tokens."""
     own = token[:64]
-    if own.isascii():
-        classes = own.translate(_CLASSES)
-    else:
-        classes = "".join(_CLASSES.get(ord(c), "x") for c in own)
+    classes = own.encode("ascii", "replace").translate(_CLASS_BYTES if own.isascii() else _OTHER_BYTES).decode()
     return classes, len(set(own)) * 4 // len(own), not own.strip("0123456789abcdef")
 
 
@@ -102,7 +112,8 @@ def file_features(n_tokens: int, n_digits: int, n_marks: int) -> list[int]:
 
 
 class Tokens:
-    """Numbers distinct pieces of texts and keeps what is known of each: length, kind, features. Number 0 is no token at all."""
+    """Numbers distinct pieces of texts and keeps what is known of each: its length (span), its token's length (size), kind, features.
+    Number 0 is no token at all."""
 
     def __init__(self):
         outer = self
@@ -115,28 +126,35 @@ class Tokens:
 
         self.numbers, self.fresh, self.shapes = Numbers(), [], {}
         self.shape_list: list[list[int]] = [[]]
-        self.size, self.space = np.zeros(1, np.int64), np.ones(1, bool)
+        self.span, self.size, self.space = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, bool)
         self.digit, self.mark = np.zeros(1, bool), np.zeros(1, bool)
         self.shape, self.word = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of a text and their starts."""
-        found = _PIECE.findall(text)
-        ids = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The tokens of each text and their starts. What is new in all of them is looked at together."""
+        pieces = []
+        for text in texts:
+            found = _PIECE.findall(text)
+            pieces.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)))
         if self.fresh:
             self._look()
-        size = self.size[ids]
-        keep = ~self.space[ids]
-        return ids[keep], (np.cumsum(size) - size)[keep]
+        out = []
+        for ids in pieces:
+            span = self.span[ids]
+            keep = ~self.space[ids]
+            out.append((ids[keep], (np.cumsum(span) - span)[keep]))
+        return out
 
     def _look(self) -> None:
-        new, self.fresh = self.fresh, []
+        pieces, self.fresh = self.fresh, []
+        new = [p.rstrip("\x20") or p for p in pieces]
         keys = [_key(t) for t in new]
         for k in keys:
             if k not in self.shapes:
                 self.shapes[k] = len(self.shape_list)
                 self.shape_list.append(_shape_features(*k))
         add = lambda a, b: np.concatenate([a, np.array(b, a.dtype)])
+        self.span = add(self.span, [len(p) for p in pieces])
         self.size = add(self.size, [len(t) for t in new])
         self.space = add(self.space, [t[0] in _SPACE for t in new])
         self.digit = add(self.digit, ["0" in k[0] for k in keys])
@@ -179,7 +197,7 @@ def train(texts: list[str], seed: int = 5) -> Model | None:
     """texts in a fixed order. Stretches around secrets, and some others, are the chains."""
     rng, chains, known = np.random.default_rng(seed), [], Tokens()
     for text in texts:
-        ids, starts = known.read(text)
+        [(ids, starts)] = known.read([text])
         if not len(ids):
             continue
         tags, file = _tags(starts, starts + known.size[ids], text), known.file(ids)
@@ -286,7 +304,7 @@ class Tagger:
         """For each text the tags, starts and ends of its tokens."""
         if len(self.known.numbers) > KEPT_TOKENS:
             self.forget()
-        read = [self.known.read(t) for t in texts]
+        read = self.known.read(texts)
         if len(self.known.size) > len(self.scores):
             self._look()
         gap, parts, begin, at = np.zeros(3, np.int64), [], [], 0
