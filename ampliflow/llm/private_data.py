@@ -1,16 +1,17 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal it.
 
-Emails, IP addresses, card and phone numbers are found by pattern; each distinct value is a protected entity. A term near a mention
-(within WINDOW words) co-occurs with the entity. With document counts over the whole corpus,
+Emails, IP addresses, card and phone numbers are found by pattern; each distinct value is a protected entity. A term co-occurs with
+the entities that its document mentions, wherever it stands there. With document counts over the whole corpus,
 
     IC(e) = log N / n(e)        PMI(t; e) = log N n(t, e) / (n(t) n(e))
 
-a term discloses the share PMI / IC of what the entity holds. From GENERALISE on it is replaced by its class near the entity, from
-REMOVE on it is removed. n(t, e) counts documents that have the term near the entity, n(t) those that have it anywhere; pairs seen in
-fewer than MIN_DOCS documents estimate nothing. Mentions themselves are replaced by their kind.
+a term discloses the share PMI / IC of what the entity holds. From GENERALISE on it is replaced by its class in all documents that
+mention the entity, from REMOVE on it is removed there. n(t, e) counts documents that have the term and mention the entity, n(t) those
+that have the term; pairs seen in fewer than MIN_DOCS documents estimate nothing, so the words of an entity in fewer aren't paired.
+Mentions themselves are replaced by their kind.
 
 Counts are made before each shuffle. Term counts are taken for terms that a fixed-size bit map lets through, and joined exactly. Keys
-that many documents share (an entity's common neighbours) are salted.
+that many documents share (an entity's common terms) are salted where they are shuffled.
 
 A row is a document. Nulls: a null text counts as empty; a null doc_id is kept. Repeated rows count as often as they occur and get
 equal results. Offsets are code points, ends exclusive. Empty input, empty output.
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small, table, written
+from .shared import BROADCAST_ROWS, row_count, small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
-WINDOW, MIN_DOCS, GENERALISE, REMOVE = 8, 3, 0.8, 0.95
+MIN_DOCS, GENERALISE, REMOVE = 3, 0.8, 0.95
 MAP_BITS, SALTS, KEPT_WORDS = 24, 16, 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,41 +97,38 @@ def term_of(word: str) -> str:
     return word.strip(_EDGES).lower()
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near mentions that aren't part of one."""
+def words_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that aren't part of a mention."""
     words = [m.span() for m in _WORD.finditer(text)]
     starts = np.array([i for i, _ in words])
     taken = set()
     for _, i, j in spans:
         taken.update(range(max(0, int(np.searchsorted(starts, i, "right")) - 1), int(np.searchsorted(starts, j))))
     out = []
-    for kind, i, j in spans:
-        name = entity(kind, text[i:j])
-        low, high = int(np.searchsorted(starts, i, "right")) - 1, int(np.searchsorted(starts, j))
-        for k in [*range(max(0, low - window), low), *range(high, min(len(words), high + window))]:
-            if k not in taken:
-                a, b = words[k]
-                core = text[a:b].lstrip(_EDGES)
-                a, core = b - len(core), core.rstrip(_EDGES)
-                if core:
-                    out.append((name, core.lower(), a, a + len(core)))
+    for k, (a, b) in enumerate(words):
+        if k not in taken:
+            core = text[a:b].lstrip(_EDGES)
+            a, core = b - len(core), core.rstrip(_EDGES)
+            if core:
+                out.append((core.lower(), a, a + len(core)))
     return out
 
 
 _BASE = T.StructType().add("kind", T.IntegerType()).add("start", T.LongType()).add("end", T.LongType())
-_NEAR = T.StructType().add("entity", T.StringType()).add("term", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
-_FOUND = T.StructType().add("base", T.ArrayType(_BASE)).add("near", T.ArrayType(_NEAR))
+_WORDS = T.StructType().add("term", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
+_FOUND = T.StructType().add("base", T.ArrayType(_BASE)).add("entities", T.ArrayType(T.StringType())).add("words", T.ArrayType(_WORDS))
 
 
-def _found(window: int):  # noqa: ANN202
+def _found():  # noqa: ANN202
     from pyspark.sql.pandas.types import to_arrow_type
 
     def find(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.fill_null("").to_pylist():
             spans = base_spans(text)
-            near = neighbours(text, spans, window) if spans else []
-            out.append({"base": [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans], "near": [dict(zip(("entity", "term", "start", "end"), s, strict=True)) for s in near]})
+            words = words_of(text, spans) if spans else []
+            base = [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]
+            out.append({"base": base, "entities": sorted({entity(k, text[i:j]) for k, i, j in spans}), "words": [dict(zip(("term", "start", "end"), w, strict=True)) for w in words]})
         return pa.array(out, to_arrow_type(_FOUND))
 
     return F.arrow_udf(find, _FOUND)
@@ -179,34 +177,45 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """A written table of the terms that disclose entities: entity, term, share. found: a written table with near."""
-    pair = lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", pair))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
+    """A written table of the terms that disclose entities: entity, term, share. found: a written table with entities and words."""
+    n = row_count(found)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    entities = written(entities.where((F.col("entity_docs") >= min_docs) & (F.col("entity_docs") < n)), "pii-entities")
+    mentions = _mentions(found, entities, F.array_distinct("words.term"))
+    pairs = mentions.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = written(pairs.where(F.col("both") >= min_docs), "pii-pairs")
-    entities = found.select(F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
     terms = term_counts(docs, written(pairs.select("term").distinct(), "pii-terms"))
-    rows = pairs.join(entities, "entity").join(terms, "term").withColumn("n", F.lit(found.count()).cast("double"))
-    share = 1 - F.log(F.col("term_docs") / F.col("both")) / F.log(F.col("n") / F.col("entity_docs"))
-    rows = rows.where(F.col("entity_docs") < F.col("n")).withColumn("share", share).where(F.col("share") >= generalise)
-    return written(rows.select("entity", "term", "share"), "pii-disclosures")
+    rows = pairs.join(small(entities), "entity").join(terms, "term")
+    share = 1 - F.log(F.col("term_docs") / F.col("both")) / F.log(F.lit(float(n)) / F.col("entity_docs"))
+    return written(rows.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share"), "pii-disclosures")
 
 
-def find(docs: DataFrame, window: int = WINDOW, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
+def _mentions(found: DataFrame, entities: DataFrame, words: Column) -> DataFrame:
+    """row, entity, words: found's documents for each of the entities (a written table, distinct) they mention."""
+    asked = found.select("row", F.explode("entities").alias("entity")).join(small(entities), "entity").groupBy("row").agg(F.collect_list("entity").alias("asked"))
+    asked = written(asked, "pii-asked")
+    return found.select("row", words.alias("words")).join(small(asked), "row").select("row", F.explode("asked").alias("entity"), "words")
+
+
+def find(docs: DataFrame, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
     """A written table with a row for each row of docs (doc_id, text): doc_id, text_hash, base (array of kind, start, end) and
     terms (array of start, end, share), sorted."""
     text = docs["text"].cast("string")
-    rows = docs.select("doc_id", F.xxhash64(docs["text"]).alias("text_hash"), _found(window)(text).alias("f")).select("doc_id", "text_hash", "f.*")
-    found = written(rows, "pii-found")
+    rows = docs.select("doc_id", F.xxhash64(docs["text"]).alias("text_hash"), _found()(text).alias("f"))
+    found = written(rows.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "f.*"), "pii-found")
     shares = disclosures(found, docs.select(text.alias("text")), generalise, min_docs)
-    salted = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*").distinct()
-    near = near.withColumn("salt", F.pmod(F.xxhash64("text_hash", "start"), F.lit(SALTS)).cast("int"))
-    marks = near.join(salted, ["entity", "term", "salt"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
-    marks = marks.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    near = _mentions(found, written(shares.select("entity").distinct(), "pii-disclosed"), F.col("words"))
+    near = near.select("row", "entity", F.explode("words").alias("w")).select("row", "entity", "w.*")
+    if row_count(shares) <= BROADCAST_ROWS:
+        near = near.join(F.broadcast(shares), ["entity", "term"])
+    else:
+        salted = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = near.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int")).join(salted, ["entity", "term", "salt"])
+    marks = near.groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    marks = marks.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     marks = written(marks, "pii-marks")
-    same = found["doc_id"].eqNullSafe(marks["_d"]) & (found["text_hash"] == marks["_h"])
     none = F.array().cast("array<struct<start:long,end:long,share:double>>")
-    return written(found.join(small(marks), same, "left").select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms")), "pii-spans")
+    return written(found.join(small(marks), "row", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", none).alias("terms")), "pii-spans")
 
 
 def generalised(term: str) -> str:

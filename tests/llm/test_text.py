@@ -96,6 +96,14 @@ def test_private_data(spark):
     assert private_data.find(docs_of(spark, [])).count() == 0
 
 
+def test_private_terms_far_from_the_mention(spark):
+    far = " ".join(["mill"] * 30)
+    rows = [(n, f"Zorbo {far} by Zorbo z@x.org {far} Quent {far} Zorbo") for n in range(4)] + [(100 + n, f"{far} by") for n in range(20)] + [(200, "Quent and Zorbo")]
+    clean = {r["doc_id"]: r["text"] for r in private_data.sanitise(docs_of(spark, rows)).collect()}
+    assert {clean[n] for n in range(4)} == {f"[NAME] {far} by [NAME] [EMAIL] {far} [NAME] {far} [NAME]"}
+    assert clean[100] == rows[4][1] and clean[200] == "Quent and Zorbo"
+
+
 def edits(pattern, text):
     row = [0] * (len(text) + 1)
     row = list(range(len(pattern) + 1))
