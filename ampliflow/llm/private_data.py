@@ -166,14 +166,15 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                counts.update({known[w] for w in set((text or "").split())})
+                counts.update({known[w] for w in set(_WORD.findall(text or ""))})
             if len(known) > KEPT_WORDS:
                 known.clear()
             counts.pop(None, None)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
-    return terms.join(counted, "term")
+    missing = F.raise_error(F.concat(F.lit("term without a count: "), F.col("term"))).cast("long")
+    return terms.join(counted, "term", "left").withColumn("term_docs", F.coalesce("term_docs", missing))
 
 
 def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -104,6 +104,13 @@ def test_private_terms_far_from_the_mention(spark):
     assert clean[100] == rows[4][1] and clean[200] == "Quent and Zorbo"
 
 
+def test_private_terms_with_other_spaces(spark):
+    rows = [(n, f"Nom\u00a0: Zorbo\u202fQuent\x1cX z@x.org {n}") for n in range(4)] + [(100 + n, "by the mill") for n in range(20)]
+    found = {r["doc_id"]: r for r in private_data.find(docs_of(spark, rows)).collect()}
+    text = rows[0][1]
+    assert [text[t["start"] : t["end"]] for t in found[0]["terms"]] == ["Nom\u00a0", "Zorbo\u202fQuent\x1cX"] and not found[100]["terms"]
+
+
 def edits(pattern, text):
     row = [0] * (len(text) + 1)
     row = list(range(len(pattern) + 1))
