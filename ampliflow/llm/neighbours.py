@@ -5,9 +5,10 @@ cells floor((a . v + b) / w) with Gaussian a; a bucket is a tuple of cells. A qu
 differ by one step in some places, in the order of estimated success: least sum of squared distances to the borders crossed first.
 Candidates of all tables are merged and the nearest reranked by their exact cosine in double precision.
 
-M follows the logarithm of the number of vectors; the width w and the number of probes are fitted to a sample of at most SAMPLE
-vectors and SAMPLE_QUERIES queries, so that RECALL of the sample's own neighbours are found (those of all vectors are nearer, and so
-found more often). Every vector is indexed.
+M follows the logarithm of the number of vectors as far as MOST_PROBES probes of a table allow; M, the width w and the number of
+probes are fitted to a sample of at most SAMPLE vectors and SAMPLE_QUERIES queries, so that RECALL of the sample's own neighbours are
+found (those of all vectors are nearer, and so found more often); where no M does, w grows. Every vector is indexed. Queries whose
+buckets hold fewer than k other rows are compared with all rows, in the same blocks.
 
 Equal vectors: only the k + 1 with the least ids can be among anyone's k nearest, so the others leave before anything is hashed, and
 equal queries are one. Members of a table meet its queries in blocks of at most about MEMBERS and QUERIES rows, whatever the size of
@@ -19,7 +20,6 @@ most. Repeated rows are rows of their own: a query's own row is the one that is
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small, table, written
+from .shared import row_count, small, table, written
 
 TABLES, RECALL, SAMPLE, SAMPLE_QUERIES, MOST_PROBES = 8, 0.95, 20_000, 100, 2048
-MEMBERS, QUERIES, SEED = 16_384, 1_024, 7
+MEMBERS, QUERIES, SEED, LEAST_M = 16_384, 1_024, 7, 4
 
 
 @dataclass
@@ -66,31 +66,19 @@ def keys(cells: np.ndarray) -> np.ndarray:
 
 def probe_steps(inside: np.ndarray, probes: int) -> np.ndarray:
     """The first `probes` tuples of steps (-1, 0, 1 in each place), least sum of squared border distances first."""
-    m = len(inside)
-    cost = np.concatenate([inside**2, (1 - inside) ** 2])
-    order = np.argsort(cost, kind="stable")
-    cost = cost[order]
-    out = [np.zeros(m, np.int8)]
-    heap = [(cost[0], (0,))]
-    while heap and len(out) < probes:
-        score, chosen = heapq.heappop(heap)
-        last = chosen[-1]
-        if last + 1 < 2 * m:
-            heapq.heappush(heap, (score - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
-            heapq.heappush(heap, (score + cost[last + 1], (*chosen, last + 1)))
-        places = [order[i] % m for i in chosen]
-        if len(set(places)) == len(places):  # a place can't step both ways
-            steps = np.zeros(m, np.int8)
-            for i in chosen:
-                steps[order[i] % m] = -1 if order[i] < m else 1
-            out.append(steps)
-    return np.array(out)
+    # A first tuple's places up to any one are among the first of these places, so no more are kept.
+    cost, steps = np.zeros(1), np.zeros((1, 0), np.int8)
+    for x in inside:
+        cost = np.concatenate([cost, cost + x**2, cost + (1 - x) ** 2])
+        first = np.argsort(cost, kind="stable")[:probes]
+        step = np.repeat(np.array([0, -1, 1], np.int8), len(steps))
+        cost, steps = cost[first], np.column_stack([np.tile(steps, (3, 1)), step])[first]
+    return steps
 
 
 def fit(sample: np.ndarray, queries: np.ndarray, n: int, k: int) -> Index:
     """sample, queries: unit vectors; n: how many there are in all."""
-    rng = np.random.default_rng(SEED)
-    m = int(np.clip(round(math.log2(max(n, 2))) - 5, 4, 16))
+    most = int(np.clip(round(math.log2(max(n, 2))) - 5, LEAST_M, 16))
     cosine = queries @ sample.T
     cosine[cosine > 1 - 1e-9] = -2  # a query's own row, and its copies
     nearest = np.argsort(-cosine, axis=1)[:, :k]
@@ -98,18 +86,32 @@ def fit(sample: np.ndarray, queries: np.ndarray, n: int, k: int) -> Index:
     ok = near > -2
     far = np.median(np.sqrt(np.maximum(0, 2 - 2 * near[ok]))) if ok.any() else 1.0
     width = 1.86 * max(far, 1e-3)
-    index = Index(rng.normal(size=(sample.shape[1], TABLES * m)), rng.uniform(0, width, TABLES * m), m, width, MOST_PROBES)
+    # With LEAST_M all buckets one step away are visited, so that a width does at last.
+    for m, wider in [*((m, 1.0) for m in range(most, LEAST_M - 1, -1)), *((LEAST_M, 1.5**i) for i in range(1, 40))]:
+        rng, w = np.random.default_rng(SEED), width * wider
+        index = Index(rng.normal(size=(sample.shape[1], TABLES * m)), rng.uniform(0, w, TABLES * m), m, w, MOST_PROBES)
+        if not ok.any():
+            return index
+        needed = int(np.quantile(_ranks(index, sample, queries, nearest)[ok], RECALL, method="higher")) + 1
+        if needed <= MOST_PROBES:
+            index.probes = needed
+            return index
+    raise RuntimeError(f"{MOST_PROBES} probes of {TABLES} tables don't find {RECALL} of the sample's neighbours")
+
+
+def _ranks(index: Index, sample: np.ndarray, queries: np.ndarray, nearest: np.ndarray) -> np.ndarray:
+    """By how many probes before it each of the nearest (rows of sample by query) is found at first; MOST_PROBES if it isn't."""
     of_sample, (of_queries, inside) = index.cells(sample)[0], index.cells(queries)
-    ranks = np.full(nearest.shape, MOST_PROBES)
+    ranks, code = np.full(nearest.shape, MOST_PROBES), 3 ** np.arange(index.m)
     for q in range(len(queries)):
-        for t in range(TABLES):
-            at = {s.tobytes(): r for r, s in enumerate(probe_steps(inside[q, t], MOST_PROBES))}
-            for j in range(nearest.shape[1]):
-                steps = of_sample[nearest[q, j], t] - of_queries[q, t]
-                if np.abs(steps).max() <= 1:
-                    ranks[q, j] = min(ranks[q, j], at.get(steps.astype(np.int8).tobytes(), MOST_PROBES))
-    index.probes = int(min(MOST_PROBES, np.quantile(ranks[ok], RECALL, method="higher") + 1)) if ok.any() else MOST_PROBES
-    return index
+        for t in range(inside.shape[1]):
+            steps = of_sample[nearest[q], t] - of_queries[q, t]
+            close = np.abs(steps).max(1) <= 1
+            if close.any():
+                visited = probe_steps(inside[q, t], MOST_PROBES) @ code
+                at = visited == (steps @ code)[:, None]
+                ranks[q] = np.where(close & at.any(1), np.minimum(ranks[q], at.argmax(1)), ranks[q])
+    return ranks
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -172,6 +174,20 @@ def _best(best: int):  # noqa: ANN202
     return block
 
 
+def _found(placed: DataFrame, probes: DataFrame, tables: int, best: int, members: int, asked: int) -> DataFrame:
+    """The best of each table and block for each query: q, vec_id, v, near. placed: as of _hashed; probes: as of _probed."""
+    n_members, n_queries = math.ceil(placed.count() / tables / members), math.ceil(max(1, probes.count()) / tables / asked)
+    # A bucket's rows stay together where they can: blocks follow the bucket's hash, and large buckets spread by id.
+    large = placed.groupBy("table", "bucket").count().where(F.col("count") > members // 8).select("table", "bucket", F.lit(True).alias("large"))
+    spread = placed.join(small(written(large, "nn-large")), ["table", "bucket"], "left")
+    block = F.when(F.col("large"), F.xxhash64("bucket", "id", "v")).otherwise(F.xxhash64("bucket"))
+    spread = spread.withColumn("block", F.pmod(block, F.lit(n_members))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).drop("large")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_members - 1).cast("long")))
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).select("*", every.alias("block"))
+    cogroup = spread.groupBy("table", "block", "part").cogroup(probes.groupBy("table", "block", "part"))
+    return cogroup.applyInPandas(_best(best), "q long, vec_id long, v array<double>, near double")
+
+
 def _cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -200,18 +216,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, members: int = M
 
     # Equal vectors may have the same least id as others' ids repeat: number them.
     unique = written(unique.select(F.monotonically_increasing_id().alias("id"), "v"), "nn-numbered")
-    placed, probes = written(_hashed(rows, index), "nn-placed"), written(_probed(unique, index), "nn-probes")
-    n_members, n_queries = math.ceil(placed.count() / TABLES / members), math.ceil(max(1, probes.count()) / TABLES / asked)
-    # A bucket's rows stay together where they can: blocks follow the bucket's hash, and large buckets spread by id.
-    large = placed.groupBy("table", "bucket").count().where(F.col("count") > members // 8).select("table", "bucket", F.lit(True).alias("large"))
-    spread = placed.join(small(written(large, "nn-large")), ["table", "bucket"], "left")
-    block = F.when(F.col("large"), F.xxhash64("bucket", "id", "v")).otherwise(F.xxhash64("bucket"))
-    spread = spread.withColumn("block", F.pmod(block, F.lit(n_members))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).drop("large")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_members - 1).cast("long")))
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).select("*", every.alias("block"))
-    cogroup = spread.groupBy("table", "block", "part").cogroup(probes.groupBy("table", "block", "part"))
     best = 2 * (k + 1)
-    found = cogroup.applyInPandas(_best(best), "q long, vec_id long, v array<double>, near double")
+    placed, probes = written(_hashed(rows, index), "nn-placed"), written(_probed(unique, index), "nn-probes")
+    found = written(_found(placed, probes, TABLES, best, members, asked), "nn-near")
+    # A query's own row may be among those found, so k + 1 are enough.
+    enough = found.groupBy("q", "vec_id", "v").count().groupBy("q").count().where(F.col("count") > k).select(F.col("q").alias("id"))
+    sparse = written(unique.join(enough, "id", "left_anti"), "nn-sparse")
+    if row_count(sparse):
+        one = lambda d, bucket: d.select(F.lit(0).alias("table"), bucket, "id", "v")
+        everything = _found(one(rows, F.lit(0).cast("long").alias("bucket")), one(sparse, F.array(F.lit(0).cast("long")).alias("buckets")), 1, best, members, asked)
+        found = found.join(small(sparse).select(F.col("id").alias("q")), "q", "left_anti").union(everything)
     near = W.partitionBy("q").orderBy(F.desc(F.round("near", 12)), "vec_id", "v")
     # A candidate of several tables counts once, but repeated rows keep their number, which is the same in every table.
     found = found.groupBy("q", "vec_id", "v").agg(F.max("near").alias("near")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= best)

@@ -41,3 +41,34 @@ def test_probes_come_in_order():
     steps = neighbours.probe_steps(inside, 27)
     cost = [sum((inside[i] if s < 0 else 1 - inside[i]) ** 2 for i, s in enumerate(row) if s) for row in steps]
     assert cost == sorted(cost) and len({tuple(s) for s in steps}) == 27
+
+
+def test_recall_holds_where_probes_are_capped():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = neighbours.fit(x[:2000], x[:60], 2_000_000, 5)
+    held = x[2000:2060]
+    cosine = held @ x.T
+    cosine[cosine > 1 - 1e-9] = -2
+    near = np.argsort(-cosine, axis=1)[:, :5]
+    cells, (own, inside) = index.cells(x)[0], index.cells(held)
+    hit = np.zeros(near.shape, bool)
+    for q in range(len(held)):
+        for t in range(neighbours.TABLES):
+            visited = neighbours.keys(own[q, t] + neighbours.probe_steps(inside[q, t], index.probes))
+            hit[q] |= np.isin(neighbours.keys(cells[near[q], t]), visited)
+    assert hit.mean() >= 0.9
+
+
+def test_queries_in_sparse_regions_get_k_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(n, [float(v) for v in np.float32(np.eye(16)[0] + rng.normal(size=16) * 0.01)]) for n in range(400)]
+    rows += [(1000 + n, [float(v) for v in -np.eye(16)[n + 1]]) for n in range(3)]  # far from all others
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in neighbours.nearest(vectors, vectors.where("vec_id >= 1000 OR vec_id < 200")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(rows, range(400, 403), 5)
+    assert all(len(v) == 5 for v in got.values()) and len(got) == 203
+    assert {n: got[n] for n in want} == want
