@@ -4,18 +4,26 @@ Each document's set of shingles (runs of `width` words, hashed to 63 bits) is re
 from then on; classes are linked if their Jaccard similarity is at least percent / 100, and documents with linked classes are near
 duplicates, also through others.
 
-A link means that of the k least hashes of the union at least `need` are in both sketches: need lies five standard deviations under
-the mean for the threshold, where a link is missed once in a million. Two sketches with so many values in common share one of the
-k - need + 1 that come first in any one order; the rarest come first here. So inverted lists of those values hold every candidate pair.
+A link means that of the k least hashes of the union at least `need` are in both sketches. Sketches with so many values in common share
+SHARED of the k - need + SHARED that come first in any one order; the rarest come first here. Inverted lists of those values hold every
+candidate pair. A value counts for a class only if another class of like size has it too; classes with too few such values leave.
 
-A list isn't expanded into pairs. First each member meets the list's pivot only, the class with the fewest values of its own. Links
-are estimated on the union's sketch, verified on the full sets, and joined to components. Then only classes of different components
-are left to compare: single classes with each other (each pair at the first value that both have), and members of the smaller
-component with blocks of the larger one, where the first link ends a member's search.
+A list isn't expanded into pairs. Its pivot, the class with the most values, stands for it, and all lists of a pivot are one group, so
+that a pair with a list in common is in a group together. First each class meets its pivots only. The links found are joined to
+components, and a group of one component is done. In the groups that are left all members of different components are compared, in
+blocks of at most 2 * block classes at a time, whatever the size of the group. Of what is compared
+
+* classes whose first values overlap too little leave (rows carry those values only),
+* the others' whole sets are fetched; a pair is estimated on the union's sketch, and verified on the sets,
+* pairs that other links already join are passed over, so that a block returns fewer links than it has classes.
+
+Nowhere are pairs rows of a table, but for the links. A group whose members are mostly just under the threshold costs comparisons with
+the square of its members.
 
 Words are runs of other characters than white space, A-Z in lower case. A text with fewer words than `width` has its whole sequence
 as its one shingle. Nulls: a null or empty text has no shingle and no link; a null doc_id gives no component its name, and alone it
-has a null component. Rows are classed one by one, so repeated rows and repeated doc_ids need no care. Empty input, empty output.
+has a null component. Rows are classed one by one, so repeated rows and repeated doc_ids need no care; very long texts have longer sets
+and sketches of the same size. Only doc_id and text are read, so other columns can have any names. Empty input, empty output.
 """
 
 from __future__ import annotations
@@ -24,25 +32,31 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .shared import row_count, small, table, written
+from .shared import free, row_count, small, table, written
 
 WIDTH, PERCENT, K, BLOCK = 5, 80, 64, 256
-#: So many of their rarest values two classes of a list must share to be compared (a pair at the threshold shares them surely).
+#: So many of their rarest values two linked classes share (fewer if the sketch is short).
 SHARED = 8
-_PRIME, _KEPT_WORDS, _ROWS = np.uint64(0x9E3779B97F4A7C15), 300_000, 500
+#: Chance that a pair at the very threshold is missed; above it the chance falls fast.
+CHANCE = 2e-8
+#: Rounds in which values that no class of like size shares are left out.
+ROUNDS = 2
+_PRIME, _KEPT_WORDS, _ROWS, _PAIRS = np.uint64(0x9E3779B97F4A7C15), 300_000, 500, 8192
+_KEYS = ("p", "z", "i", "j")
 
 
 def needed(k: int, percent: int) -> int:
-    """Values of a union's sketch that a pair at the threshold has in common, but for five standard deviations."""
-    p = percent / 100
-    return max(1, math.floor(k * p - 5 * math.sqrt(k * p * (1 - p))))
+    """Values of a union's sketch that a pair at the threshold has in common, but for CHANCE."""
+    p, total, need = percent / 100, 0.0, 0
+    while need < k and (total := total + math.comb(k, need) * p**need * (1 - p) ** (k - need)) <= CHANCE:
+        need += 1
+    return max(1, need)
 
 
 class _Words(dict):
@@ -125,32 +139,48 @@ def _with_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(sets, schema)
 
 
-def _postings(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """For each class and each of its first values that another class has too: value, cid, n, own (values of its own), first (all these
-    values), check (some more) and few (so many of them any class that is linked has too)."""
+def _bucket(n: Column, percent: int) -> Column:
+    """Sizes of linked classes are in the same bucket or in two adjacent ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent * 1.01)).cast("int")
+
+
+def _first_values(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """A written table of the classes that can have links: cid, n, b (its bucket), few (so many of its values any linked class has too)
+    and values, the rarest of those that others have."""
     need, p = needed(k, percent), percent / 100
     values = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").cast("int").alias("times")).where(F.col("times") > 1)
     # A class's own values come first in its order; only their number matters.
     ranked = values.join(shared, "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
-    ranked = ranked.withColumn("size", F.least("n", F.lit(k))).withColumn("own", F.col("size") - F.size("shared"))
+    size = F.least("n", F.lit(k))
+    own = size - F.size("shared")
     full = F.ceil(F.col("n") * F.lit(percent) / 100)
     least = F.when(F.col("n") < k * p, full).otherwise(F.least(full, F.lit(need)))
-    first = F.slice("shared.value", 1, F.greatest(F.lit(0), F.col("size") - least + 1 - F.col("own")).cast("int"))
-    # A pair with `least` values in common has the first few of them in the first size - least + few of each.
-    more = F.slice("shared.value", 1, F.greatest(F.lit(0), F.col("size") - least + F.least(F.lit(SHARED), least) - F.col("own")).cast("int"))
-    ranked = ranked.select("cid", "n", "own", F.least(F.lit(SHARED), least).cast("int").alias("few"), F.array_sort(first).alias("first"), F.array_sort(more).alias("check"))
-    return ranked.select("*", F.explode("first").alias("value"))
+    few = F.least(F.lit(SHARED), least).cast("int")
+    first = F.slice("shared.value", 1, F.greatest(F.lit(0), size - least + few - own).cast("int"))
+    rows = ranked.select("cid", "n", _bucket(F.col("n"), percent).alias("b"), few.alias("few"), first.alias("values"))
+    rows = written(rows.where(F.size("values") >= F.col("few")), "near-values")
+    for _ in range(ROUNDS):
+        one = rows.select("cid", "n", "b", "few", F.explode("values").alias("value"))
+        counts = one.groupBy("value", "b").count()
+        around = counts.select("value", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "count").groupBy("value", "b").agg(F.sum("count").alias("like"))
+        rows = one.join(around.where(F.col("like") > 1).drop("like"), ["value", "b"]).groupBy("cid", "n", "b", "few").agg(F.collect_list("value").alias("values"))
+        rows = written(rows.where(F.size("values") >= F.col("few")), "near-values")
+    return rows
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """A written table of the groups' members: p (the pivot), z, cid, b. A group's pairs are those whose larger bucket is z."""
+    lists = rows.select("cid", "b", (-F.size("values")).alias("less"), F.explode("values").alias("value")).select("*", F.explode(F.array("b", F.col("b") + 1)).alias("z"))
+    heads = lists.groupBy("value", "z").agg(F.min(F.struct("less", "cid"))["cid"].alias("p"), F.count("*").alias("members"), F.max("b").alias("top"))
+    heads = heads.where((F.col("members") > 1) & (F.col("top") == F.col("z"))).select("value", "z", "p")
+    return written(lists.join(heads, ["value", "z"]).select("p", F.col("z").cast("long").alias("z"), "cid", "b").distinct(), "near-groups")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-
-
 def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The whole sets of classes, from the text of one document of each, as a written table: cid, n, shingles."""
     used = cids.join(classes.select("cid", "n", "rep"), "cid").select("cid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.text_hash").alias("h"))
@@ -161,128 +191,174 @@ def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -
     return sets if not twice else written(sets.dropDuplicates(["cid"]), "near-sets")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Of a written table of pairs (g, a, b) those that are linked, as a written table: estimated on the union's sketch, then on the sets.
-
-    Pairs of one g share their classes, so they are verified together: a set goes to the bundles that have pairs with it, not to each
-    pair. A large g spreads over several bundles by its classes, small ones share a bundle; all bundles are of about the same size."""
-    members = pairs.select("g", F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sizes = written(members.groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("classes")), "near-groups")
-    n_bundles = max(1, -(-(sizes.agg(F.sum("classes")).first()[0] or 0) // (2 * block)))
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    placed = pairs.join(small(sizes), "g").select(F.pmod(F.xxhash64("g", part("a"), part("b")), F.lit(n_bundles)).alias("bundle"), "a", "b").distinct()
-    placed = written(placed, "near-bundles")
-    shipped = placed.select(F.col("bundle").alias("home"), F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid", "shingles"), "cid")
-    need = needed(k, percent)
-
-    def verify(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(members["cid"], members["shingles"], strict=True))
-        out = []
-        for a, b in zip(rows["a"], rows["b"], strict=True):
-            x, y = own[a], own[b]
-            sketch = np.union1d(x[:k], y[:k])[:k]
-            common = np.intersect1d(x[:k], y[:k], assume_unique=True)
-            if (common <= sketch[-1]).sum() >= min(need, -(-len(sketch) * percent // 100)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * 100 >= (len(x) + len(y) - both) * percent:
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    found = placed.groupBy("bundle").cogroup(shipped.groupBy("home")).applyInPandas(verify, "a long, b long")
-    return written(found.distinct(), "near-links")
-
-
-def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each class of a list with the list's pivot."""
-    pivots = postings.groupBy("value").agg(F.min(F.struct("own", "cid", "n", "few", "check")).alias("p"), F.count("*").alias("members")).where(F.col("members") > 1)
-    rows = postings.join(pivots.select("value", "p.cid", "p.n", "p.few", "p.check").toDF("value", "p", "p_n", "p_few", "p_check"), "value")
-    rows = rows.where((F.col("cid") != F.col("p")) & _sizes_fit(F.col("n"), F.col("p_n"), percent))
-    rows = rows.where(F.size(F.array_intersect("check", "p_check")) >= F.least("few", "p_few"))
-    return rows.select(F.col("p").alias("g"), F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
-
-
-def _single_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of single classes of a list, each at the first value that both have."""
-    names = ("cid", "n", "first", "few", "check")
-    one = lists.where(F.col("members") == 1).select("value", *names)
-    x, y = (one.select("value", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "xy")
-    at = (F.col("cid_x") < F.col("cid_y")) & _sizes_fit(F.col("n_x"), F.col("n_y"), percent)
-    at = at & (F.array_min(F.array_intersect("first_x", "first_y")) == x["value"])
-    at = at & (F.size(F.array_intersect("check_x", "check_y")) >= F.least("few_x", "few_y"))
-    return x.join(y, (x["value"] == y["value"]) & at).select(x["value"].alias("g"), F.col("cid_x").alias("a"), F.col("cid_y").alias("b"))
-
-
-def _blocks(lists: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """Members of components that share a list, of which one at least has several members, in blocks of the larger one (member) and of
-    all that ask it: target, bx, by, cid, own, member. lists: value, cid, label, members."""
-    comps = lists.select("value", "label", "members").distinct()
-    x, y = (comps.select("value", F.col("label").alias(f"label_{s}"), F.col("members").alias(f"members_{s}")) for s in "xy")
-    # x is the larger one; its list meets the smaller ones there.
-    larger = F.struct("members_x", "label_x") > F.struct("members_y", "label_y")
-    pairs = x.where(F.col("members_x") > 1).join(y, "value").where(larger)
-    pairs = written(pairs.select("label_x", "members_x", "label_y").distinct(), "near-component-pairs")
-    of = labels.select("cid", "label")
-    targets = pairs.select(F.col("label_x").alias("label"), F.ceil(F.col("members_x") / block).alias("x_blocks")).distinct()
-    asked = pairs.join(of.withColumnRenamed("label", "label_y"), "label_y").select(F.col("label_x").alias("target"), "cid", F.col("label_y").alias("own"), F.ceil(F.col("members_x") / block).alias("x_blocks"))
-    counts = asked.groupBy("target").agg(F.ceil(F.count("*") / block).alias("y_blocks"))
-    side = lambda n: F.pmod(F.xxhash64("cid"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = of.join(targets, "label").join(counts.withColumnRenamed("target", "label"), "label")
-    left = left.select(F.col("label").alias("target"), side(F.col("x_blocks")).alias("bx"), every(F.col("y_blocks")).alias("by"), "cid", F.col("label").alias("own"), F.lit(True).alias("member"))
-    right = asked.join(counts, "target")
-    right = right.select("target", every(F.col("x_blocks")).alias("bx"), side(F.col("y_blocks")).alias("by"), "cid", "own", F.lit(False).alias("member"))
-    return written(left.unionByName(right), "near-blocks")
-
-
-def _block_links(blocks: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """A link, if there is one, of each asking class to the members of each block."""
-    rows, need = blocks.join(sets.select("cid", "shingles"), "cid"), needed(k, percent)
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        members, others = rows[rows["member"]], rows[~rows["member"]]
-        size = members["shingles"].map(len).to_numpy()
-        cids, sets = members["cid"].to_numpy(), list(members["shingles"])
-        values, place = np.unique(np.concatenate([s[:k] for s in sets]), return_inverse=True) if len(sets) else (np.empty(0), np.empty(0))
-        owner = np.repeat(np.arange(len(sets)), [min(k, len(s)) for s in sets]) if len(sets) else np.empty(0)
-        table = np.zeros((len(sets), len(values)), bool)
-        table[owner, place] = True
-        out = []
-        for cid, own in zip(others["cid"], others["shingles"], strict=True):
-            common = table[:, np.isin(values, own[:k], assume_unique=True)].sum(1)
-            full = np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * percent
-            least = np.minimum(need, np.ceil(np.minimum(np.minimum(size, k), min(len(own), k)) * percent / 100))
-            for i in np.argsort(-common, kind="stable"):
-                if common[i] < least.min():
-                    break
-                if full[i] and common[i] >= least[i]:
-                    both = len(np.intersect1d(sets[i], own, assume_unique=True))
-                    if both * 100 >= (size[i] + len(own) - both) * percent:
-                        out.append((min(cids[i], cid), max(cids[i], cid)))
-                        break
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return written(rows.groupBy("target", "bx", "by").applyInPandas(link, "a long, b long"), "near-block-links")
+def _star_blocks(groups: DataFrame, rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Each class with its pivots, so many to a block: p, z (-1), i, j, side (0: the pivot, 1: the others), cid, label."""
+    sizes = rows.select("cid", "n")
+    pairs = groups.select("p", "cid").where(F.col("p") != F.col("cid")).distinct()
+    pairs = pairs.join(sizes, "cid").join(sizes.select(F.col("cid").alias("p"), F.col("n").alias("p_n")), "p")
+    pairs = written(pairs.where(_sizes_fit(F.col("n"), F.col("p_n"), percent)).select("p", "cid"), "near-stars")
+    large = written(pairs.groupBy("p").count().where(F.col("count") > block).select("p", F.ceil(F.col("count") / block).alias("blocks")), "near-large")
+    placed = pairs.join(small(large), "p", "left").select("p", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).alias("i"), F.lit(1).alias("side"), "cid")
+    pivots = placed.select("p", "i").distinct().select("p", "i", F.lit(0).alias("side"), F.col("p").alias("cid"))
+    return placed.union(pivots).select("p", F.lit(-1).cast("long").alias("z"), "i", F.lit(0).cast("long").alias("j"), "side", "cid", F.col("cid").alias("label"))
+
+
+def _rest_blocks(groups: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """The groups that aren't done, without their pivots, in pairs of blocks: p, z, i, j, side (0, 1, or 2 for both), cid, label."""
+    rest = groups.where(F.col("p") != F.col("cid")).join(small(labels), "cid", "left").select("p", "z", "cid", "b", F.coalesce("label", "cid").alias("label"))
+    rest = written(rest, "near-rest")
+    open_ = rest.groupBy("p", "z").agg(F.count("*").alias("count"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("b").alias("top"))
+    open_ = open_.where((F.col("low") != F.col("high")) & (F.col("top") == F.col("z"))).select("p", "z", F.ceil(F.col("count") / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    rest = rest.join(open_, ["p", "z"]).select("p", "z", "cid", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    return rest.select("p", "z", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cid", "label")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by _KEYS (the first columns) as tables of whole groups, each with the places where its groups begin and end."""
+    rest = None
+    for batch in _small(batches):
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+        keys = np.stack([rows.column(c).to_numpy() for c in _KEYS])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        if len(cuts):
+            yield rows.slice(0, cuts[-1]), np.concatenate([[0], cuts])
+        rest = rows.slice(cuts[-1]) if len(cuts) else rows
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _arrays(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of arrays, and where each row's begin and end."""
+    own = column.combine_chunks()
+    own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+    ends = own.offsets.to_numpy()
+    return own.values.to_numpy(zero_copy_only=False), ends
+
+
+def _asked(rows: dict[str, np.ndarray], at: slice, percent: int) -> np.ndarray:
+    """Which pairs of a group's rows are to be compared (a symmetric matrix)."""
+    n, b, z, side, label = (rows[c][at] for c in ("n", "b", "z", "side", "label"))
+    fit = np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * percent
+    fit &= (side[:, None] != side) | (side == 2)
+    fit &= label[:, None] != label
+    return fit & ((z[0] < 0) | (np.maximum.outer(b, b) == z[0]))
+
+
+_COLUMNS = (*_KEYS, "side", "cid", "label", "n", "b")
+_PLACED = "p long, z long, i long, j long, side int, cid long, label long, n int, b int"
+
+
+def _likely(placed: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """A written table of the rows of blocks (as of _star_blocks) that share enough first values with another row they are to meet."""
+    brief = F.transform("values", lambda v: (v.bitwiseAND(F.lit((1 << 31) - 1))).cast("int")).alias("values")  # a clash of two only adds a pair
+    placed = placed.join(rows.select("cid", "n", "b", "few", brief), "cid").select(*_COLUMNS, "few", "values")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_, bounds in _by_group(batches):
+            own = {c: table_.column(c).to_numpy() for c in (*_COLUMNS, "few")}
+            values, ends = _arrays(table_.column("values"))
+            keep = np.zeros(table_.num_rows, bool)
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                at = slice(low, high)
+                ask = _asked(own, at, percent) if high - low > 1 else np.zeros((1, 1), bool)
+                if ask.any():
+                    few = own["few"][at]
+                    keep[at] = (ask & (_overlaps(values, ends[low : high + 1]) >= np.minimum.outer(few, few))).any(1)
+            if keep.any():
+                yield from table_.select(list(_COLUMNS)).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    dealt = placed.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return written(dealt.mapInArrow(pick, _PLACED), "near-likely")
+
+
+def _overlaps(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many values each two of the rows have in common."""
+    names, place, times = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+    row, out = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.zeros((len(ends) - 1,) * 2, np.float32)
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+    for first in range(0, int(number.max()) + 1, 4096):
+        has = (number >= first) & (number < first + 4096)
+        part = np.zeros((len(out), min(4096, len(names))), np.float32)
+        part[row[has], number[has] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _estimated(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, need: int, percent: int) -> np.ndarray:
+    """Which pairs (a, b: rows of padded sketches) have enough values of the union's sketch in common."""
+    k, out = sketches.shape[1], []
+    for first in range(0, len(a), _PAIRS):
+        x, y = a[first : first + _PAIRS], b[first : first + _PAIRS]
+        both = np.sort(np.concatenate([sketches[x], sketches[y]], 1), 1)
+        common = np.zeros(both.shape, bool)
+        common[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
+        # Padding is negative and stands first; distinct values are counted after it.
+        distinct = np.cumsum((both >= 0) & ~common, 1)
+        union = np.minimum(k, distinct[:, -1])
+        found = (common & (distinct <= k)).sum(1)
+        out.append(found >= np.minimum(need, -(-union * percent // 100)))
+    return np.concatenate(out) if out else np.zeros(0, bool)
+
+
+def _group_links(sets: list[np.ndarray], cids: np.ndarray, ask: np.ndarray, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a group that join what no other of them joins."""
+    sketches = np.full((len(sets), k), -1, np.int64)
+    for i, s in enumerate(sets):
+        sketches[i, : min(k, len(s))] = s[:k]
+    a, b = np.nonzero(np.triu(ask, 1))
+    good = _estimated(sketches, a, b, needed(k, percent), percent)
+    parent, out = list(range(len(sets))), []
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True):
+        if top(i) != top(j):
+            x, y = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if both * 100 >= (len(x) + len(y) - both) * percent:
+                parent[top(i)] = top(j)
+                out.append((min(cids[i], cids[j]), max(cids[i], cids[j])))
+    return out
+
+
+def _links(likely: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """A written table of links (a, b) that join all classes of these blocks that are linked."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_, bounds in _by_group(batches):
+            own = {c: table_.column(c).to_numpy() for c in _COLUMNS}
+            values, ends = _arrays(table_.column("shingles"))
+            out: list[tuple[int, int]] = []
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                at = slice(low, high)
+                if high - low > 1 and (ask := _asked(own, at, percent)).any():
+                    out += _group_links([values[ends[i] : ends[i + 1]] for i in range(low, high)], own["cid"][at], ask, k, percent)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
+
+    dealt = likely.join(sets.select("cid", "shingles"), "cid").select(*_COLUMNS, "shingles").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return written(dealt.mapInArrow(verify, "a long, b long"), "near-links")
 
 
 def _linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, k: int, block: int) -> DataFrame:
     """For each class that is linked: cid, label. classes: a written table; docs: doc_id, text_hash, text."""
-    postings = written(_postings(classes, k, percent), "near-postings")
-    pairs = written(_star_pairs(postings, percent), "near-stars")
-    sets = _sets_of(_members(pairs), classes, docs, width)
-    stars = _links(pairs, sets, k, percent, block)
-    node = lambda found: found.select(F.col("node").alias("cid"), "label")
-    first = node(connected(stars))
-    members = postings.select("cid").distinct().join(first, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    sizes = members.groupBy("label").agg(F.count("*").alias("members"))
-    labels = written(members.join(sizes, "label"), "near-labels")
-    lists = postings.join(labels, "cid")
-    mixed = lists.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("value")
-    lists = written(lists.join(mixed, "value", "left_semi"), "near-lists")
-    pairs, blocks = written(_single_pairs(lists, percent), "near-singles"), _blocks(lists, labels, block)
-    rest = _members(pairs).union(blocks.select("cid")).distinct().join(sets.select("cid"), "cid", "left_anti")
-    sets = sets.unionByName(_sets_of(rest, classes, docs, width))
-    more = _links(pairs, sets, k, percent, block).unionByName(_block_links(blocks, sets, k, percent))
-    return node(connected(stars.unionByName(more)))
+    rows = _first_values(classes, k, percent)
+    groups = _groups(rows)
+    likely = _likely(_star_blocks(groups, rows, percent, block), rows, percent)
+    sets = _sets_of(likely.select("cid").distinct(), classes, docs, width)
+    stars = _links(likely, sets, k, percent)
+    labels = connected(stars).select(F.col("node").alias("cid"), "label")
+    likely = _likely(_rest_blocks(groups, written(labels, "near-labels"), block), rows, percent)
+    more = likely.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti")
+    rest = _links(likely, sets.unionByName(_sets_of(more, classes, docs, width)), k, percent)
+    return connected(stars.unionByName(rest)).select(F.col("node").alias("cid"), "label")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -311,19 +387,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """One row of docs (doc_id, text and any others) for each group of near duplicates: that of its least doc_id, columns as they were.
-    Of several rows with that doc_id it is the one with the least hash of its text, of equal ones any."""
+    Of several rows with that doc_id it is the one with the least hash of its text, of equal ones any. Rows without shingles stay."""
     found = components(docs.select("doc_id", "text"), **options)
     # The row to keep of each group. Rows without shingles are no one's duplicates.
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    best = found.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1)
-    gone = found.join(best, "label").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))))
-    gone = small(written(gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "near-gone"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(docs["text"]))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_d"]) & (rows["_text_hash"] == gone["_h"]), "left_anti")
-    twice = found.where(F.col("label").isNotNull()).groupBy("doc_id", "text_hash").count().where(F.col("count") > 1).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-    twice = written(twice, "near-twice")
+    found = found.where(F.col("label").isNotNull())
+    best = found.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("rows")).where(F.col("rows") > 1)
+    gone = found.join(small(written(best, "near-best")), "label").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_hash").eqNullSafe(F.col("best.text_hash"))))
+    d, h = free(docs, "gone_doc"), free(docs, "gone_hash")
+    text_hash = F.xxhash64(docs["text"])
+    same = docs["doc_id"].eqNullSafe(F.col(d)) & (text_hash == F.col(h))
+    gone = small(written(gone.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "near-gone"))
+    rows = docs.join(gone, same, "left_anti")
+    twice = written(found.groupBy("doc_id", "text_hash").count().where(F.col("count") > 1).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)), "near-twice")
     if row_count(twice):
-        same = rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["_text_hash"] == F.col("_h"))
-        equal = rows.join(small(twice), same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-        rows = rows.join(small(twice), same, "left_anti").unionByName(equal)
-    return rows.drop("_text_hash")
+        again, key = small(twice), free(docs, "row_hash")
+        equal = rows.join(again, same, "left_semi").withColumn(key, text_hash).dropDuplicates(["doc_id", key]).drop(key)
+        rows = rows.join(again, same, "left_anti").unionByName(equal)
+    return rows
