@@ -377,7 +377,7 @@ def finder(model: Model | None):  # noqa: ANN201
 
     def find(texts: pa.Array) -> pa.Array:
         rows, out = texts.fill_null("").to_pylist(), []
-        for i, j in chunks(rows, CHUNK_CHARS):
+        for i, j in chunks(list(map(len, rows)), CHUNK_CHARS):
             out += [[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in all_spans(rows[i:j], model)]
         return pa.array(out, pa.list_(to_arrow_type(_SPAN)))
 

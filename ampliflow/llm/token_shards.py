@@ -13,10 +13,12 @@ Stripes can be read in parallel: each row holds its place in the shard, and wher
 one sum for each shard. Reading uses the shared folder through Spark only.
 
 Tokenising: the pre-tokeniser of byte-level BPE never joins two words over a single space or line feed, so a text is cut there, and
-each distinct piece is encoded once by the tokenizers library and then looked up (in a bounded table for each Python worker).
+each distinct piece is encoded once by the tokenizers library and then looked up (in a bounded table for each Python worker). Added
+tokens of the file (such as <|endoftext|>) that stand in a text become their ids, as the library has it.
 
-Nulls: a null text counts as empty and yields the end id alone; null doc_ids come first. Rows with equal doc_ids are ordered by text.
-Empty input: no rows.
+Nulls: a null text counts as empty and yields the end id alone; null doc_ids come first. Rows with equal doc_ids are ordered by a hash
+of their text and can fall into several shards; only equal rows can't be told apart and share one. A very long text is one row and one
+chunk of work. Only doc_id and text are read, so other columns can have any names. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,7 +40,9 @@ from .shared import new_path, small, table, written
 
 END_ID = 0
 #: Characters that are tokenised at a time, and pieces kept by a Python worker.
-CHUNK_CHARS, KEPT_PIECES = 2_000_000, 450_000
+CHUNK_CHARS, KEPT_PIECES, JOINED = 2_000_000, 450_000, 300
+#: Bytes of text to a shard, at most about.
+SHARD_BYTES = 256 << 20
 ORC = {
     "compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -61,7 +66,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings in a text that the library takes for tokens of their own, before any other rule.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncut = [a for a in self.added if not set(a).isdisjoint(" \n\0")]
         breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_feed = breaks[0] if len(breaks) == 1 else None
         self._start(_Numbers(), np.empty(0, np.int32), np.empty(0, np.int64))
@@ -74,97 +81,122 @@ class Encoder:
     def _evict(self) -> None:
         """Keeps the half of the pieces that was used most."""
         kept = np.sort(np.argsort(-self.used, kind="stable")[: KEPT_PIECES // 2])
-        names, size = list(self.numbers), self.size[kept]
+        names = list(self.numbers)
+        self._start(_Numbers((names[k], n) for n, k in enumerate(kept)), self._ids(kept), self.size[kept])
+
+    def _ids(self, pieces: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces, one after the other."""
+        size = self.size[pieces]
         ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(ends[-1])]
-        self._start(_Numbers((names[k], n) for n, k in enumerate(kept)), flat, size)
-
-    def _raw(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of pieces. A line feed between two other characters is a token of its own, so pieces without one are encoded many at a time."""
-        plain = [k for k, p in enumerate(pieces) if self.line_feed is not None and "\n" not in p and _PLAIN.match(p)]
-        out: list = [None] * len(pieces)
-        for i in range(0, len(plain), 300):
-            own = plain[i : i + 300]
-            ids = np.array(self.tokenizer.encode("\n".join(pieces[k] for k in own), add_special_tokens=False).ids, np.int32)
-            parts = np.split(ids, np.flatnonzero(ids == self.line_feed))
-            for n, (k, part) in enumerate(zip(own, parts, strict=True)):
-                out[k] = part[1:] if n else part
-        others = [k for k, x in enumerate(out) if x is None]
-        for k, got in zip(others, self.tokenizer.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False), strict=True):
-            out[k] = np.array(got.ids, np.int32)
-        return out
+        return self.flat[np.repeat(self.start[pieces] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _encoded(self, pieces: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has. A line feed between two other characters is a token of its
+        own, so plain pieces (without one, and without white space at their ends) are encoded many at a time."""
+        ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(pieces), JOINED):
+            own = pieces[i : i + JOINED]
+            if plain:
+                got = np.array(self.tokenizer.encode("\n".join(own), add_special_tokens=False).ids, np.int32)
+                breaks = np.flatnonzero(got == self.line_feed)
+                if len(breaks) != len(own) - 1:
+                    raise RuntimeError("this tokenizer doesn't keep line feeds apart")
+                ids.append(got[got != self.line_feed])
+                sizes.append(np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1)
+            else:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+                ids += [np.array(x, np.int32) for x in got]
+                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _append(self, at: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.size[at] = sizes
+        self.start[at] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self) -> None:
         """Gives the fresh pieces their ids. A single mark after a letter is always a token apart: such a piece is made of two others."""
         new, first = self.numbers.fresh, len(self.size)
-        made, k = {}, 0
+        plain, other, made, parts, k = [], [], [], [], 0
         while k < len(new):  # pieces that others are made of come in at the end
             piece = new[k]
             if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha():
-                made[k] = (self.numbers[piece[:-1]], self.numbers[piece[-1]])
+                made.append(first + k)
+                parts += [self.numbers[piece[:-1]], self.numbers[piece[-1]]]
+            elif self.line_feed is None or "\n" in piece or not _PLAIN.match(piece) or any(a in piece for a in self.added):
+                other.append(first + k)
+            else:
+                plain.append(first + k)
             k += 1
-        raw = [k for k in range(len(new)) if k not in made]
-        ids: list = [None] * len(new)
-        for k, got in zip(raw, self._raw([new[k] for k in raw]), strict=True):
-            ids[k] = got
-        known = lambda n: ids[n - first] if n >= first else self.flat[self.start[n] : self.start[n] + self.size[n]]
-        for k, (core, mark) in made.items():
-            ids[k] = np.concatenate([known(core), known(mark)])
-        size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-        used = np.concatenate([self.used, np.zeros(len(ids), np.int64)])
-        self.flat, self.size, self.used = np.concatenate([self.flat, *ids]), size, used
-        self.start = np.cumsum(size) - size
+        more = np.zeros(len(new), np.int64)
+        self.size, self.start, self.used = (np.concatenate([x, more]) for x in (self.size, self.start, self.used))
+        for at, one_by_one in ((plain, False), (other, True)):
+            self._append(at, *self._encoded([new[k - first] for k in at], not one_by_one))
+        parts = np.array(parts, np.int64)
+        self._append(made, self._ids(parts), self.size[parts].reshape(-1, 2).sum(1))
         self.numbers.fresh = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts in order (some may be empty), and how many each text has."""
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for added in self.uncut:
+            odd = pc.or_(odd, pc.match_substring(texts, added))
+        if pc.any(odd).as_py():
+            cut = [[t] if any(a in t for a in self.uncut) else cut_slowly(t) for t in texts.filter(odd).to_pylist()]
+            lists = _replaced(lists, odd, pa.array(cut, lists.type))
+        return lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if len(self.numbers) > KEPT_PIECES:
             self._evict()
-        pieces, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = cut(text)
-            pieces += own
-            counts[i] = len(own)
-        if not pieces:
+        pieces, counts = self._pieces(texts)
+        if not len(pieces):
             return np.empty(0, np.int32), counts
-        at = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        own = np.fromiter(map(self.numbers.__getitem__, names), np.int64, len(names))
         if self.numbers.fresh:
             self._learn()
+        at = own[np.asarray(coded.indices)]
         self.used += np.bincount(at, minlength=len(self.used))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(upto)
+        upto = np.concatenate([[0], np.cumsum(self.size[at])])[np.concatenate([[0], np.cumsum(counts)])]
+        return self._ids(at), np.diff(upto)
 
 
-def cut(text: str) -> list[str]:
-    """Pieces that the pre-tokeniser treats independently: it is cut before single spaces and around single line feeds, where these
-    stand between two other characters that aren't white space. Any other text stays whole at such places."""
-    if "\0" in text or _DOUBLE.search(text):
-        return _cut_slowly(text)
-    return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p]
+def _replaced(lists: pa.ListArray, where: pa.BooleanArray, other: pa.ListArray) -> pa.ListArray:
+    """lists with the rows of other in their order where `where` is true."""
+    mask = np.asarray(where)
+    at = np.arange(len(lists))
+    at[mask] = len(lists) + np.arange(int(mask.sum()))
+    return pa.concat_arrays([lists, other]).take(pa.array(at))
 
 
-_DOUBLE = re.compile(r"\s\s|\s$")
+#: White space as Unicode and the tokenizers have it, and more: texts with two in a row or one at the end are cut by cut_slowly.
+_SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\p{Z}]"
+_ODD = rf"\x00|{_SPACE}{_SPACE}|{_SPACE}\z"
 _PLAIN = re.compile(r" ?\S(.*\S)?\Z", re.S)
 _CUTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
-def _cut_slowly(text: str) -> list[str]:
+def cut_slowly(text: str) -> list[str]:
+    """Pieces that the pre-tokeniser treats independently: a text is cut before single spaces and around single line feeds, where these
+    stand between two other characters that aren't white space, and stays whole elsewhere."""
     return [p for p in _CUTS.split(text) if p]
 
 
-def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about so many characters; a longer text is alone."""
+def chunks(sizes: list[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many characters together; a longer text is alone."""
     begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > chars:
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
             yield begin, i
             begin, held = i, 0
-        held += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -196,9 +228,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, n_sha
         own = encoder(name or tokenizer_path())
         shard, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids_of, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
-            for i, j in chunks(texts):
-                ids, sizes = own.encode(texts[i:j])
+            ids_of, texts = batch.column(0), batch.column(1).fill_null("")
+            for i, j in chunks(pc.utf8_length(texts).to_pylist()):
+                ids, sizes = own.encode(texts.slice(i, j - i))
                 ends = np.cumsum(sizes)
                 tokens = np.insert(ids, ends, end_id).astype(np.int32)
                 sizes = sizes + 1
@@ -211,10 +243,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, n_sha
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     spark = docs.sparkSession
-    if n_shards is None:  # as many as Spark would shuffle to
-        n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(docs["doc_id"].cast(kind).alias("doc_id"), docs["text"].cast("string").alias("text")).repartitionByRange(n_shards, "doc_id")
-    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(encode, schema).write.options(**ORC).orc(path)
+    rows = docs.select(docs["doc_id"].cast(kind).alias("doc_id"), docs["text"].cast("string").alias("text"))
+    if n_shards is None:  # as many as Spark would shuffle to, more if these got too large
+        n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n_shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    dealt.select("doc_id", "text").mapInArrow(encode, schema).write.options(**ORC).orc(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from ampliflow.llm import leaks, private_data, quality, secrets, token_shards
 
@@ -18,11 +19,17 @@ def docs_of(spark, rows):
 ODD = [(5, None), (6, ""), (None, "a@b.cd x"), (7, "same"), (7, "same"), (8, "long " * 40_000)]
 
 
+def library():
+    return Tokenizer.from_file(token_shards.tokenizer_path())
+
+
 def test_encoder_equals_the_library():
     own, r = token_shards.Encoder(token_shards.tokenizer_path()), random.Random(1)
     parts = [" ", "  ", "\n", " a", "b", "Zé", "1", ".", "'s", "'", "!", "<|endoftext|>", "\t", "日本", " ", "\x1c", "\0", ", ", "word,"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    want = [e.ids for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    texts += ["first part <|endoftext|> second part", "<|endoftext|>", "a<|endoftext|>. b", "a \n<|endoftext|>\n b", ""]
+    want = [e.ids for e in library().encode_batch_fast(texts, add_special_tokens=False)]
+    assert 50256 in want[3000]
     for _ in range(2):
         ids, sizes = own.encode(texts)
         assert [len(w) for w in want] == list(sizes) and [x for w in want for x in w] == list(ids)
@@ -34,17 +41,17 @@ def test_eviction_keeps_results(monkeypatch):
     for n in range(20):
         texts = [f"piece{n} of number{i} and more" for i in range(20)]
         ids, _ = own.encode(texts)
-        assert list(ids) == [x for e in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids]
+        assert list(ids) == [x for e in library().encode_batch_fast(texts, add_special_tokens=False) for x in e.ids]
 
 
 def test_shards_round_trip(spark, tmp_path):
-    rows = ODD + [(n, f"text number {n}") for n in range(100, 140)]
+    rows = ODD + [(n, f"text number {n}") for n in range(100, 140)] + [(50, "one <|endoftext|> two")]
     path = str(tmp_path / "ids")
     token_shards.write_shards(docs_of(spark, rows), path, n_shards=3)
     out = token_shards.digest(token_shards.read_shards(spark, path)).collect()
-    own, want = token_shards.Encoder(token_shards.tokenizer_path()), []
+    own, want = library(), []
     for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
-        ids = [*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
         want.append((d, sum(w[2] for w in want), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
     token_shards.write_shards(docs_of(spark, []), str(tmp_path / "none"))
