@@ -11,10 +11,11 @@ found (those of all vectors are nearer, and so found more often); where no M doe
 buckets hold fewer than k other rows are compared with all rows, in the same blocks.
 
 Equal vectors: only the k + 1 with the least ids can be among anyone's k nearest, so the others leave before anything is hashed, and
-equal queries are one. Members of a table meet its queries in blocks of at most about MEMBERS and QUERIES rows, whatever the size of
-a bucket; a block returns the best few of each query.
+equal queries are one. Buckets are dealt out to blocks of about MEMBERS rows, and a query goes to the blocks of the buckets it visits.
+There its cosine is computed with the members of those buckets and no others, and the best few return. A block that holds a large
+bucket is split by id, and one that more than QUERIES queries visit is copied for every so many of them.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or vectors of another length than
+Only vec_id and embedding are read, so other columns can have any names. Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or vectors of another length than
 most. Repeated rows are rows of their own: a query's own row is the one that is left out. Empty input, empty output.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import row_count, small, table, written
 
 TABLES, RECALL, SAMPLE, SAMPLE_QUERIES, MOST_PROBES = 8, 0.95, 20_000, 100, 2048
-MEMBERS, QUERIES, SEED, LEAST_M = 16_384, 1_024, 7, 4
+MEMBERS, QUERIES, SEED, LEAST_M = 8_192, 1_024, 7, 4
 
 
 @dataclass
@@ -67,13 +68,13 @@ def keys(cells: np.ndarray) -> np.ndarray:
 def probe_steps(inside: np.ndarray, probes: int) -> np.ndarray:
     """The first `probes` tuples of steps (-1, 0, 1 in each place), least sum of squared border distances first."""
     # A first tuple's places up to any one are among the first of these places, so no more are kept.
-    cost, steps = np.zeros(1), np.zeros((1, 0), np.int8)
-    for x in inside:
-        cost = np.concatenate([cost, cost + x**2, cost + (1 - x) ** 2])
-        first = np.argsort(cost, kind="stable")[:probes]
-        step = np.repeat(np.array([0, -1, 1], np.int8), len(steps))
-        cost, steps = cost[first], np.column_stack([np.tile(steps, (3, 1)), step])[first]
-    return steps
+    cost, steps = np.zeros(1), np.zeros((1, len(inside)), np.int8)
+    for i, x in enumerate(inside):
+        ways = np.add.outer([0.0, x**2, (1 - x) ** 2], cost).ravel()
+        first = np.argpartition(ways, probes)[:probes] if len(ways) > probes else np.arange(len(ways))
+        cost, steps = ways[first], steps[first % len(cost)]
+        steps[:, i] = np.array([0, -1, 1], np.int8)[first // (len(ways) // 3)]
+    return steps[np.argsort(cost, kind="stable")]
 
 
 def fit(sample: np.ndarray, queries: np.ndarray, n: int, k: int) -> Index:
@@ -125,8 +126,12 @@ def _fine(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _hashed(rows: DataFrame, index: Index) -> DataFrame:
-    """rows: id, v. A row for each table: table, bucket, id, v."""
+def _bases(buckets: np.ndarray, blocks: int) -> np.ndarray:
+    return (buckets.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+
+
+def _hashed(rows: DataFrame, index: Index, blocks: int) -> DataFrame:
+    """rows: id, v. A row for each table: table, base (the bucket's block), bucket, id, v."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,58 +139,73 @@ def _hashed(rows: DataFrame, index: Index) -> DataFrame:
                 continue
             x = _unit(batch.column(1).to_pylist())
             bucket = keys(index.cells(x)[0])
-            at = np.repeat(np.arange(len(x)), bucket.shape[1])
-            tables = np.tile(np.arange(bucket.shape[1], dtype=np.int32), len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(tables), pa.array(bucket.ravel()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["table", "bucket", "id", "v"])
+            at = pa.array(np.repeat(np.arange(len(x)), bucket.shape[1]))
+            tables, bucket = np.tile(np.arange(bucket.shape[1], dtype=np.int32), len(x)), bucket.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(tables), pa.array(_bases(bucket, blocks)), pa.array(bucket), batch.column(0).take(at), batch.column(1).take(at)], ["table", "base", "bucket", "id", "v"])
 
-    return rows.mapInArrow(place, "table int, bucket long, id long, v array<double>")
+    return rows.mapInArrow(place, "table int, base long, bucket long, id long, v array<double>")
 
 
-def _probed(rows: DataFrame, index: Index) -> DataFrame:
-    """rows: id, v. A row for each table: table, buckets (to visit), id, v."""
+def _probed(rows: DataFrame, index: Index, blocks: int) -> DataFrame:
+    """rows: id, v. A row for each table and block that is to be visited: table, base, buckets (to visit there), id, v."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 cells, inside = index.cells(_unit([batch.column(1)[i].as_py()]))
-                buckets = [keys(cells[0, t] + probe_steps(inside[0, t], index.probes)) for t in range(cells.shape[1])]
-                at = pa.array([i] * len(buckets))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(buckets), dtype=np.int32)), pa.array(buckets, pa.list_(pa.int64())), batch.column(0).take(at), batch.column(1).take(at)], ["table", "buckets", "id", "v"])
+                tables, bases, buckets = [], [], []
+                for t in range(cells.shape[1]):
+                    own = keys(cells[0, t] + probe_steps(inside[0, t], index.probes))
+                    base = _bases(own, blocks)
+                    order = np.argsort(base, kind="stable")
+                    names, first = np.unique(base[order], return_index=True)
+                    tables += [t] * len(names)
+                    bases += names.tolist()
+                    buckets += np.split(own[order], first[1:])
+                at = pa.array([i] * len(tables))
+                yield pa.RecordBatch.from_arrays([pa.array(tables, pa.int32()), pa.array(bases, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), batch.column(0).take(at), batch.column(1).take(at)], ["table", "base", "buckets", "id", "v"])
 
-    return rows.mapInArrow(place, "table int, buckets array<long>, id long, v array<double>")
+    return rows.mapInArrow(place, "table int, base long, buckets array<long>, id long, v array<double>")
 
 
 def _best(best: int):  # noqa: ANN202
     def block(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "vec_id": [], "v": [], "near": []}
         if len(members) and len(queries):
-            names, code = np.unique(members["bucket"].to_numpy(), return_inverse=True)
+            members = members.sort_values("bucket", kind="stable", ignore_index=True)
+            names, first = np.unique(members["bucket"].to_numpy(), return_index=True)
+            ends = np.append(first, len(members))
             x, ids = _unit(list(members["v"])), members["id"].to_numpy()
-            cosine = _unit(list(queries["v"])) @ x.T
-            for i, (q, buckets) in enumerate(zip(queries["id"], queries["buckets"], strict=True)):
-                at = np.flatnonzero(np.isin(names, buckets)[code])
-                if len(at) > best:
-                    near = cosine[i, at]
-                    at = at[near >= np.partition(near, -best)[-best] - 1e-12]
-                for j in at[np.lexsort((ids[at], -cosine[i, at].round(12)))[:best]]:
-                    out["q"].append(q), out["vec_id"].append(ids[j]), out["v"].append(members["v"].iloc[j]), out["near"].append(cosine[i, j])
+            asked = _unit(list(queries["v"]))
+            visits = [np.flatnonzero(np.isin(names, buckets)) for buckets in queries["buckets"]]
+            at, who = np.concatenate(visits), np.repeat(np.arange(len(visits)), [len(v) for v in visits])
+            order = np.argsort(at, kind="stable")
+            visited, begin = np.unique(at[order], return_index=True)
+            cosine = np.full((len(queries), len(members)), -2.0)  # of what isn't visited
+            for name, own in zip(visited.tolist(), np.split(who[order], begin[1:]), strict=True):
+                cosine[own, ends[name] : ends[name + 1]] = asked[own] @ x[ends[name] : ends[name + 1]].T
+            for i, q in enumerate(queries["id"]):
+                near = cosine[i]
+                hit = np.flatnonzero(near >= max(-1.5, np.partition(near, -best)[-best] - 1e-12 if len(near) > best else -1.5))
+                for j in hit[np.lexsort((ids[hit], -near[hit].round(12)))[:best]]:
+                    out["q"].append(q), out["vec_id"].append(ids[j]), out["v"].append(members["v"].iloc[j]), out["near"].append(near[j])
         return pd.DataFrame(out | {"v": pd.Series(out["v"], dtype=object)}).astype({"q": "int64", "vec_id": "int64", "near": "float64"})
 
     return block
 
 
-def _found(placed: DataFrame, probes: DataFrame, tables: int, best: int, members: int, asked: int) -> DataFrame:
+def _found(placed: DataFrame, probes: DataFrame, best: int, members: int, asked: int) -> DataFrame:
     """The best of each table and block for each query: q, vec_id, v, near. placed: as of _hashed; probes: as of _probed."""
-    n_members, n_queries = math.ceil(placed.count() / tables / members), math.ceil(max(1, probes.count()) / tables / asked)
-    # A bucket's rows stay together where they can: blocks follow the bucket's hash, and large buckets spread by id.
-    large = placed.groupBy("table", "bucket").count().where(F.col("count") > members // 8).select("table", "bucket", F.lit(True).alias("large"))
-    spread = placed.join(small(written(large, "nn-large")), ["table", "bucket"], "left")
-    block = F.when(F.col("large"), F.xxhash64("bucket", "id", "v")).otherwise(F.xxhash64("bucket"))
-    spread = spread.withColumn("block", F.pmod(block, F.lit(n_members))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).drop("large")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_members - 1).cast("long")))
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).select("*", every.alias("block"))
-    cogroup = spread.groupBy("table", "block", "part").cogroup(probes.groupBy("table", "block", "part"))
-    return cogroup.applyInPandas(_best(best), "q long, vec_id long, v array<double>, near double")
+    block = ["table", "base"]
+    rows, visits = (d.groupBy(*block).agg(F.count("*").alias(n)) for d, n in ((placed, "rows"), (probes, "visits")))
+    split = rows.join(visits, block).select(*block, F.ceil(F.col("rows") / (2 * members)).alias("subs"), F.ceil(F.col("visits") / asked).alias("parts"))
+    split = small(written(split, "nn-blocks"))
+    place = lambda n: F.pmod(F.xxhash64("id", "v"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = placed.join(split, block).select(*block, "bucket", "id", "v", place(F.col("subs")).alias("sub"), every(F.col("parts")).alias("part"))
+    right = probes.join(split, block).select(*block, "buckets", "id", "v", place(F.col("parts")).alias("part"), every(F.col("subs")).alias("sub"))
+    keys_ = [*block, "sub", "part"]
+    return left.groupBy(*keys_).cogroup(right.groupBy(*keys_)).applyInPandas(_best(best), "q long, vec_id long, v array<double>, near double")
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -217,14 +237,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, members: int = M
     # Equal vectors may have the same least id as others' ids repeat: number them.
     unique = written(unique.select(F.monotonically_increasing_id().alias("id"), "v"), "nn-numbered")
     best = 2 * (k + 1)
-    placed, probes = written(_hashed(rows, index), "nn-placed"), written(_probed(unique, index), "nn-probes")
-    found = written(_found(placed, probes, TABLES, best, members, asked), "nn-near")
+    blocks = -(-row_count(rows) // members)
+    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), row_count(unique) // 16))  # probing is the work of a query
+    placed, probes = written(_hashed(rows, index, blocks), "nn-placed"), written(_probed(unique.repartition(spread), index, blocks), "nn-probes")
+    found = written(_found(placed, probes, best, members, asked), "nn-near")
     # A query's own row may be among those found, so k + 1 are enough.
     enough = found.groupBy("q", "vec_id", "v").count().groupBy("q").count().where(F.col("count") > k).select(F.col("q").alias("id"))
     sparse = written(unique.join(enough, "id", "left_anti"), "nn-sparse")
     if row_count(sparse):
-        one = lambda d, bucket: d.select(F.lit(0).alias("table"), bucket, "id", "v")
-        everything = _found(one(rows, F.lit(0).cast("long").alias("bucket")), one(sparse, F.array(F.lit(0).cast("long")).alias("buckets")), 1, best, members, asked)
+        zero = F.lit(0).cast("long")
+        base, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long")))
+        whole = rows.select(F.lit(0).alias("table"), base.alias("base"), zero.alias("bucket"), "id", "v")
+        everything = _found(whole, sparse.select(F.lit(0).alias("table"), every.alias("base"), F.array(zero).alias("buckets"), "id", "v"), best, members, asked)
         found = found.join(small(sparse).select(F.col("id").alias("q")), "q", "left_anti").union(everything)
     near = W.partitionBy("q").orderBy(F.desc(F.round("near", 12)), "vec_id", "v")
     # A candidate of several tables counts once, but repeated rows keep their number, which is the same in every table.
