@@ -6,7 +6,7 @@ duplicates, also through others.
 
 A link means that of the k least hashes of the union at least `need` are in both sketches. Sketches with so many values in common share
 SHARED of the k - need + SHARED that come first in any one order; the rarest come first here. Inverted lists of those values hold every
-candidate pair. A value counts for a class only if another class of like size has it too; classes with too few such values leave.
+candidate pair. A value counts only if classes of like size have it; classes with too few such values leave.
 
 A list isn't expanded into pairs. Its pivot, the class with the most values, stands for it, and all lists of a pivot are one group, so
 that a pair with a list in common is in a group together. First each class meets its pivots only. The links found are joined to
@@ -45,8 +45,6 @@ WIDTH, PERCENT, K, BLOCK = 5, 80, 64, 256
 SHARED = 8
 #: Chance that a pair at the very threshold is missed; above it the chance falls fast.
 CHANCE = 2e-8
-#: Rounds in which values that no class of like size shares are left out.
-ROUNDS = 2
 _PRIME, _KEPT_WORDS, _ROWS, _PAIRS = np.uint64(0x9E3779B97F4A7C15), 300_000, 500, 8192
 _KEYS = ("p", "z", "i", "j")
 
@@ -144,14 +142,19 @@ def _bucket(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent * 1.01)).cast("int")
 
 
+def _company(rows: DataFrame) -> DataFrame:
+    """The values (of rows value, b) that classes of like size may share: value, times. Of two classes it is known, of more assumed."""
+    counts = rows.groupBy("value").agg(F.count("*").cast("int").alias("times"), F.min("b").alias("low"), F.max("b").alias("high"))
+    return counts.where((F.col("times") > 1) & ((F.col("times") > 2) | (F.col("high") - F.col("low") < 2))).select("value", "times")
+
+
 def _first_values(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """A written table of the classes that can have links: cid, n, b (its bucket), few (so many of its values any linked class has too)
     and values, the rarest of those that others have."""
     need, p = needed(k, percent), percent / 100
-    values = classes.select("cid", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").cast("int").alias("times")).where(F.col("times") > 1)
+    values = classes.select("cid", F.col("n").cast("int").alias("n"), _bucket(F.col("n"), percent).alias("b"), F.explode("sketch").alias("value"))
     # A class's own values come first in its order; only their number matters.
-    ranked = values.join(shared, "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
+    ranked = values.drop("b").join(_company(values), "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
     size = F.least("n", F.lit(k))
     own = size - F.size("shared")
     full = F.ceil(F.col("n") * F.lit(percent) / 100)
@@ -160,21 +163,16 @@ def _first_values(classes: DataFrame, k: int, percent: int) -> DataFrame:
     first = F.slice("shared.value", 1, F.greatest(F.lit(0), size - least + few - own).cast("int"))
     rows = ranked.select("cid", "n", _bucket(F.col("n"), percent).alias("b"), few.alias("few"), first.alias("values"))
     rows = written(rows.where(F.size("values") >= F.col("few")), "near-values")
-    for _ in range(ROUNDS):
-        one = rows.select("cid", "n", "b", "few", F.explode("values").alias("value"))
-        counts = one.groupBy("value", "b").count()
-        around = counts.select("value", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "count").groupBy("value", "b").agg(F.sum("count").alias("like"))
-        rows = one.join(around.where(F.col("like") > 1).drop("like"), ["value", "b"]).groupBy("cid", "n", "b", "few").agg(F.collect_list("value").alias("values"))
-        rows = written(rows.where(F.size("values") >= F.col("few")), "near-values")
-    return rows
+    one = rows.select("cid", "n", "b", "few", F.explode("values").alias("value"))
+    rows = one.join(_company(one).drop("times"), "value").groupBy("cid", "n", "b", "few").agg(F.collect_list("value").alias("values"))
+    return written(rows.where(F.size("values") >= F.col("few")), "near-values")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """A written table of the groups' members: p (the pivot), z, cid, b. A group's pairs are those whose larger bucket is z."""
-    lists = rows.select("cid", "b", (-F.size("values")).alias("less"), F.explode("values").alias("value")).select("*", F.explode(F.array("b", F.col("b") + 1)).alias("z"))
-    heads = lists.groupBy("value", "z").agg(F.min(F.struct("less", "cid"))["cid"].alias("p"), F.count("*").alias("members"), F.max("b").alias("top"))
-    heads = heads.where((F.col("members") > 1) & (F.col("top") == F.col("z"))).select("value", "z", "p")
-    return written(lists.join(heads, ["value", "z"]).select("p", F.col("z").cast("long").alias("z"), "cid", "b").distinct(), "near-groups")
+    """A written table of the groups' members: p (the pivot), cid, b."""
+    lists = rows.select("cid", "b", (-F.size("values")).alias("less"), F.explode("values").alias("value"))
+    heads = lists.groupBy("value").agg(F.min(F.struct("less", "cid"))["cid"].alias("p"), F.count("*").alias("members")).where(F.col("members") > 1)
+    return written(lists.join(heads.select("value", "p"), "value").select("p", "cid", "b").distinct(), "near-groups")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -204,13 +202,15 @@ def _star_blocks(groups: DataFrame, rows: DataFrame, percent: int, block: int) -
 
 
 def _rest_blocks(groups: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """The groups that aren't done, without their pivots, in pairs of blocks: p, z, i, j, side (0, 1, or 2 for both), cid, label."""
-    rest = groups.where(F.col("p") != F.col("cid")).join(small(labels), "cid", "left").select("p", "z", "cid", "b", F.coalesce("label", "cid").alias("label"))
-    rest = written(rest, "near-rest")
-    open_ = rest.groupBy("p", "z").agg(F.count("*").alias("count"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("b").alias("top"))
-    open_ = open_.where((F.col("low") != F.col("high")) & (F.col("top") == F.col("z"))).select("p", "z", F.ceil(F.col("count") / block).alias("blocks"))
+    """The groups that aren't done, without their pivots, in pairs of blocks: p, z, i, j, side (0, 1, or 2 for both), cid, label. A
+    group falls into parts by size: of part z are the pairs whose larger bucket is z."""
+    rest = groups.where(F.col("p") != F.col("cid")).join(small(labels), "cid", "left")
+    rest = rest.select("p", "cid", "b", F.coalesce("label", "cid").alias("label"), F.explode(F.array(F.col("b").cast("long"), F.col("b").cast("long") + 1)).alias("z"))
+    parts = rest.groupBy("p", "z").agg(F.count("*").alias("count"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("b").alias("top"))
+    parts = parts.where((F.col("low") != F.col("high")) & (F.col("top") == F.col("z"))).select("p", "z", F.ceil(F.col("count") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    rest = rest.join(open_, ["p", "z"]).select("p", "z", "cid", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rest = rest.join(small(written(parts, "near-parts")), ["p", "z"])
+    rest = rest.select("p", "z", "cid", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
     return rest.select("p", "z", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "cid", "label")
 
