@@ -1,17 +1,17 @@
 """Demultiplexing: reads to specimens by approximate primers and barcodes.
 
-Everything about one read is worked out inside its row (arrays of hits and candidates), so that reads aren't shuffled; only
-dereplication groups a read's expanded candidates, on the read's key. Filters stand below the search function, which Catalyst can't
-push through. Layout of a read:  [b1][forward primer] target [rc(reverse primer)][rc(b2)]."""
+Everything about one read is worked out inside its row, by functions on arrays of hits, candidates and what is chosen of them, so that
+the search runs once for each read and reads aren't shuffled. Filters stand below the search function, which Catalyst can't push
+through. Layout of a read:  [b1][forward primer] target [rc(reverse primer)][rc(b2)]."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -147,84 +147,125 @@ def with_hits(reads: DataFrame, design: Design, params: Parameters, options: Opt
     return rows.withColumn("orientation", way).withColumn("confidence", F.when(f + r > 0, F.abs(f - r) / (f + r)).otherwise(0.0))
 
 
-def candidates(hits: DataFrame, design: Design) -> DataFrame:
-    """A row for each candidate: the hits' columns, cand_ord (its place in the order of trial), strand, p1, p2 (hits in places of the
-    strand's sequence), n1, n2 (primer names), pool, b1, b2 (tied barcodes, best first), bc_all1, bc_all2 (all), score."""
-    names = F.array(*[F.lit(p.name) for p in design.ordered])
-    pairs = [(2 * n + s, f, r, pool, s) for n, (f, r, pool) in enumerate(design.pairs) for s in (0, 1)]
-    literal = F.array(*[F.struct(F.lit(o).alias("cand_ord"), F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(pool).cast("string").alias("pool"), F.lit(s).alias("strand")) for o, f, r, pool, s in pairs])
-    on = lambda p: F.when(p["strand"] == 0, F.col("orientation") != "reverse").otherwise(F.col("orientation") != "forward")
-    hit = lambda p: F.exists("hits", lambda h: ((h["primer"] == p["f"]) & (h["strand"] == 1 - p["strand"])) | ((h["primer"] == p["r"]) & (h["strand"] == p["strand"])))
-    rows = hits.withColumn("c", F.explode(F.filter(literal, lambda p: on(p) & hit(p)))).select("*", "c.*").drop("c")
-    rows = rows.withColumn("p1", _mirrored_hit(_lookup(1 - F.col("strand"), F.col("f")))).withColumn("p2", _lookup(F.col("strand"), F.col("r")))
-    name = lambda p, n: F.when(p.isNotNull(), F.get(names, n))
-    rows = rows.withColumns({"n1": name(F.col("p1"), F.col("f")), "n2": name(F.col("p2"), F.col("r")), "b1": _tied(F.col("p1.bcs")), "b2": _tied(F.col("p2.bcs"))})
-    n_b = F.when(F.size("b1") > 0, 1).otherwise(0) + F.when(F.size("b2") > 0, 1).otherwise(0)
-    both = F.col("p1").isNotNull() & F.col("p2").isNotNull()
-    score = F.when(both & (n_b == 2), 5).when(both & (n_b == 1), 4).when(~both & (n_b > 0), 3).when(both, 2).otherwise(1)
-    return rows.withColumn("score", score)
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
-def best_candidates(cands: DataFrame, by: str = "read_id") -> DataFrame:
-    """The candidates with their read's highest score, all ties."""
-    top = F.max("score").over(W.partitionBy(by))
-    return cands.withColumn("top", top).where(F.col("score") == F.col("top")).drop("top")
+#: Fields of a candidate: cand_ord (its place in the order of trial), strand, p1, p2 (hits in places of the strand's sequence), n1, n2
+#: (primer names), pool, b1, b2 (tied barcodes, best first), score, kind (ends that have barcodes), and what dereplication orders by.
+FIELDS = (
+    "cand_ord", "f", "r", "pool", "strand", "p1", "p2", "n1", "n2", "b1", "b2", "score", "kind",
+    "primer_dist", "n_primers", "file_present", "file_penalised", "d1", "d2",
+)
 
 
-def _keys(rows: DataFrame, design: Design) -> DataFrame:
-    """Rows with what dereplication orders by: primer distance, number of primers, file order."""
+def with_candidates(hits: DataFrame, design: Design) -> DataFrame:
+    """hits with cands (all candidates of the read, an array of FIELDS in the order of trial) and best (those of the highest score)."""
+    names = F.array(*[F.lit(p.name) for p in design.ordered])
     order = F.array(*[F.lit(p.file_index) for p in design.ordered])
-    at = lambda p, none: F.when(p.isNotNull(), F.get(order, p["primer"])).otherwise(none)
-    p1, p2 = F.col("p1"), F.col("p2")
-    rows = rows.withColumns({
-        "primer_dist": F.coalesce(p1["dist"], F.lit(0)) + F.coalesce(p2["dist"], F.lit(0)), "n_primers": F.when(p1.isNotNull(), 1).otherwise(0) + F.when(p2.isNotNull(), 1).otherwise(0),
-        "file_present": at(p1, 0) + at(p2, 0), "file_penalised": at(p1, 999) + at(p2, 999),
-        "d1": F.get("b1", 0)["dist"], "d2": F.get("b2", 0)["dist"],
-    })
-    kind = F.when(F.size("b1") > 0, F.when(F.size("b2") > 0, "both").otherwise("forward")).otherwise(F.when(F.size("b2") > 0, "reverse").otherwise("none"))
-    return rows.withColumn("kind", kind)
-
-
-def _first(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group; alternatives: how many there were."""
-    of = W.partitionBy(*group)
-    rows = rows.withColumn("alternatives", F.count("*").over(of)).withColumn("nth", F.row_number().over(of.orderBy(*order)))
-    return rows.where(F.col("nth") == 1).drop("nth")
-
-
-def dereplicated(best: DataFrame, design: Design) -> DataFrame:
-    """One row for each specimen of a read, each tied barcode of a partial match, one for unknowns; candidates whose barcodes belong to
-    no specimen as they are. Adds specimen_id, specimen_pool, alternatives, group_kind (full, partial, unknown, other)."""
-    spark = best.sparkSession
-    rows = _keys(best, design)
-    keys = design.key_table(spark).drop("spec_ord").withColumnsRenamed({"p1": "k1", "p2": "k2", "b1": "kb1", "b2": "kb2"})
-    both = rows.where(F.col("kind") == "both")
-    wide = both.withColumn("t1", F.explode("b1")).withColumn("t2", F.explode("b2"))
-    full = wide.join(F.broadcast(keys), (F.col("n1") == F.col("k1")) & (F.col("n2") == F.col("k2")) & (F.col("t1.bc") == F.col("kb1")) & (F.col("t2.bc") == F.col("kb2")), "left")
-    drop = ["k1", "k2", "kb1", "kb2", "t1", "t2"]
-    full = full.withColumn("barcode_dist", F.col("t1.dist") + F.col("t2.dist")).withColumns({"o1": F.col("t1.bc"), "o2": F.col("t2.bc")}).drop(*drop)
-    known = full.where(F.col("specimen_id").isNotNull())
-    full_best = _first(known, ["read_id", "specimen_id"], ["barcode_dist", "primer_dist", "file_present", "cand_ord", "o1", "o2"]).withColumn("group_kind", F.lit("full"))
-    some = F.max(F.col("specimen_id").isNotNull()).over(W.partitionBy("read_id", "cand_ord"))
-    other = full.withColumn("some", some).where(~F.col("some")).dropDuplicates(["read_id", "cand_ord"]).drop("some")
-    other = other.withColumn("alternatives", F.lit(1).cast("long")).withColumn("group_kind", F.lit("other"))
-    part = rows.where(F.col("kind").isin("forward", "reverse")).withColumn("t", F.explode(F.when(F.col("kind") == "forward", F.col("b1")).otherwise(F.col("b2"))))
-    part = part.withColumns({"barcode_dist": F.col("t.dist"), "o1": F.col("t.bc"), "o2": F.lit(None).cast("string"), "less": -F.col("n_primers")}).drop("t")
-    part = _first(part, ["read_id", "kind", "o1"], ["barcode_dist", "less", "primer_dist", "file_present", "cand_ord"]).withColumn("group_kind", F.lit("partial"))
-    none = rows.where(F.col("kind") == "none").withColumn("less", -F.col("n_primers"))
-    none = _first(none, ["read_id"], ["less", "primer_dist", "file_penalised", "cand_ord"]).withColumn("group_kind", F.lit("unknown"))
-    out = full_best
-    for more in (other, part, none):
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out.drop("o1", "o2", "less")
-
-
-def undereplicated(best: DataFrame, design: Design) -> DataFrame:
-    """All best candidates, each with the specimens that any of its tied barcodes give: specimens, in file order."""
+    pairs = [(2 * n + s, f, r, pool, s) for n, (f, r, pool) in enumerate(design.pairs) for s in (0, 1)]
+    literal = F.array(*[_struct(cand_ord=F.lit(o), f=F.lit(f), r=F.lit(r), pool=F.lit(pool).cast("string"), strand=F.lit(s)) for o, f, r, pool, s in pairs])
+    on = lambda p: F.when(p["strand"] == 0, F.col("orientation") != "reverse").otherwise(F.col("orientation") != "forward")
+    hit = lambda p: F.exists("hits", lambda h: ((h["primer"] == p["f"]) & (h["strand"] == 1 - p["strand"])) | ((h["primer"] == p["r"]) & (h["strand"] == p["strand"])))
+
+    def placed(p: Column) -> Column:
+        own = {n: p[n] for n in ("cand_ord", "f", "r", "pool", "strand")}
+        return _struct(**own, p1=_mirrored_hit(_lookup(1 - p["strand"], p["f"])), p2=_lookup(p["strand"], p["r"]))
+
+    def named(c: Column) -> Column:
+        name = lambda p, n: F.when(p.isNotNull(), F.get(names, n))
+        own = {n: c[n] for n in ("cand_ord", "f", "r", "pool", "strand", "p1", "p2")}
+        return _struct(**own, n1=name(c["p1"], c["f"]), n2=name(c["p2"], c["r"]), b1=_tied(c["p1"]["bcs"]), b2=_tied(c["p2"]["bcs"]))
+
+    def scored(c: Column) -> Column:
+        p1, p2, some1, some2 = c["p1"], c["p2"], F.size(c["b1"]) > 0, F.size(c["b2"]) > 0
+        n_b, both = some1.cast("int") + some2.cast("int"), p1.isNotNull() & p2.isNotNull()
+        score = F.when(both & (n_b == 2), 5).when(both & (n_b == 1), 4).when(~both & (n_b > 0), 3).when(both, 2).otherwise(1)
+        kind = F.when(some1, F.when(some2, "both").otherwise("forward")).otherwise(F.when(some2, "reverse").otherwise("none"))
+        at = lambda p, none: F.when(p.isNotNull(), F.get(order, p["primer"])).otherwise(none)
+        own = {n: c[n] for n in ("cand_ord", "f", "r", "pool", "strand", "p1", "p2", "n1", "n2", "b1", "b2")}
+        return _struct(
+            **own, score=score, kind=kind, primer_dist=F.coalesce(p1["dist"], F.lit(0)) + F.coalesce(p2["dist"], F.lit(0)), n_primers=p1.isNotNull().cast("int") + p2.isNotNull().cast("int"),
+            file_present=at(p1, 0) + at(p2, 0), file_penalised=at(p1, 999) + at(p2, 999), d1=F.get(c["b1"], 0)["dist"], d2=F.get(c["b2"], 0)["dist"],
+        )
+
+    rows = hits.withColumn("cands", F.transform(F.transform(F.transform(F.filter(literal, lambda p: on(p) & hit(p)), placed), named), scored))
+    top = F.array_max("cands.score")
+    return rows.withColumn("best", F.filter("cands", lambda c: c["score"] == top))
+
+
+def exploded(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each candidate in an array of candidates: the read's columns and FIELDS."""
+    return rows.withColumn("c", F.explode(column)).drop("cands", "best").select("*", "c.*").drop("c")
+
+
+def _first(rows: Column, by: str) -> Column:
+    """Of an array of structs with fields order, c and others, the least of each value of `by`, and how many of it there were."""
+    groups = F.array_distinct(F.transform(rows, lambda x: x[by]))
+    own = lambda g: F.filter(rows, lambda x: x[by] == g)
+    return F.transform(groups, lambda g: _struct(x=F.array_min(own(g)), alternatives=F.size(own(g)).cast("long")))
+
+
+def dereplicated(rows: DataFrame, design: Design) -> DataFrame:
+    """rows of with_candidates with chosen: an entry for each specimen of a read, each tied barcode of a partial match, one for
+    unknowns; candidates whose barcodes belong to no specimen as they are. An entry: group_kind (full, partial, unknown, other),
+    specimen_id, specimen_pool, alternatives, barcode_dist, c."""
+    keys: dict[str, dict] = {}
+    for s in design.specimens:  # of specimens with the same key the first
+        for f in design.uses[s.specimen_id][0]:
+            for r in design.uses[s.specimen_id][1]:
+                keys.setdefault("\t".join((f, r, s.b1, s.b2)), {"id": s.specimen_id, "pool": s.pool})
+    specimens = F.from_json(F.lit(json.dumps(keys)), "map<string,struct<id:string,pool:string>>")
+    none, best = F.lit(None).cast("string"), F.col("best")
+    of = lambda *kinds: F.filter(best, lambda c: c["kind"].isin(*kinds))
+
+    def known(c: Column) -> Column:
+        """The specimens that a candidate's tied barcodes give."""
+        pair = lambda t1, t2: _struct(s=F.try_element_at(specimens, F.concat_ws("\t", c["n1"], c["n2"], t1["bc"], t2["bc"])), o1=t1["bc"], o2=t2["bc"], dist=t1["dist"] + t2["dist"])
+        return F.filter(F.flatten(F.transform(c["b1"], lambda t1: F.transform(c["b2"], lambda t2: pair(t1, t2)))), lambda x: x["s"].isNotNull())
+
+    def full(c: Column) -> Column:
+        order = lambda x: _struct(barcode_dist=x["dist"], primer_dist=c["primer_dist"], file=c["file_present"], cand_ord=c["cand_ord"], o1=x["o1"], o2=x["o2"])
+        return F.transform(c["known"], lambda x: _struct(order=order(x), by=x["s"]["id"], pool=x["s"]["pool"], c=c["c"]))
+
+    def partial(c: Column) -> Column:
+        order = lambda t: _struct(barcode_dist=t["dist"], less=-c["n_primers"], primer_dist=c["primer_dist"], file=c["file_present"], cand_ord=c["cand_ord"])
+        bars = F.when(c["kind"] == "forward", c["b1"]).otherwise(c["b2"])
+        return F.transform(bars, lambda t: _struct(order=order(t), by=F.concat_ws("\t", c["kind"], t["bc"]), c=c))
+
+    def unknown(c: Column) -> Column:
+        return _struct(order=_struct(less=-c["n_primers"], primer_dist=c["primer_dist"], file=c["file_penalised"], cand_ord=c["cand_ord"]), by=F.lit(1), c=c)
+
+    entry = lambda kind, c, alternatives, dist, specimen=none, pool=none: _struct(group_kind=F.lit(kind), specimen_id=specimen, specimen_pool=pool, alternatives=alternatives, barcode_dist=dist, c=c)
+    rows = rows.withColumn("both", F.transform(of("both"), lambda c: _struct(c=c, known=known(c), primer_dist=c["primer_dist"], file_present=c["file_present"], cand_ord=c["cand_ord"])))
+    rows = rows.withColumns({"fulls": F.flatten(F.transform("both", full)), "partials": F.flatten(F.transform(of("forward", "reverse"), partial)), "unknowns": F.transform(of("none"), unknown)})
+    chosen = F.concat(
+        F.transform(_first(F.col("fulls"), "by"), lambda g: entry("full", g["x"]["c"], g["alternatives"], g["x"]["order"]["barcode_dist"], g["x"]["by"], g["x"]["pool"])),
+        F.transform(F.filter("both", lambda c: F.size(c["known"]) == 0), lambda c: entry("other", c["c"], F.lit(1).cast("long"), c["c"]["d1"] + c["c"]["d2"])),
+        F.transform(_first(F.col("partials"), "by"), lambda g: entry("partial", g["x"]["c"], g["alternatives"], g["x"]["order"]["barcode_dist"])),
+        F.transform(_first(F.col("unknowns"), "by"), lambda g: entry("unknown", g["x"]["c"], g["alternatives"], F.lit(None).cast("int"))),
+    )
+    return rows.withColumn("chosen", chosen).drop("both", "fulls", "partials", "unknowns")
+
+
+def outcomes(rows: DataFrame, design: Design, options: Options) -> DataFrame:
+    """A row for each record that a read becomes: the read's columns, cands, best, nth (its place among the read's), FIELDS (null in the
+    only row of a read without candidates), what dereplication adds, sample, resolution, pool."""
+    if options.dereplicate == "best":
+        rows = dereplicated(rows, design)
+        added = ("group_kind", "specimen_id", "specimen_pool", "alternatives", "barcode_dist")
+        rows = rows.select("*", F.posexplode_outer("chosen").alias("nth", "x")).drop("chosen")
+        return resolved(rows.select("*", *[F.col(f"x.{c}").alias(c) for c in added], "x.c.*").drop("x"))
+    rows = rows.select("*", F.posexplode_outer("best").alias("nth", "x"))
+    return resolved(undereplicated(rows.select("*", "x.*").drop("x"), design))
+
+
+def undereplicated(rows: DataFrame, design: Design) -> DataFrame:
+    """Candidates, each with the specimens that any of its tied barcodes give: specimens, in file order."""
     specimens = [(s.spec_ord, s.specimen_id, s.pool, f, r, s.b1, s.b2) for s in design.specimens for f in design.uses[s.specimen_id][0] for r in design.uses[s.specimen_id][1]]
-    every = best.sparkSession.createDataFrame(specimens, "spec_ord int, specimen_id string, specimen_pool string, k1 string, k2 string, kb1 string, kb2 string")
+    every = rows.sparkSession.createDataFrame(specimens, "spec_ord int, specimen_id string, specimen_pool string, k1 string, k2 string, kb1 string, kb2 string")
     grouped = every.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("spec_ord", "specimen_id", "specimen_pool", "kb1", "kb2"))).alias("all"))
-    rows = _keys(best, design).join(F.broadcast(grouped), (F.col("n1") == F.col("k1")) & (F.col("n2") == F.col("k2")), "left").drop("k1", "k2")
+    rows = rows.join(F.broadcast(grouped), (F.col("n1") == F.col("k1")) & (F.col("n2") == F.col("k2")), "left").drop("k1", "k2")
     names = lambda b: F.transform(b, lambda x: x["bc"])
     mine = F.filter("all", lambda s: F.array_contains(names(F.col("b1")), s["kb1"]) & F.array_contains(names(F.col("b2")), s["kb2"]))
     return rows.withColumn("specimens", F.coalesce(mine, F.expr("array()").cast("array<struct<spec_ord:int,specimen_id:string,specimen_pool:string,kb1:string,kb2:string>>"))).drop("all")
@@ -265,45 +306,58 @@ def _extent(trim: str, barcode_length: int) -> tuple[Column, Column]:
     return F.coalesce(start, F.greatest(F.lit(0), outer[0] - barcode_length)), F.coalesce(end, F.least(length, outer[1] + barcode_length))
 
 
-def facts(rows: DataFrame, unmatched: DataFrame, design: Design, options: Options) -> DataFrame:
-    """What is written of each read: read_id, seq_id, distance_code, sample, resolution, match_type, pool, primer names, seq, qual,
-    is_full, path, start and end of the trim, trim_empty."""
+def with_fact(rows: DataFrame, design: Design, options: Options) -> DataFrame:
+    """outcomes with fact, what is written of each: read_id, seq_id, distance_code, sample, resolution, match_type, pool, primer names,
+    seq, qual, is_full, path, start and end of the trim, trim_empty. A read without candidates is cand_ord -1."""
+    known = F.col("cand_ord").isNotNull()
     start, end = _extent(options.trim, design.barcode_length)
-    rows = rows.withColumns({"start": start.cast("int"), "end": end.cast("int")}).withColumn("trim_empty", F.lit(options.trim != "none") & (F.col("start") >= F.col("end")))
-    own = F.when(F.col("strand") == 0, F.col("seq")).otherwise(F.col("rc_seq"))
-    qual = F.when(F.col("strand") == 0, F.col("qual")).otherwise(F.reverse("qual"))
+    rows = rows.withColumns({"start": start.cast("int"), "end": end.cast("int")})
+    rows = rows.withColumn("trim_empty", known & F.lit(options.trim != "none") & (F.col("start") >= F.col("end")))
+    own = F.when(F.col("strand") == 1, F.col("rc_seq")).otherwise(F.col("seq"))
+    qual = F.when(F.col("strand") == 1, F.reverse("qual")).otherwise(F.col("qual"))
     cut = lambda c: F.when(F.col("trim_empty"), c).otherwise(F.substring(c, F.col("start") + 1, F.col("end") - F.col("start")))
-    kept = lambda c, other: F.when(F.col("trim_empty"), F.lit(other)).otherwise(c)
+    kept = lambda c, other="unknown": F.when(F.col("trim_empty"), F.lit(other)).otherwise(F.coalesce(c, F.lit(other)))
     code = distance_code(F.col("p1.dist"), F.get("b1", 0)["dist"], F.get("b2", 0)["dist"], F.col("p2.dist"))
-    matched = rows.select(
-        "read_id", "seq_id", "cand_ord", code.alias("distance_code"), kept(F.col("sample"), "unknown").alias("sample"), kept(F.col("resolution"), UNKNOWN).alias("resolution"),
-        kept(F.coalesce("pool", F.lit("unknown")), "unknown").alias("pool"), kept(F.coalesce("n1", F.lit("unknown")), "unknown").alias("p1_name"), kept(F.coalesce("n2", F.lit("unknown")), "unknown").alias("p2_name"),
-        cut(own).alias("seq"), cut(qual).alias("qual"), "start", "end", "trim_empty",
+    own_names = {"sample": kept(F.col("sample")), "resolution": kept(F.col("resolution"), UNKNOWN), "pool": kept(F.col("pool")), "p1_name": kept(F.col("n1")), "p2_name": kept(F.col("n2"))}
+    rows = rows.withColumn("w", _struct(**own_names))
+    of = lambda n: F.col(f"w.{n}")
+    place = F.when(of("resolution") == UNKNOWN, "unknown").when(of("resolution").startswith("partial"), "partial").otherwise("full")
+    pair = F.concat_ws("-", of("p1_name"), of("p2_name"))
+    path = F.concat_ws("/", place, of("pool"), pair, F.concat(F.lit(options.prefix), safe_name(of("sample"))))
+    fact = _struct(
+        read_id=F.col("read_id"), seq_id=F.col("seq_id"), cand_ord=F.coalesce("cand_ord", F.lit(-1)), distance_code=code, **{n: of(n) for n in own_names}, seq=cut(own), qual=cut(qual),
+        start=F.col("start"), end=F.col("end"), trim_empty=F.col("trim_empty"), match_type=place, primer_pair=pair, is_full=of("resolution").isin(*FULL_KINDS), path=path,
     )
-    none = unmatched.select(
-        "read_id", "seq_id", F.lit(-1).alias("cand_ord"), F.lit("X,X,X,X").alias("distance_code"), F.lit("unknown").alias("sample"), F.lit(UNKNOWN).alias("resolution"), F.lit("unknown").alias("pool"),
-        F.lit("unknown").alias("p1_name"), F.lit("unknown").alias("p2_name"), "seq", "qual", F.lit(0).alias("start"), F.col("length").alias("end"), F.lit(False).alias("trim_empty"),
-    )
-    out = matched.unionByName(none)
-    place = F.when(F.col("resolution") == UNKNOWN, "unknown").when(F.col("resolution").startswith("partial"), "partial").otherwise("full")
-    out = out.withColumn("match_type", place).withColumn("primer_pair", F.concat_ws("-", "p1_name", "p2_name")).withColumn("is_full", F.col("resolution").isin(*FULL_KINDS))
-    return out.withColumn("path", F.concat_ws("/", "match_type", "pool", "primer_pair", F.concat(F.lit(options.prefix), safe_name(F.col("sample")))))
+    return rows.withColumn("fact", fact).drop("w", "start", "end", "trim_empty")
 
 
 @dataclass
 class Result:
-    """The stages of one run, all lazy: hits (a row for each read), candidates, best, chosen (dereplicated and resolved), facts."""
+    """The stages of one run, all lazy, each with one search: hits (a row for each read, with cands and best), outcomes (with fact)."""
 
     reads: DataFrame
     hits: DataFrame
-    candidates: DataFrame
-    best: DataFrame
-    chosen: DataFrame
-    facts: DataFrame
+    outcomes: DataFrame
     design: Design
     options: Options
     parameters: Parameters
 
+    @property
+    def candidates(self) -> DataFrame:
+        return exploded(self.hits, "cands")
+
+    @property
+    def best(self) -> DataFrame:
+        return exploded(self.hits, "best")
+
+    @property
+    def chosen(self) -> DataFrame:
+        return self.outcomes.where(F.col("cand_ord").isNotNull())
+
+    @property
+    def facts(self) -> DataFrame:
+        return self.outcomes.select("fact.*")
+
     def totals(self) -> DataFrame:
         """Reads in all (filtered ones too), reads with a full match, and their share."""
         n = self.reads.agg(F.count("*").alias("total"))
@@ -317,15 +371,8 @@ class Result:
 
 
 def run_on(reads: DataFrame, hits: DataFrame, design: Design, options: Options, params: Parameters) -> Result:
-    cands = candidates(hits, design)
-    best = best_candidates(cands)
-    chosen = resolved(dereplicated(best, design) if options.dereplicate == "best" else undereplicated(best, design))
-    matched = [(f, r, s) for f, r, _ in design.pairs for s in (0, 1)]
-    pair = lambda f, r, s: F.exists("hits", lambda h: ((h["primer"] == f) & (h["strand"] == 1 - s)) | ((h["primer"] == r) & (h["strand"] == s))) & (F.col("orientation") != ("reverse" if s == 0 else "forward"))
-    some = F.lit(False)
-    for f, r, s in matched:
-        some = some | pair(f, r, s)
-    return Result(reads, hits, cands, best, chosen, facts(chosen, hits.where(~some), design, options), design, options, params)
+    hits = hits if "cands" in hits.columns else with_candidates(hits, design)
+    return Result(reads, hits, with_fact(outcomes(hits, design, options), design, options), design, options, params)
 
 
 def demultiplex(reads: DataFrame, design: Design, options: Options | None = None) -> Result:

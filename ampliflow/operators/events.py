@@ -4,79 +4,110 @@ An event: sequence_id, event_type, ord (its place among the sequence's events),
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampliflow.functions.dna import sequence_number_id
-from ampliflow.operators.demux import FULL, PARTIAL_F, PARTIAL_R, Result, filtered
+from ampliflow.operators.demux import FULL_KINDS, PARTIAL_F, PARTIAL_R, Result, filtered
 
+_EVENTS = "array<struct<event_type:string,ord:struct<stage:int,within:int>,fields:array<string>>>"
 BASE = ("timestamp", "worker_id", "event_seq", "sequence_id", "event_type")
 
 
-def _event(rows: DataFrame, kind: str, stage: int, *fields: Column, within: Column | None = None) -> DataFrame:
+def _event(kind: str, stage: int, *fields: Column, within: Column | None = None) -> Column:
     texts = F.array(*[F.coalesce(f.cast("string"), F.lit("none")) for f in fields])
     order = F.struct(F.lit(stage).alias("stage"), (F.lit(0) if within is None else within).cast("int").alias("within"))
-    return rows.select("read_id", F.lit(kind).alias("event_type"), order.alias("ord"), texts.alias("fields"))
+    return F.struct(F.lit(kind).alias("event_type"), order.alias("ord"), texts.alias("fields"))
+
+
+def _if(when: Column, event: Column) -> Column:
+    """An array of the event, or of nothing."""
+    return F.filter(F.array(event), lambda _: F.coalesce(when, F.lit(False)))
 
 
 def _decimals(x: Column) -> Column:
     return F.format_string("%.3f", x.cast("double"))
 
 
-def run_events(result: Result, worker: str = "spark", level: int = 1) -> DataFrame:
-    """Events of a run. level: 1 the course of each read, 2 also primer hits, 3 also barcode hits."""
+def _searches(result: Result, level: int) -> list[Column]:
+    """Primer hits from level 2 on; from level 3 on also what was tried, before its result, and barcodes likewise."""
+    primers = result.design.ordered
+    names, ways = F.array(*[F.lit(p.name) for p in primers]), F.array(*[F.lit(p.direction) for p in primers])
+    low, high, missed = F.greatest(F.lit(0), F.col("length") - result.options.search_length), F.col("length"), (F.lit("false"), F.lit(-1), F.lit(-1))
+    at = lambda h: 10_000 * (2 * h["primer"] + h["strand"])
+
+    def hit(h: Column) -> Column:
+        return _event("PRIMER_SEARCH", 3, F.get(names, h["primer"]), F.get(ways, h["primer"]), low, high, F.lit("true"), h["dist"], F.get(h["locs"], 0)["s"], within=at(h) + 2)
+
+    parts = [F.transform("hits", hit)]
+    if level > 2:
+        parts.append(F.array(*[_event("PRIMER_SEARCH", 3, F.lit(p.name), F.lit(p.direction), low, high, *missed, within=F.lit(10_000 * (2 * n + s) + 1)) for n, p in enumerate(primers) for s in (0, 1)]))
+        tried = F.array(*[F.array(*[F.lit(b) for b in sorted(result.design.barcodes[p.name])]).cast("array<string>") for p in primers])
+        bar = lambda h, b, n, *found: _event("BARCODE_SEARCH", 3, b, F.get(ways, h["primer"]), F.get(names, h["primer"]), F.get(h["locs"], 0)["e"] + 1, high, *found, within=at(h) + n)
+        parts.append(F.flatten(F.transform("hits", lambda h: F.transform(F.get(tried, h["primer"]), lambda b, n: bar(h, b, 3 + 2 * n, *missed)))))
+        place = lambda h, b: 2 + 2 * F.array_position(F.get(tried, h["primer"]), b["bc"])
+        parts.append(F.flatten(F.transform("hits", lambda h: F.transform(h["bcs"], lambda b: bar(h, b["bc"], place(h, b), F.lit("true"), b["dist"], F.get(b["locs"], 0)["s"])))))
+    return parts
+
+
+def run_events(result: Result, worker: str = "spark", level: int = 1, source: str | Column = "read") -> DataFrame:
+    """Events of a run. level: 1 the course of each read, 2 also primer hits, 3 also all that was tried. source: what a sequence_id
+    begins with, such as the file's name. A read's events are made in its row; filtered reads are never searched."""
     best_b = lambda c: F.get(c, 0)["bc"]
-    reads, hits = filtered(result.reads, result.options), result.hits
-    cands = result.candidates.withColumn("top", F.max("score").over(W.partitionBy("read_id")))
-    cid = F.concat_ws("_", F.col("read_id").cast("string"), F.col("cand_ord").cast("string"))
-    cands = cands.withColumn("cid", cid)
-    n1, n2, o = F.col("n1"), F.col("n2"), F.col("cand_ord")
-    b1, b2 = best_b(F.col("b1")), best_b(F.col("b2"))
-    side = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), "both").when(a.isNotNull(), "forward_only").when(b.isNotNull(), "reverse_only").otherwise("none")
     d = lambda c: F.coalesce(c, F.lit(-1))
-    d1, d2 = F.get("b1", 0)["dist"], F.get("b2", 0)["dist"]
-    total = sum((F.coalesce(x, F.lit(0)) for x in (F.col("p1.dist"), F.col("p2.dist"), d1, d2)), F.lit(0))
-    chosen = result.chosen
-    strand = F.when(F.col("strand") == 0, "as_is").otherwise("reverse_complement")
-    parts = [
-        _event(reads, "SEQUENCE_RECEIVED", 1, F.col("length"), F.col("seq_id")),
-        _event(reads.where(F.col("filter_reason").isNotNull()), "SEQUENCE_FILTERED", 2, F.col("length"), F.col("filter_reason")),
-        _event(hits, "ORIENTATION_DETECTED", 3, F.col("orientation"), F.col("forward_score"), F.col("reverse_score"), _decimals(F.col("confidence"))),
-        _event(cands, "PRIMER_MATCHED", 4, F.col("cid"), side(n1, n2), n1, n2, d(F.col("p1.dist")), d(F.col("p2.dist")), F.col("pool"), strand, within=o),
-        _event(cands, "BARCODE_MATCHED", 5, F.col("cid"), side(b1, b2), b1, b2, d(d1), d(d2), n1, n2, within=o),
-        _event(cands, "MATCH_SCORED", 6, F.col("cid"), n1, n2, b1, b2, total, side(b1, b2), _decimals(F.col("score")), within=o),
-        _event(cands.where("score < top"), "MATCH_DISCARDED", 7, F.col("cid"), n1, n2, b1, b2, _decimals(F.col("score")), F.lit("lower_score"), within=o),
-        _event(result.facts.where("trim_empty"), "SEQUENCE_TRIM_EMPTY", 10, F.lit(result.options.trim), F.col("start"), F.col("end"), F.length("seq"), F.col("p1_name"), F.col("p2_name"), within=o),
-        _event(result.facts, "SEQUENCE_OUTPUT", 11, F.col("sample"), F.col("pool"), F.col("primer_pair"), F.col("path"), within=o),
-        _event(result.facts.where("cand_ord = -1"), "NO_MATCH_FOUND", 4, F.lit("primer_search"), F.lit("No primer matches found")),
+    side = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), "both").when(a.isNotNull(), "forward_only").when(b.isNotNull(), "reverse_only").otherwise("none")
+    cid = lambda c: F.concat_ws("_", F.col("read_id").cast("string"), c["cand_ord"].cast("string"))
+    names = lambda c: (c["n1"], c["n2"], best_b(c["b1"]), best_b(c["b2"]))
+    total = lambda c: sum((F.coalesce(x, F.lit(0)) for x in (c["p1"]["dist"], c["p2"]["dist"], c["d1"], c["d2"])), F.lit(0))
+    top = F.array_max("cands.score")
+
+    def matched(c: Column) -> Column:
+        strand = F.when(c["strand"] == 0, "as_is").otherwise("reverse_complement")
+        return _event("PRIMER_MATCHED", 4, cid(c), side(c["n1"], c["n2"]), c["n1"], c["n2"], d(c["p1"]["dist"]), d(c["p2"]["dist"]), c["pool"], strand, within=c["cand_ord"])
+
+    def barcodes(c: Column) -> Column:
+        _, _, b1, b2 = names(c)
+        return _event("BARCODE_MATCHED", 5, cid(c), side(b1, b2), b1, b2, d(c["d1"]), d(c["d2"]), c["n1"], c["n2"], within=c["cand_ord"])
+
+    def scored(c: Column) -> Column:
+        return _event("MATCH_SCORED", 6, cid(c), *names(c), total(c), side(*names(c)[2:]), _decimals(c["score"]), within=c["cand_ord"])
+
+    def discarded(c: Column) -> Column:
+        return _event("MATCH_DISCARDED", 7, cid(c), *names(c), _decimals(c["score"]), F.lit("lower_score"), within=c["cand_ord"])
+
+    received = _event("SEQUENCE_RECEIVED", 1, F.col("length"), F.col("seq_id"))
+    own = [
+        F.array(received, _event("ORIENTATION_DETECTED", 3, F.col("orientation"), F.col("forward_score"), F.col("reverse_score"), _decimals(F.col("confidence")))),
+        *[F.transform("cands", f) for f in (matched, barcodes, scored)], F.transform(F.filter("cands", lambda c: c["score"] < top), discarded),
+    ]
+    if level > 1:
+        own += _searches(result, level)
+    o, known, fact = F.col("cand_ord"), F.col("cand_ord").isNotNull(), lambda n: F.col(f"fact.{n}")
+    b1, b2 = best_b(F.col("b1")), best_b(F.col("b2"))
+    each = [
+        _if(~known, _event("NO_MATCH_FOUND", 4, F.lit("primer_search"), F.lit("No primer matches found"))),
+        _if(known, _event("SPECIMEN_RESOLVED", 9, F.col("sample"), F.col("resolution"), F.col("pool"), F.col("n1"), F.col("n2"), b1, b2, within=o)),
+        _if(fact("trim_empty"), _event("SEQUENCE_TRIM_EMPTY", 10, F.lit(result.options.trim), fact("start"), fact("end"), F.length(fact("seq")), fact("p1_name"), fact("p2_name"), within=o)),
+        F.array(_event("SEQUENCE_OUTPUT", 11, fact("sample"), fact("pool"), fact("primer_pair"), fact("path"), within=F.coalesce(o, F.lit(-1)))),
     ]
-    rows = chosen.withColumns({"b1n": b1, "b2n": b2})
-    resolved = [F.col("sample"), F.col("resolution"), F.col("pool"), n1, n2, F.col("b1n"), F.col("b2n")]
-    parts.append(_event(rows, "SPECIMEN_RESOLVED", 9, *resolved, within=o))
     if result.options.dereplicate == "best":
+        wide = F.aggregate("best", F.lit(0), lambda n, c: n + F.greatest(F.lit(1), F.size(c["b1"])) * F.greatest(F.lit(1), F.size(c["b2"])))
+        own.append(_if((F.size("best") > 1) | (wide > 1), _event("DEREPLICATE_EXPANDED", 7, F.size("best"), wide, within=F.lit(1 << 30))))
         kept = [F.col("alternatives"), F.col("barcode_dist"), F.col("primer_dist"), F.col("file_present")]
-        parts.append(_event(rows.where("group_kind = 'full'"), "DEREPLICATE_SELECTED", 8, F.col("sample"), *kept, within=o))
-        bar = F.when(F.col("kind") == "forward", F.col("b1n")).otherwise(F.col("b2n"))
-        parts.append(_event(rows.where("group_kind = 'partial'"), "DEREPLICATE_PARTIAL_SELECTED", 8, F.col("kind"), bar, kept[0], kept[1], F.col("n_primers"), *kept[2:], within=o))
-        parts.append(_event(rows.where("group_kind = 'unknown' AND alternatives > 1"), "DEREPLICATE_UNKNOWN_SELECTED", 8, kept[0], F.col("n_primers"), kept[2], F.col("file_penalised"), within=o))
-        wide = result.best.withColumn("n", F.greatest(F.lit(1), F.size("b1")) * F.greatest(F.lit(1), F.size("b2"))).groupBy("read_id").agg(F.count("*").alias("matches"), F.sum("n").alias("expanded"))
-        parts.append(_event(wide.where("matches > 1 OR expanded > 1"), "DEREPLICATE_EXPANDED", 7, F.col("matches"), F.col("expanded"), within=F.lit(1 << 30)))
-    if level > 1:
-        names = F.array(*[F.lit(p.name) for p in result.design.ordered])
-        ways = F.array(*[F.lit(p.direction) for p in result.design.ordered])
-        hit = hits.select("read_id", "length", F.posexplode("hits").alias("n", "h"))
-        low = F.greatest(F.lit(0), F.col("length") - result.options.search_length)
-        found = [F.get(names, F.col("h.primer")), F.get(ways, F.col("h.primer")), low, F.col("length"), F.lit("true"), F.col("h.dist"), F.get("h.locs", 0)["s"]]
-        parts.append(_event(hit, "PRIMER_SEARCH", 3, *found, within=F.col("n") + 1))
-        if level > 2:
-            bars = hit.select("read_id", "length", "n", "h", F.posexplode("h.bcs").alias("m", "b"))
-            found = [F.col("b.bc"), F.get(ways, F.col("h.primer")), F.get(names, F.col("h.primer")), F.get("h.locs", 0)["e"] + 1, F.col("length"), F.lit("true"), F.col("b.dist"), F.get("b.locs", 0)["s"]]
-            parts.append(_event(bars, "BARCODE_SEARCH", 3, *found, within=1000 + F.col("n") * 1000 + F.col("m")))
-    events = reduce(DataFrame.unionByName, parts)
-    return events.withColumn("sequence_id", sequence_number_id("read", F.col("read_id").cast("long"), F.lit(worker)))
+        kind, bar = F.col("group_kind"), F.when(F.col("kind") == "forward", b1).otherwise(b2)
+        each += [
+            _if(kind == "full", _event("DEREPLICATE_SELECTED", 8, F.col("sample"), *kept, within=o)),
+            _if(kind == "partial", _event("DEREPLICATE_PARTIAL_SELECTED", 8, F.col("kind"), bar, kept[0], kept[1], F.col("n_primers"), *kept[2:], within=o)),
+            _if((kind == "unknown") & (F.col("alternatives") > 1), _event("DEREPLICATE_UNKNOWN_SELECTED", 8, kept[0], F.col("n_primers"), kept[2], F.col("file_penalised"), within=o)),
+        ]
+    rows = result.outcomes.withColumn("own", F.when(F.coalesce("nth", F.lit(0)) == 0, F.concat(*own)))
+    rows = rows.select("read_id", F.explode(F.concat(F.coalesce("own", F.expr("array()").cast(_EVENTS)), *each)).alias("e"), *([source.alias("source")] if isinstance(source, Column) else []))
+    gone = filtered(result.reads, result.options).where(F.col("filter_reason").isNotNull())
+    gone = gone.select("read_id", F.explode(F.array(received, _event("SEQUENCE_FILTERED", 2, F.col("length"), F.col("filter_reason")))).alias("e"), *([source.alias("source")] if isinstance(source, Column) else []))
+    events = rows.unionByName(gone)
+    name = F.col("source") if isinstance(source, Column) else source
+    return events.select("read_id", "e.*", sequence_number_id(name, F.col("read_id").cast("long"), F.lit(worker)).alias("sequence_id"))
 
 
 def numbered(events: DataFrame) -> DataFrame:
@@ -123,7 +154,7 @@ def pivoted(trace: DataFrame) -> DataFrame:
     gone = F.col("reason").isNotNull()
     unknown = F.col("candidate_match_id").isNull()
     text = lambda c, other="none": F.coalesce(c, F.lit(other))
-    done = F.when(F.col("resolution") == FULL, "matched").when(F.col("resolution").isin(PARTIAL_F, PARTIAL_R), "partial").otherwise("unknown")
+    done = F.when(F.col("resolution").isin(*FULL_KINDS), "matched").when(F.col("resolution").isin(PARTIAL_F, PARTIAL_R), "partial").otherwise("unknown")
     return out.select(
         text(F.col("candidate_match_id")).alias("candidate_match_id"), "sequence_id", text(F.col("orientation"), "unknown").alias("orientation"),
         text(F.col("p.fp")).alias("forward_primer"), text(F.col("p.rp")).alias("reverse_primer"), text(F.col("p.pool")).alias("pool"), text(F.col("b.fb")).alias("forward_barcode"), text(F.col("b.rb")).alias("reverse_barcode"),
