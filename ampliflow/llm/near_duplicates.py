@@ -6,7 +6,7 @@ duplicates, also through others.
 
 A link means that of the k least hashes of the union at least `need` are in both sketches. Sketches with so many values in common share
 SHARED of the k - need + SHARED that come first in any one order; the rarest come first here. Inverted lists of those values hold every
-candidate pair. A value counts only if classes of like size have it; classes with too few such values leave.
+candidate pair. A value counts for a class only if another class of like size has it; classes with too few such values leave.
 
 A list isn't expanded into pairs. Its pivot, the class with the most values, stands for it, and all lists of a pivot are one group, so
 that a pair with a list in common is in a group together. First each class meets its pivots only. The links found are joined to
@@ -40,12 +40,12 @@ from pyspark.sql import types as T
 from .components import connected
 from .shared import free, row_count, small, table, written
 
-WIDTH, PERCENT, K, BLOCK = 5, 80, 64, 256
+WIDTH, PERCENT, K, BLOCK = 5, 80, 96, 256
 #: So many of their rarest values two linked classes share (fewer if the sketch is short).
 SHARED = 8
 #: Chance that a pair at the very threshold is missed; above it the chance falls fast.
 CHANCE = 2e-8
-_PRIME, _KEPT_WORDS, _ROWS, _PAIRS = np.uint64(0x9E3779B97F4A7C15), 300_000, 500, 8192
+_PRIME, _KEPT_WORDS, _ROWS, _PAIRS = np.uint64(0x9E3779B97F4A7C15), 150_000, 500, 4096
 _KEYS = ("p", "z", "i", "j")
 
 
@@ -142,19 +142,16 @@ def _bucket(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent * 1.01)).cast("int")
 
 
-def _company(rows: DataFrame) -> DataFrame:
-    """The values (of rows value, b) that classes of like size may share: value, times. Of two classes it is known, of more assumed."""
-    counts = rows.groupBy("value").agg(F.count("*").cast("int").alias("times"), F.min("b").alias("low"), F.max("b").alias("high"))
-    return counts.where((F.col("times") > 1) & ((F.col("times") > 2) | (F.col("high") - F.col("low") < 2))).select("value", "times")
-
-
 def _first_values(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """A written table of the classes that can have links: cid, n, b (its bucket), few (so many of its values any linked class has too)
     and values, the rarest of those that others have."""
     need, p = needed(k, percent), percent / 100
-    values = classes.select("cid", F.col("n").cast("int").alias("n"), _bucket(F.col("n"), percent).alias("b"), F.explode("sketch").alias("value"))
-    # A class's own values come first in its order; only their number matters.
-    ranked = values.drop("b").join(_company(values), "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
+    values = classes.select("cid", _bucket(F.col("n"), percent).alias("b"), F.explode("sketch").alias("value"))
+    # A class's own values come first in its order; only their number matters. Two classes of other sizes have nothing in common either.
+    counts = values.groupBy("value").agg(F.count("*").cast("int").alias("times"), F.min("b").alias("low"), F.max("b").alias("high"))
+    counts = counts.where((F.col("times") > 1) & ((F.col("times") > 2) | (F.col("high") - F.col("low") < 2))).select("value", "times")
+    ranked = values.drop("b").join(counts, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
+    ranked = ranked.join(classes.select("cid", F.col("n").cast("int").alias("n")), "cid")
     size = F.least("n", F.lit(k))
     own = size - F.size("shared")
     full = F.ceil(F.col("n") * F.lit(percent) / 100)
@@ -163,9 +160,13 @@ def _first_values(classes: DataFrame, k: int, percent: int) -> DataFrame:
     first = F.slice("shared.value", 1, F.greatest(F.lit(0), size - least + few - own).cast("int"))
     rows = ranked.select("cid", "n", _bucket(F.col("n"), percent).alias("b"), few.alias("few"), first.alias("values"))
     rows = written(rows.where(F.size("values") >= F.col("few")), "near-values")
-    one = rows.select("cid", "n", "b", "few", F.explode("values").alias("value"))
-    rows = one.join(_company(one).drop("times"), "value").groupBy("cid", "n", "b", "few").agg(F.collect_list("value").alias("values"))
-    return written(rows.where(F.size("values") >= F.col("few")), "near-values")
+    # Of these values only those count that a class of like size has among its own.
+    one = rows.select("cid", "b", F.explode("values").alias("value"))
+    counts = one.groupBy("value", "b").count()
+    around = counts.select("value", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "count").groupBy("value", "b").agg(F.sum("count").alias("like"))
+    kept = one.join(around.where(F.col("like") > 1).drop("like"), ["value", "b"]).groupBy("cid").agg(F.collect_list("value").alias("values"))
+    rows = rows.drop("values").join(kept, "cid").where(F.size("values") >= F.col("few"))
+    return written(rows, "near-values")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
