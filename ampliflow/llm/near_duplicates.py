@@ -344,7 +344,7 @@ def _links(likely: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
 
-    dealt = likely.join(sets.select("cid", "shingles"), "cid").select(*_COLUMNS, "shingles").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    dealt = sets.select("cid", "shingles").join(small(likely), "cid").select(*_COLUMNS, "shingles").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     return written(dealt.mapInArrow(verify, "a long, b long"), "near-links")
 
 
@@ -374,8 +374,8 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, k: i
     linked = _linked(classes, rows, width, percent, k, block)
     named = classes.select("n", "s1", "s2", "cid", "least").join(linked, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = written(named, "near-named")
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(named.join(names, "label").select("n", "s1", "s2", "cid", "label", "component_id"), "near-components")
+    names = written(named.groupBy("label").agg(F.min("least").alias("component_id")), "near-names")
+    named = written(named.join(small(names), "label").select("n", "s1", "s2", "cid", "label", "component_id"), "near-components")
     out = sketched.select("doc_id", "text_hash", "n", "s1", "s2").join(small(named), ["n", "s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cid").alias("class"), "label", component.alias("component_id"))
