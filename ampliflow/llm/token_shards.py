@@ -16,9 +16,8 @@ Tokenising: the pre-tokeniser of byte-level BPE never joins two words over a sin
 each distinct piece is encoded once by the tokenizers library and then looked up (in a bounded table for each Python worker). Added
 tokens of the file (such as <|endoftext|>) that stand in a text become their ids, as the library has it.
 
-Nulls: a null text counts as empty and yields the end id alone; null doc_ids come first. Rows with equal doc_ids are ordered by a hash
-of their text and can fall into several shards; only equal rows can't be told apart and share one. A very long text is one row and one
-chunk of work. Only doc_id and text are read, so other columns can have any names. Empty input: no rows.
+Nulls: a null text counts as empty and yields the end id alone; null doc_ids come first. Rows with equal doc_ids (or without any) are
+ordered by text and share a shard, which streams through its task. A very long text is one row and one chunk of work. Only doc_id and text are read, so other columns can have any names. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from .shared import new_path, small, table, written
 
 END_ID = 0
 #: Characters that are tokenised at a time, and pieces kept by a Python worker.
-CHUNK_CHARS, KEPT_PIECES, JOINED = 2_000_000, 450_000, 300
+CHUNK_CHARS, KEPT_PIECES, JOINED = 4_000_000, 450_000, 40
 #: Bytes of text to a shard, at most about.
 SHARD_BYTES = 256 << 20
 ORC = {
@@ -68,6 +67,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Strings in a text that the library takes for tokens of their own, before any other rule.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hints = {a[0] for a in self.added}
         self.uncut = [a for a in self.added if not set(a).isdisjoint(" \n\0")]
         breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_feed = breaks[0] if len(breaks) == 1 else None
@@ -94,20 +94,21 @@ class Encoder:
         """The ids of pieces, one after the other, and how many each has. A line feed between two other characters is a token of its
         own, so plain pieces (without one, and without white space at their ends) are encoded many at a time."""
         ids, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for i in range(0, len(pieces), JOINED):
-            own = pieces[i : i + JOINED]
+        whole = ["\n".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)] if plain else pieces
+        for i in range(0, len(whole), 64):
+            got = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(whole[i : i + 64], add_special_tokens=False)]
             if plain:
-                got = np.array(self.tokenizer.encode("\n".join(own), add_special_tokens=False).ids, np.int32)
-                breaks = np.flatnonzero(got == self.line_feed)
-                if len(breaks) != len(own) - 1:
-                    raise RuntimeError("this tokenizer doesn't keep line feeds apart")
-                ids.append(got[got != self.line_feed])
-                sizes.append(np.diff(np.concatenate([[-1], breaks, [len(got)]])) - 1)
+                together = np.concatenate([x for g in got for x in (g, [self.line_feed])])
+                breaks = np.flatnonzero(together == self.line_feed)
+                ids.append(together[together != self.line_feed].astype(np.int32))
+                sizes.append(np.diff(np.concatenate([[-1], breaks])) - 1)
             else:
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-                ids += [np.array(x, np.int32) for x in got]
+                ids += got
                 sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-        return np.concatenate(ids), np.concatenate(sizes)
+        out = np.concatenate(sizes)
+        if len(out) != len(pieces):
+            raise RuntimeError("this tokenizer doesn't keep line feeds apart")
+        return np.concatenate(ids), out
 
     def _append(self, at: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.size[at] = sizes
@@ -115,15 +116,17 @@ class Encoder:
         self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self) -> None:
-        """Gives the fresh pieces their ids. A single mark after a letter is always a token apart: such a piece is made of two others."""
+        """Gives the fresh pieces their ids. Marks after a letter are always tokens apart: such a piece is made of two others."""
         new, first = self.numbers.fresh, len(self.size)
         plain, other, made, parts, k = [], [], [], [], 0
         while k < len(new):  # pieces that others are made of come in at the end
             piece = new[k]
-            if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha():
+            core = piece.rstrip(_MARKS)
+            odd = not self.hints.isdisjoint(piece) and any(a in piece for a in self.added)
+            if core and len(core) < len(piece) and core[-1].isalpha() and not odd:
                 made.append(first + k)
-                parts += [self.numbers[piece[:-1]], self.numbers[piece[-1]]]
-            elif self.line_feed is None or "\n" in piece or not _PLAIN.match(piece) or any(a in piece for a in self.added):
+                parts += [self.numbers[core], self.numbers[piece[len(core) :]]]
+            elif odd or self.line_feed is None or not _PLAIN.match(piece):
                 other.append(first + k)
             else:
                 plain.append(first + k)
@@ -177,7 +180,8 @@ def _replaced(lists: pa.ListArray, where: pa.BooleanArray, other: pa.ListArray)
 #: White space as Unicode and the tokenizers have it, and more: texts with two in a row or one at the end are cut by cut_slowly.
 _SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\p{Z}]"
 _ODD = rf"\x00|{_SPACE}{_SPACE}|{_SPACE}\z"
-_PLAIN = re.compile(r" ?\S(.*\S)?\Z", re.S)
+_PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?\Z")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CUTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
@@ -247,8 +251,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, n_sha
     if n_shards is None:  # as many as Spark would shuffle to, more if these got too large
         n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
-    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n_shards, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
-    dealt.select("doc_id", "text").mapInArrow(encode, schema).write.options(**ORC).orc(path)
+    dealt = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt.mapInArrow(encode, schema).write.options(**ORC).orc(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
