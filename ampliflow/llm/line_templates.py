@@ -5,10 +5,16 @@ token is part of the template if at least min_docs lines of different documents
 variable and become "<*>". A template of which at least SAME of the tokens are fixed, and which at least min_docs documents hold, is
 recurring, and all its lines are dropped.
 
+In a large corpus every value of a variable field is in min_docs documents. So a node of the tree has at most CHILDREN children: where a
+leaf has more such tokens at a position, only those in one of CHILDREN of the leaf's lines count, and the others are variable. A line
+whose template changes by that has a second one, of which SAME of the tokens after the leading ones must be fixed; its lines are
+dropped if either is recurring.
+
 Only leaves that min_docs documents reach can hold a recurring template, so all other lines stop after the first count. Lines are
 counted once for each document and aggregated before each shuffle; equal lines are one row from then on.
 
-Lines end at a line feed. Lines without tokens stay. Nulls: a null text has no lines and stays null; a null doc_id is kept. Each row is
+Lines meet by two 64-bit hashes, so what is broadcast or shuffled doesn't grow with their length, and lines of very many documents leave
+before lines are joined. Lines end at a line feed. Lines without tokens stay. Very long texts are rows as any other. Nulls: a null text has no lines and stays null; a null doc_id is kept. Each row is
 a document: repeated rows count as often as they occur. Empty input, empty output.
 """
 
@@ -17,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, small, table, written
+from .shared import free, small, table, written
 
-MIN_DOCS, LEADING, SAME = 3, 2, 0.5
+MIN_DOCS, LEADING, SAME, CHILDREN = 3, 2, 0.5, 20
+#: Lines of more documents need not be joined to tell whether they recur.
+HOT = 1000
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -63,36 +71,53 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAM
     distinct = lines.groupBy("leaf_id", "line").agg(F.count("*").alias("docs"))
     distinct = written(distinct.select("*", F.monotonically_increasing_id().alias("line_id")), "line-distinct")
     tokens = distinct.select("leaf_id", "line_id", "docs", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("at", "token"))
-    fixed = tokens.groupBy("leaf_id", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf_id", "at", "token", F.lit(True).alias("fixed"))
-    kept = F.when(F.col("fixed") & (F.col("token") != "<*>"), F.col("token")).otherwise(F.lit("<*>")).alias("token")
-    parts = tokens.drop("docs").join(fixed, ["leaf_id", "at", "token"], "left").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("at", kept))).alias("parts"))
-    token_list = F.col("parts.token")
-    share = F.size(F.filter(token_list, lambda t: t != "<*>")) / F.size("parts")
-    templates = parts.where(share >= same).select("line_id", F.concat_ws(" ", token_list).alias("template"))
+    fixed = tokens.groupBy("leaf_id", "at", "token").agg(F.sum("docs").alias("times")).where((F.col("times") >= min_docs) & (F.col("token") != "<*>"))
+    fixed = written(fixed, "line-fixed")
+    # All lines of a leaf have as many tokens, so that a leaf's total is that of each position.
+    crowded = fixed.groupBy("leaf_id", "at").count().where(F.col("count") > CHILDREN).select("leaf_id", "at")
+    crowded = written(crowded.join(distinct.groupBy("leaf_id").agg(F.sum("docs").alias("total")), "leaf_id"), "line-crowded")
+    steady = F.col("total").isNull() | (F.col("times") * CHILDREN >= F.col("total"))
+    fixed = fixed.join(small(crowded), ["leaf_id", "at"], "left").select("leaf_id", "at", "token", steady.alias("steady"))
+    parts = tokens.drop("docs").join(fixed, ["leaf_id", "at", "token"], "left")
+    kept = lambda where: F.when(where, F.col("token")).otherwise(F.lit("<*>"))
+    parts = parts.select("line_id", "at", kept(F.col("steady").isNotNull()).alias("one"), kept(F.coalesce("steady", F.lit(False))).alias("two"))
+    parts = parts.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("at", "one", "two"))).alias("parts"))
+    one, two = F.col("parts.one"), F.col("parts.two")
+    share = lambda tokens: F.try_divide(F.size(F.filter(tokens, lambda t: t != "<*>")), F.size(tokens))
+    after = F.slice(two, LEADING + 1, F.greatest(F.lit(1), F.size(two)))
+    ways = F.array(F.when(share(one) >= same, F.concat_ws(" ", one)), F.when((one != two) & (share(after) >= same), F.concat_ws(" ", two)))
+    templates = parts.select("line_id", F.explode(F.filter(ways, lambda t: t.isNotNull())).alias("template"))
     templates = written(templates.join(distinct, "line_id").select("line", "docs", "template"), "line-templates")
     most = templates.groupBy("template").agg(F.max("docs").alias("most"))
     sure = most.where(F.col("most") >= min_docs).select("template")
     # No line of the other templates is in min_docs documents; together they may be.
-    rare = templates.join(most.where(F.col("most") < min_docs), "template").select("line", "template")
-    spread = lines.join(rare, "line").groupBy("template", "doc_id", "text_hash", "line").agg(F.count("*").alias("equal_rows"))
+    rare = templates.join(most.where(F.col("most") < min_docs), "template").select(*_hashes("line"), "template")
+    hot = written(distinct.where(F.col("docs") > max(HOT, min_docs)).select(*_hashes("line")).distinct(), "line-hot")
+    cool = lines.select("doc_id", "text_hash", *_hashes("line")).join(small(hot), ["h1", "h2"], "left_anti")
+    spread = cool.join(rare, ["h1", "h2"]).groupBy("template", "doc_id", "text_hash", "h1").agg(F.count("*").alias("equal_rows"))
     spread = spread.groupBy("template", "doc_id", "text_hash").agg(F.max("equal_rows").alias("equal_rows"))
     spread = spread.groupBy("template").agg(F.sum("equal_rows").alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    return written(templates.join(sure.union(spread), "template").select("line", "template"), "line-recurring")
+    out = templates.join(sure.union(spread), "template").groupBy("line").agg(F.min("template").alias("template"))
+    return written(out, "line-recurring")
+
+
+def _hashes(line: str) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME) -> DataFrame:
     """docs (doc_id, text and any others) with the text's recurring lines dropped; adds n_lines and n_dropped, replacing such columns."""
-    recurring = recurring_lines(docs.select("doc_id", "text"), min_docs, same).select("line")
-    at = docs.select(*_key(docs), F.posexplode(_lines(docs["text"])).alias("at", "line"))
-    dropped = at.join(small(recurring), "line", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("_lt_dropped"))
-    dropped = dropped.withColumnRenamed("doc_id", "_lt_doc").withColumnRenamed("text_hash", "_lt_hash")
-    rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_lt_doc"]) & F.xxhash64(docs["text"]).eqNullSafe(dropped["_lt_hash"]), "left")
+    recurring = written(recurring_lines(docs.select("doc_id", "text"), min_docs, same).select(*_hashes("line")), "line-recurring-hashes")
+    at = docs.select(*_key(docs), F.posexplode(_lines(docs["text"])).alias("at", "line")).select("doc_id", "text_hash", "at", *_hashes("line"))
+    dropped = at.join(small(recurring), ["h1", "h2"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("gone"))
+    d, h, gone = free(docs, "lt_doc"), free(docs, "lt_hash"), free(docs, "lt_gone")
+    dropped = dropped.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("gone").alias(gone))
+    rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[d]) & F.xxhash64(docs["text"]).eqNullSafe(dropped[h]), "left")
     n = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.col("_lt_dropped"))
-    text = F.when(F.col("_lt_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(F.col("text")), i)), "\n"))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("n_dropped", F.coalesce(F.size("_lt_dropped"), F.lit(0)))
-    rows = rows.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).withColumn("text", text)
-    return rows.drop("_lt_doc", "_lt_hash", "_lt_dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(F.col("text")), i)), "\n"))
+    n_lines, n_dropped = F.when(F.col("text").isNull(), 0).otherwise(n), F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0))
+    return rows.withColumns({"n_lines": n_lines, "n_dropped": n_dropped, "text": text}).drop(d, h, gone)
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +138,18 @@ lines AS (SELECT DISTINCT row, leaf, line, tokens FROM leafed SEMI JOIN leaves U
 dist AS (SELECT leaf, line, any_value(tokens) AS tokens, count(*) AS docs FROM lines GROUP BY leaf, line),
 tok AS (SELECT leaf, line, docs, unnest(tokens) AS raw, unnest(range(0, len(tokens))) AS pos FROM dist),
 masked AS (SELECT leaf, line, docs, pos, {_SQL_MASK.format("raw")} AS token FROM tok),
-fixed AS (SELECT leaf, pos, token FROM masked GROUP BY leaf, pos, token HAVING sum(docs) >= {MIN_DOCS}),
-parts AS (SELECT m.leaf, m.line, m.pos, CASE WHEN f.token IS NULL THEN '<*>' ELSE m.token END AS token
-  FROM masked m LEFT JOIN fixed f ON f.leaf = m.leaf AND f.pos = m.pos AND f.token = m.token),
-templates AS (SELECT leaf, line, string_agg(token, ' ' ORDER BY pos) AS template FROM parts GROUP BY leaf, line
-  HAVING count(*) FILTER (token <> '<*>') / count(*)::DOUBLE >= {SAME}),
+fixed AS (SELECT leaf, pos, token, sum(docs) AS times FROM masked WHERE token <> '<*>' GROUP BY leaf, pos, token HAVING sum(docs) >= {MIN_DOCS}),
+crowded AS (SELECT leaf, pos FROM fixed GROUP BY leaf, pos HAVING count(*) > {CHILDREN}),
+totals AS (SELECT leaf, sum(docs) AS total FROM dist GROUP BY leaf),
+steady AS (SELECT f.leaf, f.pos, f.token, c.leaf IS NULL OR f.times * {CHILDREN} >= t.total AS steady
+  FROM fixed f JOIN totals t USING (leaf) LEFT JOIN crowded c ON c.leaf = f.leaf AND c.pos = f.pos),
+parts AS (SELECT m.leaf, m.line, m.pos, CASE WHEN f.token IS NULL THEN '<*>' ELSE m.token END AS one, CASE WHEN f.steady THEN m.token ELSE '<*>' END AS two
+  FROM masked m LEFT JOIN steady f ON f.leaf = m.leaf AND f.pos = m.pos AND f.token = m.token),
+ways AS (SELECT leaf, line, string_agg(one, ' ' ORDER BY pos) AS one, string_agg(two, ' ' ORDER BY pos) AS two,
+  count(*) FILTER (one <> '<*>') / count(*)::DOUBLE AS share_one,
+  count(*) FILTER (two <> '<*>' AND pos >= {LEADING}) / nullif(count(*) FILTER (pos >= {LEADING}), 0)::DOUBLE AS share_two FROM parts GROUP BY leaf, line),
+templates AS (SELECT leaf, line, one AS template FROM ways WHERE share_one >= {SAME}
+  UNION ALL SELECT leaf, line, two FROM ways WHERE one <> two AND share_two >= {SAME}),
 recurring AS (SELECT t.template FROM templates t JOIN lines l USING (line) GROUP BY t.template HAVING count(DISTINCT row) >= {MIN_DOCS}),
 bad AS (SELECT DISTINCT line FROM templates SEMI JOIN recurring USING (template)),
 flagged AS (SELECT a.row, a.pos, a.line, b.line IS NOT NULL AS gone FROM placed a LEFT JOIN bad b ON a.line = b.line),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest row count of a side that is broadcast; beyond it the join is left to Spark's own strategy.
-BROADCAST_ROWS = 100_000
+#: Largest side that is broadcast, in rows and in bytes of its values; beyond it the join is left to Spark's own strategy.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 #: White space as the contracts of this subpackage write it: space, tab, line feed, vertical tab, form feed, return.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -32,13 +33,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, about."""
+    total = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            total = total + 8 * F.greatest(F.size(f.name), F.lit(0))
+    return total.cast("long")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors. Its rows are counted as they are
-    written (row_count)."""
+    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors. Its rows and their bytes are counted
+    as they are written (row_count, small)."""
     path, seen = new_path(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("bytes")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.__dict__["row_count"] = seen.get["rows"]
+    out.__dict__["row_count"], out.__dict__["row_bytes"] = seen.get["rows"], seen.get["bytes"]
     return out
 
 
@@ -48,11 +60,10 @@ def row_count(df: DataFrame) -> int:
     return df.count() if known is None else known
 
 
-def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """side with a broadcast hint if it has at most `rows` rows, else as it is; side should be a written table."""
+def small(side: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """side with a broadcast hint if it is a written table of at most so many rows and bytes; otherwise as it is."""
     known = side.__dict__.get("row_count")
-    known = side.limit(rows + 1).count() if known is None else known
-    return F.broadcast(side) if known <= rows else side
+    return F.broadcast(side) if known is not None and known <= rows and side.__dict__["row_bytes"] <= n_bytes else side
 
 
 def free(df: DataFrame, name: str) -> str:
