@@ -3,8 +3,10 @@
 Tokens are runs of word characters and `+ / -`, and single other marks. Each is tagged as a secret's begin, its inside, or outside.
 A tag's score adds weights of hashed features: the token's shape (length, kinds of characters, changes between them, spread), words
 and shapes of its neighbours, and features of the whole file; weights between adjacent tags join them. The field is trained by
-gradient ascent on its log-likelihood, on what the patterns find in a bounded sample: at most MAX_POSITIVE texts with a pattern's
-keyword and MAX_OTHER others, MAX_CHARS of each, those with the least hashes.
+gradient ascent on its log-likelihood, on what the patterns find in a bounded sample of whole texts: at most MAX_POSITIVE with a
+pattern's mark and MAX_OTHER others, those with the least hashes (only hashes are compared; the texts chosen are fetched then). Each
+stretch around a secret is learnt a second time with other words of the text in the neighbours' places, so that a secret's own shape
+counts where no keyword stands beside it.
 
 Decoding is Viterbi's, on every whole text. Where "outside" wins by more than adjacent tags can ever change, it is part of any best
 path; the chain is cut there, and the short stretches between are decoded side by side. That is exact.
@@ -12,7 +14,8 @@ path; the chain is cut there, and the short stretches between are decoded side b
 Base spans stay as the patterns define them; the field's spans that touch none of them are added as kind `crf`.
 
 Nulls: a null text counts as empty; a null doc_id is kept. With nothing to learn from, nothing is added. Repeated rows get equal
-results. Offsets are code points, ends exclusive. Empty input, empty output.
+results; of equal rows one trains. Very long texts are tagged whole, CHUNK_CHARS or one text at a time. Of other columns, one that has
+the name of the new one is replaced, all others stay. Offsets are code points, ends exclusive. Empty input, empty output.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import table
+from .shared import table, written
 
 KINDS = ("assign", "access", "hex")
 CRF = len(KINDS)
 OUT, BEGIN, INSIDE = 0, 1, 2
-MAX_POSITIVE, MAX_OTHER, MAX_CHARS = 1000, 1000, 32_768
+MAX_POSITIVE, MAX_OTHER = 1000, 1000
 SIZE, EPOCHS, RATE, RIDGE, SIDE = 1 << 14, 25, 0.3, 1e-4, 30
 CHUNK_CHARS, KEPT_TOKENS = 2_000_000, 300_000
 
@@ -43,10 +46,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: A token and the space after it are one piece.
 _PIECE = re.compile(r"[\w+/-]+\x20?|[\x20\x09-\x0D]+|.", re.S)
-#: What a text with a base span surely holds, for the sample.
-MARKS = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}"
-
-
 #: Searches that are cheaper than the patterns and hold wherever they match: a keyword in lower case, a run of 24 hexadecimal digits.
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX_MARK = bytes(ord("h") if chr(c) in "0123456789abcdef" else 0 for c in range(256))
@@ -80,9 +79,8 @@ def _hash(*parts: object) -> int:
 
 def _key(token: str) -> tuple[str, int, bool]:
     """What the shape features depend on: few values for many tokens."""
-    own = token[:64]
-    classes = own.encode("ascii", "replace").translate(_CLASS_BYTES if own.isascii() else _OTHER_BYTES).decode()
-    return classes, len(set(own)) * 4 // len(own), not own.strip("0123456789abcdef")
+    classes = token.encode("ascii", "replace").translate(_CLASS_BYTES if token.isascii() else _OTHER_BYTES).decode()
+    return classes, len(set(token)) * 4 // len(token), not token.strip("0123456789abcdef")
 
 
 def _shape_features(classes: str, spread: int, in_hex: bool) -> list[int]:
@@ -196,6 +194,7 @@ def _tags(starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
 def train(texts: list[str], seed: int = 5) -> Model | None:
     """texts in a fixed order. Stretches around secrets, and some others, are the chains."""
     rng, chains, known = np.random.default_rng(seed), [], Tokens()
+    near_places = ((0, 0), (1, 1), (2, 2), (3, 3), (-1, 4))
     for text in texts:
         [(ids, starts)] = known.read([text])
         if not len(ids):
@@ -204,12 +203,13 @@ def train(texts: list[str], seed: int = 5) -> Model | None:
         words = place_features(known.word[ids]).tolist()
         # Beside the secrets: the longest other tokens, which resemble them most, and any two places.
         longest = np.argsort(-np.where(tags == OUT, known.size[ids], 0), kind="stable")[:3]
-        places = [*np.flatnonzero(tags == BEGIN)[:8].tolist(), *longest.tolist(), *rng.integers(len(ids), size=2).tolist()]
-        for at in places:
+        secrets = np.flatnonzero(tags == BEGIN)[:8].tolist()
+        for at, masked in [*((at, False) for at in (*secrets, *longest.tolist(), *rng.integers(len(ids), size=2).tolist())), *((at, True) for at in secrets)]:
             low, high = max(0, at - SIDE), min(len(ids), at + SIDE)
+            other = rng.integers(len(ids), size=len(ids)) if masked else np.arange(len(ids))
             rows = []
             for i in range(low, high):
-                near = [words[i - back][place] for back, place in ((0, 0), (1, 1), (2, 2), (3, 3), (-1, 4)) if 0 <= i - back < len(ids)]
+                near = [words[i if not back else other[i - back]][place] for back, place in near_places if 0 <= i - back < len(ids)]
                 rows.append(known.shape_list[known.shape[ids[i]]] + file + near)
             chains.append((rows, tags[low:high]))
     if not any((t > 0).any() for _, t in chains):
@@ -384,12 +384,30 @@ def finder(model: Model | None):  # noqa: ANN201
     return F.arrow_udf(find, T.ArrayType(_SPAN))
 
 
+def _marked(text: Column) -> Column:
+    """Whether a text holds what a base span begins with; looked for only where a cheaper search finds a part of it."""
+    low = F.lower(text)
+    word = F.lit(False)
+    for k in _KEYWORDS:
+        word = word | F.contains(low, F.lit(k))
+    assign = F.when(word, low.rlike(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")).otherwise(F.lit(False))
+    return assign | F.contains(text, F.lit("AKIA")) | text.rlike("[0-9a-f]{24}")
+
+
 def model_of(docs: DataFrame, positive: int = MAX_POSITIVE, other: int = MAX_OTHER) -> Model | None:
-    texts = docs.select("doc_id", F.substring(docs["text"].cast("string"), 1, MAX_CHARS).alias("text")).where(F.col("text").isNotNull())
-    order = [F.xxhash64(F.col("doc_id"), F.col("text")), "doc_id", "text"]
-    marked = F.col("text").rlike(MARKS)
-    rows = [r["text"] for where, n in ((marked, positive), (~marked, other)) for r in texts.where(where).orderBy(*order).limit(n).select("text").collect()]
-    return train(rows)
+    """Trained on a sample of docs (doc_id, text). Only keys and marks of all rows are written, and only the sample's texts are gathered."""
+    text = docs["text"].cast("string")
+    key = F.xxhash64(docs["doc_id"], text)
+    keys = written(docs.where(text.isNotNull()).select(key.alias("key"), _marked(text).alias("marked")), "secret-keys")
+    chosen = []
+    for marked, n in ((True, positive), (False, other)):
+        own = F.col("marked") if marked else ~F.col("marked")
+        chosen += [(r["key"], marked) for r in keys.where(own).select("key").distinct().orderBy("key").limit(n).collect()]
+    if not chosen:
+        return None
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "key long, marked boolean"))  # at most positive + other keys
+    rows = docs.select(key.alias("key"), text.alias("text")).join(picked, "key").dropDuplicates(["key"]).orderBy(F.desc("marked"), "key")
+    return train([r["text"] for r in rows.select("text").collect()])
 
 
 def with_spans(docs: DataFrame, model: Model | None, name: str = "spans") -> DataFrame:
