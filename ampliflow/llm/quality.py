@@ -4,13 +4,15 @@ Two zstandard dictionaries are trained, one on good and one on bad labelled text
 weigh the same anywhere in it, and each block is compressed with both. From the summed sizes come the normalised difference of the
 two and the compression ratios, which a logistic regression over piecewise linear terms turns into a calibrated score.
 
-Fitting uses a bounded sample of labelled rows: at most MAX_ROWS of each label (those with the smallest hashes of their doc_id), and
-MAX_CHARS of each. One half trains the dictionaries, the other half the calibration, weighted to the labels' frequencies among all
+Fitting uses a bounded sample of labelled rows: at most MAX_ROWS whole texts of each label (those with the smallest hashes of their
+doc_id). One half trains the dictionaries, the other half the calibration, weighted to the labels' frequencies among all
 labelled rows. Scoring reads every whole text, and nothing but the text.
 
 Nulls: a null text counts as empty, and an empty text gets a score as any other. Labels other than 0 and 1, labels without a document
 and null doc_ids train nothing. With no rows of one label the score is the share of label 1 (0.5 without labels). A null doc_id isn't
-held out. Repeated rows are scored alike; repeated labels of a document count as often as they occur.
+held out. Repeated rows are scored alike; repeated labels of a document count as often as they occur. Very long texts are scored whole,
+block by block. Of other columns, one that has the name of the new score is replaced, all others stay. An empty table of documents
+yields no rows, and without texts for one of the labels the score is the share of label 1, as above.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from .shared import table
 
-MAX_ROWS, MAX_CHARS = 2000, 32_768
+MAX_ROWS = 2000
 BLOCK, LEVEL, DICTIONARY_BYTES = 4096, 3, 65_536
 KNOTS = (0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)
 #: A document is kept if its score is at least this.
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    texts = docs.select("doc_id", F.substring("text", 1, MAX_CHARS).alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = []
     for k in (0, 1):
         order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
