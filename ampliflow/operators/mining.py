@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ampliflow.sources.tables import Design
 
@@ -36,26 +36,49 @@ def infix_distance(pattern: str, text: str, bound: int) -> int:
     return best if best <= bound else -1
 
 
-@F.arrow_udf(T.IntegerType())
-def infix_distances(patterns: pa.Array, texts: pa.Array, bounds: pa.Array) -> pa.Array:
-    rows = zip(patterns.to_pylist(), texts.to_pylist(), bounds.to_pylist(), strict=True)
-    return pa.array([infix_distance(p, t, k) if p is not None and t is not None else -1 for p, t, k in rows], pa.int32())
+#: Reads of a key that meet in one task: partial ones, full ones.
+PARTIALS, FULLS = 256, 1024
+
+
+def nearest_fulls(partials: DataFrame, fulls: DataFrame, min_identity: float = 0.85, n_partials: int = PARTIALS, n_fulls: int = FULLS) -> DataFrame:
+    """For each partial read (key, read_id, side, seq) its nearest full read (key, read_id, seq) of the same key: key, read_id, side,
+    identity, full_id, the first of equals. Reads of a key meet in blocks, so a hot key spreads over tasks and pairs never become rows."""
+    sizes = fulls.groupBy("key").agg(F.ceil(F.count("*") / n_fulls).alias("f_blocks")).join(partials.groupBy("key").agg(F.ceil(F.count("*") / n_partials).alias("p_blocks")), "key")
+    place = lambda n, *c: F.pmod(F.xxhash64(*c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = partials.select("key", "read_id", "side", "seq").join(sizes, "key").withColumns({"p": place(F.col("p_blocks"), "read_id", "side")}).withColumn("f", every(F.col("f_blocks")))
+    right = fulls.select("key", "read_id", "seq").join(sizes, "key").withColumns({"f": place(F.col("f_blocks"), "read_id")}).withColumn("p", every(F.col("p_blocks")))
+
+    def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        first: dict[str, int] = {}
+        for full_id, seq in zip(known["read_id"], known["seq"], strict=True):
+            if seq and (seq not in first or full_id < first[seq]):
+                first[seq] = full_id
+        out = []
+        for key, read_id, side, seq in zip(asked["key"], asked["read_id"], asked["side"], asked["seq"], strict=True):
+            best = None
+            for full, full_id in first.items() if seq is not None else ():
+                bound = int(np.floor(len(full) * (1 - min_identity)))
+                if len(full) - len(seq) > bound:  # the text is too short to hold it
+                    continue
+                d = infix_distance(full, seq, bound)
+                identity = 1 - d / len(full)
+                if d >= 0 and identity >= min_identity and (best is None or (identity, -full_id) > best):
+                    best = (identity, -full_id)
+            if best:
+                out.append((key, read_id, side, best[0], -best[1]))
+        return pd.DataFrame(out, columns=["key", "read_id", "side", "identity", "full_id"]).astype({"read_id": "int64", "identity": "float64", "full_id": "int64"})
+
+    blocks = left.groupBy("key", "p", "f").cogroup(right.groupBy("key", "p", "f"))
+    found = blocks.applyInPandas(meet, f"key {partials.schema['key'].dataType.simpleString()}, read_id long, side string, identity double, full_id long")
+    order = F.struct("identity", -F.col("full_id"))
+    return found.groupBy("key", "read_id", "side").agg(F.max_by(F.struct("identity", "full_id"), order).alias("best")).select("key", "read_id", "side", "best.*")
 
 
 def mine(partials: DataFrame, fulls: DataFrame, min_identity: float = 0.85) -> DataFrame:
     """partials: key, read_id, seq_id, description, seq, qual, side (forward, reverse); fulls: key, read_id, seq. For each partial read
-    that is similar enough to a full read of its key, the nearest one (the first of equals): new seq_id, identity, full_id.
-
-    Reads meet on their key, so the pairs are those of a specimen. A hot key is spread by its partial reads."""
-    full = fulls.select("key", F.col("read_id").alias("full_id"), F.col("seq").alias("full_seq"))
-    pairs = partials.join(full, "key").withColumn("bound", F.floor(F.length("full_seq") * F.lit(1 - min_identity)).cast("int"))
-    # A text that is shorter by more than the bound can't hold the pattern.
-    pairs = pairs.where(F.length("full_seq") - F.length("seq") <= F.col("bound"))
-    pairs = pairs.withColumn("d", infix_distances("full_seq", "seq", "bound"))
-    identity = 1 - F.col("d") / F.length("full_seq")
-    pairs = pairs.where((F.col("d") >= 0) & (F.length("full_seq") > 0)).withColumn("identity", identity).where(F.col("identity") >= min_identity)
-    best = pairs.groupBy("key", "read_id", "side").agg(F.max_by(F.struct("identity", "full_id"), F.struct("identity", -F.col("full_id"))).alias("best"))
-    out = partials.join(best, ["key", "read_id", "side"]).select("*", "best.*").drop("best")
+    that is similar enough to a full read of its key, the nearest one (the first of equals): new seq_id, identity, full_id."""
+    out = partials.join(nearest_fulls(partials, fulls, min_identity), ["key", "read_id", "side"])
     score = F.format_string("%.2f", F.col("identity"))
     out = out.withColumn("seq_id", F.concat_ws("_", "seq_id", F.lit("mined"), "side", score))
     return out.withColumn("description", F.concat_ws(" ", F.coalesce("description", F.lit("")), F.concat(F.lit("mined_"), "side"), F.concat(F.lit("identity="), score)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,25 +52,16 @@ def top_quality(facts: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def _append(files: Iterator[tuple[str, str]]) -> int:
-    n = 0
-    for path, text in files:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "a") as f:
-            f.write(text)
-        n += 1
-    return n
-
-
 def write_files(facts: DataFrame, folder: str, roll_up: bool = True) -> int:
-    """Appends each record to <folder>/<path>.fastq (.fasta without qualities), on a file system that all executors share. Each task
-    writes a folder of its own first; the driver then puts the parts of each file together, so a task that ran twice leaves no record
-    twice. Returns the number of files."""
-    import shutil
-    import uuid
+    """Appends each record to <folder>/<path>.fastq (.fasta without qualities), on a file system that all executors share. Returns the
+    number of files.
 
+    Each task first writes its records of each file as a part, in a folder of its own. Then each file is put together by one task, from
+    what it held before (as many bytes as were listed) and its parts in their order, and renamed into place; so a task that runs twice
+    leaves no record twice, and a run that breaks off leaves files whole."""
     folder = folder.removeprefix("file://")
     stage = os.path.join(folder, f".parts-{uuid.uuid4().hex}")
+    spark = facts.sparkSession
     rows = rolled_up(facts) if roll_up else facts
     rows = rows.select(F.concat("path", F.when(F.col("qual").isNull(), ".fasta").otherwise(".fastq")).alias("path"), "read_id", "cand_ord", record(facts).alias("text"))
     # Files are ordered by read inside a range of reads; large files spread over several tasks.
@@ -78,24 +71,45 @@ def write_files(facts: DataFrame, folder: str, roll_up: bool = True) -> int:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        own = f"{stage}/{part}-{TaskContext.get().taskAttemptId()}"
+        own, paths = f"{stage}/{part}-{TaskContext.get().taskAttemptId()}", []
         for batch in batches:
             for path, group in batch.groupby("path", sort=False):
-                _append([(f"{own}/{path}", "".join(group["text"]))])
-        yield pd.DataFrame({"part": [part], "own": [own]})
-
-    done = sorted((r["part"], r["own"]) for r in rows.mapInPandas(write, "part int, own string").collect())
-    written = set()
-    for _, own in done:
-        for d, _, names in os.walk(own):
-            for name in names:
-                target = os.path.join(folder, os.path.relpath(os.path.join(d, name), own))
+                os.makedirs(os.path.dirname(f"{own}/{path}"), exist_ok=True)
+                with open(f"{own}/{path}", "a") as f:
+                    f.write("".join(group["text"]))
+                if paths[-1:] != [path]:
+                    paths.append(path)
+        yield pd.DataFrame({"path": paths, "part": [part] * len(paths), "own": [own] * len(paths)}).astype({"part": "int32"})
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            targets = [os.path.join(folder, p) for p in batch["path"]]
+            yield batch.assign(held=pd.Series([os.path.getsize(t) if os.path.exists(t) else 0 for t in targets], dtype="int64"))
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, parts, held in zip(batch["path"], batch["parts"], batch["held"], strict=True):
+                target, draft = os.path.join(folder, path), os.path.join(stage, uuid.uuid4().hex)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(os.path.join(d, name)) as f, open(target, "a") as g:
-                    shutil.copyfileobj(f, g)
-                written.add(target)
+                with open(draft, "wb") as out:
+                    if held:
+                        with open(target, "rb") as f:
+                            shutil.copyfileobj(f, out)
+                        out.truncate(held)
+                        out.seek(held)
+                    for part in parts:
+                        with open(f"{part['own']}/{path}", "rb") as f:
+                            shutil.copyfileobj(f, out)
+                os.replace(draft, target)
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    parts, files = f"file://{stage}/_parts", f"file://{stage}/_files"
+    rows.mapInPandas(write, "path string, part int, own string").write.parquet(parts)
+    listed = spark.read.parquet(parts).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "own"))).alias("parts"))
+    listed.mapInPandas(sized, "path string, parts array<struct<part:int,own:string>>, held long").write.parquet(files)
+    n = spark.read.parquet(files).mapInPandas(join, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
     shutil.rmtree(stage, ignore_errors=True)
-    return len(written)
+    return n
 
 
 def write_sidecars(design: Design, folder: str) -> None:
