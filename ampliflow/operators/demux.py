@@ -7,7 +7,8 @@ through. Layout of a read:  [b1][forward primer] target [rc(reverse primer)][rc(
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import shutil
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +197,9 @@ def with_candidates(hits: DataFrame, design: Design) -> DataFrame:
 
 def exploded(rows: DataFrame, column: str) -> DataFrame:
     """A row for each candidate in an array of candidates: the read's columns and FIELDS."""
-    return rows.withColumn("c", F.explode(column)).drop("cands", "best").select("*", "c.*").drop("c")
+    # From explode() Spark would infer a filter on the array's size and push it down, where the search would run once more.
+    rows = rows.withColumn("c", F.explode_outer(column)).where(F.col("c").isNotNull())
+    return rows.drop("cands", "best").select("*", "c.*").drop("c")
 
 
 def _first(rows: Column, by: str) -> Column:
@@ -341,6 +344,7 @@ class Result:
     design: Design
     options: Options
     parameters: Parameters
+    written: str | None = None
 
     @property
     def candidates(self) -> DataFrame:
@@ -367,7 +371,13 @@ class Result:
     def with_hits_written(self, path: str) -> Result:
         """The same run from hits that are written once, for several consumers (facts, events, counts)."""
         self.hits.write.mode("overwrite").parquet(path)
-        return run_on(self.reads, self.reads.sparkSession.read.schema(self.hits.schema).parquet(path), self.design, self.options, self.parameters)
+        hits = self.reads.sparkSession.read.schema(self.hits.schema).parquet(path)
+        return replace(run_on(self.reads, hits, self.design, self.options, self.parameters), written=path)
+
+    def drop_written(self) -> None:
+        """Removes what with_hits_written wrote to a folder of this machine's file system."""
+        if self.written:
+            shutil.rmtree(self.written.removeprefix("file://"), ignore_errors=True)
 
 
 def run_on(reads: DataFrame, hits: DataFrame, design: Design, options: Options, params: Parameters) -> Result:

@@ -102,7 +102,7 @@ def run_events(result: Result, worker: str = "spark", level: int = 1, source: st
             _if((kind == "unknown") & (F.col("alternatives") > 1), _event("DEREPLICATE_UNKNOWN_SELECTED", 8, kept[0], F.col("n_primers"), kept[2], F.col("file_penalised"), within=o)),
         ]
     rows = result.outcomes.withColumn("own", F.when(F.coalesce("nth", F.lit(0)) == 0, F.concat(*own)))
-    rows = rows.select("read_id", F.explode(F.concat(F.coalesce("own", F.expr("array()").cast(_EVENTS)), *each)).alias("e"), *([source.alias("source")] if isinstance(source, Column) else []))
+    rows = rows.select("read_id", F.explode_outer(F.concat(F.coalesce("own", F.expr("array()").cast(_EVENTS)), *each)).alias("e"), *([source.alias("source")] if isinstance(source, Column) else []))
     gone = filtered(result.reads, result.options).where(F.col("filter_reason").isNotNull())
     gone = gone.select("read_id", F.explode(F.array(received, _event("SEQUENCE_FILTERED", 2, F.col("length"), F.col("filter_reason")))).alias("e"), *([source.alias("source")] if isinstance(source, Column) else []))
     events = rows.unionByName(gone)

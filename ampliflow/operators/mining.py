@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import glob
+import logging
+import os
+import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliflow.sources.tables import Design
 
+log = logging.getLogger("ampliflow")
+
 
 def infix_distance(pattern: str, text: str, bound: int) -> int:
     """Least edits of pattern in any part of text, -1 over the bound. Plain letters; patterns of any length (one big integer)."""
@@ -51,7 +58,7 @@ def nearest_fulls(partials: DataFrame, fulls: DataFrame, min_identity: float = 0
 
     def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         first: dict[str, int] = {}
-        for full_id, seq in zip(known["read_id"], known["seq"], strict=True):
+        for full_id, seq in zip(known["full_id"], known["full_seq"], strict=True):
             if seq and (seq not in first or full_id < first[seq]):
                 first[seq] = full_id
         out = []
@@ -69,7 +76,9 @@ def nearest_fulls(partials: DataFrame, fulls: DataFrame, min_identity: float = 0
                 out.append((key, read_id, side, best[0], -best[1]))
         return pd.DataFrame(out, columns=["key", "read_id", "side", "identity", "full_id"]).astype({"read_id": "int64", "identity": "float64", "full_id": "int64"})
 
-    blocks = left.groupBy("key", "p", "f").cogroup(right.groupBy("key", "p", "f"))
+    left = left.select("key", "p", "f", "read_id", "side", "seq")
+    right = right.select(F.col("key").alias("f_key"), F.col("p").alias("f_p"), F.col("f").alias("f_f"), F.col("read_id").alias("full_id"), F.col("seq").alias("full_seq"))
+    blocks = left.groupBy("key", "p", "f").cogroup(right.groupBy("f_key", "f_p", "f_f"))
     found = blocks.applyInPandas(meet, f"key {partials.schema['key'].dataType.simpleString()}, read_id long, side string, identity double, full_id long")
     order = F.struct("identity", -F.col("full_id"))
     return found.groupBy("key", "read_id", "side").agg(F.max_by(F.struct("identity", "full_id"), order).alias("best")).select("key", "read_id", "side", "best.*")
@@ -100,9 +109,58 @@ def partials_of(facts: DataFrame, design: Design, specimen_id: str, forward: boo
 
 def specimen_of_file(name: str) -> str:
     """sample_X.fastq or X.fastq: X."""
-    import re
-
     found = re.search(r"(?:sample_)?(.+)\.fastq", name.rsplit("/", 1)[-1])
     if not found:
         raise ValueError(f"{name} is no FASTQ file of a specimen")
     return found[1]
+
+
+def place_of_file(path: str) -> tuple[str, str, str | None]:
+    """Of <root>/full/<pool>[/<pair>]/<file>: root, pool, and pair or None."""
+    found = re.fullmatch(r"(?:(.*)/)?full/([^/]+)(?:/([^/]+))?/[^/]+", os.path.abspath(path))
+    if not found:
+        raise ValueError(f"{path} isn't in a pool's or a primer pair's folder under full/")
+    return found[1] or "/", found[2], found[3]
+
+
+def barcodes_of(spark: SparkSession, index: str, specimen_id: str) -> tuple[str, str]:
+    """A specimen's barcodes in a table of specimens; without headers of these names they are columns 1, 3 and 5."""
+    rows = spark.read.csv(index, sep="\t", header=True)
+    named = lambda name, n: F.col(f"`{name if name in rows.columns else rows.columns[n]}`")
+    own = rows.where(named("SampleID", 0) == specimen_id).select(F.upper(named("FwIndex", 2)), F.upper(named("RvIndex", 4))).first()
+    if own is None or not (own[0] and own[1]):
+        raise ValueError(f"{index} has no barcodes of a specimen {specimen_id}")
+    return own[0], own[1]
+
+
+def partial_files(path: str, b1: str, b2: str, forward: bool = False, reverse: bool = True) -> list[tuple[str, str]]:
+    """(side, file) of a specimen's partial reads: of the file's primer pair, or of all pairs of its pool. Names with sample_ before them
+    count where there are no others."""
+    root, pool, pair = place_of_file(path)
+    out = []
+    for side, name in [("forward", f"barcode_fwd_{b1}.fastq")] * forward + [("reverse", f"barcode_rev_{b2}.fastq")] * reverse:
+        folders = sorted(f for f in glob.glob(f"{glob.escape(root)}/partial/{glob.escape(pool)}/{glob.escape(pair) if pair else '*'}") if os.path.isdir(f))
+        own = [next((f"{d}/{n}" for n in (name, f"sample_{name}") if os.path.exists(f"{d}/{n}")), None) for d in folders]
+        if not any(own):
+            log.warning("no %s partial reads of %s", side, name)
+        out += [(side, f) for f in own if f]
+    return out
+
+
+def mine_file(spark: SparkSession, index: str, path: str, forward: bool = False, reverse: bool = True, min_identity: float = 0.85) -> int:
+    """Mines the partial reads of a specimen for its full file and writes them to <path>.mined, in the order of their files. Returns how
+    many they are."""
+    from ampliflow.sources.sequences import read_sequences
+
+    found = partial_files(path, *barcodes_of(spark, index, specimen_of_file(path)), forward, reverse)
+    if not found:
+        raise ValueError(f"there are no partial reads for {path}")
+    parts = [read_sequences(spark, f).select(F.lit("k").alias("key"), (F.col("read_num") + (n << 40)).alias("read_id"), "seq_id", "description", "seq", "qual", F.lit(side).alias("side")) for n, (side, f) in enumerate(found)]
+    fulls = read_sequences(spark, path).select(F.lit("k").alias("key"), F.col("read_num").alias("read_id"), "seq")
+    rows = mine(reduce(DataFrame.unionByName, parts), fulls, min_identity).orderBy("read_id")
+    n = 0
+    with open(f"{path}.mined", "w") as f:
+        for r in rows.select("seq_id", "description", "seq", "qual").toLocalIterator():  # one specimen's reads
+            f.write(f"@{r['seq_id']} {r['description'].strip()}\n{r['seq']}\n+\n{r['qual']}\n")
+            n += 1
+    return n

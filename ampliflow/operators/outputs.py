@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampliflow.functions.dna import average_quality
+from ampliflow.operators.demux import Result
 from ampliflow.sources.tables import FORWARD, REVERSE, Design
 
 LAYOUT = ["match_type", "pool", "primer_pair", "sample"]
@@ -26,10 +27,23 @@ def record(facts: DataFrame, named: bool = True) -> Column:
     return F.when(F.col("qual").isNull(), fasta).otherwise(F.concat(F.lit("@"), head, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"), F.lit("\n")))
 
 
-def console(facts: DataFrame) -> Iterator[str]:
-    """Records one by one, partition by partition."""
-    for row in facts.select(record(facts, named=False).alias("r")).toLocalIterator(prefetchPartitions=True):
-        yield row["r"]
+def _regions(run: Result) -> Column:
+    """Where barcodes and primers stand in what is written of a read: array of (start, end, kind), ends inclusive."""
+    shift = F.when(F.col("fact.trim_empty"), 0).otherwise(F.col("fact.start"))
+    of = lambda loc, kind: F.struct((loc["s"] - shift).alias("start"), (loc["e"] - shift).alias("end"), F.lit(kind).alias("kind"))
+    first = lambda locs: F.get(locs, 0)
+    found = [of(first(F.get(F.col(f"b{n}"), 0)["locs"]), "barcode") for n in (1, 2)] + [of(first(F.col(f"p{n}.locs")), "primer") for n in (1, 2)]
+    return F.filter(F.array(*found), lambda r: r["start"].isNotNull())
+
+
+def console(run: Result, colour: bool = False) -> Iterator[str]:
+    """Records of a run one by one, partition by partition; with colour their barcodes, primers and weak bases are marked."""
+    rows = run.outcomes.select("fact.*", (_regions(run) if colour else F.lit(None)).alias("regions"))
+    for row in rows.select(record(rows, named=False).alias("r"), "seq", "qual", "regions").toLocalIterator(prefetchPartitions=True):
+        text, seq = row["r"], row["seq"]
+        if colour:
+            text = text.replace(f"\n{seq}\n", f"\n{coloured(seq, row['qual'], [tuple(r) for r in row['regions']])}\n", 1)
+        yield text
 
 
 def rolled_up(facts: DataFrame) -> DataFrame:
@@ -127,7 +141,7 @@ def write_sidecars(design: Design, folder: str) -> None:
         with open(os.path.join(d, "primers.fasta"), "w") as f:
             f.writelines(f">{p.name} position={p.direction} pool={','.join(p.pools)}\n{p.primer}\n" for p in own)
         with open(os.path.join(d, "primers.txt"), "w") as f:
-            f.writelines(f"{p.name}\n" for p in own)
+            f.writelines(f">{p.name}\n{p.primer}\n" for p in own)
 
 
 def scaffold(design: Design) -> list[str]:

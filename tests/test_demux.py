@@ -102,23 +102,50 @@ def test_course_of_reads(spark, design, tmp_path):
     assert n == len({f["path"] for v in by_read.values() for f in v}) + 3
     assert [r[0] for r in records(str(full / "F1-R1/S1.fastq"))] == ["r0", "r1"] == [r[0] for r in records(str(full / "S1.fastq"))]
     assert (full / "F1-R1/S1.fastq").read_text().startswith("@r0 0,0,0,0 pool=A primers=F1+R1 S1\n")
-    assert (full / "primers.txt").read_text() == "F1\nR1\n"
+    assert (full / "primers.txt").read_text() == f">F1\n{F1}\n>R1\n{R1}\n"
     assert outputs.write_subsample(run.facts, design, str(tmp_path / "out"), 1) == 6
     assert len(list(records(str(tmp_path / "out/subsample/full/A/S1.fastq")))) == 1
     outputs.write_lake(run.facts, str(tmp_path / "lake"))
     assert spark.read.parquet(str(tmp_path / "lake")).where("match_type = 'partial'").count() == 3  # reads 4, 5, and 8, which ends within the target
-    assert sum(1 for _ in outputs.console(run.facts)) == sum(map(len, by_read.values()))
+    assert sum(1 for _ in outputs.console(run)) == sum(map(len, by_read.values()))
+    painted = next(t for t in outputs.console(run, colour=True) if t.startswith("@r0 "))
+    assert f"\033[32m{F1}" in "".join(c.upper() if c in "acgt" else c for c in painted)
+    # Written again, each file holds its records twice.
+    outputs.write_files(run.facts, str(tmp_path / "out"))
+    assert [r[0] for r in records(str(full / "S1.fastq"))] == ["r0", "r1", "r0", "r1"]
+
+
+def test_one_search_for_all_queries(spark, design, tmp_path):
+    run = demux.demultiplex(reads_of(spark, [whole(1), whole(2)[:40]]), design)
+    for rows in (run.hits, run.candidates, run.best, run.chosen, run.facts):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    assert events.run_events(run, level=3)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_trace_and_statistics(spark, design, tmp_path):
+    seqs = [whole(1), whole(3, b2="GGATCTAACC"), "ACGTTGCAAC" + F1 + insert(5), "T" * 120, whole(7, b2="AACCTTGGCA"), whole(8)[:30], "A"]
+    run = demux.demultiplex(reads_of(spark, seqs), design, demux.Options(min_length=2))
+    n_facts = run.facts.count()
 
     # The trace, written and read back.
     events.write_trace(events.run_events(run, level=3), str(tmp_path / "trace"))
     trace = events.read_trace(spark, str(tmp_path / "trace"))
     counts = {r["event_type"]: r["n"] for r in events.event_counts(trace).collect()}
-    assert counts["SEQUENCE_RECEIVED"] == 11 and counts["NO_MATCH_FOUND"] >= 3 and counts["SEQUENCE_OUTPUT"] == sum(map(len, by_read.values()))
+    assert counts["SEQUENCE_RECEIVED"] == 7 and counts["SEQUENCE_FILTERED"] == 1 and counts["NO_MATCH_FOUND"] == 1 and counts["SEQUENCE_OUTPUT"] == n_facts
+    assert counts["ORIENTATION_DETECTED"] == 6 and counts["DEREPLICATE_SELECTED"] == 2 and counts["SPECIMEN_RESOLVED"] == n_facts - 1
+    assert counts["PRIMER_MATCHED"] == counts["BARCODE_MATCHED"] == counts["MATCH_SCORED"] == run.candidates.count()
+    assert counts["MATCH_DISCARDED"] == run.candidates.count() - run.best.count()
+    hits = run.hits.select(F.explode("hits").alias("h"))
+    assert counts["PRIMER_SEARCH"] == hits.count() + 6 * 2 * 3  # and what was tried: three primers on two strands
+    found = trace.where("event_type = 'BARCODE_SEARCH' AND fields[5] = 'true'").count()
+    assert found == hits.select(F.explode("h.bcs")).count() and counts["BARCODE_SEARCH"] > found
     cands = events.with_dimensions(events.pivoted(trace))
+    assert {r["outcome"] for r in cands.where("sequence_id LIKE '%00000000%'").collect()} == {"matched", "discarded"}
     text = stats.report(cands, ["orientation", "outcome"])
     assert text.startswith("Dimensions: orientation → outcome\nCount by: candidate_matches\nTotal: ")
     data = stats.sankey(cands, ["orientation", "match_type", "outcome"], "sequences")
-    assert data["total_count"] == 11 and sum(x["value"] for x in data["links"] if data["nodes"][x["source"]]["layer"] == 0) == 11
+    assert data["total_count"] == 7 and sum(x["value"] for x in data["links"] if data["nodes"][x["source"]]["layer"] == 0) == 7
     stats.render_html(data, str(tmp_path / "d.html"))
     assert "<svg" in (tmp_path / "d.html").read_text()
     with pytest.raises(ValueError):
