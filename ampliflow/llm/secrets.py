@@ -5,8 +5,8 @@ A tag's score adds weights of hashed features: the token's shape (length, kinds
 and shapes of its neighbours, and features of the whole file; weights between adjacent tags join them. The field is trained by
 gradient ascent on its log-likelihood, on what the patterns find in a bounded sample of whole texts: at most MAX_POSITIVE with a
 pattern's mark and MAX_OTHER others, those with the least hashes (only hashes are compared; the texts chosen are fetched then). Each
-stretch around a secret is learnt a second time with other words of the text in the neighbours' places, so that a secret's own shape
-counts where no keyword stands beside it.
+stretch around a secret is learnt MASKED times more with other words of the text in the neighbours' places and the secret shortened or
+in capitals, so that a secret's own shape counts where no keyword stands beside it.
 
 Decoding is Viterbi's, on every whole text. Where "outside" wins by more than adjacent tags can ever change, it is part of any best
 path; the chain is cut there, and the short stretches between are decoded side by side. That is exact.
@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex")
 CRF = len(KINDS)
 OUT, BEGIN, INSIDE = 0, 1, 2
 MAX_POSITIVE, MAX_OTHER = 1000, 1000
-SIZE, EPOCHS, RATE, RIDGE, SIDE = 1 << 14, 25, 0.3, 1e-4, 30
+SIZE, EPOCHS, RATE, RIDGE, SIDE, MASKED = 1 << 14, 25, 0.3, 1e-4, 30, 3
 CHUNK_CHARS, KEPT_TOKENS = 2_000_000, 300_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -191,6 +191,13 @@ def _tags(starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
     return tags
 
 
+def _varied(token: str, known: Tokens, rng: np.random.Generator) -> int:
+    """A secret's token, or a shorter one or one in capitals: secrets of other lengths and alphabets have such shapes."""
+    token = token[: rng.integers(min(16, len(token)), len(token) + 1)]
+    [(ids, _)] = known.read([token.upper() if rng.random() < 0.3 else token])
+    return int(ids[0])
+
+
 def train(texts: list[str], seed: int = 5) -> Model | None:
     """texts in a fixed order. Stretches around secrets, and some others, are the chains."""
     rng, chains, known = np.random.default_rng(seed), [], Tokens()
@@ -204,13 +211,14 @@ def train(texts: list[str], seed: int = 5) -> Model | None:
         # Beside the secrets: the longest other tokens, which resemble them most, and any two places.
         longest = np.argsort(-np.where(tags == OUT, known.size[ids], 0), kind="stable")[:3]
         secrets = np.flatnonzero(tags == BEGIN)[:8].tolist()
-        for at, masked in [*((at, False) for at in (*secrets, *longest.tolist(), *rng.integers(len(ids), size=2).tolist())), *((at, True) for at in secrets)]:
+        for at, masked in [*((at, False) for at in (*secrets, *longest.tolist(), *rng.integers(len(ids), size=2).tolist())), *((at, True) for at in secrets for _ in range(MASKED))]:
             low, high = max(0, at - SIDE), min(len(ids), at + SIDE)
             other = rng.integers(len(ids), size=len(ids)) if masked else np.arange(len(ids))
             rows = []
             for i in range(low, high):
                 near = [words[i if not back else other[i - back]][place] for back, place in near_places if 0 <= i - back < len(ids)]
-                rows.append(known.shape_list[known.shape[ids[i]]] + file + near)
+                own = _varied(text[starts[i] : starts[i] + known.size[ids[i]]], known, rng) if masked and tags[i] != OUT else ids[i]
+                rows.append(known.shape_list[known.shape[own]] + file + near)
             chains.append((rows, tags[low:high]))
     if not any((t > 0).any() for _, t in chains):
         return None

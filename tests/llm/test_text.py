@@ -171,6 +171,10 @@ def test_secrets(spark):
     assert not out[71] and not out[5] and not any(out[n] for n in range(100, 160))
     assert all([s["kind"] for s in out[n]] == [0] for n in range(1000, 1060))
     assert [s["kind"] for s in out[72]] == [secrets.CRF]
+    # Without any keyword, in lower case or capitals, not longer than what was learnt: the shape alone.
+    bare = [(n, f"{prose()} {'%017x' % r.getrandbits(68)} {prose()}".replace("2024", "mills")) for n in range(30)] + [(n, f"{prose()} {'%016X' % r.getrandbits(64)} {prose()}") for n in range(30, 60)]
+    found = [any(k == secrets.CRF for k, _, _ in s) for s in secrets.all_spans([t for _, t in bare], model)]
+    assert np.mean(found) > 0.5
     assert "[SECRET]" in secrets.redact(docs.where("doc_id = 72"), model).first()["text"]
     assert secrets.model_of(docs_of(spark, [(1, "nothing")])) is None
     assert secrets.with_spans(docs_of(spark, []), None).count() == 0
