@@ -33,24 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _bytes(df: DataFrame) -> Column:
-    """Bytes of a row's values, about."""
-    total = F.lit(8 * len(df.columns))
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            total = total + 8 * F.greatest(F.size(f.name), F.lit(0))
-    return total.cast("long")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors. Its rows and their bytes are counted
-    as they are written (row_count, small)."""
+    """Writes df to the shared folder and reads it back: cuts lineage, and survives lost executors. Its rows are counted as they are
+    written (row_count, small)."""
     path, seen = new_path(df.sparkSession, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_bytes(df)), F.lit(0)).alias("bytes")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.__dict__["row_count"], out.__dict__["row_bytes"] = seen.get["rows"], seen.get["bytes"]
+    out.__dict__["row_count"] = seen.get["rows"]
     return out
 
 
@@ -60,10 +49,22 @@ def row_count(df: DataFrame) -> int:
     return df.count() if known is None else known
 
 
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the values of a written table of few rows, about."""
+    total, fixed = F.lit(8 * len(df.columns)), True
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total, fixed = total + F.coalesce(F.octet_length(f.name), F.lit(0)), False
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            each = F.octet_length(F.to_json(f.name)) if not isinstance(getattr(f.dataType, "elementType", None), T.NumericType) else 8 * F.size(f.name)
+            total, fixed = total + F.coalesce(each, F.lit(0)), False
+    return row_count(df) * 8 * len(df.columns) if fixed else df.agg(F.sum(total.cast("long"))).first()[0] or 0
+
+
 def small(side: DataFrame, rows: int = BROADCAST_ROWS, n_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """side with a broadcast hint if it is a written table of at most so many rows and bytes; otherwise as it is."""
     known = side.__dict__.get("row_count")
-    return F.broadcast(side) if known is not None and known <= rows and side.__dict__["row_bytes"] <= n_bytes else side
+    return F.broadcast(side) if known is not None and known <= rows and _bytes(side) <= n_bytes else side
 
 
 def free(df: DataFrame, name: str) -> str:

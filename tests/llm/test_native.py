@@ -93,3 +93,10 @@ def test_lines_of_a_template_go(spark):
     assert line_templates.drop_lines(docs_of(spark, [])).count() == 0
     clash = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("d", "h", "dropped", "n_lines", "line", "leaf")})
     assert line_templates.drop_lines(clash).count() == len(rows)
+
+
+def test_fields_with_many_common_values_are_variable(spark):
+    name = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(3))
+    rows = [(n, f"Parcel for {name(n % 100)} {name(5000 + n * 7 % 97)} has left the depot today\nonly {name(n)} in {name(n * 31)} line {name(n * 17)}", "en", "s", 0) for n in range(600)]
+    out = line_templates.drop_lines(docs_of(spark, rows)).agg(F.sum("n_dropped").alias("n"), F.min("n_dropped").alias("least")).first()
+    assert (out["n"], out["least"]) == (600, 1)
