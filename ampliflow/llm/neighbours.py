@@ -226,16 +226,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, members: int = M
     order = W.partitionBy("v").orderBy("id")
     rows = written(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "nn-rows")
     ask = written(ask, "nn-asked")
-    unique = written(ask.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "nn-queries")
-    # The sample: rows with the least hashes.
-    pick = lambda d, n: [r["v"] for r in d.orderBy(F.xxhash64("id", "v"), "id").limit(n).select("v").collect()]
+    # Equal vectors may have the same least id as others' ids repeat: queries are numbered.
+    unique = written(ask.select("v").distinct().select(F.monotonically_increasing_id().alias("id"), "v"), "nn-queries")
+    # The sample: vectors with the least hashes.
+    pick = lambda d, n: [r["v"] for r in d.select("v").orderBy(F.xxhash64("v"), "v").limit(n).collect()]
     sample, few = pick(rows, SAMPLE), pick(unique, SAMPLE_QUERIES)
     if not few:
         return empty
     index = fit(_unit(sample), _unit(few), rows.count(), k)
-
-    # Equal vectors may have the same least id as others' ids repeat: number them.
-    unique = written(unique.select(F.monotonically_increasing_id().alias("id"), "v"), "nn-numbered")
     best = 2 * (k + 1)
     blocks = -(-row_count(rows) // members)
     spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), row_count(unique) // 16))  # probing is the work of a query
