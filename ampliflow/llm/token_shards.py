@@ -43,7 +43,7 @@ CHUNK_CHARS, KEPT_PIECES, JOINED = 4_000_000, 450_000, 40
 #: Bytes of text to a shard, at most about.
 SHARD_BYTES = 256 << 20
 ORC = {
-    "compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true",
+    "compression": "lz4", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
