@@ -11,7 +11,8 @@ A source is never sorted in one task: ranks fall into `buckets` intervals, whose
 one interval in which the target is reached; only that interval is ordered row by row.
 
 Nulls: a null text has no words and takes nothing; a null source is a source of its own, the last one; a null doc_id is kept.
-Equal rows have the same hash and get the same number of copies. Sources without words have the target 0. Empty input, empty output.
+Equal rows have the same hash and get the same number of copies. Very long texts are rows as any other. Sources without words have the
+target 0. Empty input, empty output.
 """
 
 from __future__ import annotations

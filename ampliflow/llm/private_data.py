@@ -14,7 +14,8 @@ Counts are made before each shuffle. Term counts are taken for terms that a fixe
 that many documents share (an entity's common terms) are salted where they are shuffled.
 
 A row is a document. Nulls: a null text counts as empty; a null doc_id is kept. Repeated rows count as often as they occur and get
-equal results. Offsets are code points, ends exclusive. Empty input, empty output.
+equal results. Very long texts are rows as any other: scanned whole, in linear time. Only doc_id and text are read; sanitise keeps all
+other columns, whatever their names. Offsets are code points, ends exclusive. Empty input, empty output.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BROADCAST_ROWS, row_count, small, table, written
+from .shared import BROADCAST_ROWS, free, row_count, small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
@@ -242,15 +243,16 @@ def cleaned(text: str, base: list, terms: list, remove: float = REMOVE) -> str:
 def sanitise(docs: DataFrame, remove: float = REMOVE, **options) -> DataFrame:  # noqa: ANN003
     """docs (doc_id, text and any others) with sanitised texts."""
     spans = find(docs.select("doc_id", "text"), **options).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_hash"])
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
-    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_d"]) & (F.xxhash64(docs["text"]) == spans["_h"]), "left")
+    d, h, base_, terms_ = (free(docs, n) for n in ("pii_doc", "pii_hash", "pii_base", "pii_terms"))
+    spans = spans.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("base").alias(base_), F.col("terms").alias(terms_))
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans[d]) & F.xxhash64(docs["text"]).eqNullSafe(spans[h]), "left")
 
     def clean(texts: pa.Array, base: pa.Array, terms: pa.Array) -> pa.Array:
         rows = zip(texts.to_pylist(), base.to_pylist(), terms.to_pylist(), strict=True)
         return pa.array([t if t is None or b is None else cleaned(t, b, x, remove) for t, b, x in rows], pa.string())
 
-    text = F.arrow_udf(clean, T.StringType())(F.col("text").cast("string"), "_base", "_terms")
-    return rows.withColumn("text", text).drop("_d", "_h", "_base", "_terms")
+    text = F.arrow_udf(clean, T.StringType())(F.col("text").cast("string"), base_, terms_)
+    return rows.withColumn("text", text).drop(d, h, base_, terms_)
 
 
 def _count(kind: int) -> Column:

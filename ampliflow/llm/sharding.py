@@ -7,7 +7,8 @@ even spread needs; only buckets that are still too large are read again, deeper.
 
 A bucket of one single key can't be split by bits. Its equal rows fill pages 0, 1, ... of the shard, each within the limit; a
 document that is larger than the limit has a page of its own. Nulls: a null text has no bytes; a null doc_id hashes like an empty one.
-Equal rows are counted before anything is shuffled. Empty input, empty output.
+Equal rows are counted before anything is shuffled; very long texts count by their bytes. Only doc_id and text are read, so other columns can
+have any names. Empty input, empty output.
 """
 
 from __future__ import annotations

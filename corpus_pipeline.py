@@ -1,7 +1,12 @@
 """A corpus from documents to token shards: quality, near duplicates, benchmark passages, mixture, token ids.
 
 Each stage gets what the stage before it kept and lets its decisions take effect; all but the last return the columns of documents.
-Options of the operators are those of their own queries, but that near duplicates are found on five-word shingles."""
+Options of the operators are those of their own queries, but that near duplicates are found on five-word shingles.
+
+Null and empty texts are scored as any text, have no duplicates, hold no benchmark item, and take no part in the mixture (they have no
+words), so none reaches the shards. A null doc_id is kept as such, and with others of its group it is the last to be chosen. Repeated
+rows are one after the second stage. Texts are never cut. Extra columns with any names pass all stages but the last. Of an empty table
+every stage makes an empty one."""
 
 from __future__ import annotations
 

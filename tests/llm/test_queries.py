@@ -251,3 +251,13 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert ids == ids_of(sorted((d, t) for d, t in corpus()[0] if d is not None and d < 100 and d != 3))
     out = corpus_pipeline.run(spark, sf[0]).collect()
     assert out and sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
+
+
+def test_sanitised_texts_keep_other_columns(spark, sf):
+    from ampliflow.llm import private_data
+
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").selectExpr("*", "1 AS pii_doc", "2 AS PII_base", "3 AS _pii_base")
+    out = private_data.sanitise(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and len(rows) == len(corpus()[0]) and {(r["pii_doc"], r["PII_base"], r["_pii_base"]) for r in rows} == {(1, 2, 3)}
+    assert all("@mail" not in (r["text"] or "") and ("[EMAIL]" in r["text"]) == (160 <= (r["doc_id"] or 0) < 180) for r in rows if r["text"])
