@@ -67,7 +67,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Strings in a text that the library takes for tokens of their own, before any other rule.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.hints = {a[0] for a in self.added}
         self.uncut = [a for a in self.added if not set(a).isdisjoint(" \n\0")]
         breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_feed = breaks[0] if len(breaks) == 1 else None
@@ -119,10 +118,12 @@ class Encoder:
         """Gives the fresh pieces their ids. Marks after a letter are always tokens apart: such a piece is made of two others."""
         new, first = self.numbers.fresh, len(self.size)
         plain, other, made, parts, k = [], [], [], [], 0
+        together = "\0".join(new)
+        added = [a for a in self.added if a in together]
         while k < len(new):  # pieces that others are made of come in at the end
             piece = new[k]
             core = piece.rstrip(_MARKS)
-            odd = not self.hints.isdisjoint(piece) and any(a in piece for a in self.added)
+            odd = bool(added) and any(a in piece for a in added)
             if core and len(core) < len(piece) and core[-1].isalpha() and not odd:
                 made.append(first + k)
                 parts += [self.numbers[core], self.numbers[piece[len(core) :]]]
