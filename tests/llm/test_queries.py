@@ -51,7 +51,8 @@ def sf(spark, tmp_path_factory):
     docs = docs.selectExpr("*", *[f"'x' AS {c}" for c in CLASHES])
     tables = {
         "documents": docs, "benchmark": spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS distance"),
-        "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS score"),
+        "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "pages": spark.createDataFrame([(1, "u", "<p>x"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars"),
+        "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS score"),
     }
     for name, df in tables.items():
         df.repartition(3).write.parquet(f"{full}/{name}.parquet")
@@ -67,7 +68,7 @@ NAMES = [n for n in entry_points.queries() if re.match(r"op\d+_|pipeline", n)]
 
 
 def test_all_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 11)) and "pipeline" in NAMES
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 14)) and "pipeline" in NAMES
 
 
 @pytest.mark.parametrize("name", NAMES)
