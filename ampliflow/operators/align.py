@@ -1,5 +1,8 @@
 """Approximate search of short patterns in many windows at once: Myers' bit-parallel recurrence, numpy over the rows.
 
+Patterns may have any length: beyond 64 letters a column takes several words. Many patterns that begin with the text, such as barcodes,
+are searched together in a trie.
+
 Two modes: `infix`, where the pattern may lie anywhere in the text, and `prefix`, where it begins with the text. Distances over the
 bound are misses. All ends that reach the least distance are reported, ascending; an infix start is the least that gives it."""
 
@@ -9,20 +12,23 @@ import numpy as np
 
 from ampliflow.functions.dna import IUPAC
 
-FAR = 1 << 14
+FAR = 1 << 28
+
+
+def same_letters(letter: str, ambiguous: bool = True) -> set[str]:
+    """The letters that equal a letter. Ambiguity works both ways: of pattern and text."""
+    if not ambiguous:
+        return {letter}
+    return {letter} | set(IUPAC.get(letter, "")) | {code for code, bases in IUPAC.items() if letter in bases}
 
 
 def equalities(pattern: str, ambiguous: bool = True) -> np.ndarray:
-    """For each byte, the bits of the pattern's letters that equal it. Ambiguity works both ways: of pattern and text."""
-    if len(pattern) > 64:
-        raise ValueError("patterns have at most 64 letters")
-    out = np.zeros(256, np.uint64)
+    """For each byte, the bits of the pattern's letters that equal it, 64 letters to a word."""
+    out = np.zeros((256, -(-max(1, len(pattern)) // 64)), np.uint64)
     for i, p in enumerate(pattern):
-        same = {p}
-        if ambiguous:
-            same |= set(IUPAC.get(p, "")) | {code for code, bases in IUPAC.items() if p in bases}
-        for c in same:
-            out[ord(c)] |= np.uint64(1) << np.uint64(i)
+        for c in same_letters(p, ambiguous):
+            if ord(c) < 256:
+                out[ord(c), i // 64] |= np.uint64(1) << np.uint64(i % 64)
     return out
 
 
@@ -35,21 +41,36 @@ def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def end_scores(rows: np.ndarray, size: np.ndarray, equal: np.ndarray, length: int, prefix: bool) -> np.ndarray:
-    """Least edits of the pattern for each row and end position; FAR beyond a row's text."""
+def end_scores(rows: np.ndarray, size: np.ndarray, equal: np.ndarray, length: int | np.ndarray, prefix: bool, pattern: np.ndarray | None = None) -> np.ndarray:
+    """Least edits of the pattern for each row and end position; FAR beyond a row's text. equal: equalities of the pattern, and length
+    its letters. With pattern, each row has its own one: a place in equal (patterns x 256 x words), and length is an array of the rows.
+
+    A column of the matrix is one or more words of vertical differences; what leaves a word at its top (one more, or one less) enters
+    the next one. Only rows whose patterns end in a word read their score there."""
     n, width = rows.shape
-    one, top = np.uint64(1), np.uint64(1) << np.uint64(length - 1)
-    plus, minus = np.full(n, np.uint64(2**64 - 1)), np.zeros(n, np.uint64)
-    score, out = np.full(n, length, np.int16), np.full((n, width), FAR, np.int16)
+    lengths = np.broadcast_to(np.asarray(length), (n,))
+    words, one, zero = equal.shape[-1], np.uint64(1), np.uint64(0)
+    top, last = one << ((lengths - 1) % 64).astype(np.uint64), (lengths - 1) // 64
+    plus, minus = [np.full(n, np.uint64(2**64 - 1)) for _ in range(words)], [np.zeros(n, np.uint64) for _ in range(words)]
+    score, out = lengths.astype(np.int32), np.full((n, width), FAR, np.int32)
+    ends = [True] if words == 1 else [last == w for w in range(words)]
+    high = np.uint64(63)
     for j in range(width):
-        eq = equal[rows[:, j]]
-        x = eq | minus
-        d = (((x & plus) + plus) ^ plus) | x
-        h_plus, h_minus = minus | ~(d | plus), plus & d
-        score = score + ((h_plus & top) != 0) - ((h_minus & top) != 0)
+        eq = equal[rows[:, j]] if pattern is None else equal[pattern, rows[:, j]]
+        grown, shrunk = np.uint64(prefix), zero  # what enters the first word
+        for w in range(words):
+            x = eq[:, w] | minus[w] | shrunk
+            d = (((x & plus[w]) + plus[w]) ^ plus[w]) | x
+            h_plus, h_minus = minus[w] | ~(d | plus[w]), plus[w] & d
+            if words == 1:
+                score = score + ((h_plus & top) != 0) - ((h_minus & top) != 0)
+            elif ends[w].any():
+                score = score + ends[w] * (((h_plus & top) != 0).astype(np.int32) - ((h_minus & top) != 0))
+            up, down = h_plus >> high, h_minus >> high
+            h_plus, h_minus = (h_plus << one) | grown, (h_minus << one) | shrunk
+            plus[w], minus[w] = h_minus | ~(d | h_plus), h_plus & d
+            grown, shrunk = up, down
         out[:, j] = score
-        h_plus, h_minus = (h_plus << one) | np.uint64(prefix), h_minus << one
-        plus, minus = h_minus | ~(d | h_plus), h_plus & d
     out[np.arange(width) >= size[:, None]] = FAR
     return out
 
@@ -77,3 +98,85 @@ def search(rows: np.ndarray, size: np.ndarray, pattern: str, bound: int, prefix:
     for i, s, e in zip(at.tolist(), begin.tolist(), ends.tolist(), strict=True):
         places[i].append((s, e))
     return distance, places
+
+
+class Trie:
+    """Patterns as paths of letters from one root. Nodes lie level by level; a node's children lie together."""
+
+    def __init__(self, patterns: list[str], ambiguous: bool = True):
+        self.patterns = sorted(set(patterns))
+        self.depth = max(map(len, self.patterns), default=0)
+        kinds = sorted({c for p in self.patterns for c in p})
+        self.equal = np.zeros((len(kinds), 256), bool)
+        for n, letter in enumerate(kinds):
+            self.equal[n, [ord(c) for c in same_letters(letter, ambiguous) if ord(c) < 256]] = True
+        first, count, letter, final = [0], [0], [0], [-1]
+        level = [(0, 0, len(self.patterns))]  # node, its range of patterns
+        for d in range(self.depth + 1):
+            below = []
+            for node, a, b in level:
+                while a < b and len(self.patterns[a]) == d:
+                    final[node] = a
+                    a += 1
+                first[node] = len(first)
+                while a < b:
+                    e = a
+                    while e < b and self.patterns[e][d] == self.patterns[a][d]:
+                        e += 1
+                    below.append((len(first), a, e))
+                    for column, value in ((first, 0), (count, 0), (letter, kinds.index(self.patterns[a][d])), (final, -1)):
+                        column.append(value)
+                    count[node] += 1
+                    a = e
+            level = below
+        self.first, self.count, self.letter, self.final = (np.array(x) for x in (first, count, letter, final))
+
+    def search(self, rows: np.ndarray, size: np.ndarray, bound: int, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+        """All patterns that begin a row within the bound: row, pattern (a place in self.patterns), least distance, and the ends that
+        reach it, ascending. By row, then pattern. cells: of the distance matrix held at a time, about."""
+        step = max(1, cells // (max(1, len(self.patterns)) * (2 * bound + 1)))
+        parts = [self._search(rows[i : i + step], size[i : i + step], bound, i) for i in range(0, len(rows), step)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return *(np.concatenate([p[k] for p in parts]) for k in range(3)), [e for p in parts for e in p[3]]
+
+    def _search(self, rows: np.ndarray, size: np.ndarray, bound: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
+        # A state is a node and a row, with the distances of the node's path to the row's first d - bound .. d + bound letters (a band
+        # round the diagonal: what lies beyond it is over the bound). A state whose distances are all over the bound is left, with all
+        # patterns below its node.
+        n, band = len(rows), np.arange(-bound, bound + 1)
+        far, width = bound + 1, rows.shape[1]
+        node, row = np.zeros(n, np.int64), np.arange(n)
+        dist = np.where((band >= 0) & (band <= size[:, None]), np.minimum(band, far), far).astype(np.int16)
+        steps = np.arange(len(band), dtype=np.int16)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for d in range(1, self.depth + 1):
+            many = self.count[node]
+            of = np.repeat(np.arange(len(node)), many)
+            node = self.first[node][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            row, dist = row[of], dist[of]
+            place = d + band
+            text = rows[row[:, None], np.clip(place - 1, 0, max(0, width - 1))] if width else np.zeros((len(row), len(band)), np.uint8)
+            new = dist + ~self.equal[self.letter[node][:, None], text]
+            new[:, :-1] = np.minimum(new[:, :-1], dist[:, 1:] + 1)
+            beyond = (place < 0) | (place > size[row][:, None])
+            new[beyond] = far
+            new = np.minimum.accumulate(new - steps, 1) + steps
+            new[beyond] = far
+            dist = np.minimum(new, far).astype(np.int16)
+            alive = (dist <= bound).any(1)
+            node, row, dist = node[alive], row[alive], dist[alive]
+            whole = np.flatnonzero(self.final[node] >= 0)
+            if len(whole):
+                own = np.where(place >= 1, dist[whole], far)
+                least = own.min(1)
+                hit = least <= bound
+                found.append((row[whole][hit], self.final[node[whole][hit]], least[hit].astype(np.int64), np.where(own[hit] == least[hit][:, None], place - 1, -1)))
+            if not len(node):
+                break
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        row, pattern, least = (np.concatenate([f[k] for f in found]) for k in range(3))
+        ends = [[x for x in e if x >= 0] for f in found for e in f[3].tolist()]
+        order = np.lexsort((pattern, row))
+        return row[order] + shift, pattern[order], least[order], [ends[k] for k in order.tolist()]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ampliflow.functions.dna import complement, distance_code, reverse_complement, safe_name
-from ampliflow.operators.align import packed, search
+from ampliflow.operators.align import Trie, packed, search
 from ampliflow.sources.tables import FORWARD, Design, barcode_threshold, primer_thresholds
 
 FULL, PARTIAL_F, PARTIAL_R, SEVERAL, BEST, UNKNOWN = "full_match", "partial_forward", "partial_reverse", "multiple_specimens", "dereplicated_full", "unknown"
@@ -65,9 +65,9 @@ _HIT = T.StructType().add("strand", T.IntegerType()).add("primer", T.IntegerType
 HITS = T.ArrayType(_HIT)
 
 
-def _search_strand(seqs: list[bytes], strand: int, design: Design, params: Parameters, window: int, out: list[list[dict]]) -> None:
-    """Searches the last `window` bases for each primer's reverse complement, and what follows a hit for its barcodes. Locations are
-    places in the searched strand."""
+def _search_strand(seqs: list[bytes], strand: int, design: Design, tries: dict[str, tuple[Trie, list[list[str]]]], params: Parameters, window: int, out: list[list[dict]]) -> None:
+    """Searches the last `window` bases for each primer's reverse complement, and what follows a hit for its barcodes, all at once in
+    their trie. Locations are places in the searched strand."""
     tails = [s[-window:] for s in seqs]
     rows, size = packed(tails)
     shift = np.fromiter(map(len, seqs), np.int64, len(seqs)) - size
@@ -77,32 +77,33 @@ def _search_strand(seqs: list[bytes], strand: int, design: Design, params: Param
         if not len(found):
             continue
         spots = [(i, s + int(shift[i]), e + int(shift[i])) for i in found.tolist() for s, e in places[i]]
-        barcodes: dict[int, list[dict]] = {i: [] for i in found.tolist()}
-        reach = design.barcode_length + params.barcode
-        after, after_size = packed([seqs[i][e + 1 : e + 1 + reach] for i, _, e in spots])
-        for barcode in sorted(design.barcodes[primer.name]):
-            own, locs = search(after, after_size, complement(barcode), params.barcode, prefix=True)
-            best: dict[int, dict] = {}
-            for k, (i, _, e) in enumerate(spots):
-                d = int(own[k])
-                if d >= 0 and (i not in best or d < best[i]["dist"]):
-                    best[i] = {"bc": barcode, "dist": d, "locs": [{"s": e + 1 + a, "e": e + 1 + b} for a, b in locs[k]]}
-            for i, hit in best.items():
-                barcodes[i].append(hit)
+        trie, barcodes = tries[primer.name]
+        after, after_size = packed([seqs[i][e + 1 : e + 1 + trie.depth + params.barcode] for i, _, e in spots])
+        best: dict[int, dict[str, dict]] = {i: {} for i in found.tolist()}
+        spot, pattern, own, ends = trie.search(after, after_size, params.barcode)
+        for k, p, d, at in zip(spot.tolist(), pattern.tolist(), own.tolist(), ends, strict=True):
+            i, _, e = spots[k]
+            for b in barcodes[p]:
+                if b not in best[i] or d < best[i][b]["dist"]:  # of equals the first location
+                    best[i][b] = {"bc": b, "dist": d, "locs": [{"s": e + 1, "e": e + 1 + x} for x in at]}
         for i in found.tolist():
             locs = [{"s": s + int(shift[i]), "e": e + int(shift[i])} for s, e in places[i]]
-            out[i].append({"strand": strand, "primer": n, "dist": int(distance[i]), "locs": locs, "bcs": sorted(barcodes[i], key=lambda b: (b["dist"], b["bc"]))})
+            out[i].append({"strand": strand, "primer": n, "dist": int(distance[i]), "locs": locs, "bcs": sorted(best[i].values(), key=lambda b: (b["dist"], b["bc"]))})
 
 
 def hit_finder(design: Design, params: Parameters, window: int):  # noqa: ANN201
     """A function of a sequence and its reverse complement: all primer hits on both (strand 0 and 1) with the barcodes after them."""
+    tries = {}
+    for p in design.ordered:
+        trie = Trie([complement(b) for b in design.barcodes[p.name]])
+        tries[p.name] = trie, [[b for b in design.barcodes[p.name] if complement(b) == x] for x in trie.patterns]
 
     def find(seqs: pa.Array, backs: pa.Array) -> pa.Array:
         out: list[list[dict]] = [[] for _ in range(len(seqs))]
         for strand, column in enumerate((seqs, backs)):
             # A letter outside ASCII matches nothing, and stays one place.
             texts = [(t or "").encode("latin-1", "replace") for t in column.to_pylist()]
-            _search_strand(texts, strand, design, params, window, out)
+            _search_strand(texts, strand, design, tries, params, window, out)
         return pa.array(out, to_arrow_type(HITS))
 
     return F.arrow_udf(find, HITS)

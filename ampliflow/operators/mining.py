@@ -6,7 +6,6 @@ import glob
 import logging
 import os
 import re
-from collections import defaultdict
 from functools import reduce
 
 import numpy as np
@@ -14,42 +13,101 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampliflow.operators.align import end_scores, equalities, packed
 from ampliflow.sources.tables import Design
 
 log = logging.getLogger("ampliflow")
 
 
-def infix_distance(pattern: str, text: str, bound: int) -> int:
-    """Least edits of pattern in any part of text, -1 over the bound. Plain letters; patterns of any length (one big integer)."""
-    m = len(pattern)
-    if not m:
-        return 0
-    bits: dict[str, int] = defaultdict(int)
-    for i, c in enumerate(pattern):
-        bits[c] |= 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, m
-    for left, c in zip(range(len(text) - 1, -1, -1), text, strict=True):
-        eq = bits.get(c, 0)
-        x = eq | down
-        d = ((((x & up) + up) ^ up) | x) & full
-        grow, shrink = down | (full & ~(d | up)), up & d
-        score += bool(grow & top) - bool(shrink & top)
-        best = min(best, score)
-        if score - left > bound and best > bound:  # even a match in all that is left can't come down to the bound
-            return -1
-        grow, shrink = (grow << 1) & full, (shrink << 1) & full
-        up, down = shrink | (full & ~(d | grow)), grow & d
-    return best if best <= bound else -1
-
-
-#: Reads of a key that meet in one task: partial ones, full ones.
-PARTIALS, FULLS = 256, 1024
+#: Reads of a key that meet in one task: partial ones, full ones. Pairs that are verified together, and letters of a seed at most.
+PARTIALS, FULLS, PAIRS, SEED = 256, 1024, 512, 32
+#: Identities that are tried one after the other, above the least that is asked for.
+STEPS = (0.97, 0.94, 0.9)
+
+
+def infix_distances(patterns: list[bytes], texts: list[bytes], pairs: list[tuple[int, int]]) -> list[int]:
+    """Least edits of a pattern in any part of a text, for pairs of places in the two lists: many at a time, by bit-parallel columns of
+    as many words as the patterns need."""
+    out = [0] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda n: (len(patterns[pairs[n][0]]), len(texts[pairs[n][1]])))
+    for at in range(0, len(order), PAIRS):
+        own = [n for n in order[at : at + PAIRS] if patterns[pairs[n][0]]]  # an empty pattern is found anywhere
+        used = sorted({pairs[n][0] for n in own})
+        tables = [equalities(patterns[p].decode("latin-1"), ambiguous=False) for p in used]
+        words, place = max((t.shape[1] for t in tables), default=1), {p: k for k, p in enumerate(used)}
+        equal = np.zeros((len(used), 256, words), np.uint64)
+        for k, t in enumerate(tables):
+            equal[k, :, : t.shape[1]] = t
+        rows, size = packed([texts[pairs[n][1]] for n in own])
+        lengths = np.array([len(patterns[pairs[n][0]]) for n in own])
+        if rows.shape[1]:
+            least = end_scores(rows, size, equal, lengths, False, np.array([place[pairs[n][0]] for n in own])).min(1)
+            lengths = np.minimum(lengths, least)
+        for n, d in zip(own, lengths.tolist(), strict=True):
+            out[n] = d
+    return out
+
+
+def seeded(patterns: list[bytes], identity: float) -> tuple[dict[int, dict[bytes, list[tuple[int, int]]]], list[int]]:
+    """An inverted index of patterns: by length of seed, from seed to (pattern, its place there); and the edits allowed to each pattern.
+    A pattern with k edits allowed is cut into k + 1 pieces, of which one at least stays as it is; a piece's first letters are its seed."""
+    index: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+    allowed = []
+    for n, pattern in enumerate(patterns):
+        k = int(len(pattern) * (1 - identity) + 1e-9)
+        allowed.append(k)
+        size = len(pattern) // (k + 1)
+        own = index.setdefault(min(size, SEED), {})
+        for place in range(0, size * (k + 1), size) if size else (0,):
+            own.setdefault(pattern[place : place + min(size, SEED)], []).append((n, place))
+    return index, allowed
+
+
+def candidates_of(text: bytes, index: dict[int, dict[bytes, list[tuple[int, int]]]], patterns: list[bytes], allowed: list[int]) -> set[int]:
+    """The patterns that have a seed in the text from where they fit: what is before and after the seed must find its letters there, but
+    for the edits allowed."""
+    found: set[int] = set()
+    for size, own in index.items():
+        if not size:
+            found.update(n for places in own.values() for n, _ in places)
+            continue
+        for at in range(len(text) - size + 1):
+            for n, place in own.get(text[at : at + size], ()):
+                k = allowed[n]
+                if place - at <= k and len(patterns[n]) - place - (len(text) - at) <= k:
+                    found.add(n)
+    return found
+
+
+def nearest(partials: list[bytes | None], patterns: list[bytes], ranks: list[int], min_identity: float) -> list[tuple[tuple[float, int] | None, int]]:
+    """For each partial read (identity, place) of the most similar pattern of least rank, or None, and how many pairs were verified.
+
+    Similarity is tried from high to low: at a high identity seeds are long and few patterns have one by chance. What is found at or
+    above an identity is the most similar of all, since all others that are as similar have a seed at that identity too."""
+    best: list[tuple[float, int, int] | None] = [None] * len(partials)
+    verified: list[set[int]] = [set() for _ in partials]
+    asked = [n for n, seq in enumerate(partials) if seq is not None]
+    for identity in [x for x in STEPS if x > min_identity] + [min_identity]:
+        if not asked:
+            break
+        index, allowed = seeded(patterns, identity)
+        pairs = []
+        for n in asked:
+            new = candidates_of(partials[n], index, patterns, allowed) - verified[n]
+            verified[n] |= new
+            pairs += [(p, n) for p in sorted(new)]
+        for (p, n), d in zip(pairs, infix_distances(patterns, partials, pairs), strict=True):
+            own = (1 - d / len(patterns[p]), -ranks[p], p)
+            if d <= int(np.floor(len(patterns[p]) * (1 - min_identity))) and own[0] >= min_identity and (best[n] is None or own > best[n]):
+                best[n] = own
+        asked = [n for n in asked if best[n] is None or best[n][0] < identity]
+    return [(b and (b[0], b[2]), len(v)) for b, v in zip(best, verified, strict=True)]
 
 
 def nearest_fulls(partials: DataFrame, fulls: DataFrame, min_identity: float = 0.85, n_partials: int = PARTIALS, n_fulls: int = FULLS) -> DataFrame:
     """For each partial read (key, read_id, side, seq) its nearest full read (key, read_id, seq) of the same key: key, read_id, side,
-    identity, full_id, the first of equals. Reads of a key meet in blocks, so a hot key spreads over tasks and pairs never become rows."""
+    identity, full_id, the first of equals, and candidates, the full reads that it was compared with. Reads of a key meet in blocks, so a
+    hot key spreads over tasks; in a block candidates come from an inverted index of seeds, and pairs never become rows."""
     sizes = fulls.groupBy("key").agg(F.ceil(F.count("*") / n_fulls).alias("f_blocks")).join(partials.groupBy("key").agg(F.ceil(F.count("*") / n_partials).alias("p_blocks")), "key")
     place = lambda n, *c: F.pmod(F.xxhash64(*c), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -57,31 +115,24 @@ def nearest_fulls(partials: DataFrame, fulls: DataFrame, min_identity: float = 0
     right = fulls.select("key", "read_id", "seq").join(sizes, "key").withColumns({"f": place(F.col("f_blocks"), "read_id")}).withColumn("p", every(F.col("p_blocks")))
 
     def meet(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        first: dict[str, int] = {}
+        first: dict[bytes, int] = {}
         for full_id, seq in zip(known["full_id"], known["full_seq"], strict=True):
-            if seq and (seq not in first or full_id < first[seq]):
-                first[seq] = full_id
-        out = []
-        for key, read_id, side, seq in zip(asked["key"], asked["read_id"], asked["side"], asked["seq"], strict=True):
-            best = None
-            for full, full_id in first.items() if seq is not None else ():
-                bound = int(np.floor(len(full) * (1 - min_identity)))
-                if len(full) - len(seq) > bound:  # the text is too short to hold it
-                    continue
-                d = infix_distance(full, seq, bound)
-                identity = 1 - d / len(full)
-                if d >= 0 and identity >= min_identity and (best is None or (identity, -full_id) > best):
-                    best = (identity, -full_id)
-            if best:
-                out.append((key, read_id, side, best[0], -best[1]))
-        return pd.DataFrame(out, columns=["key", "read_id", "side", "identity", "full_id"]).astype({"read_id": "int64", "identity": "float64", "full_id": "int64"})
+            letters = seq.encode("latin-1", "replace") if seq else b""
+            if letters and (letters not in first or full_id < first[letters]):
+                first[letters] = full_id
+        patterns, ranks = list(first), list(first.values())
+        texts = [None if seq is None else seq.encode("latin-1", "replace") for seq in asked["seq"]]
+        found = nearest(texts, patterns, ranks, min_identity)
+        out = asked[["key", "read_id", "side"]].assign(identity=[b[0] if b else None for b, _ in found], full_id=[ranks[b[1]] if b else None for b, _ in found], candidates=[n for _, n in found])
+        return out.astype({"read_id": "int64", "identity": "float64", "full_id": "Int64", "candidates": "int64"})
 
     left = left.select("key", "p", "f", "read_id", "side", "seq")
     right = right.select(F.col("key").alias("f_key"), F.col("p").alias("f_p"), F.col("f").alias("f_f"), F.col("read_id").alias("full_id"), F.col("seq").alias("full_seq"))
     blocks = left.groupBy("key", "p", "f").cogroup(right.groupBy("f_key", "f_p", "f_f"))
-    found = blocks.applyInPandas(meet, f"key {partials.schema['key'].dataType.simpleString()}, read_id long, side string, identity double, full_id long")
-    order = F.struct("identity", -F.col("full_id"))
-    return found.groupBy("key", "read_id", "side").agg(F.max_by(F.struct("identity", "full_id"), order).alias("best")).select("key", "read_id", "side", "best.*")
+    found = blocks.applyInPandas(meet, f"key {partials.schema['key'].dataType.simpleString()}, read_id long, side string, identity double, full_id long, candidates long")
+    order = F.when(F.col("full_id").isNotNull(), F.struct("identity", -F.col("full_id")))
+    best = found.groupBy("key", "read_id", "side").agg(F.max_by(F.struct("identity", "full_id"), order).alias("best"), F.sum("candidates").alias("candidates"))
+    return best.where(F.col("best.full_id").isNotNull()).select("key", "read_id", "side", "best.*", "candidates")
 
 
 def mine(partials: DataFrame, fulls: DataFrame, min_identity: float = 0.85) -> DataFrame:

@@ -53,6 +53,54 @@ def _run(spark: SparkSession, sf_dir: str, **options) -> demux.Result:  # noqa:
     return demux.demultiplex(reads(spark, sf_dir), design(), demux.Options(**options))
 
 
+#: A sheet of specimens from the suppliers, two for each, with barcodes of 12 letters from hashes; the forward primer has a code of two
+#: bases (R). Reads: the letters of a document between the primers and barcodes of the specimen that its id asks for, some with errors.
+SHEET_PRIMERS = [("FR", "GATTRCGGCTAAGCTTCA", "forward", ["P"]), ("RR", "TGCAGGATCCTTAACGAG", "reverse", ["P"])]
+SHEET_EDITS = 2
+
+
+def _sheet_sql() -> str:
+    barcode = lambda n: f"translate(substr(md5(concat('barcode ', s_suppkey, ' ', 2 * c + {n})), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+    return f"SELECT row_number() OVER (ORDER BY s_suppkey, c) - 1 AS n, concat('S', s_suppkey, '-', c) AS specimen_id, {barcode(0)} AS b1, {barcode(1)} AS b2 FROM (SELECT s_suppkey, 0 AS c FROM supplier UNION ALL SELECT s_suppkey, 1 FROM supplier) x"
+
+
+def _sheet_reads_sql(everywhere: str) -> str:
+    rc = lambda x: f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+    inner = f"translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', ''{everywhere}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTTGCAACTGGTCAACGTCATGGC')"
+    head = "CASE doc_id % 7 WHEN 0 THEN concat(b1, 'GATTACGGCTAAGCTTCA') WHEN 1 THEN concat(substr(b1, 1, 4), substr(b1, 6), 'GATTGCGGCTAAGCTTCA') WHEN 2 THEN concat(substr(b1, 1, 9), 'A', substr(b1, 10), 'GATTGCGGCTACGCTTCA') WHEN 3 THEN 'GATTACGGCTAAGCTTCA' WHEN 4 THEN concat(substr(b1, 1, 6), substr(b1, 8), 'GATTACGGTAAGCTTCA') WHEN 5 THEN '' ELSE concat(b1, 'GATTCCGGCTAAGCTTCA') END"
+    tail = f"CASE doc_id % 5 WHEN 0 THEN concat({rc("'TGCAGGATCCTTAACGAG'")}, {rc('b2')}) WHEN 1 THEN concat({rc("'TGCAGGATCGTTAACGAG'")}, {rc('substr(b2, 2)')}) WHEN 2 THEN concat({rc("'TGCAGGATCCTTAACGAG'")}, {rc("concat(substr(b2, 1, 7), 'T', substr(b2, 9))")}) WHEN 3 THEN '' ELSE concat({rc("'TGCAGGATCCTTAACGAG'")}, {rc('b2')}) END"
+    return f"""
+  SELECT read_id, CASE WHEN read_id % 2 = 1 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS seq
+  FROM (SELECT doc_id AS read_id, concat({head}, {inner}, {tail}) AS s FROM documents d JOIN sheet h ON h.n = d.doc_id % (SELECT count(*) FROM sheet))"""
+
+
+def sheet_run(spark: SparkSession, sf_dir: str) -> demux.Result:
+    """Reads of the sheet of specimens, demultiplexed. A sheet is read on the driver, as any design."""
+    supplier, documents = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "documents"))
+    sheet = spark.sql(_sheet_sql().replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
+    specimens = [Specimen(r["n"], r["specimen_id"], "P", r["b1"], "FR", r["b2"], "RR") for r in sheet.orderBy("n").collect()]
+    design_ = Design([Primer(n, name, seq, way, list(pools)) for n, (name, seq, way, pools) in enumerate(SHEET_PRIMERS)], specimens)
+    rows = spark.createDataFrame([(s.spec_ord, s.b1, s.b2) for s in specimens], "n long, b1 string, b2 string")
+    text = _sheet_reads_sql("").replace("FROM documents d", "FROM {documents} d").replace("JOIN sheet h", "JOIN {sheet} h").replace("(SELECT count(*) FROM sheet)", str(max(1, len(specimens))))
+    reads_ = spark.sql(text, documents=documents, sheet=rows)
+    reads_ = reads_.select("read_id", F.concat(F.lit("read"), "read_id").alias("seq_id"), "seq", F.lit(None).cast("string").alias("qual"))
+    return demux.demultiplex(reads_, design_, demux.Options(index_distance=SHEET_EDITS))
+
+
+def _sheet_ctes() -> str:
+    rc = lambda x: f"reverse(translate({x}, 'ACGT', 'TGCA'))"
+    # By hand: reverse complements with each reading of R, thresholds (5 of 17 and two thirds letters; 6 of 18).
+    return rf"""
+sheet AS ({_sheet_sql()}),
+reads AS ({_sheet_reads_sql(", 'g'")}),
+primers(p, name, direction, file_index) AS (VALUES (0, 'FR', 'forward', 0), (1, 'RR', 'reverse', 1)),
+patterns(p, pattern, k) AS (VALUES (0, 'TGAAGCTTAGCCGTAATC', 5), (0, 'TGAAGCTTAGCCGCAATC', 5), (1, 'CTCGTTAAGGATCCTGCA', 6)),
+bars AS (SELECT DISTINCT 0 AS p, b1 AS bc, {rc('b1')} AS pattern FROM sheet UNION ALL SELECT DISTINCT 1, b2, {rc('b2')} FROM sheet),
+pairs(n, f, r, pool) AS (VALUES (0, 0, 1, 'P')),
+keys AS (SELECT n AS spec_ord, specimen_id, 'P' AS specimen_pool, 'FR' AS kp1, 'RR' AS kp2, b1 AS kb1, b2 AS kb2 FROM sheet),
+{_course(SHEET_EDITS)}"""
+
+
 # --- scalar functions and the small tables
 
 
@@ -124,6 +172,12 @@ def demultiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", "distance_code", "sample", "resolution", "path", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
+def sheet_demultiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of specimens, a primer with an ambiguity code, barcodes with errors and ties."""
+    out = sheet_run(spark, sf_dir).facts
+    return out.select("read_id", "distance_code", "sample", "resolution", "path", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
 def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).totals().withColumn("match_rate", F.round("match_rate", 6))
 
@@ -152,26 +206,32 @@ _BARCODE_EDITS = 2
 
 
 def _hits_ctes() -> str:
-    primers, bars, pairs, keys, kb = _PRIMER_ROWS, _BAR_ROWS, _PAIR_ROWS, _KEY_ROWS, _BARCODE_EDITS
     return rf"""
 reads AS ({_reads_sql(", 'g'")}),
-primers(p, name, direction, pattern, k, file_index) AS (VALUES {primers}),
-bars(p, bc, pattern) AS (VALUES {bars}),
-pairs(n, f, r, pool) AS (VALUES {pairs}),
-keys(spec_ord, specimen_id, specimen_pool, kp1, kp2, kb1, kb2) AS (VALUES {keys}),
+primers(p, name, direction, pattern, k, file_index) AS (VALUES {_PRIMER_ROWS}),
+bars(p, bc, pattern) AS (VALUES {_BAR_ROWS}),
+pairs(n, f, r, pool) AS (VALUES {_PAIR_ROWS}),
+keys(spec_ord, specimen_id, specimen_pool, kp1, kp2, kb1, kb2) AS (VALUES {_KEY_ROWS}),
+patterns AS (SELECT p, pattern, k FROM primers),
+{_course(_BARCODE_EDITS)}"""
+
+
+def _course(kb: int) -> str:
+    """The course of a read, from reads, primers, patterns (of a primer one for each way to read its codes), bars, pairs and keys."""
+    return rf"""
 strands AS (SELECT read_id, 0 AS x, seq AS s FROM reads UNION ALL SELECT read_id, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads),
 tails AS (SELECT read_id, x, s, right(s, {WINDOW}) AS t, greatest(length(s) - {WINDOW}, 0) AS shift FROM strands),
 spots AS (SELECT read_id, x, s, t, shift, unnest(range(1, length(t) + 1)) AS i FROM tails),
 tried AS (
   SELECT q.read_id, q.x, q.s, q.shift, q.p, q.k, q.i + q.l - 1 AS e, levenshtein(q.pattern, substr(q.t, q.i::INT, q.l::INT)) AS d
-  FROM (SELECT read_id, x, s, t, shift, i, p, k, pattern, unnest(range(length(pattern) - k, length(pattern) + k + 1)) AS l FROM spots, primers) q
+  FROM (SELECT read_id, x, s, t, shift, i, p, k, pattern, unnest(range(length(pattern) - k, length(pattern) + k + 1)) AS l FROM spots, patterns) q
   WHERE q.i + q.l - 1 <= length(q.t)),
 at_end AS (SELECT read_id, x, any_value(s) AS s, any_value(shift) AS shift, p, any_value(k) AS k, e, min(d) AS d FROM tried GROUP BY read_id, x, p, e),
 least AS (SELECT *, min(d) OVER (PARTITION BY read_id, x, p) AS dist FROM at_end),
 ends AS (SELECT read_id, x, p, s, dist, (shift + e - 1)::BIGINT AS e FROM least WHERE d = dist AND dist <= k),
 hit AS (SELECT read_id, x, p, any_value(s) AS s, any_value(dist) AS dist, min(e) AS e0, string_agg(e::VARCHAR, ',' ORDER BY e) AS ends FROM ends GROUP BY read_id, x, p),
 after AS (SELECT n.read_id, n.x, n.p, b.bc, b.pattern, n.e, substr(n.s, (n.e + 2)::INT, 40) AS t FROM ends n JOIN bars b ON b.p = n.p),
-bar_tried AS (SELECT read_id, x, p, bc, pattern, t, unnest(range(0, length(pattern) + {kb} + 1)) AS l FROM after),
+bar_tried AS (SELECT read_id, x, p, bc, pattern, t, unnest(range(greatest(1, length(pattern) - {kb}), length(pattern) + {kb} + 1)) AS l FROM after),
 bar AS (SELECT read_id, x, p, bc, min(levenshtein(pattern, substr(t, 1, l::INT))) AS d FROM bar_tried WHERE l <= length(t) GROUP BY read_id, x, p, bc HAVING min(levenshtein(pattern, substr(t, 1, l::INT))) <= {kb}),
 bar_list AS (SELECT read_id, x, p, string_agg(concat(bc, ':', d), ',' ORDER BY bc) AS barcodes, min(d) AS bd FROM bar GROUP BY read_id, x, p),
 tied AS (SELECT b.read_id, b.x, b.p, b.bc, b.d FROM bar b JOIN bar_list l USING (read_id, x, p) WHERE b.d = l.bd),
@@ -253,6 +313,7 @@ def _sql() -> dict[str, str]:
         "candidate_scores": f"WITH {chain} SELECT read_id, n1, n2, strand, score FROM scored",
         "best_candidates": f"WITH {chain} SELECT read_id, max(score) AS score, count(*) AS n_best FROM best GROUP BY read_id",
         "demultiplexed": f"WITH {chain} SELECT read_id, distance_code, sample, resolution, concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path, length(seq) AS n, md5(seq) AS seq_md5 FROM placed",
+        "sheet_demultiplexed": f"WITH {_sheet_ctes()} SELECT read_id, distance_code, sample, resolution, concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path, length(seq) AS n, md5(seq) AS seq_md5 FROM placed",
         "match_rate": f"WITH {chain} SELECT (SELECT count(*) FROM reads) AS total, count(DISTINCT read_id) AS matched, round(count(DISTINCT read_id) / (SELECT count(*) FROM reads)::DOUBLE, 6) AS match_rate FROM placed WHERE resolution = 'dereplicated_full'",
         "output_counts": f"WITH {chain} SELECT match_type, pool, primer_pair, sample, count(*) AS n FROM placed GROUP BY ALL",
         "pool_roll_up": f"WITH {chain} SELECT path, count(*) AS n FROM (SELECT concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path FROM placed UNION ALL SELECT concat('full/', pool, '/', sample) FROM placed WHERE resolution = 'dereplicated_full') GROUP BY path",
@@ -354,7 +415,7 @@ def _event_sql() -> dict[str, str]:
 
 _ALL = (
     reverse_complement, average_quality, length_filter, primer_thresholds, barcode_distances, pool_statistics, primer_pairs, convert_primers, primer_hits, orientation_votes, candidate_scores, best_candidates,
-    demultiplexed, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
+    demultiplexed, sheet_demultiplexed, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = _sql() | _event_sql()

@@ -1,6 +1,9 @@
 """The search kernel and the mining distance against plain dynamic programming."""
 
 import random
+import timeit
+
+import numpy as np
 
 from ampliflow.functions.dna import IUPAC, complement
 from ampliflow.operators import align, mining
@@ -39,6 +42,71 @@ def test_search_equals_dynamic_programming():
             assert (d, own) == (least if least <= bound else -1, want)
 
 
+def test_patterns_of_any_length():
+    r = random.Random(7)
+    for n in (63, 64, 65, 100, 128, 129, 200):
+        pattern = "".join(r.choice("ACGTRYN") for _ in range(n))
+        plain = "".join(c if c in "ACGT" else r.choice(IUPAC[c]) for c in pattern)
+        edits = lambda: "".join("" if r.random() < 0.03 else c + r.choice("ACGT") if r.random() < 0.03 else r.choice("ACGT") if r.random() < 0.04 else c for c in plain)
+        texts = [edits(), "ACGT" * 9 + edits() + "TTGA" * 5, plain, "".join(r.choice("ACGT") for _ in range(40)), edits()[: n // 2]]
+        rows, size = align.packed([t.encode() for t in texts])
+        for prefix in (False, True):
+            distance, places = align.search(rows, size, pattern, n // 5, prefix)
+            for text, d, own in zip(texts, distance, places):
+                row, ends = list(range(n + 1)), []  # of a column: least edits of each beginning of the pattern
+                for c in text:
+                    new = [row[0] + 1 if prefix else 0]
+                    for i, p in enumerate(pattern):
+                        new.append(min(row[i] + (not same(p, c)), row[i + 1] + 1, new[i] + 1))
+                    row = new
+                    ends.append(row[-1])
+                least = min(ends)
+                assert (d, [e for _, e in own]) == ((least, [k for k, v in enumerate(ends) if v == least]) if least <= n // 5 else (-1, []))
+    # Rows that each have a pattern of their own.
+    patterns = ["".join(r.choice("ACGT") for _ in range(n)) for n in (3, 70, 64, 150)]
+    texts = [p[:-1] + "A" + "CG" * 30 for p in patterns]
+    words = max(align.equalities(p).shape[1] for p in patterns)
+    equal = np.stack([np.pad(e, ((0, 0), (0, words - e.shape[1]))) for e in map(align.equalities, patterns)])
+    rows, size = align.packed([t.encode() for t in texts])
+    scores = align.end_scores(rows, size, equal, np.array([len(p) for p in patterns]), False, np.arange(4))
+    for k, p in enumerate(patterns):
+        one = align.end_scores(rows[k : k + 1], size[k : k + 1], align.equalities(p), len(p), False)
+        assert (scores[k] == one[0]).all()
+
+
+def test_a_trie_finds_what_a_loop_finds():
+    r = random.Random(6)
+    for turn in range(150):
+        letters, n = r.choice(["ACGT", "AC", "ACGTRYN"]), r.choice([1, 3, 20, 60])
+        patterns = ["".join(r.choice(letters) for _ in range(r.randint(1, 12) if turn % 2 else 9)) for _ in range(n)]
+        texts = ["".join(r.choice("ACGTN") for _ in range(r.randint(0, 14))) for _ in range(6)]
+        texts += [(p[1:] if r.random() < 0.5 else p.replace("R", "A")) + r.choice(["", "A", "GT"]) for p in patterns[:5]]
+        rows, size = align.packed([t.encode() for t in texts])
+        bound = r.randint(0, 4)
+        trie = align.Trie(patterns)
+        row, pattern, least, ends = trie.search(rows, size, bound, cells=r.choice([1, 100, 1 << 20]))
+        found = {(int(i), trie.patterns[p]): (int(d), e) for i, p, d, e in zip(row, pattern, least, ends, strict=True)}
+        want = {}
+        for p in set(patterns):
+            distance, places = align.search(rows, size, p, bound, prefix=True)
+            want |= {(i, p): (int(d), [e for _, e in places[i]]) for i, d in enumerate(distance) if d >= 0}
+        assert found == want and [(i, p) for i, p in zip(row.tolist(), pattern.tolist(), strict=True)] == sorted(zip(row.tolist(), pattern.tolist(), strict=True))
+    assert align.Trie([]).search(*align.packed([b"ACGT"]), 2)[3] == []
+
+
+def test_a_trie_reads_less_than_a_loop():
+    """Of four times the barcodes the trie has fewer than four times the states: they share beginnings, and few get to their ends."""
+    r = random.Random(8)
+    barcodes = ["".join(r.choice("ACGT") for _ in range(13)) for _ in range(800)]
+    rows, size = align.packed(["".join(r.choice("ACGT") for _ in range(16)).encode() for _ in range(200)])
+    took = {}
+    for n in (200, 800):
+        trie = align.Trie(barcodes[:n])
+        took[n] = min(timeit.repeat(lambda t=trie: t.search(rows, size, 3), number=1, repeat=3))
+    loop = min(timeit.repeat(lambda: [align.search(rows, size, b, 3, prefix=True) for b in barcodes], number=1, repeat=1))
+    assert took[800] < loop / 2 and took[800] < 4 * took[200]
+
+
 def test_search_of_nothing():
     rows, size = align.packed([b"", b"ACGT"])
     distance, places = align.search(rows, size, "ACG", 1)
@@ -50,13 +118,21 @@ def test_lower_case_bases_match_nothing():
     assert align.search(*align.packed([b"acgt"]), "ACGT", 1)[0][0] == -1
 
 
-def test_infix_distance():
+def test_infix_distances():
     r = random.Random(4)
-    for _ in range(400):
-        a, b = ("".join(r.choice("ACGT") for _ in range(r.randint(1, 14))) for _ in range(2))
-        least = min([len(a), *(v[0] for v in by_end(a, b, False, lambda x, y: x == y).values())])
-        for bound in (1, 4, 20):
-            assert mining.infix_distance(a, b, bound) == (least if least <= bound else -1)
+    texts = ["".join(r.choice("ACGT") for _ in range(r.choice([0, 1, 5, 14, 90]))) for _ in range(60)]
+    patterns = ["".join(r.choice("ACGT") for _ in range(r.choice([0, 1, 5, 14, 80]))) for _ in range(40)] + ["N", "acgt"]
+    pairs = [(p, t) for p in range(len(patterns)) for t in range(len(texts)) if len(patterns[p]) * len(texts[t]) < 500 or r.random() < 0.02]
+    got = mining.infix_distances([p.encode() for p in patterns], [t.encode() for t in texts], pairs)
+    for (p, t), d in zip(pairs, got, strict=True):
+        row = list(range(len(patterns[p]) + 1))
+        least = row[-1]
+        for c in texts[t]:
+            new = [0]
+            for i, x in enumerate(patterns[p]):
+                new.append(min(row[i] + (x != c), row[i + 1] + 1, new[i] + 1))
+            row, least = new, min(least, new[-1])
+        assert d == least
 
 
 def test_complement():
