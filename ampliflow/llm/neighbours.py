@@ -208,6 +208,12 @@ def _found(placed: DataFrame, probes: DataFrame, best: int, members: int, asked:
     return left.groupBy(*keys_).cogroup(right.groupBy(*keys_)).applyInPandas(_best(best), "q long, vec_id long, v array<double>, near double")
 
 
+def _mid(v: Column) -> Column:
+    """v, times a power of two where its squares would leave the range of doubles."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.when(most < 1e-100, F.transform(v, lambda x: x * F.lit(2.0**600))).when(most > 1e100, F.transform(v, lambda x: x * F.lit(2.0**-600))).otherwise(v)
+
+
 def _cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -253,7 +259,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, members: int = M
     found = found.groupBy("q", "vec_id", "v").agg(F.max("near").alias("near")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= best)
     same = rows.groupBy("id", "v").count().withColumnRenamed("id", "vec_id")
     found = found.join(same, ["vec_id", "v"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "count")))
-    found = written(found.join(unique.select(F.col("id").alias("q"), F.col("v").alias("q_v")), "q").select("q_v", "vec_id", "copy", (F.col("v") == F.col("q_v")).alias("equal"), _cosine(F.col("q_v"), F.col("v")).alias("score")), "nn-found")
+    found = written(found.join(unique.select(F.col("id").alias("q"), F.col("v").alias("q_v")), "q").select("q_v", "vec_id", "copy", (F.col("v") == F.col("q_v")).alias("equal"), _mid(F.col("q_v")).alias("a"), _mid(F.col("v")).alias("b")).select("q_v", "vec_id", "copy", "equal", _cosine(F.col("a"), F.col("b")).alias("score")), "nn-found")
     asked_rows = ask.select(F.col("id").alias("query_id"), F.col("v").alias("q_v"), F.monotonically_increasing_id().alias("row"))
     out = asked_rows.join(found, "q_v").where(~(F.col("equal") & (F.col("vec_id") == F.col("query_id")) & (F.col("copy") == 1)))
     out = out.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id", "copy"))).where(F.col("rank") <= k)

@@ -72,3 +72,18 @@ def test_queries_in_sparse_regions_get_k_rows(spark):
     want = brute(rows, range(400, 403), 5)
     assert all(len(v) == 5 for v in got.values()) and len(got) == 203
     assert {n: got[n] for n in want} == want
+
+
+def test_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 6))
+    scale = np.array([1e-320, 1e-200, 1.0, 1e200, 1e307])[np.arange(60) % 5]
+    rows = [(n, [float(v) for v in x[n] * scale[n]]) for n in range(60)]
+    vectors = spark.createDataFrame([*rows, (99, [0.0] * 6)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in neighbours.nearest(vectors, vectors.where("vec_id % 10 = 0 OR vec_id % 5 = 3")).orderBy("query_id", "rank").collect():
+        assert -1 - 1e-9 <= r["score"] <= 1 + 1e-9
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    # What denormal numbers keep of a direction.
+    want = brute([(n, [a / max(map(abs, v)) for a in v]) for n, v in rows], range(60), 5)
+    assert len(got) == 18 and np.mean([len(set(v) & set(want[q])) / 5 for q, v in got.items()]) >= 0.9
