@@ -115,7 +115,9 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME) ->
     rows = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[d]) & F.xxhash64(docs["text"]).eqNullSafe(dropped[h]), "left")
     n = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.col(gone))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(_lines(F.col("text")), i)), "\n"))
+    # Split once for a text: what stands in a function of an array's elements is worked out for each of them.
+    once = F.transform(F.array(F.struct(_lines(F.col("text")).alias("lines"), kept.alias("kept"))), lambda t: F.array_join(F.transform(t["kept"], lambda i: F.get(t["lines"], i)), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.get(once, 0))
     n_lines, n_dropped = F.when(F.col("text").isNull(), 0).otherwise(n), F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0))
     return rows.withColumns({"n_lines": n_lines, "n_dropped": n_dropped, "text": text}).drop(d, h, gone)
 

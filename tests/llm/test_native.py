@@ -100,3 +100,18 @@ def test_fields_with_many_common_values_are_variable(spark):
     rows = [(n, f"Parcel for {name(n % 100)} {name(5000 + n * 7 % 97)} has left the depot today\nonly {name(n)} in {name(n * 31)} line {name(n * 17)}", "en", "s", 0) for n in range(600)]
     out = line_templates.drop_lines(docs_of(spark, rows)).agg(F.sum("n_dropped").alias("n"), F.min("n_dropped").alias("least")).first()
     assert (out["n"], out["least"]) == (600, 1)
+
+
+def test_long_texts_take_linear_time(spark):
+    """A text of many lines with a recurring one is split once, not once for each line."""
+    import time
+
+    took = {}
+    for n in (2_000, 40_000):
+        text = "\n".join(f"unlike line {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]} of {k} and its end" if k else "Copyright of the same house" for k in range(n))
+        docs = docs_of(spark, [(d, text if d == 0 else "Copyright of the same house\nrest", "en", "a", 0) for d in range(12)])
+        began = time.time()
+        row = line_templates.drop_lines(docs).where("doc_id = 0").select("n_lines", "n_dropped", F.length("text")).first()
+        took[n] = time.time() - began
+        assert row["n_lines"] == n and row["n_dropped"] >= 1
+    assert took[40_000] < took[2_000] + 30
