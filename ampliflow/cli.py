@@ -91,6 +91,10 @@ def options_of(a: argparse.Namespace) -> demux.Options:
 
 
 def _logged_to(folder: str | None) -> None:
+    """Logs to a file of the folder, and no longer to one of a call before."""
+    for old in [h for h in log.handlers if isinstance(h, logging.FileHandler)]:
+        log.removeHandler(old)
+        old.close()
     if folder:
         os.makedirs(folder, exist_ok=True)
         file = logging.FileHandler(os.path.join(folder, "log.txt"), mode="w")
@@ -98,19 +102,20 @@ def _logged_to(folder: str | None) -> None:
         log.addHandler(file)
 
 
-def run_demux(reads: DataFrame, design: tables.Design, a: argparse.Namespace, name: str) -> None:
-    """One run over reads with read_id. Files, event log and totals share hits that are written once."""
+def run_demux(reads: DataFrame, design: tables.Design, a: argparse.Namespace, name: str, batch: str | None = None) -> None:
+    """One run over reads with read_id. Files, event log and totals share hits that are written once. batch: files and event log are
+    written once under that name, whatever runs again."""
     run = demux.demultiplex(reads, design, options_of(a))
     if not a.output_to_files:
         for text in outputs.console(run, a.color):
             sys.stdout.write(text)
         return
     run = run.with_hits_written(os.path.join(a.output_dir, ".hits"))
-    n = outputs.write_files(run.facts, a.output_dir)
+    n = outputs.write_files(run.facts, a.output_dir, batch=batch)
     outputs.write_sidecars(design, a.output_dir)
-    outputs.write_subsample(run.facts, design, a.output_dir, a.sample_topq)
+    outputs.write_subsample(run.facts, design, a.output_dir, a.sample_topq, batch)
     if a.diagnostics:
-        events.write_trace(events.run_events(run, level=a.diagnostics, source=name), os.path.join(a.output_dir, "trace"))
+        events.write_trace(events.run_events(run, level=a.diagnostics, source=name), os.path.join(a.output_dir, "trace"), batch)
     total = run.totals().first()
     log.info("%s: %d of %d reads matched (%.1f%%), %d files", name, total["matched"], total["total"], 100 * total["match_rate"], n)
     run.drop_written()
@@ -134,9 +139,9 @@ def _watch(spark: SparkSession, a: argparse.Namespace) -> int:
     _logged_to(a.output_dir if a.daemon or a.output_to_files else None)
     design, state = tables.load_design(a.primers, a.specimens), a.state or os.path.join(a.source, ".ampliflow-watch")
 
-    def process(reads: DataFrame, path: str) -> None:
+    def process(reads: DataFrame, path: str, batch: str) -> None:
         log.info("new file: %s", path)
-        run_demux(_numbered(reads), design, a, os.path.basename(path))
+        run_demux(_numbered(reads), design, a, os.path.basename(path), f"{os.path.abspath(state)} {batch}")
 
     watch.watch(spark, a.source, process, os.path.join(state, "checkpoint"), os.path.join(state, "status"), a.pattern, a.settle_time, a.stop_after).awaitTermination()
     return 0

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ampliflow.functions.dna import average_quality
+from ampliflow.functions.dna import mean_quality
 from ampliflow.operators.demux import Result
 from ampliflow.sources.tables import FORWARD, REVERSE, Design
 
@@ -49,8 +50,12 @@ def console(run: Result, colour: bool = False) -> Iterator[str]:
 def rolled_up(facts: DataFrame) -> DataFrame:
     """The facts, and for full matches a second row at the pool's own level (primer_pair null)."""
     pool_level = F.concat_ws("/", F.lit("full"), "pool", F.element_at(F.split("path", "/"), -1))
-    copies = facts.where("is_full").withColumn("primer_pair", F.lit(None).cast("string")).withColumn("path", pool_level)
-    return facts.unionByName(copies)
+    place = lambda pair, path: F.struct(pair.alias("primer_pair"), path.alias("path"))
+    own, above = place(F.col("primer_pair"), F.col("path")), place(F.lit(None).cast("string"), pool_level)
+    # One pass: as a union both branches would search the reads.
+    places = F.when(F.col("is_full"), F.array(own, above)).otherwise(F.array(own))
+    rows = facts.withColumn("place", F.explode(places))
+    return rows.withColumns({"primer_pair": F.col("place.primer_pair"), "path": F.col("place.path")}).drop("place")
 
 
 def write_lake(facts: DataFrame, path: str, mode: str = "append") -> None:
@@ -60,70 +65,154 @@ def write_lake(facts: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def top_quality(facts: DataFrame, n: int) -> DataFrame:
-    """The n records of each full sample (at pair and pool level) with the best mean quality, first read first among equals."""
-    rows = rolled_up(facts.where(F.col("match_type") == "full")).withColumn("average_quality", average_quality(F.col("qual")))
+    """The n records of each full sample (at pair and pool level) with the best mean quality, first read first among equals.
+
+    Reads are searched once, and a quality is taken once for both levels. Each task keeps the n best of a file before the shuffle, and so
+    does each merge of them: Spark limits the groups of a window whose rank has a bound."""
+    rows = facts.where(F.col("match_type") == "full").withColumn("average_quality", mean_quality("qual"))
+    rows = rolled_up(rows)
     order = W.partitionBy("path").orderBy(F.desc("average_quality"), "read_id", "cand_ord")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def write_files(facts: DataFrame, folder: str, roll_up: bool = True) -> int:
-    """Appends each record to <folder>/<path>.fastq (.fasta without qualities), on a file system that all executors share. Returns the
-    number of files.
+#: Bytes that are copied at a time.
+CHUNK = 4 << 20
+_LEDGER, _STAGE, _INTENT = ".batches", ".parts-", "_INTENT"
+
+
+def _mark(path: str, text: str = "") -> None:
+    """A file that is there whole or not at all."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with open(draft, "w") as f:
+        f.write(text)
+    os.replace(draft, path)
 
-    Each task first writes its records of each file as a part, in a folder of its own. Then each file is put together by one task, from
-    what it held before (as many bytes as were listed) and its parts in their order, and renamed into place; so a task that runs twice
-    leaves no record twice, and a run that breaks off leaves files whole."""
-    folder = folder.removeprefix("file://")
-    stage = os.path.join(folder, f".parts-{uuid.uuid4().hex}")
-    spark = facts.sparkSession
-    rows = rolled_up(facts) if roll_up else facts
-    rows = rows.select(F.concat("path", F.when(F.col("qual").isNull(), ".fasta").otherwise(".fastq")).alias("path"), "read_id", "cand_ord", record(facts).alias("text"))
-    # Files are ordered by read inside a range of reads; large files spread over several tasks.
-    rows = rows.repartitionByRange("read_id", "cand_ord").sortWithinPartitions("path", "read_id", "cand_ord")
+
+def _ledger(folder: str, batch: str) -> str:
+    return os.path.join(folder, _LEDGER, hashlib.sha256(batch.encode()).hexdigest())
+
+
+def is_written(folder: str, batch: str) -> bool:
+    """Whether a batch of that name is in the folder's files."""
+    return os.path.exists(_ledger(folder.removeprefix("file://"), batch))
+
+
+def _write_parts(stage: str):  # noqa: ANN202
+    """Writes a task's records of each file as a part, in a folder of the task's own: path, part, own (that folder), bytes."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        own, paths = f"{stage}/{part}-{TaskContext.get().taskAttemptId()}", []
+        part, sizes = TaskContext.get().partitionId(), {}
+        own = f"{stage}/{part}-{TaskContext.get().taskAttemptId()}"
         for batch in batches:
             for path, group in batch.groupby("path", sort=False):
-                os.makedirs(os.path.dirname(f"{own}/{path}"), exist_ok=True)
-                with open(f"{own}/{path}", "a") as f:
-                    f.write("".join(group["text"]))
-                if paths[-1:] != [path]:
-                    paths.append(path)
-        yield pd.DataFrame({"path": paths, "part": [part] * len(paths), "own": [own] * len(paths)}).astype({"part": "int32"})
+                data = "".join(group["text"]).encode()
+                if path not in sizes:
+                    os.makedirs(os.path.dirname(f"{own}/{path}"), exist_ok=True)
+                with open(f"{own}/{path}", "ab") as f:
+                    f.write(data)
+                sizes[path] = sizes.get(path, 0) + len(data)
+        yield pd.DataFrame({"path": list(sizes), "part": part, "own": own, "bytes": list(sizes.values())}).astype({"path": "object", "part": "int32", "own": "object", "bytes": "int64"})
+
+    return write
+
+
+def _target(folder: str, stage: str, path: str, held: int) -> str:
+    """Where parts are put: at the end of the file that is there, or in a draft of a new one."""
+    return os.path.join(folder, path) if held else os.path.join(stage, "_new", path)
 
-    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            targets = [os.path.join(folder, p) for p in batch["path"]]
-            yield batch.assign(held=pd.Series([os.path.getsize(t) if os.path.exists(t) else 0 for t in targets], dtype="int64"))
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _finish(spark: SparkSession, folder: str, stage: str) -> int:
+    """Puts the parts of a stage with an intent in their places and commits it. May be done again, whole or in part: each part has its
+    place in its file, fixed before. Returns the number of files."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, own, held, at in zip(batch["path"], batch["own"], batch["held"], batch["at"], strict=True):
+                target = _target(folder, stage, path, held)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                fd = os.open(target, os.O_RDWR | os.O_CREAT, 0o644)
+                try:
+                    with open(f"{own}/{path}", "rb") as f:
+                        while data := f.read(CHUNK):
+                            while data:
+                                done = os.pwrite(fd, data, at)
+                                data, at = data[done:], at + done
+                    os.fsync(fd)
+                finally:
+                    os.close(fd)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, parts, held in zip(batch["path"], batch["parts"], batch["held"], strict=True):
-                target, draft = os.path.join(folder, path), os.path.join(stage, uuid.uuid4().hex)
+            for path, held in zip(batch["path"], batch["held"], strict=True):
+                target, draft = os.path.join(folder, path), _target(folder, stage, path, held)
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(draft, "wb") as out:
-                    if held:
-                        with open(target, "rb") as f:
-                            shutil.copyfileobj(f, out)
-                        out.truncate(held)
-                        out.seek(held)
-                    for part in parts:
-                        with open(f"{part['own']}/{path}", "rb") as f:
-                            shutil.copyfileobj(f, out)
-                os.replace(draft, target)
-            yield pd.DataFrame({"files": [len(batch)]})
-
-    parts, files = f"file://{stage}/_parts", f"file://{stage}/_files"
-    rows.mapInPandas(write, "path string, part int, own string").write.parquet(parts)
-    listed = spark.read.parquet(parts).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "own"))).alias("parts"))
-    listed.mapInPandas(sized, "path string, parts array<struct<part:int,own:string>>, held long").write.parquet(files)
-    n = spark.read.parquet(files).mapInPandas(join, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+                if draft != target and os.path.exists(draft):
+                    os.replace(draft, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    placed = spark.read.parquet(f"file://{stage}/_placed")
+    n = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = spark.sparkContext.defaultParallelism
+    n(placed.repartition(tasks, "path", "part").mapInPandas(place, "n long"))
+    files = n(placed.where(F.col("first")).mapInPandas(show, "n long"))
+    with open(os.path.join(stage, _INTENT)) as f:
+        batch = f.read()
+    if batch:
+        _mark(_ledger(folder, batch))
     shutil.rmtree(stage, ignore_errors=True)
-    return n
+    return files
+
+
+def recover(spark: SparkSession, folder: str) -> int:
+    """Ends what a run that broke off has left in a folder of files: batches whose places were fixed are put in place, others go. Returns
+    how many were ended. A folder has one writer at a time."""
+    folder, done = folder.removeprefix("file://"), 0
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        stage = os.path.join(folder, name)
+        if name.startswith(_STAGE) and os.path.exists(os.path.join(stage, _INTENT)):
+            _finish(spark, folder, stage)
+            done += 1
+        elif name.startswith(_STAGE):
+            shutil.rmtree(stage, ignore_errors=True)
+    return done
+
+
+def write_files(facts: DataFrame, folder: str, roll_up: bool = True, batch: str | None = None) -> int:
+    """Appends each record to <folder>/<path>.fastq (.fasta without qualities), on a file system that all executors share. Returns the
+    number of files. batch: a name under which the folder remembers the write; a second write of that name does nothing.
+
+    Each task first writes its records of each file as a part. The sizes of the parts and of the files so far give each part its place in
+    its file; once these are written down, parts are copied there by as many tasks as there are parts, also those of one large file, and
+    bytes that a file holds already aren't touched. New files show when they are whole. Copies may be made again, by a task that runs
+    twice or by the next run after one that broke off (recover), which leaves no record twice and none out."""
+    folder = folder.removeprefix("file://")
+    spark = facts.sparkSession
+    recover(spark, folder)
+    if batch is not None and is_written(folder, batch):
+        return 0
+    stage = os.path.join(folder, f"{_STAGE}{uuid.uuid4().hex}")
+    rows = rolled_up(facts) if roll_up else facts
+    rows = rows.select(F.concat("path", F.when(F.col("qual").isNull(), ".fasta").otherwise(".fastq")).alias("path"), "read_id", "cand_ord", record(facts).alias("text"))
+    # Files are ordered by read inside a range of reads; large files spread over several tasks.
+    rows = rows.repartitionByRange("read_id", "cand_ord").sortWithinPartitions("path", "read_id", "cand_ord")
+    rows.mapInPandas(_write_parts(stage), "path string, part int, own string, bytes long").write.parquet(f"file://{stage}/_parts")
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            targets = [os.path.join(folder, p) for p in b["path"]]
+            yield b.assign(held=pd.Series([os.path.getsize(t) if os.path.exists(t) else 0 for t in targets], dtype="int64"))
+
+    parts = spark.read.parquet(f"file://{stage}/_parts")
+    held = parts.select("path").distinct().mapInPandas(sized, "path string, held long")
+    before = W.partitionBy("path").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.join(held, "path").withColumns({"at": F.col("held") + F.coalesce(F.sum("bytes").over(before), F.lit(0)), "first": F.row_number().over(W.partitionBy("path").orderBy("part")) == 1})
+    placed.write.parquet(f"file://{stage}/_placed")
+    _mark(os.path.join(stage, _INTENT), batch or "")
+    return _finish(spark, folder, stage)
 
 
 def write_sidecars(design: Design, folder: str) -> None:
@@ -154,12 +243,12 @@ def scaffold(design: Design) -> list[str]:
     return [*out, "unknown/unknown/unknown-unknown"]
 
 
-def write_subsample(facts: DataFrame, design: Design, folder: str, n: int) -> int:
-    """subsample/ beside full/, with the n best records of each of its files. 0 writes nothing."""
+def write_subsample(facts: DataFrame, design: Design, folder: str, n: int, batch: str | None = None) -> int:
+    """subsample/ beside full/, with the n best records of each of its files. 0 writes nothing. batch: as of write_files."""
     if n <= 0:
         return 0
     best = top_quality(facts, n).withColumn("path", F.regexp_replace("path", "^full/", "subsample/full/"))
-    count = write_files(best.drop("average_quality", "rank"), folder, roll_up=False)
+    count = write_files(best.drop("average_quality", "rank"), folder, roll_up=False, batch=batch and f"{batch} subsample")
     write_sidecars(design, os.path.join(folder, "subsample"))
     return count
 

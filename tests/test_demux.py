@@ -213,7 +213,7 @@ def test_watch(spark, tmp_path):
     folder.mkdir()
     (folder / "old.fastq").write_text("@o\nA\n+\nI\n")
     seen = []
-    query = watch.watch(spark, str(folder), lambda reads, path: seen.append((path, reads.count())), str(tmp_path / "c"), str(tmp_path / "s"), settle_time=0.5, stop_after=1)
+    query = watch.watch(spark, str(folder), lambda reads, path, batch: seen.append((path, reads.count())), str(tmp_path / "c"), str(tmp_path / "s"), settle_time=0.5, stop_after=1)
     (folder / "bad.fastq").write_text("@o\nAC\n+\nI\n")
     (folder / "new.fastq").write_text("@n\nA\n+\nI\n@m\nC\n+\nI\n")
     (folder / "other.txt").write_text("x")
