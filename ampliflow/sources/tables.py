@@ -206,6 +206,12 @@ def pair_distances(spark: SparkSession, words: list[str]) -> DataFrame:
     return x.join(F.broadcast(y), F.col("i") < F.col("j")).select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
 
+def pool_statistics(primers: DataFrame) -> DataFrame:
+    """primers (pools, direction): for each pool n_forward, n_reverse, n."""
+    rows = primers.select(F.explode("pools").alias("pool"), "direction")
+    return rows.groupBy("pool").agg(F.count_if(F.col("direction") == FORWARD).alias("n_forward"), F.count_if(F.col("direction") == REVERSE).alias("n_reverse"), F.count("*").alias("n"))
+
+
 def barcode_threshold(spark: SparkSession, design: Design) -> int:
     """Half the least distance of the barcodes, rounded up."""
     least = pair_distances(spark, used_combined(design)).agg(F.min("distance")).first()[0]
