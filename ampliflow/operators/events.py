@@ -4,12 +4,14 @@ An event: sequence_id, event_type, ord (its place among the sequence's events),
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampliflow.functions.dna import sequence_number_id
-from ampliflow.operators.demux import FULL_KINDS, PARTIAL_F, PARTIAL_R, Result, filtered
+from ampliflow.operators.demux import BEST, FULL_KINDS, PARTIAL_F, PARTIAL_R, Result, filtered
 
 _EVENTS = "array<struct<event_type:string,ord:struct<stage:int,within:int>,fields:array<string>>>"
 BASE = ("timestamp", "worker_id", "event_seq", "sequence_id", "event_type")
@@ -117,17 +119,21 @@ def numbered(events: DataFrame) -> DataFrame:
     return events.select(stamp.alias("timestamp"), F.lit("spark").alias("worker_id"), F.row_number().over(order).cast("long").alias("event_seq"), "sequence_id", "event_type", "fields")
 
 
-def write_trace(events: DataFrame, path: str) -> None:
-    """Tab-separated text, a file for each partition; the header names the base columns. Tabs in fields become spaces."""
+def write_trace(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Tab-separated text, a file for each partition; the header names the base columns. Tabs in fields become spaces. batch: written to
+    a folder of that name, in place of what a run of the same batch has left there; else appended."""
     fields = F.transform("fields", lambda f: F.regexp_replace(f, "[\t\r\n]", " "))
     line = F.concat_ws("\t", "timestamp", "worker_id", F.col("event_seq").cast("string"), "sequence_id", "event_type", fields)
     rows = numbered(events).sortWithinPartitions("sequence_id", "event_seq").select(line.alias("value"))
-    rows.write.mode("append").text(path)
+    if batch is None:
+        rows.write.mode("append").text(path)
+    else:
+        rows.write.mode("overwrite").text(f"{path}/{re.sub('[^A-Za-z0-9]+', '-', batch).strip('-')}")
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Trace rows of text files. Headers and lines of fewer than five fields are left out; an event_seq that is no number is 0."""
-    rows = spark.read.text(path).select(F.split("value", "\t").alias("p"), F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.split("value", "\t").alias("p"), F.col("_metadata.file_name").alias("file"))
     rows = rows.where((F.size("p") >= 5) & (F.get("p", 0) != "timestamp"))
     number = F.coalesce(F.get("p", 2).try_cast("long"), F.lit(0))
     return rows.select(F.get("p", 0).alias("timestamp"), F.get("p", 1).alias("worker_id"), number.alias("event_seq"), F.get("p", 3).alias("sequence_id"), F.get("p", 4).alias("event_type"), F.slice("p", 6, F.greatest(F.size("p") - 5, F.lit(0))).alias("fields"), "file")
@@ -137,13 +143,19 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def pivoted(trace: DataFrame) -> DataFrame:
-    """Candidates from trace rows: one for each PRIMER_MATCHED, or one of unknown outcome for a sequence without any."""
+def pivoted(trace: DataFrame, compat: bool = False) -> DataFrame:
+    """Candidates from trace rows: one for each PRIMER_MATCHED, or one of unknown outcome for a sequence without any. A candidate that
+    wasn't discarded has the strategy of the first MATCH_SELECTED with its primers and barcodes. compat: dereplicated full matches aren't
+    resolved, as in older logs, so that their outcome is unknown."""
     order = F.struct(*(["file"] if "file" in trace.columns else []), "event_seq")
     f = lambda i: F.get("fields", i)
     first = lambda kind, value: F.min_by(F.when(F.col("event_type") == kind, value), F.when(F.col("event_type") == kind, F.col("at")))
     rows = trace.withColumn("at", order)
-    per = rows.groupBy("sequence_id").agg(first("ORIENTATION_DETECTED", f(0)).alias("orientation"), first("SPECIMEN_RESOLVED", f(1)).alias("resolution"))
+    solved = (F.col("event_type") == "SPECIMEN_RESOLVED") & (F.lit(not compat) | (f(1) != BEST))
+    selected = F.when(F.col("event_type") == "MATCH_SELECTED", F.struct("at", f(0).alias("strategy"), F.slice("fields", 2, 4).alias("names")))
+    per = rows.groupBy("sequence_id").agg(
+        first("ORIENTATION_DETECTED", f(0)).alias("orientation"), F.min_by(F.when(solved, f(1)), F.when(solved, F.col("at"))).alias("resolution"), F.array_sort(F.collect_list(selected)).alias("selected"),
+    )
     own = rows.where(F.col("event_type").isin("PRIMER_MATCHED", "BARCODE_MATCHED", "MATCH_DISCARDED"))
     own = own.groupBy("sequence_id", f(0).alias("candidate_match_id")).agg(
         first("PRIMER_MATCHED", F.struct(f(1).alias("match_type"), f(2).alias("fp"), f(3).alias("rp"), f(6).alias("pool"))).alias("p"),
@@ -154,12 +166,14 @@ def pivoted(trace: DataFrame) -> DataFrame:
     gone = F.col("reason").isNotNull()
     unknown = F.col("candidate_match_id").isNull()
     text = lambda c, other="none": F.coalesce(c, F.lit(other))
+    names = F.array(text(F.col("p.fp")), text(F.col("p.rp")), text(F.col("b.fb")), text(F.col("b.rb")))
+    strategy = F.get(F.filter("selected", lambda s: F.transform(s["names"], lambda n: F.when(n == "", "none").otherwise(n)) == names), 0)["strategy"]
     done = F.when(F.col("resolution").isin(*FULL_KINDS), "matched").when(F.col("resolution").isin(PARTIAL_F, PARTIAL_R), "partial").otherwise("unknown")
     return out.select(
         text(F.col("candidate_match_id")).alias("candidate_match_id"), "sequence_id", text(F.col("orientation"), "unknown").alias("orientation"),
         text(F.col("p.fp")).alias("forward_primer"), text(F.col("p.rp")).alias("reverse_primer"), text(F.col("p.pool")).alias("pool"), text(F.col("b.fb")).alias("forward_barcode"), text(F.col("b.rb")).alias("reverse_barcode"),
         text(F.coalesce("b.match_type", "p.match_type")).alias("match_type"), F.when(gone | unknown, "none").otherwise(text(F.col("resolution"))).alias("resolution_type"),
-        F.when(unknown, "unknown").when(gone, "discarded").otherwise(done).alias("outcome"), F.when(gone, "discarded").otherwise("none").alias("selection_strategy"), text(F.col("reason")).alias("discard_reason"),
+        F.when(unknown, "unknown").when(gone, "discarded").otherwise(done).alias("outcome"), F.when(gone, "discarded").when(unknown, "none").otherwise(text(strategy)).alias("selection_strategy"), text(F.col("reason")).alias("discard_reason"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import json
-from functools import reduce
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,12 +31,10 @@ def nested_counts(cands: DataFrame, dimensions: list[str], by: str = "candidate_
     rolled = rows.rollup(*dimensions).agg(F.count("*").alias("count"), F.grouping_id().alias("gid"))
     depth = len(dimensions) - F.length(F.replace(F.bin("gid"), F.lit("0"), F.lit("")))
     rolled = rolled.withColumn("depth", depth.cast("int"))
-    levels = []
-    for d in range(len(dimensions) + 1):
-        above = dimensions[: d - 1] if d else []
-        total = F.sum("count").over(W.partitionBy("depth", *above))
-        levels.append(rolled.where(F.col("depth") == d).withColumn("percent", F.lit(100.0) * F.col("count") / total))
-    return reduce(DataFrame.unionByName, levels).drop("gid")
+    # A group's parent has the dimensions up to the last but one; the whole has none above it.
+    above = F.slice(F.array(*dimensions), F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))
+    total = F.sum("count").over(W.partitionBy("depth", above))
+    return rolled.withColumn("percent", F.lit(100.0) * F.col("count") / total).drop("gid")
 
 
 def report(cands: DataFrame, dimensions: list[str], by: str = "candidate_matches") -> str:
@@ -94,19 +92,50 @@ def write_json(data: dict, path: str) -> None:
 
 
 PALETTES = {"light": ("#ffffff", "#222222"), "dark": ("#16181d", "#e8e8e8")}
-#: Fixed colours of the outcomes; other values take turns.
-OUTCOMES = {"matched": "#2a9d55", "partial": "#d9a520", "unknown": "#8a8a8a", "discarded": "#c0504d", "true": "#2a9d55", "false": "#c0504d"}
-
-
-def _colour(node: dict) -> str:
-    return OUTCOMES.get(str(node["value"]), f"hsl({(node['id'] * 67 + node['layer'] * 29) % 360} 45% 50%)")
+#: Fixed colours of values, and of counts of barcodes; names of pools, primers and barcodes keep a hue of their own in every diagram.
+VALUES = {
+    "matched": "#2a9d55", "partial": "#d9a520", "unknown": "#8a8a8a", "discarded": "#c0504d", "true": "#2a9d55", "false": "#c0504d", "none": "#b5b5b5", "both": "#2a9d55", "forward_only": "#4f81bd",
+    "reverse_only": "#8064a2", "forward": "#4f81bd", "reverse": "#8064a2", "full_match": "#2a9d55", "dereplicated_full": "#1f7a42", "partial_forward": "#d9a520", "partial_reverse": "#c98b1b", "multiple_specimens": "#3c8d8d",
+}
+COUNTS = {"0": "#c0504d", "1": "#d9a520", "2": "#2a9d55"}
+NAMED = ("pool", "forward_primer", "reverse_primer", "primer_pair", "forward_barcode", "reverse_barcode", "barcode_pair")
+
+
+def colour(node: dict) -> str:
+    """A node's colour: by its value, where its dimension gives the value a meaning; by its name; or in turn."""
+    value, dimension = str(node["value"]).lower() if node["value"] is not None else "none", node["dimension"]
+    if dimension == "barcode_count":
+        return COUNTS.get(value, "#8a8a8a")
+    if value in VALUES and (dimension not in NAMED or value in ("none", "unknown")):
+        return VALUES[value]
+    if dimension in NAMED:
+        return f"hsl({zlib.crc32(value.encode()) % 360} 50% 45%)"
+    return f"hsl({(node['id'] * 67 + node['layer'] * 29) % 360} 45% 50%)"
+
+
+def check_sankey(data: dict) -> None:
+    """Raises ValueError unless data is a diagram's: nodes with places and layers, links between nodes of layers that follow each other."""
+    for key in ("nodes", "links", "dimensions"):
+        if not isinstance(data.get(key), list):
+            raise ValueError(f"the diagram's data has no list of {key}")
+    for n, node in enumerate(data["nodes"]):
+        if missing := {"id", "label", "layer", "dimension", "value"} - set(node):
+            raise ValueError(f"node {n} has no {', '.join(sorted(missing))}")
+        if node["id"] != n or not 0 <= node["layer"] < len(data["dimensions"]):
+            raise ValueError(f"node {n} has the id {node['id']} and the layer {node['layer']}")
+    for n, link in enumerate(data["links"]):
+        if missing := {"source", "target", "value"} - set(link):
+            raise ValueError(f"link {n} has no {', '.join(sorted(missing))}")
+        ends = [link[k] for k in ("source", "target")]
+        if any(not isinstance(e, int) or not 0 <= e < len(data["nodes"]) for e in ends) or data["nodes"][ends[0]]["layer"] + 1 != data["nodes"][ends[1]]["layer"]:
+            raise ValueError(f"link {n} joins {ends[0]} and {ends[1]}")
+        if link["value"] < 0:
+            raise ValueError(f"link {n} has the value {link['value']}")
 
 
 def render_html(data: dict, path: str, width: int = 1200, height: int = 600, theme: str = "light") -> None:
     """A self-contained page with the diagram as SVG."""
-    for key in ("nodes", "links", "dimensions"):
-        if key not in data:
-            raise ValueError(f"the diagram's data has no {key}")
+    check_sankey(data)
     paper, ink = PALETTES[theme]
     out, into = ([0] * len(data["nodes"]) for _ in range(2))
     for link in data["links"]:
@@ -129,12 +158,12 @@ def render_html(data: dict, path: str, width: int = 1200, height: int = 600, the
         ha, hb = link["value"] * a[3], link["value"] * b[3]
         x0, x1, y0, y1 = a[0] + bar, b[0], a[4], b[5]
         mid = (x0 + x1) / 2
-        body.append(f'<path d="M{x0:.1f},{y0:.1f} C{mid:.1f},{y0:.1f} {mid:.1f},{y1:.1f} {x1:.1f},{y1:.1f} L{x1:.1f},{y1 + hb:.1f} C{mid:.1f},{y1 + hb:.1f} {mid:.1f},{y0 + ha:.1f} {x0:.1f},{y0 + ha:.1f} Z" fill="{_colour(data["nodes"][link["source"]])}" fill-opacity="0.4"><title>{link["value"]:,}</title></path>')
+        body.append(f'<path d="M{x0:.1f},{y0:.1f} C{mid:.1f},{y0:.1f} {mid:.1f},{y1:.1f} {x1:.1f},{y1:.1f} L{x1:.1f},{y1 + hb:.1f} C{mid:.1f},{y1 + hb:.1f} {mid:.1f},{y0 + ha:.1f} {x0:.1f},{y0 + ha:.1f} Z" fill="{colour(data["nodes"][link["source"]])}" fill-opacity="0.4"><title>{link["value"]:,}</title></path>')
         a[4] += ha
         b[5] += hb
     for n in data["nodes"]:
         x, y, h = place[n["id"]][:3]
-        body.append(f'<rect x="{x:.1f}" y="{y:.1f}" width="{bar}" height="{h:.1f}" fill="{_colour(n)}"/><text x="{x + bar + 4:.1f}" y="{y + h / 2 + 4:.1f}" fill="{ink}">{html.escape(n["label"])} ({flow[n["id"]]:,})</text>')
+        body.append(f'<rect x="{x:.1f}" y="{y:.1f}" width="{bar}" height="{h:.1f}" fill="{colour(n)}"/><text x="{x + bar + 4:.1f}" y="{y + h / 2 + 4:.1f}" fill="{ink}">{html.escape(n["label"])} ({flow[n["id"]]:,})</text>')
     heads = "".join(f'<text x="{k * step:.1f}" y="16" fill="{ink}" font-weight="bold">{html.escape(d)}</text>' for k, d in enumerate(data["dimensions"]))
     page = f'<!doctype html><meta charset="utf-8"><title>Sankey</title><body style="background:{paper}"><svg width="{width}" height="{height}" font-family="sans-serif" font-size="12">{heads}{"".join(body)}</svg></body>'
     with open(path, "w", encoding="utf-8") as f:
