@@ -6,11 +6,13 @@ with errors, some reverse complemented."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
 from ampliflow.operators import convert, demux, events, mining, outputs, stats
 from ampliflow.sources.tables import Design, Primer, Specimen, pair_distances, used_combined
+from ampliflow.sources.tables import pool_statistics as pools_of
 
 PRIMERS = [
     ("F1", "GATTACGGCTAAGCTTCA", "forward", ["A"]), ("F2", "CCATGTAAGGCTTGACGT", "forward", ["B"]), ("R1", "TGCAGGATCCTTAACGAG", "reverse", ["A", "B"]),
@@ -74,12 +76,17 @@ def _sheet_reads_sql(everywhere: str) -> str:
   FROM (SELECT doc_id AS read_id, concat({head}, {inner}, {tail}) AS s FROM documents d JOIN sheet h ON h.n = d.doc_id % (SELECT count(*) FROM sheet))"""
 
 
-def sheet_run(spark: SparkSession, sf_dir: str) -> demux.Result:
-    """Reads of the sheet of specimens, demultiplexed. A sheet is read on the driver, as any design."""
-    supplier, documents = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "documents"))
-    sheet = spark.sql(_sheet_sql().replace("FROM supplier", "FROM {supplier}"), supplier=supplier)
+def sheet_design(spark: SparkSession, sf_dir: str) -> Design:
+    """The sheet of specimens; read on the driver, as any design."""
+    sheet = spark.sql(_sheet_sql().replace("FROM supplier", "FROM {supplier}"), supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
     specimens = [Specimen(r["n"], r["specimen_id"], "P", r["b1"], "FR", r["b2"], "RR") for r in sheet.orderBy("n").collect()]
-    design_ = Design([Primer(n, name, seq, way, list(pools)) for n, (name, seq, way, pools) in enumerate(SHEET_PRIMERS)], specimens)
+    return Design([Primer(n, name, seq, way, list(pools)) for n, (name, seq, way, pools) in enumerate(SHEET_PRIMERS)], specimens)
+
+
+def sheet_run(spark: SparkSession, sf_dir: str) -> demux.Result:
+    """Reads of the sheet of specimens, demultiplexed."""
+    documents, design_ = spark.read.parquet(f"{sf_dir}/documents.parquet"), sheet_design(spark, sf_dir)
+    specimens = design_.specimens
     rows = spark.createDataFrame([(s.spec_ord, s.b1, s.b2) for s in specimens], "n long, b1 string, b2 string")
     text = _sheet_reads_sql("").replace("FROM documents d", "FROM {documents} d").replace("JOIN sheet h", "JOIN {sheet} h").replace("(SELECT count(*) FROM sheet)", str(max(1, len(specimens))))
     reads_ = spark.sql(text, documents=documents, sheet=rows)
@@ -124,16 +131,28 @@ def primer_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def barcode_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_distances(spark, used_combined(design())).groupBy("distance").agg(F.count("*").alias("n"))
+    """Of the barcodes that the sheet of specimens uses."""
+    return pair_distances(spark, used_combined(sheet_design(spark, sf_dir))).groupBy("distance").agg(F.count("*").alias("n"))
 
 
 def pool_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = design().primer_table(spark).select(F.explode("pools").alias("pool"), "direction")
-    return rows.groupBy("pool").agg(F.count_if(F.col("direction") == "forward").alias("n_forward"), F.count_if(F.col("direction") == "reverse").alias("n_reverse"), F.count("*").alias("n"))
+    """Parts as primers: each in the pools of its brand and of its type's first word, forward where its size is even."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pools = F.array(F.col("p_brand"), F.substring_index("p_type", " ", 1))
+    return pools_of(part.select(pools.alias("pools"), F.when(F.col("p_size") % 2 == 0, "forward").otherwise("reverse").alias("direction")))
 
 
 def primer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = design()
+    """Customers as specimens: the pool is the market segment, forward and reverse primers come from nation and key."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    f, r = F.concat(F.lit("F"), F.col("c_nationkey") % 7), F.concat(F.lit("R"), (F.col("c_custkey") * 3 + F.col("c_nationkey")) % 11)
+    rows = customer.select(F.row_number().over(W.partitionBy("c_mktsegment", f, r).orderBy("c_custkey")).alias("nth"), "c_custkey", F.col("c_mktsegment").alias("pool"), f.alias("f"), r.alias("r"))
+    found = rows.where((F.col("nth") == 1) & F.col("pool").isNotNull()).orderBy("c_custkey").collect()  # uses of primers: as many as a sheet has pairs and pools
+    bases = lambda n: "".join("ACGT"[n >> 2 * k & 3] for k in range(8))
+    primers = []
+    for way, column, least in (("forward", "f", 0), ("reverse", "r", 1000)):
+        primers += [Primer(len(primers) + n, name, bases(least + int(name[1:])), way, sorted({x["pool"] for x in found if x[column] == name})) for n, name in enumerate(sorted({x[column] for x in found}))]
+    d = Design(primers, [Specimen(n, f"S{x['c_custkey']}", x["pool"], "ACGT", x["f"], "TTGA", x["r"]) for n, x in enumerate(found)])
     return spark.createDataFrame([(d.ordered[f].name, d.ordered[r].name, pool) for f, r, pool in d.pairs], "forward string, reverse string, pool string")
 
 
@@ -287,16 +306,25 @@ placed AS (
   SELECT *, concat(p1, '-', p2) AS primer_pair, CASE WHEN resolution = 'unknown' THEN 'unknown' WHEN resolution LIKE 'partial%' THEN 'partial' ELSE 'full' END AS match_type FROM facts)"""
 
 
+def _mined_sql() -> str:
+    """The least edits of a full read in any part of a partial one, over all parts whose length can be within the bound."""
+    return """
+WITH item AS (SELECT item_id % 4 AS key, item_id AS read_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTTGCAACTGGTCAACGTCATGGC') AS seq FROM benchmark),
+partial AS (SELECT key, read_id, concat('ACGTAC', array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN i % 17 = 0 THEN translate(substr(seq, i, 1), 'ACGT', 'CGTA') ELSE substr(seq, i, 1) END), '')) AS seq FROM item),
+pairs AS (SELECT p.key, p.read_id, p.seq AS t, f.read_id AS full_id, f.seq AS s, floor(length(f.seq) * 0.15 + 1e-9)::INT AS k FROM partial p JOIN item f USING (key) WHERE length(f.seq) > 0),
+sized AS (SELECT *, unnest(range(greatest(0, length(s) - k), least(length(t), length(s) + k) + 1)) AS l FROM pairs),
+placed AS (SELECT *, unnest(range(1, length(t) - l + 2)) AS i FROM sized),
+least_edits AS (SELECT key, read_id, full_id, min(levenshtein(s, substr(t, i::INT, l::INT))) AS d, any_value(length(s)) AS n, any_value(k) AS k FROM placed GROUP BY key, read_id, full_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY key, read_id ORDER BY 1 - d / n::DOUBLE DESC, full_id) AS nth FROM least_edits WHERE d <= k)
+SELECT key, read_id, full_id, round(1 - d / n::DOUBLE, 6) AS identity, concat('item', read_id, '_mined_forward_', printf('%.2f', 1 - d / n::DOUBLE)) AS seq_id FROM best WHERE nth = 1"""
+
+
 _QUAL = "list_sum(list_transform(range(1, length(seq) + 1), lambda i: 38 - 33 + (i * 7 + read_id) % 30)) / length(seq)"
 
 
 def _sql() -> dict[str, str]:
     chain = _hits_ctes()
     reads_cte = f"WITH reads AS ({_reads_sql(chr(44) + chr(32) + chr(39) + 'g' + chr(39))})"
-    # Forward barcodes, and reverse ones as reverse complements.
-    words = "(0, 'ACGTTGCAAC'), (1, 'CATGGTTCAG'), (2, 'CATCGGTCAA'), (3, 'GGTTAGATCC'), (4, 'TGCCAAGGTT')"
-    pools = "('A', 'forward'), ('B', 'forward'), ('A', 'reverse'), ('B', 'reverse')"
-    pairs = "('F1', 'R1', 'A'), ('F2', 'R1', 'B')"
     kept = lambda letters: f"length(regexp_replace(upper(p_name), '[^{letters}]', '', 'g'))"
     top = f"SELECT path, rank, read_id, round(average_quality, 6) AS average_quality FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY average_quality DESC, read_id, cand_ord) AS rank FROM (SELECT p.path, r.read_id, p.cand_ord, CASE WHEN p.strand IS NULL THEN NULL ELSE {_QUAL.replace('seq', 'r.seq').replace('read_id', 'r.read_id')} END AS average_quality FROM paths p JOIN reads r USING (read_id))) WHERE rank <= 3"
     return {
@@ -304,9 +332,10 @@ def _sql() -> dict[str, str]:
         "average_quality": f"{reads_cte} SELECT read_id, round(CASE WHEN length(seq) > 0 THEN {_QUAL} ELSE 0 END, 6) AS average_quality FROM reads",
         "length_filter": f"{reads_cte} SELECT CASE WHEN length(seq) < 300 THEN 'too_short' WHEN length(seq) > 4000 THEN 'too_long' ELSE 'passed' END AS reason, count(*) AS n FROM reads GROUP BY 1",
         "primer_thresholds": f"SELECT p_partkey, floor(({kept('ACGT')} * 3 + {kept('YRWMSK')} * 2 + {kept('BDHV')}) / 3.0::DOUBLE / 3)::INT AS threshold FROM part",
-        "barcode_distances": f"WITH w(i, s) AS (VALUES {words}) SELECT levenshtein(a.s, b.s)::INT AS distance, count(*) AS n FROM w a JOIN w b ON a.i < b.i GROUP BY 1",
-        "pool_statistics": f"WITH p(pool, direction) AS (VALUES {pools}) SELECT pool, count(*) FILTER (direction = 'forward') AS n_forward, count(*) FILTER (direction = 'reverse') AS n_reverse, count(*) AS n FROM p GROUP BY pool",
-        "primer_pairs": f"SELECT * FROM (VALUES {pairs}) t(forward, reverse, pool)",
+        "barcode_distances": f"WITH sheet AS ({_sheet_sql()}), w AS (SELECT row_number() OVER () AS i, s FROM (SELECT DISTINCT b1 AS s, 0 FROM sheet UNION ALL SELECT DISTINCT reverse(translate(b2, 'ACGT', 'TGCA')), 1 FROM sheet)) SELECT levenshtein(a.s, b.s)::INT AS distance, count(*) AS n FROM w a JOIN w b ON a.i < b.i GROUP BY 1",
+        "pool_statistics": "WITH p AS (SELECT p_brand AS pool, p_size % 2 = 0 AS f FROM part UNION ALL SELECT split_part(p_type, ' ', 1), p_size % 2 = 0 FROM part) SELECT pool, count(*) FILTER (f) AS n_forward, count(*) FILTER (NOT f) AS n_reverse, count(*) AS n FROM p GROUP BY pool",
+        "primer_pairs": "WITH u AS (SELECT DISTINCT c_mktsegment AS pool, concat('F', c_nationkey % 7) AS f, concat('R', (c_custkey * 3 + c_nationkey) % 11) AS r FROM customer), pools AS (SELECT DISTINCT f AS name, pool FROM u UNION SELECT DISTINCT r, pool FROM u) "
+        "SELECT forward, reverse, min(a.pool) AS pool FROM (SELECT DISTINCT f AS forward, r AS reverse FROM u) x JOIN pools a ON a.name = x.forward JOIN pools b ON b.name = x.reverse AND b.pool = a.pool GROUP BY forward, reverse",
         "convert_primers": "SELECT primer, 'forward' AS direction, concat('primer_F', row_number() OVER (ORDER BY primer)) AS name FROM (SELECT DISTINCT p_brand AS primer FROM part) UNION ALL SELECT primer, 'reverse', concat('primer_R', row_number() OVER (ORDER BY primer)) FROM (SELECT DISTINCT p_type AS primer FROM part)",
         "primer_hits": f"WITH {chain} SELECT h.read_id, h.x AS strand, p.name AS primer, h.dist::INT AS dist, h.ends, coalesce(l.barcodes, '') AS barcodes FROM hit h JOIN primers p USING (p) LEFT JOIN bar_list l ON l.read_id = h.read_id AND l.x = h.x AND l.p = h.p",
         "orientation_votes": f"WITH {chain} SELECT read_id, f::INT AS forward_score, b::INT AS reverse_score, orientation, round(CASE WHEN f + b > 0 THEN abs(f - b) / (f + b)::DOUBLE ELSE 0 END, 6) AS confidence FROM oriented",
@@ -315,6 +344,10 @@ def _sql() -> dict[str, str]:
         "demultiplexed": f"WITH {chain} SELECT read_id, distance_code, sample, resolution, concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path, length(seq) AS n, md5(seq) AS seq_md5 FROM placed",
         "sheet_demultiplexed": f"WITH {_sheet_ctes()} SELECT read_id, distance_code, sample, resolution, concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path, length(seq) AS n, md5(seq) AS seq_md5 FROM placed",
         "match_rate": f"WITH {chain} SELECT (SELECT count(*) FROM reads) AS total, count(DISTINCT read_id) AS matched, round(count(DISTINCT read_id) / (SELECT count(*) FROM reads)::DOUBLE, 6) AS match_rate FROM placed WHERE resolution = 'dereplicated_full'",
+        "trace_pivot": f"WITH {chain}, solved AS (SELECT read_id, resolution FROM (SELECT read_id, resolution, row_number() OVER (PARTITION BY read_id ORDER BY cand_ord, sample, resolution) AS nth FROM chosen) WHERE nth = 1), "
+        "tops AS (SELECT *, max(score) OVER (PARTITION BY read_id) AS top FROM scored), events AS (SELECT o.orientation, CASE WHEN bd1 IS NOT NULL AND bd2 IS NOT NULL THEN 'both' WHEN bd1 IS NOT NULL THEN 'forward_only' WHEN bd2 IS NOT NULL THEN 'reverse_only' ELSE 'none' END AS match_type, "
+        "CASE WHEN score < top THEN 'discarded_lower_score' WHEN resolution = 'dereplicated_full' THEN 'matched' WHEN resolution LIKE 'partial%' THEN resolution ELSE 'unknown' END AS outcome_detailed, (bd1 IS NOT NULL)::INT + (bd2 IS NOT NULL)::INT AS barcode_count "
+        "FROM tops JOIN oriented o USING (read_id) LEFT JOIN solved USING (read_id) UNION ALL SELECT orientation, 'none', 'unknown', 0 FROM oriented o WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.read_id = o.read_id)) SELECT orientation, match_type, outcome_detailed, barcode_count, count(*) AS n FROM events GROUP BY ALL",
         "output_counts": f"WITH {chain} SELECT match_type, pool, primer_pair, sample, count(*) AS n FROM placed GROUP BY ALL",
         "pool_roll_up": f"WITH {chain} SELECT path, count(*) AS n FROM (SELECT concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path FROM placed UNION ALL SELECT concat('full/', pool, '/', sample) FROM placed WHERE resolution = 'dereplicated_full') GROUP BY path",
         "best_quality_records": f"WITH {chain}, full_rows AS (SELECT c.*, CASE WHEN c.strand = 0 THEN r.seq ELSE r.seq END AS s FROM chosen c JOIN reads r USING (read_id) WHERE c.resolution = 'dereplicated_full'), "
@@ -418,4 +451,4 @@ _ALL = (
     demultiplexed, sheet_demultiplexed, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = _sql() | _event_sql()
+SQL = _sql() | _event_sql() | {"mined_partials": _mined_sql()}
