@@ -11,7 +11,9 @@ that have the term; pairs seen in fewer than MIN_DOCS documents estimate nothing
 Mentions themselves are replaced by their kind.
 
 Counts are made before each shuffle. Term counts are taken for terms that a fixed-size bit map lets through, and joined exactly. Keys
-that many documents share (an entity's common terms) are salted where they are shuffled.
+that many documents share (an entity's common terms) are salted where they are shuffled. Entities that the same documents mention (by
+two 64-bit hashes of their rows) are one; a document that mentions many others, each with its own set of documents, still pairs each of
+them with its words.
 
 A row is a document. Nulls: a null text counts as empty; a null doc_id is kept. Repeated rows count as often as they occur and get
 equal results. Very long texts are rows as any other: scanned whole, in linear time. Only doc_id and text are read; sanitise keeps all
@@ -179,10 +181,15 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """A written table of the terms that disclose entities: entity, term, share. found: a written table with entities and words."""
+    """A written table of the terms that disclose entities: entity, term, share. Of entities that the same documents mention the first
+    stands for all. found: a written table with entities and words."""
     n = row_count(found)
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    entities = written(entities.where((F.col("entity_docs") >= min_docs) & (F.col("entity_docs") < n)), "pii-entities")
+    rows = found.select("row", F.explode(F.array_distinct("entities")).alias("entity"))
+    seen = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(f"rows_{k}") for k in (0, 1)]
+    entities = rows.groupBy("entity").agg(F.count("*").alias("entity_docs"), *seen)
+    entities = entities.where((F.col("entity_docs") >= min_docs) & (F.col("entity_docs") < n))
+    # What the same documents mention has the same counts with every term: a list of addresses is paired with the words of its pages once.
+    entities = written(entities.groupBy("entity_docs", "rows_0", "rows_1").agg(F.min("entity").alias("entity")).select("entity", "entity_docs"), "pii-entities")
     mentions = _mentions(found, entities, F.array_distinct("words.term"))
     pairs = mentions.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
     pairs = written(pairs.where(F.col("both") >= min_docs), "pii-pairs")

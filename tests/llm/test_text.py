@@ -213,3 +213,17 @@ def test_crf_gradient():
     assert pairs.sum() == pytest.approx(6)
 
 
+
+
+def test_many_entities_of_one_page_are_counted_once(spark):
+    """A directory of addresses in some copies: its entities are one, and its words are marked as if each were alone."""
+    many = " ".join(f"user{n}@mail{n % 7}.example.org" for n in range(400))
+    rows = [(n, f"quartzite {many} tail{n}") for n in range(3)] + [(100 + n, f"plain words number {n % 5} here") for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = spark.createDataFrame([(d, t.replace(many, "user0@mail0.example.org")) for d, t in rows], "doc_id long, text string")
+    marked = lambda df: {r["doc_id"]: [t["start"] for t in r["terms"]] for r in private_data.find(df).collect()}
+    got, want = marked(docs), marked(one)
+    assert got[0] == want[0] == [0] and got.keys() == want.keys() and not any(got[100 + n] for n in range(60))
+    found = docs.select("doc_id", private_data._found()(docs["text"]).alias("f")).selectExpr("monotonically_increasing_id() AS row", "f.*")
+    found = private_data.written(found, "test-found")
+    assert private_data.disclosures(found, docs).select("entity").distinct().count() == 1
