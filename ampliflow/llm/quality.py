@@ -6,7 +6,8 @@ two and the compression ratios, which a logistic regression over piecewise linea
 
 Fitting uses a bounded sample of labelled rows: at most MAX_ROWS whole texts of each label (those with the smallest hashes of their
 doc_id). One half trains the dictionaries, the other half the calibration, weighted to the labels' frequencies among all
-labelled rows. Scoring reads every whole text, and nothing but the text.
+labelled rows. Where the sample has too few blocks to choose a dictionary from, its last DICTIONARY_BYTES are the dictionary. Scoring
+reads every whole text, and nothing but the text.
 
 Nulls: a null text counts as empty, and an empty text gets a score as any other. Labels other than 0 and 1, labels without a document
 and null doc_ids train nothing. With no rows of one label the score is the share of label 1 (0.5 without labels). A null doc_id isn't

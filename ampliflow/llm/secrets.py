@@ -6,7 +6,8 @@ and shapes of its neighbours, and features of the whole file; weights between ad
 gradient ascent on its log-likelihood, on what the patterns find in a bounded sample of whole texts: at most MAX_POSITIVE with a
 pattern's mark and MAX_OTHER others, those with the least hashes (only hashes are compared; the texts chosen are fetched then). Each
 stretch around a secret is learnt MASKED times more with other words of the text in the neighbours' places and the secret shortened or
-in capitals, so that a secret's own shape counts where no keyword stands beside it.
+in capitals, so that a secret's own shape counts where no keyword stands beside it. Of one text at most SECRETS_OF_TEXT secrets are
+learnt, so that a file full of them isn't all there is to learn; every text is searched whole.
 
 Decoding is Viterbi's, on every whole text. Where "outside" wins by more than adjacent tags can ever change, it is part of any best
 path; the chain is cut there, and the short stretches between are decoded side by side. That is exact.
@@ -39,6 +40,8 @@ CRF = len(KINDS)
 OUT, BEGIN, INSIDE = 0, 1, 2
 MAX_POSITIVE, MAX_OTHER = 1000, 1000
 SIZE, EPOCHS, RATE, RIDGE, SIDE, MASKED = 1 << 14, 25, 0.3, 1e-4, 30, 3
+#: Of a text of the sample at most so many secrets, and so many of its longest other tokens, are learnt from.
+SECRETS_OF_TEXT, OTHERS_OF_TEXT = 8, 3
 CHUNK_CHARS, KEPT_TOKENS = 2_000_000, 300_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -209,8 +212,8 @@ def train(texts: list[str], seed: int = 5) -> Model | None:
         tags, file = _tags(starts, starts + known.size[ids], text), known.file(ids)
         words = place_features(known.word[ids]).tolist()
         # Beside the secrets: the longest other tokens, which resemble them most, and any two places.
-        longest = np.argsort(-np.where(tags == OUT, known.size[ids], 0), kind="stable")[:3]
-        secrets = np.flatnonzero(tags == BEGIN)[:8].tolist()
+        longest = np.argsort(-np.where(tags == OUT, known.size[ids], 0), kind="stable")[:OTHERS_OF_TEXT]
+        secrets = np.flatnonzero(tags == BEGIN)[:SECRETS_OF_TEXT].tolist()
         for at, masked in [*((at, False) for at in (*secrets, *longest.tolist(), *rng.integers(len(ids), size=2).tolist())), *((at, True) for at in secrets for _ in range(MASKED))]:
             low, high = max(0, at - SIDE), min(len(ids), at + SIDE)
             other = rng.integers(len(ids), size=len(ids)) if masked else np.arange(len(ids))
