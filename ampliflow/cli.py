@@ -44,14 +44,14 @@ def _reads_options(p: argparse.ArgumentParser) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="ampliflow", description="Analysis of amplicon reads as Spark jobs.")
-    p.add_argument("--version", action="version", version="ampliflow 0.2")
+    p.add_argument("-v", "--version", action="version", version="ampliflow 0.2")
     p.add_argument("-D", "--debug", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     _reads_options(sub.add_parser("demux", help="reads to specimens"))
     w = sub.add_parser("watch", help="demux each new file of a folder")
     _reads_options(w)
     w.add_argument("--settle-time", type=float, default=30, help="seconds that a file's size must stay the same")
-    w.add_argument("--state", help="folder of the status table and the stream's checkpoint; in the watched folder by default")
+    w.add_argument("--state", "--state-file", help="folder of the status table and the stream's checkpoint; in the watched folder by default")
     w.add_argument("--pattern", default="*.fastq")
     w.add_argument("--daemon", action="store_true", help="log to a file in the output folder")
     w.add_argument("--stop-after", type=int)

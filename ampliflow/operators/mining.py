@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliflow.operators.align import end_scores, equalities, packed
+from ampliflow.operators.outputs import place_texts
 from ampliflow.sources.tables import Design
 
 log = logging.getLogger("ampliflow")
@@ -208,10 +209,10 @@ def mine_file(spark: SparkSession, index: str, path: str, forward: bool = False,
         raise ValueError(f"there are no partial reads for {path}")
     parts = [read_sequences(spark, f).select(F.lit("k").alias("key"), (F.col("read_num") + (n << 40)).alias("read_id"), "seq_id", "description", "seq", "qual", F.lit(side).alias("side")) for n, (side, f) in enumerate(found)]
     fulls = read_sequences(spark, path).select(F.lit("k").alias("key"), F.col("read_num").alias("read_id"), "seq")
-    rows = mine(reduce(DataFrame.unionByName, parts), fulls, min_identity).orderBy("read_id")
-    n = 0
-    with open(f"{path}.mined", "w") as f:
-        for r in rows.select("seq_id", "description", "seq", "qual").toLocalIterator():  # one specimen's reads
-            f.write(f"@{r['seq_id']} {r['description'].strip()}\n{r['seq']}\n+\n{r['qual']}\n")
-            n += 1
-    return n
+    rows = mine(reduce(DataFrame.unionByName, parts), fulls, min_identity)
+    head = F.concat(F.lit("@"), "seq_id", F.lit(" "), F.btrim("description", F.lit(" \t\r\n")))
+    text = F.concat_ws("\n", head, "seq", F.lit("+"), "qual", F.lit(""))
+    if os.path.exists(f"{path}.mined"):
+        os.remove(f"{path}.mined")
+    folder, name = os.path.split(os.path.abspath(path))
+    return place_texts(rows.select(F.lit(f"{name}.mined").alias("path"), "read_id", text.alias("text")), folder, ["read_id"])[1]

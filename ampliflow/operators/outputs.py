@@ -99,12 +99,12 @@ def is_written(folder: str, batch: str) -> bool:
 
 
 def _write_parts(stage: str):  # noqa: ANN202
-    """Writes a task's records of each file as a part, in a folder of the task's own: path, part, own (that folder), bytes."""
+    """Writes a task's records of each file as a part, in a folder of the task's own: path, part, own (that folder), bytes, records."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, sizes = TaskContext.get().partitionId(), {}
+        part, sizes, counts = TaskContext.get().partitionId(), {}, {}
         own = f"{stage}/{part}-{TaskContext.get().taskAttemptId()}"
         for batch in batches:
             for path, group in batch.groupby("path", sort=False):
@@ -113,8 +113,9 @@ def _write_parts(stage: str):  # noqa: ANN202
                     os.makedirs(os.path.dirname(f"{own}/{path}"), exist_ok=True)
                 with open(f"{own}/{path}", "ab") as f:
                     f.write(data)
-                sizes[path] = sizes.get(path, 0) + len(data)
-        yield pd.DataFrame({"path": list(sizes), "part": part, "own": own, "bytes": list(sizes.values())}).astype({"path": "object", "part": "int32", "own": "object", "bytes": "int64"})
+                sizes[path], counts[path] = sizes.get(path, 0) + len(data), counts.get(path, 0) + len(group)
+        rows = {"path": list(sizes), "part": part, "own": own, "bytes": list(sizes.values()), "records": list(counts.values())}
+        yield pd.DataFrame(rows).astype({"path": "object", "part": "int32", "own": "object", "bytes": "int64", "records": "int64"})
 
     return write
 
@@ -181,25 +182,23 @@ def recover(spark: SparkSession, folder: str) -> int:
     return done
 
 
-def write_files(facts: DataFrame, folder: str, roll_up: bool = True, batch: str | None = None) -> int:
-    """Appends each record to <folder>/<path>.fastq (.fasta without qualities), on a file system that all executors share. Returns the
-    number of files. batch: a name under which the folder remembers the write; a second write of that name does nothing.
+def place_texts(rows: DataFrame, folder: str, order: list[str], batch: str | None = None) -> tuple[int, int]:
+    """Appends texts (path, text, and the columns of order, by which texts of a file stand) to files of a folder, on a file system that
+    all executors share. Returns the number of files and of texts. batch: a name under which the folder remembers the write; a second
+    write of that name does nothing.
 
-    Each task first writes its records of each file as a part. The sizes of the parts and of the files so far give each part its place in
+    Each task first writes its texts of each file as a part. The sizes of the parts and of the files so far give each part its place in
     its file; once these are written down, parts are copied there by as many tasks as there are parts, also those of one large file, and
     bytes that a file holds already aren't touched. New files show when they are whole. Copies may be made again, by a task that runs
-    twice or by the next run after one that broke off (recover), which leaves no record twice and none out."""
-    folder = folder.removeprefix("file://")
-    spark = facts.sparkSession
+    twice or by the next run after one that broke off (recover), which leaves no text twice and none out."""
+    folder, spark = folder.removeprefix("file://"), rows.sparkSession
     recover(spark, folder)
     if batch is not None and is_written(folder, batch):
-        return 0
+        return 0, 0
     stage = os.path.join(folder, f"{_STAGE}{uuid.uuid4().hex}")
-    rows = rolled_up(facts) if roll_up else facts
-    rows = rows.select(F.concat("path", F.when(F.col("qual").isNull(), ".fasta").otherwise(".fastq")).alias("path"), "read_id", "cand_ord", record(facts).alias("text"))
-    # Files are ordered by read inside a range of reads; large files spread over several tasks.
-    rows = rows.repartitionByRange("read_id", "cand_ord").sortWithinPartitions("path", "read_id", "cand_ord")
-    rows.mapInPandas(_write_parts(stage), "path string, part int, own string, bytes long").write.parquet(f"file://{stage}/_parts")
+    # Files are in order inside a range; large files spread over several tasks.
+    rows = rows.repartitionByRange(*order).sortWithinPartitions("path", *order)
+    rows.select("path", "text").mapInPandas(_write_parts(stage), "path string, part int, own string, bytes long, records long").write.parquet(f"file://{stage}/_parts")
 
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -211,8 +210,17 @@ def write_files(facts: DataFrame, folder: str, roll_up: bool = True, batch: str
     before = W.partitionBy("path").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     placed = parts.join(held, "path").withColumns({"at": F.col("held") + F.coalesce(F.sum("bytes").over(before), F.lit(0)), "first": F.row_number().over(W.partitionBy("path").orderBy("part")) == 1})
     placed.write.parquet(f"file://{stage}/_placed")
+    n = parts.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     _mark(os.path.join(stage, _INTENT), batch or "")
-    return _finish(spark, folder, stage)
+    return _finish(spark, folder, stage), n
+
+
+def write_files(facts: DataFrame, folder: str, roll_up: bool = True, batch: str | None = None) -> int:
+    """Appends each record to <folder>/<path>.fastq (.fasta without qualities), by read. Returns the number of files. batch, and what
+    holds for broken runs: as of place_texts."""
+    rows = rolled_up(facts) if roll_up else facts
+    rows = rows.select(F.concat("path", F.when(F.col("qual").isNull(), ".fasta").otherwise(".fastq")).alias("path"), "read_id", "cand_ord", record(facts).alias("text"))
+    return place_texts(rows, folder, ["read_id", "cand_ord"], batch)[0]
 
 
 def write_sidecars(design: Design, folder: str) -> None:

@@ -94,3 +94,26 @@ def test_mined_files(spark, files):
     assert mining.place_of_file(str(out / "full/P/S3.fastq"))[1:] == ("P", None)
     assert cli.main(["mine", "--index", str(d / "s.txt"), "--fastq", str(out / "unknown/S3.fastq")]) == 1
     assert cli.main(["mine", "--index", str(d / "s.txt"), "--fastq", str(out / "full/P/S9.fastq")]) == 1
+
+
+def test_watch_command(spark, files):
+    """A daemon's course: its log is a file, what was there is left out, the files of what arrives are written once."""
+    import shutil
+    import threading
+
+    from ampliflow.streaming import watch
+
+    d, want = files
+    folder, out = d / "in", d / "out"
+    folder.mkdir()
+    shutil.copy(d / "b.fastq", folder / "before.fastq")
+    threading.Timer(8, lambda: shutil.copy(d / "a.fastq", folder / "new.fastq")).start()
+    argv = ["watch", str(d / "p.fasta"), str(d / "s.txt"), str(folder), "-F", "-O", str(out), "-d", "--settle-time", "0.5", "--daemon", "--state-file", str(d / "state"), "--stop-after", "1"]
+    assert cli.main(argv) == 0
+    got = {k: [i for i, _ in v] for k, v in written(out).items() if k.count("/") == 3}
+    assert got == {k: sorted(v) for k, v in want.items()}
+    log = (out / "log.txt").read_text()
+    assert "new.fastq" in log and "reads matched" in log and "before.fastq" not in log
+    status = {r["path"].rsplit("/", 1)[1]: r["status"] for r in watch.status_table(spark, str(d / "state/status")).collect()}
+    assert status == {"before.fastq": "ignored", "new.fastq": "success"}
+    assert cli.main(["stats", str(out / "trace"), "--list-dimensions"]) == 0

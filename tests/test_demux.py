@@ -120,6 +120,10 @@ def test_one_search_for_all_queries(spark, design, tmp_path):
     for rows in (run.hits, run.candidates, run.best, run.chosen, run.facts):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    for rows, searches in ((outputs.rolled_up(run.facts), 1), (outputs.top_quality(run.facts, 3), 1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("[find(") == searches
+    assert plan.count("WindowGroupLimit") >= 2 and plan.index("Exchange") < plan.rindex("WindowGroupLimit")  # the best of a task before the shuffle
     assert events.run_events(run, level=3)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
