@@ -197,6 +197,35 @@ def sheet_demultiplexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("read_id", "distance_code", "sample", "resolution", "path", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
+def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trims that the other queries don't take."""
+    rows = None
+    for trim in ("primers", "tails"):
+        own = _run(spark, sf_dir, trim=trim).facts.where("cand_ord >= 0").select(F.lit(trim).alias("trim"), "read_id", "cand_ord", "sample", F.length("seq").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def undereplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, dereplicate="none", trim="none").facts.select("read_id", "cand_ord", "sample", "resolution", "pool")
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard event log of a run, with all fields."""
+    return events.run_events(_run(spark, sf_dir)).select("read_id", "event_type", F.array_join("fields", "|").alias("fields"))
+
+
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars that no other query shows, of parts: names of files and sequences, letters of primers, qualities and back, distances."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    number = lambda c: c.cast("int")
+    return part.select(
+        "p_partkey", dna.safe_name(F.concat("p_name", F.lit("/"), "p_type", F.lit("."), "p_brand")).alias("file_name"), dna.sequence_number_id("part", F.col("p_partkey"), F.col("p_brand")).alias("sequence_id"),
+        F.round(dna.adjusted_length(F.upper("p_name")), 6).alias("letters"), F.aggregate(dna.phred(F.col("p_type")), F.lit(0), lambda a, q: a + q).cast("long").alias("phred_total"), dna.phred_string(dna.phred(F.col("p_type"))).alias("phred_back"),
+        dna.distance_code(number(F.col("p_size")), number(F.nullif(F.col("p_size") % 3, F.lit(0))), F.lit(None).cast("int"), number(F.col("p_partkey") % 5)).alias("code"),
+    )
+
+
 def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).totals().withColumn("match_rate", F.round("match_rate", 6))
 
@@ -242,15 +271,15 @@ strands AS (SELECT read_id, 0 AS x, seq AS s FROM reads UNION ALL SELECT read_id
 tails AS (SELECT read_id, x, s, right(s, {WINDOW}) AS t, greatest(length(s) - {WINDOW}, 0) AS shift FROM strands),
 spots AS (SELECT read_id, x, s, t, shift, unnest(range(1, length(t) + 1)) AS i FROM tails),
 tried AS (
-  SELECT q.read_id, q.x, q.s, q.shift, q.p, q.k, q.i + q.l - 1 AS e, levenshtein(q.pattern, substr(q.t, q.i::INT, q.l::INT)) AS d
+  SELECT q.read_id, q.x, q.s, q.shift, q.p, q.k, q.i, q.i + q.l - 1 AS e, levenshtein(q.pattern, substr(q.t, q.i::INT, q.l::INT)) AS d
   FROM (SELECT read_id, x, s, t, shift, i, p, k, pattern, unnest(range(length(pattern) - k, length(pattern) + k + 1)) AS l FROM spots, patterns) q
   WHERE q.i + q.l - 1 <= length(q.t)),
-at_end AS (SELECT read_id, x, any_value(s) AS s, any_value(shift) AS shift, p, any_value(k) AS k, e, min(d) AS d FROM tried GROUP BY read_id, x, p, e),
+at_end AS (SELECT read_id, x, any_value(s) AS s, any_value(shift) AS shift, p, any_value(k) AS k, e, min(d) AS d, arg_min(i, d * 1000000 + i) AS i FROM tried GROUP BY read_id, x, p, e),
 least AS (SELECT *, min(d) OVER (PARTITION BY read_id, x, p) AS dist FROM at_end),
-ends AS (SELECT read_id, x, p, s, dist, (shift + e - 1)::BIGINT AS e FROM least WHERE d = dist AND dist <= k),
-hit AS (SELECT read_id, x, p, any_value(s) AS s, any_value(dist) AS dist, min(e) AS e0, string_agg(e::VARCHAR, ',' ORDER BY e) AS ends FROM ends GROUP BY read_id, x, p),
+ends AS (SELECT read_id, x, p, s, dist, (shift + e - 1)::BIGINT AS e, (shift + i - 1)::BIGINT AS b FROM least WHERE d = dist AND dist <= k),
+hit AS (SELECT read_id, x, p, any_value(s) AS s, any_value(dist) AS dist, min(e) AS e0, arg_min(b, e) AS b0, string_agg(e::VARCHAR, ',' ORDER BY e) AS ends FROM ends GROUP BY read_id, x, p),
 after AS (SELECT n.read_id, n.x, n.p, b.bc, b.pattern, n.e, substr(n.s, (n.e + 2)::INT, 40) AS t FROM ends n JOIN bars b ON b.p = n.p),
-bar_tried AS (SELECT read_id, x, p, bc, pattern, t, unnest(range(greatest(1, length(pattern) - {kb}), length(pattern) + {kb} + 1)) AS l FROM after),
+bar_tried AS (SELECT read_id, x, p, bc, pattern, e, t, unnest(range(greatest(1, length(pattern) - {kb}), length(pattern) + {kb} + 1)) AS l FROM after),
 bar AS (SELECT read_id, x, p, bc, min(levenshtein(pattern, substr(t, 1, l::INT))) AS d FROM bar_tried WHERE l <= length(t) GROUP BY read_id, x, p, bc HAVING min(levenshtein(pattern, substr(t, 1, l::INT))) <= {kb}),
 bar_list AS (SELECT read_id, x, p, string_agg(concat(bc, ':', d), ',' ORDER BY bc) AS barcodes, min(d) AS bd FROM bar GROUP BY read_id, x, p),
 tied AS (SELECT b.read_id, b.x, b.p, b.bc, b.d FROM bar b JOIN bar_list l USING (read_id, x, p) WHERE b.d = l.bd),
@@ -263,7 +292,7 @@ ways AS (SELECT 0 AS strand UNION ALL SELECT 1),
 tries AS (SELECT o.read_id, 2 * q.n + w.strand AS cand_ord, w.strand, q.f, q.r, q.pool FROM oriented o, pairs q, ways w
   WHERE (w.strand = 0 AND o.orientation <> 'reverse') OR (w.strand = 1 AND o.orientation <> 'forward')),
 cands AS (
-  SELECT t.*, a.dist AS d1, z.dist AS d2, a.e0 AS e1, z.e0 AS e2, CASE WHEN a.p IS NOT NULL THEN pf.name END AS n1, CASE WHEN z.p IS NOT NULL THEN pr.name END AS n2,
+  SELECT t.*, a.dist AS d1, z.dist AS d2, a.e0 AS e1, z.e0 AS e2, a.b0 AS s1, z.b0 AS s2, CASE WHEN a.p IS NOT NULL THEN pf.name END AS n1, CASE WHEN z.p IS NOT NULL THEN pr.name END AS n2,
     la.bd AS bd1, lz.bd AS bd2, pf.file_index AS i1, pr.file_index AS i2
   FROM tries t JOIN primers pf ON pf.p = t.f JOIN primers pr ON pr.p = t.r
   LEFT JOIN hit a ON a.read_id = t.read_id AND a.x = 1 - t.strand AND a.p = t.f LEFT JOIN hit z ON z.read_id = t.read_id AND z.x = t.strand AND z.p = t.r
@@ -319,6 +348,78 @@ best AS (SELECT *, row_number() OVER (PARTITION BY key, read_id ORDER BY 1 - d /
 SELECT key, read_id, full_id, round(1 - d / n::DOUBLE, 6) AS identity, concat('item', read_id, '_mined_forward_', printf('%.2f', 1 - d / n::DOUBLE)) AS seq_id FROM best WHERE nth = 1"""
 
 
+def _trimmed_sql() -> str:
+    """What each trim leaves of the chosen candidates, from the first places of primers and the places of their barcodes (of a barcode
+    the first place with its least distance; of all barcodes within the bound the outermost end)."""
+    return """,
+calls AS (SELECT read_id, x, p, bc, e, l, levenshtein(pattern, substr(t, 1, l::INT)) AS d FROM bar_tried WHERE l <= length(t)),
+near_calls AS (SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY read_id, x, p, bc) AS least FROM calls) WHERE d = least AND d <= 2),
+first_calls AS (SELECT * FROM (SELECT *, min(e) OVER (PARTITION BY read_id, x, p, bc) AS first FROM near_calls) WHERE e = first),
+outer_ends AS (SELECT read_id, x, p, max(e + l) AS far FROM first_calls GROUP BY read_id, x, p),
+spans AS (
+  SELECT c.*, r.seq, length(r.seq) AS n, s.s1, s.s2, o1.far AS far1, o2.far AS far2 FROM chosen c JOIN reads r USING (read_id) JOIN scored s ON s.read_id = c.read_id AND s.cand_ord = c.cand_ord
+  LEFT JOIN outer_ends o1 ON o1.read_id = s.read_id AND o1.x = 1 - s.strand AND o1.p = s.f AND s.n1 IS NOT NULL LEFT JOIN outer_ends o2 ON o2.read_id = s.read_id AND o2.x = s.strand AND o2.p = s.r AND s.n2 IS NOT NULL),
+trims AS (
+  SELECT 'primers' AS trim, read_id, cand_ord, sample, strand, seq, coalesce(n - s1, 0) AS lo, coalesce(s2, n) AS hi FROM spans
+  UNION ALL SELECT 'tails', read_id, cand_ord, sample, strand, seq, coalesce(n - 1 - far1, greatest(0, coalesce(n - 1 - e1, 0) - 10)), coalesce(far2 + 1, least(n, coalesce(e2 + 1, n) + 10)) FROM spans)
+SELECT trim, read_id, cand_ord, CASE WHEN lo >= hi THEN 'unknown' ELSE sample END AS sample, length(cut) AS n, md5(cut) AS seq_md5
+FROM (SELECT *, CASE WHEN lo >= hi THEN own ELSE substr(own, (lo + 1)::INT, (hi - lo)::INT) END AS cut FROM (SELECT *, CASE WHEN strand = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END AS own FROM trims))"""
+
+
+def _undereplicated_sql() -> str:
+    """Every best candidate, with all specimens that its tied barcodes give."""
+    return """,
+ties AS (SELECT read_id, x, p, count(*) AS n, min(bc) AS bc FROM tied GROUP BY read_id, x, p),
+given AS (
+  SELECT b.read_id, b.cand_ord, count(*) AS n, string_agg(k.specimen_id, '_' ORDER BY k.spec_ord) AS ids, arg_min(k.specimen_pool, k.spec_ord) AS specimen_pool
+  FROM best b JOIN keys k ON k.kp1 = b.n1 AND k.kp2 = b.n2 JOIN tied t1 ON t1.read_id = b.read_id AND t1.x = 1 - b.strand AND t1.p = b.f AND t1.bc = k.kb1
+  JOIN tied t2 ON t2.read_id = b.read_id AND t2.x = b.strand AND t2.p = b.r AND t2.bc = k.kb2 GROUP BY b.read_id, b.cand_ord),
+called AS (
+  SELECT b.read_id, b.cand_ord, b.pool, g.n, g.ids, g.specimen_pool, CASE WHEN b.bd1 IS NOT NULL AND b.bd2 IS NULL AND t1.n = 1 THEN concat('barcode_fwd_', t1.bc) WHEN b.bd2 IS NOT NULL AND b.bd1 IS NULL AND t2.n = 1 THEN concat('barcode_rev_', t2.bc) END AS part
+  FROM best b LEFT JOIN given g ON g.read_id = b.read_id AND g.cand_ord = b.cand_ord LEFT JOIN ties t1 ON t1.read_id = b.read_id AND t1.x = 1 - b.strand AND t1.p = b.f AND b.n1 IS NOT NULL
+  LEFT JOIN ties t2 ON t2.read_id = b.read_id AND t2.x = b.strand AND t2.p = b.r AND b.n2 IS NOT NULL)
+SELECT read_id, cand_ord, coalesce(ids, part, 'unknown') AS sample, CASE WHEN n = 1 THEN 'full_match' WHEN n > 1 THEN 'multiple_specimens' WHEN part LIKE 'barcode_fwd%' THEN 'partial_forward' WHEN part IS NOT NULL THEN 'partial_reverse' ELSE 'unknown' END AS resolution,
+  CASE WHEN n = 1 THEN specimen_pool ELSE pool END AS pool FROM called
+UNION ALL SELECT read_id, -1, 'unknown', 'unknown', 'unknown' FROM reads r WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.read_id = r.read_id)"""
+
+
+def _run_events_sql() -> str:
+    """Each event of the standard log with its fields."""
+    side = lambda a, b: f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 'both' WHEN {a} IS NOT NULL THEN 'forward_only' WHEN {b} IS NOT NULL THEN 'reverse_only' ELSE 'none' END"
+    join = lambda *fields: "concat_ws('|', " + ", ".join(fields) + ")"
+    none = lambda c: f"coalesce({c}::VARCHAR, 'none')"
+    far = lambda c: f"coalesce({c}, -1)::VARCHAR"
+    names, cid = [none(c) for c in ("n1", "n2", "b1", "b2")], "concat(read_id, '_', cand_ord)"
+    score = "printf('%.3f', score::DOUBLE)"
+    n_primers, primer_dist = "(n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT", "coalesce(d1, 0) + coalesce(d2, 0)"
+    present, penalised = (f"CASE WHEN n1 IS NULL THEN {x} ELSE i1 END + CASE WHEN n2 IS NULL THEN {x} ELSE i2 END" for x in (0, 999))
+    text = lambda c: f"({c})::VARCHAR"
+    return f""",
+firsts AS (SELECT read_id, x, p, min(bc) AS bc, count(*) AS n FROM tied GROUP BY read_id, x, p),
+named AS (
+  SELECT s.*, a.bc AS b1, z.bc AS b2, coalesce(a.n, 1) * coalesce(z.n, 1) AS ways, max(score) OVER (PARTITION BY s.read_id) AS top FROM scored s
+  LEFT JOIN firsts a ON a.read_id = s.read_id AND a.x = 1 - s.strand AND a.p = s.f AND s.n1 IS NOT NULL LEFT JOIN firsts z ON z.read_id = s.read_id AND z.x = s.strand AND z.p = s.r AND s.n2 IS NOT NULL),
+widest AS (SELECT *, count(*) OVER (PARTITION BY read_id, specimen_id) AS alternatives FROM wide WHERE specimen_id IS NOT NULL),
+half_groups AS (SELECT *, count(*) OVER (PARTITION BY read_id, side, bc) AS alternatives FROM half_counted),
+none_groups AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS alternatives FROM nones),
+solved AS (SELECT c.read_id, c.cand_ord, c.sample, c.resolution, c.pool, c.n1, c.n2, m.b1, m.b2 FROM chosen c JOIN named m ON m.read_id = c.read_id AND m.cand_ord = c.cand_ord)
+SELECT read_id, 'SEQUENCE_RECEIVED' AS event_type, {join("length(seq)::VARCHAR", "concat('read', read_id)")} AS fields FROM reads
+UNION ALL SELECT read_id, 'ORIENTATION_DETECTED', {join("orientation", text("f"), text("b"), "printf('%.3f', CASE WHEN f + b > 0 THEN abs(f - b) / (f + b)::DOUBLE ELSE 0 END)")} FROM oriented
+UNION ALL SELECT read_id, 'PRIMER_MATCHED', {join(cid, side("n1", "n2"), none("n1"), none("n2"), far("d1"), far("d2"), none("pool"), "CASE WHEN strand = 0 THEN 'as_is' ELSE 'reverse_complement' END")} FROM named
+UNION ALL SELECT read_id, 'BARCODE_MATCHED', {join(cid, side("b1", "b2"), none("b1"), none("b2"), far("bd1"), far("bd2"), none("n1"), none("n2"))} FROM named
+UNION ALL SELECT read_id, 'MATCH_SCORED', {join(cid, *names, text("coalesce(d1, 0) + coalesce(d2, 0) + coalesce(bd1, 0) + coalesce(bd2, 0)"), side("b1", "b2"), score)} FROM named
+UNION ALL SELECT read_id, 'MATCH_DISCARDED', {join(cid, *names, score, "'lower_score'")} FROM named WHERE score < top
+UNION ALL SELECT read_id, 'DEREPLICATE_EXPANDED', {join(text("count(*)"), text("sum(ways)::BIGINT"))} FROM named WHERE score = top GROUP BY read_id HAVING count(*) > 1 OR sum(ways) > 1
+UNION ALL SELECT read_id, 'NO_MATCH_FOUND', 'primer_search|No primer matches found' FROM reads r WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.read_id = r.read_id)
+UNION ALL SELECT read_id, 'SPECIMEN_RESOLVED', {join("sample", "resolution", none("pool"), *names)} FROM solved
+UNION ALL SELECT read_id, 'DEREPLICATE_SELECTED', {join("specimen_id", text("alternatives"), text("bd1 + bd2"), text(primer_dist), text(present))} FROM (SELECT *, row_number() OVER (PARTITION BY read_id, specimen_id ORDER BY bd1 + bd2, d1 + d2, i1 + i2, cand_ord, bc1, bc2) AS nth FROM widest) WHERE nth = 1
+UNION ALL SELECT h.read_id, 'DEREPLICATE_PARTIAL_SELECTED', {join("CASE WHEN side = 'fwd' THEN 'forward' ELSE 'reverse' END", "CASE WHEN side = 'fwd' THEN m.b1 ELSE m.b2 END", text("alternatives"), text("coalesce(h.bd1, h.bd2)"), text(n_primers.replace("n1", "h.n1").replace("n2", "h.n2")), text(primer_dist.replace("d1", "h.d1").replace("d2", "h.d2")), text(present.replace("n1", "h.n1").replace("n2", "h.n2").replace("i1", "h.i1").replace("i2", "h.i2")))}
+  FROM half_groups h JOIN named m ON m.read_id = h.read_id AND m.cand_ord = h.cand_ord WHERE nth = 1
+UNION ALL SELECT read_id, 'DEREPLICATE_UNKNOWN_SELECTED', {join(text("alternatives"), text(n_primers), text(primer_dist), text(penalised))} FROM none_groups WHERE nth = 1 AND alternatives > 1
+UNION ALL SELECT read_id, 'SEQUENCE_TRIM_EMPTY', {join("'barcodes'", text("lo"), text("hi"), text("length(own)"), "'unknown'", "'unknown'")} FROM cut WHERE lo >= hi
+UNION ALL SELECT read_id, 'SEQUENCE_OUTPUT', {join("sample", "pool", "primer_pair", "concat(match_type, '/', pool, '/', primer_pair, '/', sample)")} FROM placed"""
+
+
 _QUAL = "list_sum(list_transform(range(1, length(seq) + 1), lambda i: 38 - 33 + (i * 7 + read_id) % 30)) / length(seq)"
 
 
@@ -344,6 +445,12 @@ def _sql() -> dict[str, str]:
         "demultiplexed": f"WITH {chain} SELECT read_id, distance_code, sample, resolution, concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path, length(seq) AS n, md5(seq) AS seq_md5 FROM placed",
         "sheet_demultiplexed": f"WITH {_sheet_ctes()} SELECT read_id, distance_code, sample, resolution, concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path, length(seq) AS n, md5(seq) AS seq_md5 FROM placed",
         "match_rate": f"WITH {chain} SELECT (SELECT count(*) FROM reads) AS total, count(DISTINCT read_id) AS matched, round(count(DISTINCT read_id) / (SELECT count(*) FROM reads)::DOUBLE, 6) AS match_rate FROM placed WHERE resolution = 'dereplicated_full'",
+        "trimmed": f"WITH {chain}{_trimmed_sql()}",
+        "undereplicated": f"WITH {chain}{_undereplicated_sql()}",
+        "run_events": f"WITH {chain}{_run_events_sql()}",
+        "scalar_functions": "SELECT p_partkey, regexp_replace(concat(p_name, '/', p_type, '.', p_brand), '[^\\p{L}\\p{N}._\\-$#]', '_', 'g') AS file_name, printf('%s#%08d#%s', 'part', p_partkey, p_brand) AS sequence_id, "
+        f"round(({kept('ACGT')} * 3 + {kept('YRWMSK')} * 2 + {kept('BDHV')}) / 3.0::DOUBLE, 6) AS letters, list_sum(list_transform(range(1, length(p_type) + 1), lambda i: ascii(substr(p_type, i, 1)) - 33))::BIGINT AS phred_total, p_type AS phred_back, "
+        "concat_ws(',', p_size::VARCHAR, coalesce(nullif(p_size % 3, 0)::VARCHAR, 'X'), 'X', (p_partkey % 5)::VARCHAR) AS code FROM part",
         "trace_pivot": f"WITH {chain}, solved AS (SELECT read_id, resolution FROM (SELECT read_id, resolution, row_number() OVER (PARTITION BY read_id ORDER BY cand_ord, sample, resolution) AS nth FROM chosen) WHERE nth = 1), "
         "tops AS (SELECT *, max(score) OVER (PARTITION BY read_id) AS top FROM scored), events AS (SELECT o.orientation, CASE WHEN bd1 IS NOT NULL AND bd2 IS NOT NULL THEN 'both' WHEN bd1 IS NOT NULL THEN 'forward_only' WHEN bd2 IS NOT NULL THEN 'reverse_only' ELSE 'none' END AS match_type, "
         "CASE WHEN score < top THEN 'discarded_lower_score' WHEN resolution = 'dereplicated_full' THEN 'matched' WHEN resolution LIKE 'partial%' THEN resolution ELSE 'unknown' END AS outcome_detailed, (bd1 IS NOT NULL)::INT + (bd2 IS NOT NULL)::INT AS barcode_count "
@@ -448,7 +555,7 @@ def _event_sql() -> dict[str, str]:
 
 _ALL = (
     reverse_complement, average_quality, length_filter, primer_thresholds, barcode_distances, pool_statistics, primer_pairs, convert_primers, primer_hits, orientation_votes, candidate_scores, best_candidates,
-    demultiplexed, sheet_demultiplexed, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
+    demultiplexed, sheet_demultiplexed, trimmed, undereplicated, run_events, scalar_functions, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = _sql() | _event_sql() | {"mined_partials": _mined_sql()}
