@@ -214,18 +214,19 @@ def dereplicated(rows: DataFrame, design: Design) -> DataFrame:
     """rows of with_candidates with chosen: an entry for each specimen of a read, each tied barcode of a partial match, one for
     unknowns; candidates whose barcodes belong to no specimen as they are. An entry: group_kind (full, partial, unknown, other),
     specimen_id, specimen_pool, alternatives, barcode_dist, c."""
-    keys: dict[str, dict] = {}
+    # In two steps, as a map is searched entry by entry: primers and first barcode, then the second one.
+    keys: dict[str, dict[str, dict]] = {}
     for s in design.specimens:  # of specimens with the same key the first
         for f in design.uses[s.specimen_id][0]:
             for r in design.uses[s.specimen_id][1]:
-                keys.setdefault("\t".join((f, r, s.b1, s.b2)), {"id": s.specimen_id, "pool": s.pool})
-    specimens = F.from_json(F.lit(json.dumps(keys)), "map<string,struct<id:string,pool:string>>")
+                keys.setdefault("\t".join((f, r, s.b1)), {}).setdefault(s.b2, {"id": s.specimen_id, "pool": s.pool})
+    specimens = F.from_json(F.lit(json.dumps(keys)), "map<string,map<string,struct<id:string,pool:string>>>")
     none, best = F.lit(None).cast("string"), F.col("best")
     of = lambda *kinds: F.filter(best, lambda c: c["kind"].isin(*kinds))
 
     def known(c: Column) -> Column:
         """The specimens that a candidate's tied barcodes give."""
-        pair = lambda t1, t2: _struct(s=F.try_element_at(specimens, F.concat_ws("\t", c["n1"], c["n2"], t1["bc"], t2["bc"])), o1=t1["bc"], o2=t2["bc"], dist=t1["dist"] + t2["dist"])
+        pair = lambda t1, t2: _struct(s=F.try_element_at(F.try_element_at(specimens, F.concat_ws("\t", c["n1"], c["n2"], t1["bc"])), t2["bc"]), o1=t1["bc"], o2=t2["bc"], dist=t1["dist"] + t2["dist"])
         return F.filter(F.flatten(F.transform(c["b1"], lambda t1: F.transform(c["b2"], lambda t2: pair(t1, t2)))), lambda x: x["s"].isNotNull())
 
     def full(c: Column) -> Column:

@@ -5,12 +5,17 @@ with errors, some reverse complemented."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ampliflow.functions import dna
 from ampliflow.operators import convert, demux, events, mining, outputs, stats
+from ampliflow.sources.sequences import read_sequences
 from ampliflow.sources.tables import Design, Primer, Specimen, pair_distances, used_combined
 from ampliflow.sources.tables import pool_statistics as pools_of
 
@@ -226,6 +231,60 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- what is written to files and read back
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or of this machine in a local session without one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join((base or f"file://{tempfile.mkdtemp(prefix='ampliflow-')}").removeprefix("file://"), f"{name}-{uuid.uuid4().hex}")
+
+
+def _read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of a folder's files, in small ranges, with their paths in it."""
+    rows = read_sequences(spark, folder, split_size=100_000)
+    return rows.select(F.replace("source_file", F.lit(f"{folder}/"), F.lit("")).alias("path"), "read_num", "seq_id", "description", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.md5(F.col("qual").cast("binary")).alias("qual_md5"))
+
+
+def files_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a run, in two batches of which one is written twice."""
+    run, folder = _run(spark, sf_dir).with_hits_written(f"file://{_folder(spark, 'hits')}"), _folder(spark, "files")
+    for batch, rows in (("even", "read_id % 2 = 0"), ("odd", "read_id % 2 = 1"), ("odd", "read_id % 2 = 1")):
+        outputs.write_files(run.facts.where(rows), folder, batch=batch)
+    return _read_back(spark, folder)
+
+
+def best_files_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the best records."""
+    folder = _folder(spark, "best")
+    outputs.write_subsample(_run(spark, sf_dir, trim="none").facts, design(), folder, 3)
+    return _read_back(spark, folder).where(F.col("path").endswith(".fastq")).select("path", "read_num", "seq_id", "seq_md5")
+
+
+def trace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log, written and read back."""
+    folder = _folder(spark, "trace")
+    events.write_trace(events.run_events(_run(spark, sf_dir)), folder, "one")
+    return events.read_trace(spark, folder).select("sequence_id", "event_type", F.array_join("fields", "|").alias("fields"))
+
+
+def reads_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads as one FASTQ file, of which a range is read."""
+    folder, rows = _folder(spark, "reads"), reads(spark, sf_dir)
+    outputs.place_texts(rows.select(F.lit("all.fastq").alias("path"), F.concat_ws("\n", F.concat(F.lit("@"), "seq_id"), "seq", F.lit("+"), "qual", F.lit("")).alias("text"), "read_id"), folder, ["read_id"])
+    return read_sequences(spark, folder, 101, 250, split_size=100_000).select("read_num", "seq_id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("qual").alias("n_qual"))
+
+
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads as FASTA files with lines of 60 bases."""
+    folder, rows = _folder(spark, "fasta"), reads(spark, sf_dir)
+    text = F.concat(F.lit(">"), F.col("seq_id"), F.lit(" of "), F.col("read_id").cast("string"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"), F.lit("\n"))
+    outputs.place_texts(rows.select(F.concat(F.lit("part"), F.col("read_id") % 3, F.lit(".fasta")).alias("path"), text.alias("text"), "read_id"), folder, ["read_id"])
+    return _read_back(spark, folder)
+
+
 def match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).totals().withColumn("match_rate", F.round("match_rate", 6))
 
@@ -383,6 +442,19 @@ SELECT read_id, cand_ord, coalesce(ids, part, 'unknown') AS sample, CASE WHEN n
 UNION ALL SELECT read_id, -1, 'unknown', 'unknown', 'unknown' FROM reads r WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.read_id = r.read_id)"""
 
 
+def _files_sql() -> str:
+    """Records of each file in the order of reads, even reads before odd ones as they were written first."""
+    return """,
+copies AS (
+  SELECT *, concat(match_type, '/', pool, '/', primer_pair, '/', sample, '.fastq') AS path FROM placed
+  UNION ALL SELECT *, concat('full/', pool, '/', sample, '.fastq') FROM placed WHERE resolution = 'dereplicated_full'),
+quals AS (SELECT c.*, array_to_string(list_transform(range(1, length(r.seq) + 1), lambda i: chr((38 + (i * 7 + c.read_id) % 30)::INT)), '') AS whole, r.seq AS read_seq FROM copies c JOIN reads r USING (read_id)),
+cuts AS (SELECT DISTINCT read_id, cand_ord, strand, lo, hi FROM cut),
+recs AS (SELECT q.*, CASE WHEN u.read_id IS NULL THEN whole WHEN u.strand = 0 THEN CASE WHEN lo >= hi THEN whole ELSE substr(whole, (lo + 1)::INT, (hi - lo)::INT) END ELSE CASE WHEN lo >= hi THEN reverse(whole) ELSE substr(reverse(whole), (lo + 1)::INT, (hi - lo)::INT) END END AS qual
+  FROM quals q LEFT JOIN cuts u ON u.read_id = q.read_id AND u.cand_ord = q.cand_ord)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY read_id % 2, read_id, cand_ord) - 1 AS read_num, concat('read', read_id) AS seq_id, concat_ws(' ', distance_code, concat('pool=', pool), concat('primers=', p1, '+', p2), sample) AS description, md5(seq) AS seq_md5, md5(qual) AS qual_md5 FROM recs"""
+
+
 def _run_events_sql() -> str:
     """Each event of the standard log with its fields."""
     side = lambda a, b: f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 'both' WHEN {a} IS NOT NULL THEN 'forward_only' WHEN {b} IS NOT NULL THEN 'reverse_only' ELSE 'none' END"
@@ -448,6 +520,10 @@ def _sql() -> dict[str, str]:
         "trimmed": f"WITH {chain}{_trimmed_sql()}",
         "undereplicated": f"WITH {chain}{_undereplicated_sql()}",
         "run_events": f"WITH {chain}{_run_events_sql()}",
+        "files_written": f"WITH {chain}{_files_sql()}",
+        "trace_files": f"WITH {chain}{_run_events_sql()}".replace("SELECT read_id, 'SEQUENCE_RECEIVED' AS event_type,", "SELECT printf('%s#%08d#%s', 'read', read_id, 'spark') AS sequence_id, event_type, fields FROM (SELECT read_id, 'SEQUENCE_RECEIVED' AS event_type,") + ")",
+        "reads_in_range": f"{reads_cte} SELECT read_num, concat('read', read_id) AS seq_id, md5(seq) AS seq_md5, length(seq) AS n_qual FROM (SELECT *, row_number() OVER (ORDER BY read_id) - 1 AS read_num FROM reads) WHERE read_num BETWEEN 100 AND 349",
+        "fasta_files": f"{reads_cte} SELECT concat('part', read_id % 3, '.fasta') AS path, row_number() OVER (PARTITION BY read_id % 3 ORDER BY read_id) - 1 AS read_num, concat('read', read_id) AS seq_id, concat('of ', read_id) AS description, md5(seq) AS seq_md5, NULL::VARCHAR AS qual_md5 FROM reads",
         "scalar_functions": "SELECT p_partkey, regexp_replace(concat(p_name, '/', p_type, '.', p_brand), '[^\\p{L}\\p{N}._\\-$#]', '_', 'g') AS file_name, printf('%s#%08d#%s', 'part', p_partkey, p_brand) AS sequence_id, "
         f"round(({kept('ACGT')} * 3 + {kept('YRWMSK')} * 2 + {kept('BDHV')}) / 3.0::DOUBLE, 6) AS letters, list_sum(list_transform(range(1, length(p_type) + 1), lambda i: ascii(substr(p_type, i, 1)) - 33))::BIGINT AS phred_total, p_type AS phred_back, "
         "concat_ws(',', p_size::VARCHAR, coalesce(nullif(p_size % 3, 0)::VARCHAR, 'X'), 'X', (p_partkey % 5)::VARCHAR) AS code FROM part",
@@ -457,6 +533,10 @@ def _sql() -> dict[str, str]:
         "FROM tops JOIN oriented o USING (read_id) LEFT JOIN solved USING (read_id) UNION ALL SELECT orientation, 'none', 'unknown', 0 FROM oriented o WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.read_id = o.read_id)) SELECT orientation, match_type, outcome_detailed, barcode_count, count(*) AS n FROM events GROUP BY ALL",
         "output_counts": f"WITH {chain} SELECT match_type, pool, primer_pair, sample, count(*) AS n FROM placed GROUP BY ALL",
         "pool_roll_up": f"WITH {chain} SELECT path, count(*) AS n FROM (SELECT concat(match_type, '/', pool, '/', primer_pair, '/', sample) AS path FROM placed UNION ALL SELECT concat('full/', pool, '/', sample) FROM placed WHERE resolution = 'dereplicated_full') GROUP BY path",
+        "best_files_written": f"WITH {chain}, full_rows AS (SELECT * FROM chosen WHERE resolution = 'dereplicated_full'), "
+        "paths AS (SELECT concat('full/', pool, '/', n1, '-', n2, '/', sample) AS path, read_id, cand_ord, strand FROM full_rows UNION ALL SELECT concat('full/', pool, '/', sample), read_id, cand_ord, strand FROM full_rows), "
+        f"ranked AS (SELECT path, read_id, cand_ord, strand, seq, row_number() OVER (PARTITION BY path ORDER BY {_QUAL} DESC, read_id, cand_ord) AS rank FROM paths JOIN reads USING (read_id)) "
+        "SELECT concat('subsample/', path, '.fastq') AS path, row_number() OVER (PARTITION BY path ORDER BY read_id, cand_ord) - 1 AS read_num, concat('read', read_id) AS seq_id, md5(CASE WHEN strand = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END) AS seq_md5 FROM ranked WHERE rank <= 3",
         "best_quality_records": f"WITH {chain}, full_rows AS (SELECT c.*, CASE WHEN c.strand = 0 THEN r.seq ELSE r.seq END AS s FROM chosen c JOIN reads r USING (read_id) WHERE c.resolution = 'dereplicated_full'), "
         "paths AS (SELECT concat('full/', pool, '/', n1, '-', n2, '/', sample) AS path, read_id, cand_ord, strand FROM full_rows UNION ALL SELECT concat('full/', pool, '/', sample), read_id, cand_ord, strand FROM full_rows) " + top,
     }
@@ -555,7 +635,7 @@ def _event_sql() -> dict[str, str]:
 
 _ALL = (
     reverse_complement, average_quality, length_filter, primer_thresholds, barcode_distances, pool_statistics, primer_pairs, convert_primers, primer_hits, orientation_votes, candidate_scores, best_candidates,
-    demultiplexed, sheet_demultiplexed, trimmed, undereplicated, run_events, scalar_functions, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
+    demultiplexed, sheet_demultiplexed, trimmed, undereplicated, run_events, scalar_functions, files_written, best_files_written, trace_files, reads_in_range, fasta_files, match_rate, output_counts, pool_roll_up, best_quality_records, stats_rollup, stats_sequences, sankey_nodes, sankey_links, sankey_flow, event_histogram, pool_match_rates, processing_times, trace_pivot, mined_partials,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = _sql() | _event_sql() | {"mined_partials": _mined_sql()}
