@@ -311,38 +311,41 @@ def _extent(trim: str, barcode_length: int) -> tuple[Column, Column]:
     return F.coalesce(start, F.greatest(F.lit(0), outer[0] - barcode_length)), F.coalesce(end, F.least(length, outer[1] + barcode_length))
 
 
-def with_fact(rows: DataFrame, design: Design, options: Options) -> DataFrame:
-    """outcomes with fact, what is written of each: read_id, seq_id, distance_code, sample, resolution, match_type, pool, primer names,
-    seq, qual, is_full, path, start and end of the trim, trim_empty. A read without candidates is cand_ord -1."""
-    known = F.col("cand_ord").isNotNull()
+def with_trim(rows: DataFrame, design: Design, options: Options) -> DataFrame:
+    """outcomes with start, end and trim_empty, and w: the names that are written, those of an unknown where nothing is left."""
     start, end = _extent(options.trim, design.barcode_length)
     rows = rows.withColumns({"start": start.cast("int"), "end": end.cast("int")})
-    rows = rows.withColumn("trim_empty", known & F.lit(options.trim != "none") & (F.col("start") >= F.col("end")))
+    rows = rows.withColumn("trim_empty", F.col("cand_ord").isNotNull() & F.lit(options.trim != "none") & (F.col("start") >= F.col("end")))
+    kept = lambda c, other="unknown": F.when(F.col("trim_empty"), F.lit(other)).otherwise(F.coalesce(c, F.lit(other)))
+    own_names = {"sample": kept(F.col("sample")), "resolution": kept(F.col("resolution"), UNKNOWN), "pool": kept(F.col("pool")), "p1_name": kept(F.col("n1")), "p2_name": kept(F.col("n2"))}
+    return rows.withColumn("w", _struct(**own_names))
+
+
+def fact_columns(options: Options) -> dict[str, Column]:
+    """What is written of each row of with_trim: read_id, seq_id, distance_code, sample, resolution, match_type, pool, primer names, seq,
+    qual, is_full, path, start and end of the trim, trim_empty. A read without candidates is cand_ord -1."""
     own = F.when(F.col("strand") == 1, F.col("rc_seq")).otherwise(F.col("seq"))
     qual = F.when(F.col("strand") == 1, F.reverse("qual")).otherwise(F.col("qual"))
     cut = lambda c: F.when(F.col("trim_empty"), c).otherwise(F.substring(c, F.col("start") + 1, F.col("end") - F.col("start")))
-    kept = lambda c, other="unknown": F.when(F.col("trim_empty"), F.lit(other)).otherwise(F.coalesce(c, F.lit(other)))
     code = distance_code(F.col("p1.dist"), F.get("b1", 0)["dist"], F.get("b2", 0)["dist"], F.col("p2.dist"))
-    own_names = {"sample": kept(F.col("sample")), "resolution": kept(F.col("resolution"), UNKNOWN), "pool": kept(F.col("pool")), "p1_name": kept(F.col("n1")), "p2_name": kept(F.col("n2"))}
-    rows = rows.withColumn("w", _struct(**own_names))
     of = lambda n: F.col(f"w.{n}")
     place = F.when(of("resolution") == UNKNOWN, "unknown").when(of("resolution").startswith("partial"), "partial").otherwise("full")
     pair = F.concat_ws("-", of("p1_name"), of("p2_name"))
     path = F.concat_ws("/", place, of("pool"), pair, F.concat(F.lit(options.prefix), safe_name(of("sample"))))
-    fact = _struct(
-        read_id=F.col("read_id"), seq_id=F.col("seq_id"), cand_ord=F.coalesce("cand_ord", F.lit(-1)), distance_code=code, **{n: of(n) for n in own_names}, seq=cut(own), qual=cut(qual),
-        start=F.col("start"), end=F.col("end"), trim_empty=F.col("trim_empty"), match_type=place, primer_pair=pair, is_full=of("resolution").isin(*FULL_KINDS), path=path,
-    )
-    return rows.withColumn("fact", fact).drop("w", "start", "end", "trim_empty")
+    return {
+        "read_id": F.col("read_id"), "seq_id": F.col("seq_id"), "cand_ord": F.coalesce("cand_ord", F.lit(-1)), "distance_code": code, **{n: of(n) for n in ("sample", "resolution", "pool", "p1_name", "p2_name")}, "seq": cut(own), "qual": cut(qual),
+        "start": F.col("start"), "end": F.col("end"), "trim_empty": F.col("trim_empty"), "match_type": place, "primer_pair": pair, "is_full": of("resolution").isin(*FULL_KINDS), "path": path,
+    }
 
 
 @dataclass
 class Result:
-    """The stages of one run, all lazy, each with one search: hits (a row for each read, with cands and best), outcomes (with fact)."""
+    """The stages of one run, all lazy, each with one search: hits (a row for each read, with cands and best), trimmed (a row for each
+    record, of with_trim)."""
 
     reads: DataFrame
     hits: DataFrame
-    outcomes: DataFrame
+    trimmed: DataFrame
     design: Design
     options: Options
     parameters: Parameters
@@ -356,13 +359,19 @@ class Result:
     def best(self) -> DataFrame:
         return exploded(self.hits, "best")
 
+    @property
+    def outcomes(self) -> DataFrame:
+        """outcomes with fact, a struct of fact_columns."""
+        return self.trimmed.withColumn("fact", _struct(**fact_columns(self.options))).drop("w", "start", "end", "trim_empty")
+
     @property
     def chosen(self) -> DataFrame:
         return self.outcomes.where(F.col("cand_ord").isNotNull())
 
     @property
     def facts(self) -> DataFrame:
-        return self.outcomes.select("fact.*")
+        # Columns of their own, not of a struct: those that aren't asked for, as sequences and qualities, are never made.
+        return self.trimmed.select(*[c.alias(n) for n, c in fact_columns(self.options).items()])
 
     def totals(self) -> DataFrame:
         """Reads in all (filtered ones too), reads with a full match, and their share."""
@@ -384,7 +393,7 @@ class Result:
 
 def run_on(reads: DataFrame, hits: DataFrame, design: Design, options: Options, params: Parameters) -> Result:
     hits = hits if "cands" in hits.columns else with_candidates(hits, design)
-    return Result(reads, hits, with_fact(outcomes(hits, design, options), design, options), design, options, params)
+    return Result(reads, hits, with_trim(outcomes(hits, design, options), design, options), design, options, params)
 
 
 def demultiplex(reads: DataFrame, design: Design, options: Options | None = None) -> Result:
