@@ -1,5 +1,9 @@
 """Mixing, sharding and line templates: odd rows, skew, and brute force."""
 
+import random
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +119,57 @@ def test_long_texts_take_linear_time(spark):
         took[n] = time.time() - began
         assert row["n_lines"] == n and row["n_dropped"] >= 1
     assert took[40_000] < took[2_000] + 30
+
+
+def model_of_lines(texts):
+    """The rule in plain Python: what stays of each text."""
+    docs, children, same, leading = line_templates.MIN_DOCS, line_templates.CHILDREN, line_templates.SAME, line_templates.LEADING
+    mask = lambda t: "<*>" if any("0" <= c <= "9" for c in t) else t
+    tokens = lambda line: [w for w in re.split("[\x20\x09-\x0d]+", line) if w]
+    leaf = lambda ts: (len(ts), mask(ts[0]), mask(ts[1]) if len(ts) > 1 else "")
+    rows_of, in_leaf = defaultdict(set), defaultdict(set)
+    for n, text in enumerate(texts):
+        for line in (text or "").split("\n") if text is not None else ():
+            if ts := tokens(line):
+                rows_of[line].add(n)
+                in_leaf[leaf(ts)].add(n)
+    lines = {line: rows for line, rows in rows_of.items() if len(in_leaf[leaf(tokens(line))]) >= docs}
+    times, totals = defaultdict(int), defaultdict(int)
+    for line, rows in lines.items():
+        ts = tokens(line)
+        totals[leaf(ts)] += len(rows)
+        for k, t in enumerate(ts):
+            times[leaf(ts), k, mask(t)] += len(rows)
+    fixed = {key: n for key, n in times.items() if n >= docs and key[2] != "<*>"}
+    many = Counter(key[:2] for key in fixed)
+    templates = defaultdict(set)
+    for line in lines:
+        ts = tokens(line)
+        keys = [(leaf(ts), k, mask(t)) for k, t in enumerate(ts)]
+        one = [key[2] if key in fixed else "<*>" for key in keys]
+        two = [key[2] if key in fixed and (many[key[:2]] <= children or fixed[key] * children >= totals[key[0]]) else "<*>" for key in keys]
+        share = lambda x: sum(t != "<*>" for t in x) / len(x)
+        if share(one) >= same:
+            templates[line].add(" ".join(one))
+        if one != two and two[leading:] and share(two[leading:]) >= same:
+            templates[line].add(" ".join(two))
+    holders = defaultdict(set)
+    for line, own in templates.items():
+        for t in own:
+            holders[t] |= lines[line]
+    gone = {line for line, own in templates.items() if any(len(holders[t]) >= docs for t in own)}
+    return [None if text is None else "\n".join(x for x in text.split("\n") if x not in gone) for text in texts]
+
+
+def test_lines_against_a_model(spark):
+    r = random.Random(12)
+    names, words_ = [f"name{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)], [f"word{chr(97 + k)}" for k in range(26)]
+    shapes = [
+        lambda: f"User {r.choice(names)} came from {r.choice(names[:60])} at last", lambda: f"Copyright {r.randint(1990, 2020)} by the house", lambda: "All rights reserved", lambda: f"item {r.randint(1, 9)} of {r.choice(words_)} here",
+        lambda: " ".join(r.choice(words_) for _ in range(r.randint(1, 9))), lambda: f"one {r.choice(names)}", lambda: r.choice(["", " ", "\t", "x"]), lambda: f"Log {r.choice(words_[:3])} {r.choice(names)} {r.choice(names)} end of the line",
+    ]
+    texts = ["\n".join(r.choice(shapes)() for _ in range(r.choice([0, 1, 3, 8]))) for _ in range(700)] + [None, "", "All rights reserved"]
+    docs = docs_of(spark, [(n, t, None, None, None) for n, t in enumerate(texts)]).repartition(4)
+    got = [x["text"] for x in line_templates.drop_lines(docs).orderBy("doc_id").collect()]
+    want = model_of_lines(texts)
+    assert got == want and sum(a != b for a, b in zip(texts, want, strict=True)) > 300
