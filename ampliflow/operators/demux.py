@@ -95,8 +95,11 @@ def hit_finder(design: Design, params: Parameters, window: int):  # noqa: ANN201
     """A function of a sequence and its reverse complement: all primer hits on both (strand 0 and 1) with the barcodes after them."""
     tries = {}
     for p in design.ordered:
-        trie = Trie([complement(b) for b in design.barcodes[p.name]])
-        tries[p.name] = trie, [[b for b in design.barcodes[p.name] if complement(b) == x] for x in trie.patterns]
+        barcodes: dict[str, list[str]] = {}
+        for b in design.barcodes[p.name]:
+            barcodes.setdefault(complement(b), []).append(b)
+        trie = Trie(list(barcodes))
+        tries[p.name] = trie, [barcodes[x] for x in trie.patterns]
 
     def find(seqs: pa.Array, backs: pa.Array) -> pa.Array:
         out: list[list[dict]] = [[] for _ in range(len(seqs))]
