@@ -2,11 +2,13 @@
 
 import random
 import timeit
+from collections import Counter
 
 import numpy as np
 
 from ampliflow.functions.dna import IUPAC, complement
 from ampliflow.operators import align, mining
+from ampliflow.sources import tables
 
 
 def same(a, b):
@@ -107,6 +109,46 @@ def test_a_trie_reads_less_than_a_loop():
     assert took[800] < loop / 2 and took[800] < 4 * took[200]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        new = [i]
+        for j, t in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return row[-1]
+
+
+def test_counts_of_distances():
+    r = random.Random(9)
+    for longest in (3, 12, 16, 17, 33, 64, 65, 140):
+        letters = r.choice(["ACGT", "AC", "ACGTRYé"])
+        word = lambda n: "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+        own, others = [word(longest) for _ in range(12)], [word(r.choice([3, longest])) for _ in range(15)]
+        others += others[:2]
+        got = align.distance_counts(own, others, cells=r.choice([1, 40, 1 << 17]))
+        assert {d: int(n) for d, n in enumerate(got) if n} == Counter(edits(a, b) for a in own for b in others)
+    assert not align.distance_counts([], ["A"]).any() and align.distance_counts([""], [""]).tolist() == [1]
+
+
+def test_distances_of_all_pairs(spark):
+    r = random.Random(10)
+    words = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 9))) for _ in range(70)]
+    want = Counter(edits(a, b) for n, a in enumerate(words) for b in words[:n])
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for block in (7, 10, 25, 64, 1000):
+        assert {x["distance"]: x["n"] for x in tables.distance_counts(df, block).collect()} == want
+    assert tables.distance_counts(df.limit(0)).collect() == []
+
+
+def test_many_barcodes_are_compared_quickly(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("ACGT") for _ in range(12)) for _ in range(12_000)]
+    begin = timeit.default_timer()
+    assert tables.distance_counts(spark.createDataFrame([(w,) for w in words], "w string")).agg({"n": "sum"}).first()[0] == 12_000 * 11_999 // 2
+    assert timeit.default_timer() - begin < 20
+
+
 def test_search_of_nothing():
     rows, size = align.packed([b"", b"ACGT"])
     distance, places = align.search(rows, size, "ACG", 1)
