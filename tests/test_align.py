@@ -149,6 +149,17 @@ def test_many_barcodes_are_compared_quickly(spark):
     assert timeit.default_timer() - begin < 20
 
 
+def test_many_barcodes_are_searched_for_many_rows_at_once():
+    r = random.Random(12)
+    trie = align.Trie(["".join(r.choice("ACGT") for _ in range(12)) for _ in range(20_000)])
+    rows, size = align.packed(["".join(r.choice("ACGT") for _ in range(14)).encode() for _ in range(300)])
+    begin = timeit.default_timer()
+    found = trie.search(rows, size, 1, cells=1 << 20)
+    assert timeit.default_timer() - begin < 1
+    again = trie.search(rows, size, 1, cells=500)
+    assert all((a == b).all() for a, b in zip(found[:3], again[:3], strict=True)) and found[3] == again[3]
+
+
 def test_search_of_nothing():
     rows, size = align.packed([b"", b"ACGT"])
     distance, places = align.search(rows, size, "ACG", 1)
