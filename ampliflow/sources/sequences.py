@@ -229,25 +229,44 @@ def ranges(path: str, size: int) -> list[tuple[int, int]]:
     return [(n * k // count, n * (k + 1) // count) for k in range(count)]
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, start: int = 0, end: int = -1):
-        self.path, self.start, self.end = path, start, end
+#: Bytes of a range of a large file, and of the ranges that a task reads; tasks that there are at least, as far as there are ranges.
+SPLIT, TASKS = 64 << 20, 32
+
+
+def dealt(found: list[tuple[str, int, int]], size: int = SPLIT, tasks: int = TASKS) -> list[list[tuple[str, int, int]]]:
+    """Ranges (path, start, end; end -1 for a whole file) in runs of so many bytes, or of fewer where that gives too few runs: the number
+    of tasks goes with the bytes, not with the ranges."""
+    lengths = [(os.path.getsize(p) if os.path.exists(p) else 0) if end < 0 else end - start for p, start, end in found]
+    most, out, held = min(size, -(-sum(lengths) // tasks)), [], 0
+    for place, length in zip(found, lengths, strict=True):
+        if not out or held + length > most:
+            out.append([])
+            held = 0
+        out[-1].append(place)
+        held += length
+    return out
+
+
+class _Ranges(InputPartition):
+    def __init__(self, places: list[tuple[str, int, int]]):
+        self.places = places
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[_File]:
+    def partitions(self) -> list[_Ranges]:
         found = files(self.options["path"], self.options.get("pathGlobFilter", "*"))
-        return [_File(p, *r) for p in found for r in ranges(p, int(self.options.get("splitSize", 0)))]
+        return [_Ranges(x) for x in dealt([(p, *r) for p in found for r in ranges(p, int(self.options.get("splitSize", 0)))])]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        path, start, end = partition.path, partition.start, partition.end
-        kind, place = self.options.get("fileFormat"), (start,) if int(self.options.get("splitSize", 0)) else ()
-        rows = records(path, kind) if end < 0 else records_of_range(path, kind or detect_format(path), start, end)
-        for n, (seq_id, description, seq, qual) in enumerate(rows):
-            yield n, seq_id, description, seq, qual, path, *place
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        kind, split = self.options.get("fileFormat"), int(self.options.get("splitSize", 0))
+        for path, start, end in partition.places:
+            place = (start,) if split else ()
+            rows = records(path, kind) if end < 0 else records_of_range(path, kind or detect_format(path), start, end)
+            for n, (seq_id, description, seq, qual) in enumerate(rows):
+                yield n, seq_id, description, seq, qual, path, *place
 
 
 class SequenceSource(DataSource):
@@ -262,10 +281,6 @@ class SequenceSource(DataSource):
         return _Reader(self.options)
 
 
-#: Bytes of a range of a large file.
-SPLIT = 64 << 20
-
-
 def read_sequences(spark: SparkSession, path: str, first: int | None = None, number: int | None = None, split_size: int = SPLIT) -> DataFrame:
     """Reads of path. first, number: only so many of each file from the first-th (from 1) on. Files of more than split_size bytes are read
     in ranges; then their records are counted by range first, for the places of records in their files."""

@@ -89,3 +89,18 @@ def test_large_files_are_read_in_ranges(spark, tmp_path):
     assert parts.orderBy(*order).collect() == whole.orderBy(*order).collect()
     some = read_sequences(spark, str(tmp_path), 11, 5, split_size=7000).orderBy(*order).collect()
     assert [x["seq_id"] for x in some] == [f"r{n}" for n in range(10, 15)] * 3
+
+
+def test_tasks_go_with_bytes_not_with_ranges(spark, tmp_path):
+    r = random.Random(5)
+    want = []
+    for name in ("a.fastq", "b.fastq", "empty.fastq"):
+        seqs = ["".join(r.choice("ACGT") for _ in range(r.randint(0, 90))) for _ in range(0 if name == "empty.fastq" else 1500)]
+        (tmp_path / name).write_text("".join(f"@{name}{n}\n{x}\n+\n{'@' * len(x)}\n" for n, x in enumerate(seqs)))
+        want += [(str(tmp_path / name), n, f"{name}{n}", x) for n, x in enumerate(seqs)]
+    rows = sequences.read_sequences(spark, str(tmp_path), split_size=200)
+    assert sorted((x["source_file"], x["read_num"], x["seq_id"], x["seq"]) for x in rows.collect()) == want
+    spark.dataSource.register(sequences.SequenceSource)
+    assert spark.read.format("sequences").option("splitSize", 200).load(str(tmp_path)).rdd.getNumPartitions() <= 2 * sequences.TASKS
+    assert [len(x) for x in sequences.dealt([("none", n, n + 1) for n in range(100)], size=10, tasks=1)] == [10] * 10
+    assert sequences.dealt([]) == []
