@@ -2,11 +2,13 @@
 
 import random
 import timeit
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from ampliflow.functions.dna import IUPAC, complement
+from ampliflow.functions.dna import IUPAC, complement, mean_quality
 from ampliflow.operators import align, mining
 from ampliflow.sources import tables
 
@@ -191,3 +193,13 @@ def test_infix_distances():
 def test_complement():
     assert complement("ACGTRN") == "NYACGT"
     assert complement(complement("ACGTRYKMBDHVSWNacgt")) == "ACGTRYKMBDHVSWNacgt"
+
+
+def test_mean_qualities_take_little_memory():
+    texts = ["I" * 10_000, None, "", "!#"] * 500
+    column = pa.array(texts)
+    tracemalloc.start()
+    got = mean_quality.func(column).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [40.0, 0.0, 0.0, 1.0] * 500 and peak < 5_000_000  # of 5 MB of letters
