@@ -1,8 +1,11 @@
 """Nearest neighbours against brute force."""
 
+from pathlib import Path
+
 import numpy as np
 
 from ampliflow.llm import neighbours
+from ampliflow.llm.shared import shared_dir
 
 
 def brute(rows, queries, k):
@@ -87,3 +90,23 @@ def test_tiny_and_huge_vectors(spark):
     # What denormal numbers keep of a direction.
     want = brute([(n, [a / max(map(abs, v)) for a in v]) for n, v in rows], range(60), 5)
     assert len(got) == 18 and np.mean([len(set(v) & set(want[q])) / 5 for q, v in got.items()]) >= 0.9
+
+
+def test_little_more_than_the_input_is_written(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    vectors = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<float>")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    there = set(folder.rglob("*.parquet"))
+    assert neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), members=500).count() == 400
+    assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - there) < 2 * x.nbytes
+
+
+def test_probes_made_again_are_those_of_the_steps():
+    rng = np.random.default_rng(9)
+    cells, inside = rng.integers(-9, 9, (40, 7)), rng.uniform(size=(40, 7))
+    for probes in (1, 5, 300, 3000):
+        who, key = neighbours.probe_keys(cells, inside, neighbours.probe_costs(inside, probes))
+        for i in range(40):
+            want = neighbours.keys(cells[i] + neighbours.probe_steps(inside[i], probes))
+            assert sorted(key[who == i].tolist()) == sorted(want.tolist())
