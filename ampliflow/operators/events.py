@@ -45,7 +45,7 @@ def _searches(result: Result, level: int) -> list[Column]:
     parts = [F.transform("hits", hit)]
     if level > 2:
         parts.append(F.array(*[_event("PRIMER_SEARCH", 3, F.lit(p.name), F.lit(p.direction), low, high, *missed, within=F.lit(10_000 * (2 * n + s) + 1)) for n, p in enumerate(primers) for s in (0, 1)]))
-        tried = F.array(*[F.array(*[F.lit(b) for b in sorted(result.design.barcodes[p.name])]).cast("array<string>") for p in primers])
+        tried = F.array(*[F.array(*[F.lit(b) for b in sorted(map(str, result.design.barcodes[p.name]))]).cast("array<string>") for p in primers])
         bar = lambda h, b, n, *found: _event("BARCODE_SEARCH", 3, b, F.get(ways, h["primer"]), F.get(names, h["primer"]), F.get(h["locs"], 0)["e"] + 1, high, *found, within=at(h) + n)
         parts.append(F.flatten(F.transform("hits", lambda h: F.transform(F.get(tried, h["primer"]), lambda b, n: bar(h, b, 3 + 2 * n, *missed)))))
         place = lambda h, b: 2 + 2 * F.array_position(F.get(tried, h["primer"]), b["bc"])
